@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op2_token_files": op2_token_files,
 }
 
