@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from ctxloom.llm.chat import op7_chat_formatting
 from ctxloom.llm.packing import op5_packing
+from ctxloom.llm.quality import op3_quality_rules
 from ctxloom.llm.token_files import op2_token_files
 
 QUERIES = {
-    "op5_packing": op5_packing,
     "op2_token_files": op2_token_files,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_packing": op5_packing,
+    "op7_chat_formatting": op7_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {}
