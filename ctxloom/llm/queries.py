@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ctxloom.llm.chat import op7_chat_formatting
+from ctxloom.llm.jaccard import op8_ngram_jaccard_join
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
 from ctxloom.llm.token_files import op2_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
