@@ -6,6 +6,7 @@ from ctxloom.llm.chat import op7_chat_formatting
 from ctxloom.llm.jaccard import op8_ngram_jaccard_join
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
+from ctxloom.llm.repeats import op9_suffix_array_dedup
 from ctxloom.llm.token_files import op2_token_files
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -35,7 +35,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and their bounds; a null text is empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
