@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ctxloom.llm.chat import op7_chat_formatting
+from ctxloom.llm.decontaminate import op10_benchmark_decontamination
 from ctxloom.llm.jaccard import op8_ngram_jaccard_join
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}

@@ -53,9 +53,9 @@ def inverse_powers(n: int) -> np.ndarray:
     return _powers(pow(_BASE, -1, 1 << 64), n)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the number of words by text."""
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = bounds[:-1][bounds[:-1] < bounds[1:]]
@@ -68,12 +68,12 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, bounds))
 
 
-def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, fold: bool = True, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words by text."""
     data, bounds = raw(texts)
     if fold:
         data = _FOLD[data]
-    starts, ends, counts = word_spans(data, bounds)
+    starts, ends, counts = word_spans(data, bounds, separator)
     sums = prefix_sums(data)
     return mix((sums[ends] - sums[starts]) * inverse_powers(len(data))[starts] + (ends - starts).astype(_U) * _PLACES[63]), counts
 
