@@ -210,7 +210,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                 )
 
     files = manifest.select("file", "n_bytes", before.alias("start"))
-    return files.repartition(F.col("file")).mapInArrow(read, DIGEST)
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(read, DIGEST)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

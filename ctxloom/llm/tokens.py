@@ -8,6 +8,7 @@ tokenizer; texts where a cut would not be safe go through it whole.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 #: Texts where a space or newline touches other white space, an end, or the cut mark.
 UNSAFE = r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|^ | $|\x01|\n[\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}]\n"
 #: Bytes of text per step, entries and ids that a worker keeps.
-STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 500_000, 6_000_000
+STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 600_000, 6_000_000
+#: Marks that are one token of their own when they follow a letter and end a piece.
+STOPS = ".,"
 
 
 class PieceTokenizer:
@@ -29,6 +32,7 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.stops: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -37,23 +41,37 @@ class PieceTokenizer:
         self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
+        self.steps = np.zeros(1 << 14, np.int32)
+
+    def _make_room(self) -> None:
+        """Forget pieces that a single step has used; all, where that isn't enough."""
+        keep = np.flatnonzero(self.steps[: len(self.known)] > 1)
+        if len(keep) > MAX_ENTRIES // 2:
+            return self._clear()
+        names, starts, lens = list(self.known), self.starts[keep], self.lens[keep]
+        flat = self.flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+        self._clear()
+        self._store([names[i] for i in keep], flat, lens)
+
+    def _store(self, pieces: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        n, total = len(self.known), len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(pieces) > len(self.starts):
+            self.starts, self.lens, self.steps = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.steps))
+        self.flat[self.used : self.used + total] = flat
+        self.starts[n : n + len(pieces)] = self.used + np.cumsum(lens) - lens
+        self.lens[n : n + len(pieces)] = lens
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.used += total
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         ids = self._whole([p[1:] if p[:1] == "\x01" else p if p == "\n" else " " + p for p in pieces])
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.known), int(lens.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.lens[n : n + len(ids)] = lens
-        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
-        self.used += total
+        self._store(pieces, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths by text, for texts that are safe to cut."""
@@ -63,17 +81,31 @@ class PieceTokenizer:
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) + len(pieces) > MAX_ENTRIES or self.used > MAX_IDS:
-            self._clear()
-        if new := [p for p in pieces if p not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+            self._make_room()
+        # A stop after a letter is a token of its own: "word" and "word," share their ids.
+        ended = [len(p) > 2 and p[-1] in STOPS and p[-2].isalpha() for p in pieces]
+        stems = [p[:-1] if e else p for p, e in zip(pieces, ended, strict=True)]
+        if new := dict.fromkeys(p for p in stems if p not in self.known):
+            self._learn(list(new))
+        stem = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(pieces))
+        self.steps[np.unique(stem)] += 1
+        stop = np.fromiter((self._stop(p[-1]) if e else -1 for p, e in zip(pieces, ended, strict=True)), np.int64, len(pieces))
+        codes = coded.indices.to_numpy()
+        at, stop = stem[codes], stop[codes]
         lens = self.lens[at]
-        ends = np.cumsum(lens)
+        all_lens = lens + (stop >= 0)
+        ends = np.cumsum(all_lens)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)]
+        flat = self.flat[np.minimum(np.repeat(self.starts[at] - (ends - all_lens), all_lens) + np.arange(total), len(self.flat) - 1)]
+        flat[ends[stop >= 0] - 1] = stop[stop >= 0]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return flat, np.diff(bounds)
 
+    def _stop(self, mark: str) -> int:
+        if mark not in self.stops:
+            (self.stops[mark],) = self._whole([mark])[0]
+        return self.stops[mark]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each; a null text is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -82,7 +114,7 @@ class PieceTokenizer:
             return self._cut(texts)
         lens = np.zeros(len(texts), np.int64)
         safe_ids, lens[~unsafe] = self._cut(texts.filter(pa.array(~unsafe)))
-        whole = self._whole(texts.filter(pa.array(unsafe)).to_pylist())
+        whole = [np.array(x, np.uint32) for x in self._whole(texts.filter(pa.array(unsafe)).to_pylist())]
         lens[unsafe] = [len(x) for x in whole]
         flat = np.empty(int(lens.sum()), np.uint32)
         from_safe = np.repeat(~unsafe, lens)
