@@ -9,11 +9,13 @@ from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
 from ctxloom.llm.repeats import op9_suffix_array_dedup
 from ctxloom.llm.token_files import op2_token_files
+from ctxloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
