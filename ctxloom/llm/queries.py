@@ -1,19 +1,23 @@
-"""Queries of this subpackage, by name."""
+"""Queries of this subpackage, by name, and their SQL."""
 
 from __future__ import annotations
 
 from ctxloom.llm.chat import op7_chat_formatting
 from ctxloom.llm.decontaminate import op10_benchmark_decontamination
 from ctxloom.llm.jaccard import op8_ngram_jaccard_join
+from ctxloom.llm.licenses import op1_license_scans
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
 from ctxloom.llm.repeats import op9_suffix_array_dedup
 from ctxloom.llm.token_files import op2_token_files
 from ctxloom.llm.toxicity import op6_toxicity
+from ctxloom.llm.urls import OP4_SQL, op4_url_filters
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filters": op4_url_filters,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
@@ -22,4 +26,4 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_url_filters": OP4_SQL}
