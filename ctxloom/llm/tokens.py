@@ -9,20 +9,34 @@ tokenizer; texts where a cut would not be safe go through it whole.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ctxloom.llm.words import FOLD, raw
+
 #: Texts where a space or newline touches other white space, an end, or the cut mark.
 UNSAFE = r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|^ | $|\x01|\n[\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}]\n"
 #: Bytes of text per step, entries and ids that a worker keeps.
-STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 600_000, 6_000_000
+STEP_BYTES, MAX_ENTRIES, MAX_IDS = 3 << 20, 400_000, 4_000_000
 #: Marks that are one token of their own when they follow a letter and end a piece.
 STOPS = ".,"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTES = _byte_letters()
+
+
 class PieceTokenizer:
     """Encodes Arrow string arrays; keeps a bounded cache of pieces between batches."""
 
@@ -32,6 +46,10 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        shape = json.loads(self.tokenizer.to_str())
+        #: Of the two kinds known here, one lower-cases and drops spaces, the other keeps both.
+        self.lower = "Lowercase" in json.dumps(shape["normalizer"])
+        self.lead = "" if self.lower else BYTES[ord(" ")]
         self.stops: dict[str, int] = {}
         self._clear()
 
@@ -68,14 +86,24 @@ class PieceTokenizer:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, piece: str) -> bool:
+        """Whether a piece of letters reaches the model as it is, as one token's bytes."""
+        return piece.isalpha() and (not self.lower or piece.isascii() or (piece == piece.lower() and is_normalized("NFC", piece)))
+
     def _learn(self, pieces: list[str]) -> None:
-        ids = self._whole([p[1:] if p[:1] == "\x01" else p if p == "\n" else " " + p for p in pieces])
+        letters, others = [p for p in pieces if self._plain(p)], [p for p in pieces if not self._plain(p)]
+        ids = [[t.id for t in self.tokenizer.model.tokenize(self.lead + p if p.isascii() else self.lead + p.encode().decode("latin-1").translate(BYTES))] for p in letters]
+        ids += self._whole([p[1:] if p[:1] == "\x01" else p if p == "\n" else " " + p for p in others])
+        pieces = letters + others
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         self._store(pieces, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths by text, for texts that are safe to cut."""
         mark, none = pa.scalar("\x01", pa.large_string()), pa.scalar("", pa.large_string())
+        if self.lower:
+            data, bounds = raw(texts)
+            texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(FOLD[data])])
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n \x01"), none)
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()

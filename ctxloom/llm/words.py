@@ -11,8 +11,8 @@ import pyarrow as pa
 
 _U = np.uint64
 _SEPARATOR = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=_U)
 _BASE, _PLACES = 0x9E3779B97F4A7C15, np.random.default_rng(21).integers(0, 2**64, 64, dtype=_U) | _U(1)
 _POWERS: dict[int, np.ndarray] = {}
@@ -72,7 +72,7 @@ def word_hashes(texts: pa.Array, fold: bool = True, separator: np.ndarray = _SEP
     """Hashes of all words, and the number of words by text."""
     data, bounds = raw(texts)
     if fold:
-        data = _FOLD[data]
+        data = FOLD[data]
     starts, ends, counts = word_spans(data, bounds, separator)
     sums = prefix_sums(data)
     return mix((sums[ends] - sums[starts]) * inverse_powers(len(data))[starts] + (ends - starts).astype(_U) * _PLACES[63]), counts
