@@ -1 +1 @@
-"""Subpackage of ctxloom."""
+"""Structured Streaming forms of the stateful operators."""
