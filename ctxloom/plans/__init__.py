@@ -1 +1 @@
-"""Subpackage of ctxloom."""
+"""Composed pipelines and the registered queries."""

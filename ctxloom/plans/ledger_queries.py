@@ -203,7 +203,7 @@ def route_validation(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(B.route_errors(F.lit(128000), F.lit(8192), s), "|").alias("errors"))
 
 
-_TOLD = "CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN 'please summarize the project' WHEN 1 THEN 'project goal?' WHEN 2 THEN 'redesign the ledger plan' WHEN 3 THEN 'where are we with this' WHEN 4 THEN 'fix the repo' WHEN 5 THEN 'thanks!' WHEN 6 THEN 'why is nd-limit here' ELSE 'compare DEC-1 and DEC-2' END"
+_TOLD = "CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN 'please summarize the project' WHEN 1 THEN 'the goal is speed' WHEN 2 THEN 'redesign the ledger plan' WHEN 3 THEN 'where are we with this' WHEN 4 THEN 'fix the repo' WHEN 5 THEN 'thanks!' WHEN 6 THEN 'why is nd-limit here' ELSE 'compare DEC-1 and DEC-2' END"
 
 
 @query(f"SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN 'C5' WHEN 1 THEN 'C4' WHEN 2 THEN 'C4' WHEN 3 THEN 'C2' WHEN 4 THEN 'C4' WHEN 5 THEN 'C1' WHEN 6 THEN 'C3' ELSE 'C5' END AS class FROM conversations")

@@ -323,3 +323,14 @@ def shrink_region(spark, sf_dir):
 
 
 CONFIG = Config()
+
+
+@query()
+def planner(spark, sf_dir):
+    """V7: the whole plan over the event sessions; its parts have their own SQL above."""
+    from ctxloom.plans.planner import plan, scored_units
+
+    messages = A.event_messages(spark, sf_dir).withColumn("text", F.concat_ws(" ", F.col("event_type"), F.col("seq").cast("string")))
+    windows = messages.select("session").distinct().withColumn("context_window", F.lit(16000) + (F.col("session") % 7) * 4000)
+    scored = scored_units(messages.withColumn("tokens", F.col("tokens") * 2), windows, F.lit("2024-02-01").cast("timestamp"))
+    return plan(scored)
