@@ -13,8 +13,12 @@ from pyspark.sql.window import Window
 
 from ctxloom.functions.text import clamped
 
-BY_POS = Window.partitionBy("session").orderBy("pos")
-SO_FAR = BY_POS.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def so_far():
+    """A session's rows up to the present one."""
+    return Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 #: Text beyond this is not appended to, though the append that crosses it stays whole.
 TEXT_CAP = 12000
 
@@ -26,7 +30,7 @@ def placed(messages: DataFrame) -> DataFrame:
     results are units of their own, and so is every other message.
     """
     is_result = (F.col("role") == "tool").cast("int")
-    out = messages.withColumn("island", F.sum(1 - is_result).over(SO_FAR))
+    out = messages.withColumn("island", F.sum(1 - is_result).over(so_far()))
     inside = Window.partitionBy("session", "island").orderBy("pos")
     out = out.withColumn("nth", F.sum(is_result).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     calls = F.max(F.when(F.col("role") != "tool", F.coalesce("n_calls", F.lit(0))).otherwise(0)).over(Window.partitionBy("session", "island"))
@@ -57,7 +61,7 @@ def paired(messages: DataFrame) -> DataFrame:
 def with_turns(rows: DataFrame) -> DataFrame:
     """Adds the user turn of each row and the user turns after it."""
     user = (F.col("role") == "user").cast("long")
-    out = rows.withColumn("user_turn", F.sum(user).over(SO_FAR))
+    out = rows.withColumn("user_turn", F.sum(user).over(so_far()))
     return out.withColumn("turns_after", F.sum(user).over(Window.partitionBy("session")) - F.col("user_turn"))
 
 
@@ -86,7 +90,7 @@ def calibrated_range(rows: DataFrame, retain: Column) -> DataFrame:
     """
     newest = Window.partitionBy("session").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("session")
-    out = rows.withColumn("_kept", F.sum("tokens").over(newest)).withColumn("_open", F.sum(F.col("calls") - F.col("results")).over(SO_FAR) - (F.col("calls") - F.col("results")))
+    out = rows.withColumn("_kept", F.sum("tokens").over(newest)).withColumn("_open", F.sum(F.col("calls") - F.col("results")).over(so_far()) - (F.col("calls") - F.col("results")))
     out = out.withColumn("_head", F.coalesce(F.min(F.when(F.col("role") != "system", F.col("pos"))).over(whole), F.max("pos").over(whole) + 1))
     out = out.withColumn("_cut", F.coalesce(F.max(F.when(F.col("_kept") >= retain, F.col("pos"))).over(whole), F.min("pos").over(whole)))
     stop = F.max(F.when((F.col("pos") <= F.col("_cut")) & (F.col("pos") > F.col("_head")) & (F.col("_open") == 0), F.col("pos")))
@@ -105,7 +109,7 @@ def continuations(ends: DataFrame, cap: int = 3) -> DataFrame:
 
     ``ends`` holds (session, pos, kind): only ``max-tokens`` continues, all else starts anew.
     """
-    run = F.sum((F.col("kind") != "max-tokens").cast("long")).over(SO_FAR)
+    run = F.sum((F.col("kind") != "max-tokens").cast("long")).over(so_far())
     out = ends.withColumn("_run", run)
     inside = Window.partitionBy("session", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("streak", F.sum((F.col("kind") == "max-tokens").cast("long")).over(inside)).drop("_run")
