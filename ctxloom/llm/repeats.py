@@ -107,9 +107,17 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of windows that an earlier row of the same gram has; rows come by gram, in order."""
-    last, known = None, np.zeros(0, np.uint64)
+    last, known, place_of = None, np.zeros(0, np.uint64), None
     for batch in batches:
         for some in steps(batch, "bytes", 1 << 20):
+            # Rows of equal documents under one id come twice, one after the other.
+            keys = list(zip(*(some[c].to_pylist() for c in ("gram", "doc_id", "mark", "start")), strict=True))
+            fresh_rows = [k != before for k, before in zip(keys, [place_of, *keys[:-1]], strict=True)]
+            place_of = keys[-1]
+            if not all(fresh_rows):
+                some = some.filter(pa.array(fresh_rows))
+                if not some.num_rows:
+                    continue
             gram, before = some["gram"].to_numpy(), some["before"].to_numpy().astype(np.int64)
             data, bounds = raw(some["bytes"])
             windows = np.diff(bounds) - LENGTH + 1
