@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxloom.llm.chat import op7_chat_formatting
+from ctxloom.llm.chat import OP7_SQL, op7_chat_formatting
 from ctxloom.llm.decontaminate import op10_benchmark_decontamination
-from ctxloom.llm.jaccard import op8_ngram_jaccard_join
+from ctxloom.llm.jaccard import OP8_SQL, op8_ngram_jaccard_join
 from ctxloom.llm.licenses import op1_license_scans
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES = {"op4_url_filters": OP4_SQL}
+ORACLES = {"op4_url_filters": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op8_ngram_jaccard_join": OP8_SQL}
