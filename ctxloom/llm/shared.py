@@ -31,7 +31,7 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
