@@ -143,12 +143,17 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     doc = np.repeat(np.arange(len(counts)), counts)
     pairs = np.unique(np.stack([doc, codes]), axis=1)
     first = np.cumsum(lens) - lens
-    held = []
-    for label in (0, 1):  # distinct (document, feature) of a label
+    held, bad = {}, None
+    for label in (1, 0):  # distinct (document, feature) of a label; clean ones only as far as toxic ones have them
         d, w = pairs[:, toxic[pairs[0]] == label]
         at = places[np.repeat(first[w] - (np.cumsum(lens[w]) - lens[w]), lens[w]) + np.arange(int(lens[w].sum()))]
-        held.append(np.unique(np.repeat(d, lens[w]) * size + at))
-    clean, bad = (np.bincount(x % size, minlength=size) for x in held)
+        of = np.repeat(d, lens[w])
+        if bad is not None:
+            also = bad[at] > 0
+            at, of = at[also], of[also]
+        held[label] = np.unique(of * size + at)
+        bad = np.bincount(held[1] % size, minlength=size)
+    clean = np.bincount(held[0] % size, minlength=size)
     expected = (bad + clean) * (toxic == 1).mean()
     gain = bad * np.log(np.maximum(bad, 1) / np.maximum(expected, 1e-9)) + clean * np.log(np.maximum(clean, 1) / np.maximum(bad + clean - expected, 1e-9))
     pure = (gain >= LEAST_GAIN) & (bad / (toxic == 1).sum() >= PURITY * (bad / (toxic == 1).sum() + clean / (toxic == 0).sum()))
