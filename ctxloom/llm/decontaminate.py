@@ -1,11 +1,15 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are lower-cased runs of letters and digits. Each of four fixed masks over twelve words
-leaves some of them out; a benchmark item and a document that agree on a mask's words agree
-on its hash, whatever stands at the places left out. Every hit names a diagonal (place in
-the document less place in the item); along it the best segment, one for a match and minus
-two for a substitution, must match at least ``LEAST`` words, or ``SHARE`` of an item that is
-short. Items of five to eleven words are looked for whole; shorter ones say nothing.
+Words are lower-cased runs of letters and digits. Each mask leaves some words of a window out;
+a benchmark item and a document that agree on a mask's words agree on its hash, whatever
+stands at the places left out. Every hit names a diagonal (place in the document less place
+in the item); along it the best segment, one for a match and minus two for a substitution,
+must match at least ``LEAST`` words, or ``SHARE`` of an item that is short. Items under five
+words say nothing.
+
+The masks miss none of these segments: in a best segment every prefix scores above zero, so
+its first ``WEIGHT`` matches lie in one of few ways (``masks``), and each way is a mask. Items
+of less than ``WEIGHT`` necessary matches have masks of that many.
 
 The benchmark side goes to the executors in slices of at most ``SLICE_BYTES`` of text, one
 scan of the documents for each, so memory is bounded whatever its size.
@@ -17,6 +21,7 @@ through ``without_leaks`` whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,7 @@ from pyspark.sql import functions as F
 from ctxloom.llm.tokens import steps
 from ctxloom.llm.words import mix, word_hashes
 
-MASKS = ("111101111011", "110111011101", "101110111011", "111011011101")
-SPAN, LEAST, SHARE, SHORTEST = 12, 12, 0.8, 5
+WEIGHT, LEAST, SHARE, SHORTEST = 7, 12, 0.8, 5
 SLICE_BYTES, BITS = 16 << 20, 22
 _PLACES = np.random.default_rng(30).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 _OTHER = np.array([not chr(i).isalnum() if i < 128 else False for i in range(256)])
@@ -39,50 +43,80 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.utf8_lower(texts.fill_null("")), fold=False, separator=_OTHER)
 
 
-def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the window that begins at each word, for a mask of any length."""
-    n = max(len(words) - len(mask) + 1, 0)
+def masks(weight: int) -> list[str]:
+    """Every way in which the first ``weight`` matches of a best segment can lie."""
+    out, todo = [], ["1"]
+    while todo:
+        mask = todo.pop()
+        if mask.count("1") == weight:
+            out.append(mask)
+            continue
+        todo.append(mask + "1")
+        if mask.count("1") > 2 * (mask.count("0") + 1):
+            todo.append(mask + "0")
+    return sorted(out)
+
+
+def _needed(size: int) -> int:
+    return math.ceil(min(LEAST, SHARE * size))
+
+
+def _seeds(words: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the window that begins at each word, or at those of ``at``."""
+    n = max(len(words) - len(mask) + 1, 0) if at is None else len(at)
     out = np.full(n, len(mask) + 16 * int(mask, 2), np.uint64)
     for k, used in enumerate(mask):
         if used == "1" and n:
-            out += words[k : k + n] * _PLACES[k]
+            out += (words[k : k + n] if at is None else words[at + k]) * _PLACES[k]
     return mix(out)
 
 
+def _bits(seeds: np.ndarray) -> np.ndarray:
+    return (seeds >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 class Benchmark:
     """Sorted seeds of a slice of items, with a bit map in front."""
 
+    #: All masks begin so, since a best segment does.
+    HEAD = "111"
+
     def __init__(self, texts: list[str]):
         words, counts = _words(pa.array(texts, pa.string()))
-        ends = np.cumsum(counts)
-        self.items = [words[a:b] for a, b in zip(ends - counts, ends, strict=True)]
-        self.masks = [*MASKS, *("1" * n for n in sorted({len(x) for x in self.items if SHORTEST <= len(x) < SPAN}))]
-        self.tables = []
-        for mask in self.masks:
-            rows = [(_seeds(x, mask), i) for i, x in enumerate(self.items) if (len(x) >= SPAN if len(mask) == SPAN else len(x) == len(mask))]
-            seeds = np.concatenate([s for s, _ in rows]) if rows else np.zeros(0, np.uint64)
-            item = np.repeat(np.array([i for _, i in rows], np.int64), [len(s) for s, _ in rows])
-            place = np.concatenate([np.arange(len(s)) for s, _ in rows]) if rows else np.zeros(0, np.int64)
-            order = np.argsort(seeds, kind="stable")
-            seeds = seeds[order]
-            bits = np.zeros(1 << BITS, bool)
-            bits[(seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
-            self.tables.append((mask, seeds, item[order], place[order], bits))
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+        self.items = [words[a:b] for a, b in zip(self.starts, self.ends, strict=True)]
+        weights = np.array([min(WEIGHT, _needed(n)) if n >= SHORTEST else 0 for n in counts.tolist()], np.int64)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        self.heads, self.tables = np.zeros(1 << BITS, bool), []
+        for weight in np.unique(weights[weights > 0]).tolist():
+            for mask in masks(weight):
+                whole = np.flatnonzero((weights[owner] == weight) & (np.arange(len(words)) + len(mask) <= self.ends[owner]))
+                self.heads[_bits(_seeds(words, self.HEAD, whole))] = True
+                seeds = _seeds(words, mask, whole)
+                order = np.argsort(seeds, kind="stable")
+                seeds = seeds[order]
+                bits = np.zeros(1 << BITS, bool)
+                bits[_bits(seeds)] = True
+                self.tables.append((mask, seeds, whole[order].astype(np.int32), bits))
 
     def diagonals(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (document, item, diagonal) of all hits."""
         ends = np.cumsum(counts)
-        out = []
-        for mask, seeds, item, place, bits in self.tables:
-            own = _seeds(words, mask)
-            at = np.flatnonzero(bits[(own >> np.uint64(64 - BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(seeds, own[at], "left"), np.searchsorted(seeds, own[at], "right")
-            doc = np.searchsorted(ends, at, "right")
-            keep = (hi > lo) & (at + len(mask) <= ends[np.minimum(doc, len(ends) - 1)])
-            at, lo, hi, doc = at[keep], lo[keep], hi[keep], doc[keep]
+        heads = np.flatnonzero(self.heads[_bits(_seeds(words, self.HEAD))])
+        room = ends[np.searchsorted(ends, heads, "right")] - heads
+        out = [np.zeros((0, 3), np.int64)]
+        for mask, seeds, places, bits in self.tables:
+            at = heads[room >= len(mask)]
+            own = _seeds(words, mask, at)
+            some = bits[_bits(own)]
+            at, own = at[some], own[some]
+            lo, hi = np.searchsorted(seeds, own, "left"), np.searchsorted(seeds, own, "right")
             n = hi - lo
-            source = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append(np.stack([np.repeat(doc, n), item[source], np.repeat(at - (ends - counts)[doc], n) - place[source]], axis=1))
+            source = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+            at = np.repeat(at, n)
+            doc, item = np.searchsorted(ends, at, "right"), np.searchsorted(self.ends, source, "right")
+            out.append(np.stack([doc, item, at - (ends - counts)[doc] - (source - self.starts[item])], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
     def overlap(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
@@ -128,7 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         doc, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([some["doc_id"].take(pa.array(doc)), *(pa.array(x, pa.int32()) for x in rest)], ["doc_id", "item", "matched", "start", "end"])
 
-        names = spark.createDataFrame([(i, r["item_id"], len(x)) for i, (r, x) in enumerate(zip(rows, Benchmark(held.value).items, strict=True))], "item int, item_id long, item_words long")
+        sizes = _words(pa.array(held.value, pa.string()))[1].tolist()
+        names = spark.createDataFrame([(i, r["item_id"], n) for i, (r, n) in enumerate(zip(rows, sizes, strict=True))], "item int, item_id long, item_words long")
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, FOUND).join(F.broadcast(names), "item")
         out = one if out is None else out.unionByName(one)
     best = out.groupBy("doc_id", "item_id", "item_words").agg(F.max(F.struct("matched", (-F.col("start")).alias("back"), "end")).alias("best"))
