@@ -1,11 +1,15 @@
 """License scans by patience alignment.
 
 A text is looked at where it shares a three-word run with a template: runs closer than a
-template's length make one region. Text and template are aligned there by anchoring on words
-that occur once in both, taking the longest increasing subsequence of their places, and
-aligning the gaps between anchors in the same way; where a gap has no such words, equal
-words at its two ends are matched. Coverage is the matched share of the template's words, and
-a region counts with at least ``LEAST`` of them.
+template's length make one region. In it, windows that hold ``LEAST`` of the template's words
+in order are cut out one behind the other, by lengths of longest common subsequences, so each
+of several copies in a row is a window of its own. Text and template are aligned in a window
+by anchoring on words that occur once in both, taking the longest increasing subsequence of
+their places, and aligning the gaps between anchors in the same way; where a gap has no such
+words, equal words at its two ends are matched. Coverage is the matched share of the
+template's words; where anchors are too few for ``LEAST``, that of the common subsequence. A
+window has at most ``WIDE`` times the template's words; a region without one is aligned once as
+a whole.
 
 Words are lower-cased runs of letters and digits. Nulls: a null text has no words, a null
 doc_id is kept. Repeated rows give a row for each region of each. An empty table gives no
@@ -15,6 +19,7 @@ and in the regions found.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from ctxloom.llm.tokens import steps
 from ctxloom.llm.words import mix, word_hashes
 
-LEAST, RUN = 0.8, 3
+LEAST, RUN, WIDE = 0.8, 3, 4
 WORD = re.compile(r"[^\W_]+")
 
 #: Public license texts and notices.
@@ -103,6 +108,51 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(words: list, places: dict, size: int) -> Iterator[int]:
+    """Longest common subsequence of a template and each prefix of ``words``, bit-parallel.
+
+    ``places`` holds the template's places by word, as bits of a number.
+    """
+    full = rest = (1 << size) - 1
+    n = 0
+    for word in words:
+        if at := places.get(word):
+            here = rest & at
+            rest = ((rest + here) | (rest - here)) & full
+            n = size - rest.bit_count()
+        yield n
+
+
+def _reach(lengths: Iterator[int]) -> int:
+    """Words of the prefix that is worth most, a match counting ``WIDE`` and each word minus one."""
+    return max(((WIDE * n - k, k) for k, n in enumerate(lengths, 1)), default=(0, 0))[1]
+
+
+def windows(words: list, template: list) -> Iterator[tuple[int, int, int]]:
+    """Begin, end and common subsequence of each occurrence, one behind the other."""
+    size = len(template)
+    least, wide = math.ceil(LEAST * size), WIDE * size
+    ahead: dict = {}
+    for i, word in enumerate(template):
+        ahead[word] = ahead.get(word, 0) | 1 << i
+    back = {word: int(f"{at:0{size}b}"[::-1], 2) for word, at in ahead.items()}
+    floor = at = 0
+    while size:
+        # the first end of a window with enough words, and the last begin of one with that end
+        end = next((k for k, n in enumerate(common((words[i] for i in range(at, len(words))), ahead, size), at + 1) if n >= least), None)
+        if end is None:
+            return
+        begin = next(end - k for k, n in enumerate(common(words[at:end][::-1], back, size), 1) if n >= least)
+        if end - begin > wide:
+            at = begin + 1
+            continue
+        end = max(end, begin + _reach(common(words[begin : begin + wide], ahead, size)))
+        lengths = list(common(words[max(floor, end - wide) : end][::-1], back, size))
+        k = _reach(iter(lengths))
+        yield end - k, end, lengths[k - 1]
+        floor = at = end
+
+
 def _runs(words: np.ndarray) -> np.ndarray:
     n = max(len(words) - RUN + 1, 0)
     out = np.zeros(n, np.uint64)
@@ -132,12 +182,24 @@ class Scanner:
                 continue
             for hits in np.split(at, np.flatnonzero(np.diff(at) > len(template)) + 1):
                 lo, hi = max(0, int(hits[0]) - len(template)), min(len(words), int(hits[-1]) + RUN + len(template))
-                # the region's own words first: what is around them only where they don't reach
-                for a, b in ((int(hits[0]), int(hits[-1]) + RUN), (lo, hi)):
-                    pairs = align(words[a:b].tolist(), template.tolist())
-                    if len(pairs) >= LEAST * len(template):
-                        yield name, len(pairs), len(template), a + pairs[0][0], a + pairs[-1][0] + 1
-                        break
+                yield from self._rows(name, template, words, int(hits[0]), int(hits[-1]) + RUN, lo, hi)
+
+    def _rows(self, name: str, template: np.ndarray, words: np.ndarray, first: int, last: int, lo: int, hi: int) -> Iterator[tuple[str, int, int, int, int]]:
+        own, found = template.tolist(), False
+        for a, b, n in windows(words[lo:hi].tolist(), own):
+            pairs, found = align(words[lo + a : lo + b].tolist(), own), True
+            if len(pairs) >= LEAST * len(own):
+                yield name, len(pairs), len(own), lo + a + pairs[0][0], lo + a + pairs[-1][0] + 1
+            else:
+                yield name, n, len(own), lo + a, lo + b
+        if found:
+            return
+        # the region's own words first: what is around them only where they don't reach
+        for a, b in ((first, last), (lo, hi)):
+            pairs = align(words[a:b].tolist(), own)
+            if len(pairs) >= LEAST * len(own):
+                yield name, len(pairs), len(own), a + pairs[0][0], a + pairs[-1][0] + 1
+                break
 
 
 FOUND = "doc_id long, license string, n_matched long, coverage double, start_word long, end_word long"

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ctxloom.llm import decontaminate
+from ctxloom.llm import decontaminate, licenses
 
 
 def changed(rng, words, places):
@@ -32,3 +32,27 @@ def test_decontamination_misses_no_segment(size):
     want = {(d, i, k) for d in range(len(own)) for i in range(len(items)) for k in range(1 - size, len(own[d])) if known.overlap(own[d], i, k)}
     got = {(d, i, k) for d, i, k in known.diagonals(words, counts).tolist() if known.overlap(own[d], i, k)}
     assert got == want and len(want) > size
+
+
+def license_rows(text, templates=None):
+    scanner = licenses.Scanner(templates or licenses.TEMPLATES)
+    words, _ = licenses._hashes(pa.array([text]))
+    return list(scanner.regions(words, licenses._runs(words)))
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0-notice", "GPL-3.0-header", "CC-BY-4.0-notice"])
+@pytest.mark.parametrize("between", [0, 1, 20])
+@pytest.mark.parametrize("kinds", ["ne", "ee", "nen", "nnn", "enenenee", "e" * 30])
+def test_each_copy_of_a_license_is_a_row(name, between, kinds):
+    """Exact (e) and near (n) copies in a row."""
+    rng = random.Random(between)
+    template = licenses.WORD.findall(licenses.TEMPLATES[name].lower())
+    text, starts = [], []
+    for kind in kinds:
+        text += [f"y{rng.randrange(10**9)}" for _ in range(between)]
+        starts.append(len(text))
+        text += changed(rng, template, {rng.randrange(1, len(template) - 1)} if kind == "n" else set())
+    got = sorted(license_rows(" ".join(text), {name: licenses.TEMPLATES[name]}), key=lambda r: r[3])
+    assert [r[3] for r in got] == starts
+    assert [r[4] - r[3] for r in got] == [len(template)] * len(kinds)
+    assert all(r[1] >= len(template) - (kind == "n") * 4 for r, kind in zip(got, kinds, strict=True))
