@@ -1,15 +1,16 @@
 """License scans by patience alignment.
 
-A text is looked at where it shares a three-word run with a template: runs closer than a
-template's length make one region. In it, windows that hold ``LEAST`` of the template's words
-in order are cut out one behind the other, by lengths of longest common subsequences, so each
-of several copies in a row is a window of its own. Text and template are aligned in a window
-by anchoring on words that occur once in both, taking the longest increasing subsequence of
-their places, and aligning the gaps between anchors in the same way; where a gap has no such
-words, equal words at its two ends are matched. Coverage is the matched share of the
-template's words; where anchors are too few for ``LEAST``, that of the common subsequence. A
-window has at most ``WIDE`` times the template's words; a region without one is aligned once as
-a whole.
+A window is looked at where it shares ``LEAST`` of a template's words, counted with repeats
+and in any order; every window that could pass does so. Where such windows overlap they make
+one region. In it, windows that hold that many in order are cut out one behind the other, by
+lengths of longest common subsequences, so each of several copies in a row is a window of its
+own. Text and template are aligned in a window by anchoring on words that occur once in both,
+taking the longest increasing subsequence of their places, and aligning the gaps between
+anchors in the same way; where a gap has no such words, equal words at its two ends are
+matched. Coverage is the matched share of the template's words; where anchors are too few for
+``LEAST``, that of the common subsequence. A window has at most ``WIDE`` times the template's
+words. Longer occurrences are found where they share three-word runs with the template: runs
+closer than its length, with no window among them, are aligned once as a whole.
 
 Words are lower-cased runs of letters and digits. Nulls: a null text has no words, a null
 doc_id is kept. Repeated rows give a row for each region of each. An empty table gives no
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ctxloom.llm.tokens import steps
 from ctxloom.llm.words import mix, word_hashes
 
-LEAST, RUN, WIDE = 0.8, 3, 4
+LEAST, RUN, WIDE, BITS = 0.8, 3, 4, 22
 WORD = re.compile(r"[^\W_]+")
 
 #: Public license texts and notices.
@@ -161,6 +162,10 @@ def _runs(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(pc.utf8_lower(texts.fill_null("")), fold=False, separator=_OTHER)
 
@@ -173,33 +178,89 @@ class Scanner:
         self.words = [words[a:b] for a, b in zip(ends - counts, ends, strict=True)]
         self.runs = [np.unique(_runs(w)) for w in self.words]
         self.all = np.unique(np.concatenate(self.runs))
-
-    def regions(self, words: np.ndarray, runs: np.ndarray) -> Iterator[tuple[str, int, int, int, int]]:
+        self.vocabulary = np.unique(words)
+        self.bits = np.zeros(1 << BITS, bool)
+        self.bits[_bits(self.vocabulary)] = True
+        #: Times that a template holds each word of the vocabulary.
+        self.times = [np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in self.words]
+
+    def spans(self, words: np.ndarray, counts: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """By document, (template, begin, end) of the regions that share enough words with a template."""
+        hits = np.flatnonzero(self.bits[_bits(words)])
+        word = np.minimum(np.searchsorted(self.vocabulary, words[hits]), len(self.vocabulary) - 1)
+        same = self.vocabulary[word] == words[hits]
+        hits, word = hits[same], word[same]
+        ends = np.cumsum(counts)
+        doc = np.searchsorted(ends, hits, "right")
+        # documents lie so far apart that no window reaches from one to the next
+        apart = WIDE * max(map(len, self.words)) + 1
+        place = hits + doc * apart
+        order = np.argsort(word, kind="stable")
+        by_word, by_place = word[order], place[order]
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for t, (template, times) in enumerate(zip(self.words, self.times, strict=True)):
+            wide, own = WIDE * len(template), times[word] > 0
+            at, own_doc = place[own], doc[own]
+            if not len(at):
+                continue
+            # a word at p counts for begins b with p - wide < b <= p that leave fewer of the same between than the template has
+            several, after = times[by_word], []
+            for n in np.unique(times[times > 0]).tolist():
+                k = np.flatnonzero(several == n)
+                before = np.where((k >= n) & (by_word[np.maximum(k - n, 0)] == by_word[k]), by_place[k - n * (k >= n)], -1)
+                after.append(np.maximum(before, by_place[k] - wide))
+            shared = np.searchsorted(np.sort(np.concatenate(after)), at, "left") - np.arange(len(at))
+            good = np.flatnonzero(shared >= LEAST * len(template))
+            if not len(good):
+                continue
+            for some in np.split(good, np.flatnonzero(np.diff(at[good]) > wide) + 1):
+                d = int(own_doc[some[0]])
+                first = int(ends[d] - counts[d])
+                lo, hi = (int(at[i]) - d * apart - first for i in (some[0], some[-1]))
+                out.setdefault(d, []).append((t, lo, min(hi + wide, int(counts[d]))))
+        return out
+
+    def regions(self, words: np.ndarray, runs: np.ndarray, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
         """(license, matched, template words, first and last + 1 word) of one text."""
-        for name, template, own in zip(self.names, self.words, self.runs, strict=True):
+        for t, (name, template, own) in enumerate(zip(self.names, self.words, self.runs, strict=True)):
+            found = [x for k, lo, hi in spans if k == t for x in self._windows(words, template, lo, hi)]
+            yield from ((name, matched, len(template), a, b) for matched, a, b in found)
             at = np.flatnonzero(np.isin(runs, own))
             if not len(at):
                 continue
             for hits in np.split(at, np.flatnonzero(np.diff(at) > len(template)) + 1):
-                lo, hi = max(0, int(hits[0]) - len(template)), min(len(words), int(hits[-1]) + RUN + len(template))
-                yield from self._rows(name, template, words, int(hits[0]), int(hits[-1]) + RUN, lo, hi)
-
-    def _rows(self, name: str, template: np.ndarray, words: np.ndarray, first: int, last: int, lo: int, hi: int) -> Iterator[tuple[str, int, int, int, int]]:
-        own, found = template.tolist(), False
-        for a, b, n in windows(words[lo:hi].tolist(), own):
-            pairs, found = align(words[lo + a : lo + b].tolist(), own), True
-            if len(pairs) >= LEAST * len(own):
-                yield name, len(pairs), len(own), lo + a + pairs[0][0], lo + a + pairs[-1][0] + 1
+                first, last = int(hits[0]), int(hits[-1]) + RUN
+                lo, hi = max(0, first - len(template)), min(len(words), last + len(template))
+                if any(a < hi and b > lo for _, a, b in found):
+                    continue
+                # the region's own words first: what is around them only where they don't reach
+                for a, b in ((first, last), (lo, hi)):
+                    pairs = align(words[a:b].tolist(), template.tolist())
+                    if len(pairs) >= LEAST * len(template):
+                        yield name, len(pairs), len(template), a + pairs[0][0], a + pairs[-1][0] + 1
+                        break
+
+    @staticmethod
+    def _windows(words: np.ndarray, template: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        for a, b, n in windows(words[lo:hi].tolist(), template.tolist()):
+            pairs = align(words[lo + a : lo + b].tolist(), template.tolist())
+            if len(pairs) >= LEAST * len(template):
+                yield len(pairs), lo + a + pairs[0][0], lo + a + pairs[-1][0] + 1
             else:
-                yield name, n, len(own), lo + a, lo + b
-        if found:
-            return
-        # the region's own words first: what is around them only where they don't reach
-        for a, b in ((first, last), (lo, hi)):
-            pairs = align(words[a:b].tolist(), own)
-            if len(pairs) >= LEAST * len(own):
-                yield name, len(pairs), len(own), a + pairs[0][0], a + pairs[-1][0] + 1
-                break
+                yield n, lo + a, lo + b
+
+    def rows(self, texts: pa.Array) -> list[tuple[int, str, int, int, int, int]]:
+        """The regions of all texts, each with the text's place before it."""
+        words, counts = _hashes(texts)
+        ends = np.cumsum(counts)
+        runs = _runs(words)
+        spans = self.spans(words, counts)
+        hit = np.searchsorted(ends, np.flatnonzero(np.isin(runs, self.all)), "right").tolist()
+        out = []
+        for doc in sorted({*hit, *spans}):
+            a, b = int(ends[doc] - counts[doc]), int(ends[doc])
+            out += [(doc, *x) for x in self.regions(words[a:b], runs[a : max(a, b - RUN + 1)], spans.get(doc, []))]
+        return out
 
 
 FOUND = "doc_id long, license string, n_matched long, coverage double, start_word long, end_word long"
@@ -214,16 +275,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         scanner = Scanner(held.value)
         for batch in batches:
             for some in steps(batch):
-                words, counts = _hashes(some["text"])
-                ends = np.cumsum(counts)
-                runs = _runs(words)
-                at = np.flatnonzero(np.isin(runs, scanner.all))
-                hit = np.unique(np.searchsorted(ends, at, "right"))
-                rows = []
-                for doc in hit.tolist():
-                    a, b = int(ends[doc] - counts[doc]), int(ends[doc])
-                    for name, matched, size, start, end in scanner.regions(words[a:b], runs[a : max(a, b - RUN + 1)]):
-                        rows.append((doc, name, matched, matched / size, start, end))
+                rows = [(doc, name, matched, matched / size, start, end) for doc, name, matched, size, start, end in scanner.rows(some["text"])]
                 if rows:
                     doc, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([some["doc_id"].take(pa.array(doc)), *(pa.array(x) for x in rest)], names)

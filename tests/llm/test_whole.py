@@ -35,9 +35,7 @@ def test_decontamination_misses_no_segment(size):
 
 
 def license_rows(text, templates=None):
-    scanner = licenses.Scanner(templates or licenses.TEMPLATES)
-    words, _ = licenses._hashes(pa.array([text]))
-    return list(scanner.regions(words, licenses._runs(words)))
+    return [x[1:] for x in licenses.Scanner(templates or licenses.TEMPLATES).rows(pa.array([text]))]
 
 
 @pytest.mark.parametrize("name", ["MIT", "Apache-2.0-notice", "GPL-3.0-header", "CC-BY-4.0-notice"])
@@ -56,3 +54,31 @@ def test_each_copy_of_a_license_is_a_row(name, between, kinds):
     assert [r[3] for r in got] == starts
     assert [r[4] - r[3] for r in got] == [len(template)] * len(kinds)
     assert all(r[1] >= len(template) - (kind == "n") * 4 for r, kind in zip(got, kinds, strict=True))
+
+
+def test_license_needs_no_run():
+    """Each one-word change of a short template, and a word put in at every place, as plain alignment has them."""
+    for name, text in licenses.TEMPLATES.items():
+        template = licenses.WORD.findall(text.lower())
+        sides = ["before"] * 9, ["after"] * 9
+        texts = [[*template[:i], "other", *template[i + 1 :]] for i in range(len(template))] if len(template) < 20 else []
+        texts += [[x for w in template for x in (w, "put", "in")[:n]] for n in (2, 3)]
+        for words in texts:
+            matched = len(licenses.align(words, template))
+            got = [r for r in license_rows(" ".join([*sides[0], *words, *sides[1]])) if r[0] == name]
+            assert len(got) == (matched >= licenses.LEAST * len(template)), (name, words)
+            assert not got or got[0][1] == matched
+
+
+def test_regions_miss_no_window():
+    rng = random.Random(8)
+    template = [rng.choice("abcdef") for _ in range(9)]
+    scanner = licenses.Scanner({"T": " ".join(template)})
+    texts = [[rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(90))] for _ in range(300)]
+    words, counts = licenses._hashes(pa.array([" ".join(x) for x in texts]))
+    spans = scanner.spans(words, counts)
+    missing = {w: template.count(w) for w in template}
+    for d, text in enumerate(texts):
+        want = [b for b in range(len(text)) if text[b] in missing and sum(min(n, text[b : b + 36].count(w)) for w, n in missing.items()) >= 7.2]
+        assert all(any(lo <= b and min(b + 36, len(text)) <= hi for _, lo, hi in spans.get(d, [])) for b in want)
+        assert all(lo in want for _, lo, _ in spans.get(d, []))
