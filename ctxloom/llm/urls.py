@@ -26,9 +26,9 @@ def host(url: Column) -> Column:
 
 
 def suffixes(name: Column) -> Column:
-    """A host and the domains above it, of two labels at least where it has them."""
+    """A host and the domains above it, the top-level one too."""
     labels = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 1, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

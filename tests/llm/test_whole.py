@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ctxloom.llm import decontaminate, licenses
+from ctxloom.llm import decontaminate, licenses, urls
 
 
 def changed(rng, words, places):
@@ -82,3 +83,11 @@ def test_regions_miss_no_window():
         want = [b for b in range(len(text)) if text[b] in missing and sum(min(n, text[b : b + 36].count(w)) for w, n in missing.items()) >= 7.2]
         assert all(any(lo <= b and min(b + 36, len(text)) <= hi for _, lo, hi in spans.get(d, [])) for b in want)
         assert all(lo in want for _, lo, _ in spans.get(d, []))
+
+
+def test_url_list_entry_of_one_label(spark):
+    listed = spark.createDataFrame([("zip", "block"), ("ok.zip", "allow")], "pattern string, verdict string").withColumn("listed_at", F.lit("2024-01-05").cast("timestamp"))
+    asked = [(1, "http://a.b.zip/x"), (2, "http://a.ok.zip"), (3, "http://zip.org"), (4, "http://azip"), (5, "http://zip/")]
+    captures = spark.createDataFrame(asked, "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    got = {r.page_id: r.verdict for r in urls.judged(captures, listed, F.lit("2024-12-31").cast("timestamp")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "unlisted", 4: "unlisted", 5: "block"}
