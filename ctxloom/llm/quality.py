@@ -3,8 +3,10 @@
 Rules vote good (1), bad (-1) or abstain (0) on each document. Documents are counted by
 vote pattern, a table of at most ``3 ** len(RULES)`` rows however many documents there are;
 expectation-maximisation on those counts estimates how often each rule is right about good
-and about bad documents, and a document is kept if the posterior probability of its pattern
-being good is at least ``KEEP``. Base rules (too few words, too many repeated ones) reject
+and about bad documents. A rule may turn out to say nothing (it votes good as often on bad
+documents as on good ones), never to say the contrary, so its votes weigh nothing then. A
+document is kept if the posterior probability of its pattern being good is at least ``KEEP``.
+Base rules (too few words, too many repeated ones) reject
 whatever the votes say.
 
 Words are ``[^ \\t-\\r]+``. Nulls: a null text has no words and fails the base rules; a null
@@ -23,7 +25,7 @@ from ctxloom.llm.shared import table
 
 KEEP, ROUNDS, WINDOW = 0.5, 40, 5
 #: First guess at, and bounds of, the chance that a rule that votes is right.
-FIRST, LEAST, MOST = 0.8, 0.55, 0.995
+FIRST, LEAST, MOST = 0.8, 0.005, 0.995
 #: Common function words of the corpus languages.
 FUNCTION_WORDS = "the of and to in is that for der die und das den von ist les des et est une que los las del por una"
 
@@ -54,13 +56,17 @@ def measures(text: Column) -> list[list[Column]]:
             ).alias("n_repeat_words"),
             F.size("_lines").cast("long").alias("n_lines"),
             F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?:;\"')][ \t-\r]*\z"))).cast("long").alias("n_ended"),
-            F.size(F.array_distinct(F.regexp_extract_all("_norm", F.lit(r"(?i)(?<![^ ])(" + FUNCTION_WORDS.replace(" ", "|") + r")(?![^ ,.])"), 1))).cast("long").alias("n_function_words"),
+            F.regexp_count("_norm", F.lit(r"[^\p{L}\p{N}\p{M} .,;:!?)\]}\"'\u2019\u201d\u00bb\u2026\u3002\uff0c\uff01\uff1f\u3001\u300d\u300f\uff09-](?![^ ])")).cast("long").alias("n_marked"),
+            F.regexp_count("_norm", F.lit(r"(?<![^ ])[^\p{L}\p{N} ]++(?![^ ])")).cast("long").alias("n_bare"),
+            F.size(F.array_distinct(F.transform(F.regexp_extract_all("_norm", F.lit(r"(?i)(?<![^ ])(" + FUNCTION_WORDS.replace(" ", "|") + r")(?![^ ,.])"), 1), F.lower))).cast("long").alias("n_function_words"),
         ],
     ]
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_ended", "n_function_words"]
+#: Lines with a word and those that end a sentence, words that end in no letter, digit or usual
+#: mark, words without a letter or digit, distinct function words.
+EXTRA = ["n_lines", "n_ended", "n_marked", "n_bare", "n_function_words"]
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -74,6 +80,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(words >= 50, words < 20),
         "word_size": _vote((chars >= 3 * words) & (chars <= 12 * words), (chars < 2 * words) | (chars > 20 * words)),
         "symbols": _vote(100 * c("n_symbols") <= words, 10 * c("n_symbols") > words),
+        "marks": _vote(50 * c("n_marked") <= words, 10 * c("n_marked") > words),
+        "bare_words": _vote(50 * c("n_bare") <= words, 10 * c("n_bare") > words),
         "same_lines": _vote((c("n_lines") >= 3) & (10 * c("n_dup_lines") <= c("n_lines")), 10 * c("n_dup_lines") > 3 * c("n_lines")),
         "repeats": _vote(100 * c("n_repeat_words") <= 2 * words, 10 * c("n_repeat_words") > words),
         "endings": _vote(2 * c("n_ended") >= c("n_lines"), 10 * c("n_ended") < c("n_lines")),
@@ -81,7 +89,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-RULES = ["length", "word_size", "symbols", "same_lines", "repeats", "endings", "function_words"]
+RULES = ["length", "word_size", "symbols", "marks", "bare_words", "same_lines", "repeats", "endings", "function_words"]
 
 
 def base_failed() -> Column:
@@ -117,7 +125,13 @@ def fit(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tupl
                     h[0 if v > 0 else 1] += n * p
                     h[3 if v > 0 else 2] += n * (1 - p)
         prior = min(0.99, max(0.01, (good + 1) / (total + 2)))
-        right = [(clip(a / (a + b)), clip(c / (c + d))) for a, b, c, d in hits]
+        right = []
+        for a, b, c, d in hits:
+            on_good, on_bad = clip(a / (a + b)), clip(c / (c + d))
+            if on_good + on_bad < 1:  # it votes good more often on bad ones: says nothing
+                on_good = clip((a + d) / (a + b + c + d))
+                on_bad = 1 - on_good
+            right.append((on_good, on_bad))
     return prior, right
 
 
@@ -156,4 +170,4 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("quality")

@@ -8,6 +8,7 @@ from ctxloom.llm.jaccard import OP8_SQL, op8_ngram_jaccard_join
 from ctxloom.llm.licenses import op1_license_scans
 from ctxloom.llm.packing import op5_packing
 from ctxloom.llm.quality import op3_quality_rules
+from ctxloom.llm.quality_sql import OP3_SQL
 from ctxloom.llm.repeats import op9_suffix_array_dedup
 from ctxloom.llm.token_files import op2_token_files
 from ctxloom.llm.toxicity import op6_toxicity
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES = {"op4_url_filters": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op8_ngram_jaccard_join": OP8_SQL}
+ORACLES = {"op3_quality_rules": OP3_SQL, "op4_url_filters": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op8_ngram_jaccard_join": OP8_SQL}

@@ -9,7 +9,9 @@ parts of the others go to the exception list as (position, value) pairs. The ind
 starts gives any id range without reading what lies before it.
 
 Nulls: a null text is an empty text; a null doc_id is kept and sorts first. Repeated doc_ids
-stay separate documents, ordered by text. An empty table gives no file and no row.
+stay separate documents, ordered by the hash of their text (equal texts in any order), so an
+id that many rows share is dealt to many tasks. An empty table gives no file and no row. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from ctxloom.llm.tokens import steps, tokenizer
 BLOCK, PERCENTILE = 512, 95
 #: A file is closed at the first document end past so many ids.
 SHARD_IDS = 4_000_000
+#: Tasks of a block of prefix sums, and most tasks that read files.
+SUM_BLOCK, READ_TASKS = 4096, 8192
 MAGIC = b"PFORIDS1"
 FOOTER = "<QQQQ"
 
@@ -183,8 +187,23 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int |
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return table(ordered.mapInArrow(write, MANIFEST), "manifest")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = texts.select("*", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("salt"))
+    ordered = keyed.repartitionByRange("doc_id", "mark", "salt").sortWithinPartitions("doc_id", "mark", "text")
+    return table(ordered.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+
+
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with the ids before each file: sums inside a task, a block of tasks, and over blocks."""
+    block = F.floor(F.col("part") / SUM_BLOCK).alias("block")
+    parts = manifest.groupBy("part", block).agg(F.sum("n_ids").alias("ids"))
+    blocks = parts.groupBy("block").agg(F.sum("ids").alias("ids"))
+    earlier = lambda value, window: F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+    blocks = blocks.select("block", earlier("ids", Window.orderBy("block")).alias("before_block"))
+    parts = parts.select("part", "block", earlier("ids", Window.partitionBy("block").orderBy("part")).alias("before_part"))
+    files = manifest.select("*", earlier("n_ids", Window.partitionBy("part").orderBy("shard")).alias("before_file"))
+    placed = files.join(parts, "part").join(F.broadcast(blocks), "block")
+    return placed.select(*manifest.columns, (F.col("before_block") + F.col("before_part") + F.col("before_file")).alias("start"))
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -192,7 +211,6 @@ DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     """A row per document: its id, the ids before it, its number of ids and their crc32."""
-    before = F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -209,8 +227,8 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                     [pa.array(found.doc_ids, mask=found.nulls), pa.array(row["start"] + starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    files = manifest.select("file", "n_bytes", before.alias("start"))
-    return files.repartition(max(1, manifest.count()), "file").mapInArrow(read, DIGEST)
+    files = with_starts(manifest).select("file", "n_bytes", "start")
+    return files.repartition(max(1, min(manifest.count(), READ_TASKS)), "file").mapInArrow(read, DIGEST)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Byte-pair tokenizers of the supported kinds never merge across a space that has a
 non-space on both sides, nor across a newline that has one. A batch is therefore cut there
 by Arrow kernels, dictionary-encoded, and only pieces not seen before go through the
-tokenizer; texts where a cut would not be safe go through it whole.
+tokenizer; texts where a cut would not be safe, and those that spell out a special token, go
+through it whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 from unicodedata import is_normalized
 
 import numpy as np
@@ -22,7 +24,7 @@ from ctxloom.llm.words import FOLD, raw
 #: Texts where a space or newline touches other white space, an end, or the cut mark.
 UNSAFE = r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|^ | $|\x01|\n[\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}]\n"
 #: Bytes of text per step, entries and ids that a worker keeps.
-STEP_BYTES, MAX_ENTRIES, MAX_IDS = 3 << 20, 300_000, 3_000_000
+STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 300_000, 3_000_000
 #: Marks that are one token of their own when they follow a letter and end a piece.
 STOPS = ".,"
 
@@ -45,8 +47,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         shape = json.loads(self.tokenizer.to_str())
+        #: A text that spells out a token such as the one that ends a document has that token's id.
+        self.unsafe = "|".join([UNSAFE, *("(?i:" + re.escape(x["content"]) + ")" for x in shape["added_tokens"])])
         #: Of the two kinds known here, one lower-cases and drops spaces, the other keeps both.
         self.lower = "Lowercase" in json.dumps(shape["normalizer"])
         self.lead = "" if self.lower else BYTES[ord(" ")]
@@ -137,7 +140,7 @@ class PieceTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each; a null text is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         if not unsafe.any():
             return self._cut(texts)
         lens = np.zeros(len(texts), np.int64)

@@ -1,16 +1,19 @@
 """Toxic spans by a linear-chain conditional random field.
 
 A word's features are itself and its first three to six and last three letters, hashed to
-``2 ** WEIGHT_BITS`` weights; chains are runs of at most ``CHAIN`` words of a text. Word
-labels for fitting come from document labels: of the features that
-almost only toxic documents have (by ``PURITY`` and a log-likelihood gain), those that together explain each of them ``COVER`` times
-are taken greedily, and a toxic document's words with one of these are labelled. The model is fitted on the driver on at most ``SAMPLE`` documents of a
-label, those with the least hashed doc_id, the one bounded sample here; every text is scored
+``2 ** WEIGHT_BITS`` weights; a text is one chain, computed in stretches of ``CHAIN`` words
+with the messages carried over their borders. Word labels for fitting come from document
+labels: of the features that almost only toxic documents have (by ``PURITY`` and a
+log-likelihood gain), those that together explain each of them ``COVER`` times are taken
+greedily, and a toxic document's words with one of these are labelled. The model is fitted on
+the driver on at most ``SAMPLE`` documents of a label, those with the least hashed doc_id,
+less those over ``LONGEST`` characters: the one bounded sample here. Every text is scored
 whole. Forward-backward marginals give the offending spans, and a document's score is a
 logistic function of the largest marginal and of the sum of those over a half.
 
 doc_id decides only which rows may be learned from. Nulls: a null text is empty, a null label
-is none, a null doc_id is never learned from nor held out. Repeated rows are scored alike.
+is none, a null doc_id is never learned from nor held out. Repeated rows are scored alike; of
+several texts under one labelled id the least is learned from.
 Without labels of both kinds every score is the share of toxic labels, or 0. An empty table
 gives no row. Other columns are ignored.
 """
@@ -33,7 +36,8 @@ from ctxloom.llm.tokens import steps
 
 WEIGHT_BITS, CHAIN, SAMPLE, FOLDS = 18, 64, {1: 1200, 0: 2400}, 5
 LEAST_GAIN, PURITY, COVER, ROUNDS, DECAY = 10.0, 0.97, 3, 40, 1e-4
-EDGES = ".,;:!?\"'()[]"
+EDGES = ".,;:!?\"'()[]\u00a0"
+LONGEST = 20_000
 
 
 def features(word: str) -> list[int]:
@@ -44,7 +48,7 @@ def features(word: str) -> list[int]:
 
 def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Word codes, the words they stand for, and the number of words by text."""
-    lists = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))))
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     counts = lists.value_lengths().to_numpy().astype(np.int64)
     words = lists.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
@@ -65,25 +69,56 @@ class Model:
     base: float | None = None
 
 
-def chained(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values as (CHAIN, chains), chain lengths, and each value's place in the matrix."""
+def chained(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values as (CHAIN, stretches), their lengths and numbers in their texts, each value's place."""
     pieces = -(-counts // CHAIN)
+    rank = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(np.cumsum(pieces) - pieces, counts)
     within = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
     chain, step = start + within // CHAIN, within % CHAIN
     n = int(pieces.sum())
     out = np.zeros((CHAIN, n))
     out[step, chain] = values
-    return out, np.bincount(chain, minlength=n), step * n + chain
-
-
-def marginals(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of label 1 at every step, and expected counts of the four moves."""
+    return out, np.bincount(chain, minlength=n), rank, step * n + chain
+
+
+def borders(odds: np.ndarray, lengths: np.ndarray, rank: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that come into each stretch from the one before it and from the one behind it."""
+    n = len(rank)
+    came, comes = np.ones((2, n)), np.ones((2, n))
+    if not rank.any():
+        return came, comes
+    through = np.where(rank > 0, move[:, :, None], np.eye(2)[:, :, None])  # by label before and last label
+    through[:, 1] *= odds[0]
+    for t in range(1, len(odds)):
+        live = np.flatnonzero(lengths > t)
+        held = through[:, :, live]
+        one = held[:, 0, None] * move[0, :, None] + held[:, 1, None] * move[1, :, None]
+        one[:, 1] *= odds[t, live]
+        through[:, :, live] = one / one.sum(axis=(0, 1))
+    order = np.argsort(rank, kind="stable")
+    by_rank = np.split(order, np.cumsum(np.bincount(rank))[:-1])
+    for here in by_rank[1:]:
+        x = came[0, here - 1] * through[0][:, here - 1] + came[1, here - 1] * through[1][:, here - 1]
+        came[:, here] = x / x.sum(axis=0)
+    for here in by_rank[:0:-1]:
+        x = through[:, 0, here] * comes[0, here] + through[:, 1, here] * comes[1, here]
+        comes[:, here - 1] = x / x.sum(axis=0)
+    return came, comes
+
+
+def marginals(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of label 1 at every step, and expected counts of the four moves.
+
+    A stretch of rank k > 0 goes on where the stretch before it ends.
+    """
     steps_, n = emit.shape
+    rank = np.zeros(n, np.int64) if rank is None else rank
     odds, move = np.exp(np.clip(emit, -30, 30)), np.exp(moves)
-    ahead, back = np.empty((steps_, 2, n)), np.ones((steps_, 2, n))
-    ahead[0, 0] = 1.0
-    ahead[0, 1] = odds[0]
+    came, comes = borders(odds, lengths, rank, move)
+    ahead, back = np.empty((steps_, 2, n)), np.repeat(comes[None], steps_, axis=0)
+    ahead[0] = np.where(rank > 0, move.T @ came, 1.0)
+    ahead[0, 1] *= odds[0]
     ahead[0] /= ahead[0].sum(axis=0)
     for t in range(1, steps_):
         a = move.T @ ahead[t - 1]
@@ -93,7 +128,7 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple
         b = back[t + 1].copy()
         b[1] *= odds[t + 1]
         b = move @ b
-        back[t] = np.where(lengths > t + 1, b / b.sum(axis=0), 1.0)
+        back[t] = np.where(lengths > t + 1, b / b.sum(axis=0), comes)
     both = ahead * back
     chance = both[:, 1] / both.sum(axis=1)
     expected = np.zeros((2, 2))
@@ -102,6 +137,11 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple
         b[1] *= odds[t]
         joint = ahead[t - 1][:, None, :] * move[:, :, None] * b[None]
         expected += (joint / joint.sum(axis=(0, 1)))[:, :, lengths > t].sum(axis=2)
+    if rank.any():
+        b = back[0].copy()
+        b[1] *= odds[0]
+        joint = came[:, None, :] * move[:, :, None] * b[None]
+        expected += (joint / joint.sum(axis=(0, 1)))[:, :, rank > 0].sum(axis=2)
     return chance, expected
 
 
@@ -173,15 +213,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
     weights, moves = np.zeros(size), np.zeros((2, 2))
     speed, move_speed = np.full(size, 1e-6), np.full((2, 2), 1e-6)
-    gold_matrix, lengths, spot = chained(gold.astype(float), counts)
-    seen_moves = np.zeros((2, 2))
-    for t in range(1, CHAIN):
-        live = lengths > t
-        np.add.at(seen_moves, (gold_matrix[t - 1, live].astype(int), gold_matrix[t, live].astype(int)), 1)
+    _, lengths, rank, spot = chained(gold.astype(float), counts)
+    within = doc[1:] == doc[:-1]
+    seen_moves = np.bincount(2 * gold[:-1][within] + gold[1:][within], minlength=4).reshape(2, 2).astype(float)
     gold_words = np.bincount(codes, weights=gold, minlength=len(words))
     for _ in range(ROUNDS):
         emit = chained(_by_word(weights[places], lens)[codes], counts)[0]
-        chance, expected = marginals(emit, lengths, moves)
+        chance, expected = marginals(emit, lengths, moves, rank)
         gap = gold_words - np.bincount(codes, weights=chance.reshape(-1)[spot], minlength=len(words))
         slope = np.bincount(places, weights=gap[owner], minlength=size) - DECAY * len(codes) * weights * 1e-2
         speed += slope**2
@@ -189,7 +227,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         slope = seen_moves - expected
         move_speed += slope**2
         moves += 0.2 * slope / np.sqrt(move_speed)
-    chance = marginals(chained(_by_word(weights[places], lens)[codes], counts)[0], lengths, moves)[0].reshape(-1)[spot]
+    chance = marginals(chained(_by_word(weights[places], lens)[codes], counts)[0], lengths, moves, rank)[0].reshape(-1)[spot]
     known = np.column_stack([np.ones(len(counts)), _summary(chance, counts)])
     logistic = np.zeros(3)
     for _ in range(30):  # Newton steps with a ridge
@@ -206,8 +244,8 @@ def score(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
         flat = np.full(len(counts), model.base if model.base is not None else 1 / (1 + np.exp(-np.clip(model.logistic @ [1, -12, 0], -30, 30))))
         return flat, np.zeros(len(codes)), counts
     places, lens = _table(words)
-    emit, lengths, spot = chained(_by_word(model.weights[places], lens)[codes], counts)
-    chance = marginals(emit, lengths, model.moves)[0].reshape(-1)[spot]
+    emit, lengths, rank, spot = chained(_by_word(model.weights[places], lens)[codes], counts)
+    chance = marginals(emit, lengths, model.moves, rank)[0].reshape(-1)[spot]
     rows = np.column_stack([np.ones(len(counts)), _summary(chance, counts)])
     return 1 / (1 + np.exp(-np.clip(rows @ model.logistic, -30, 30))), chance, counts
 
@@ -215,7 +253,7 @@ def score(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
 def spans(text: str, chance: np.ndarray) -> list[dict]:
     """Character spans of runs of words with a marginal of a half or more."""
     out: list[dict] = []
-    for (a, b), p in zip((m.span() for m in re.finditer(r"[^ \t-\r]+", text)), chance.tolist(), strict=False):
+    for (a, b), p in zip((m.span() for m in re.finditer(r"[^ \t-\r]+", text)), chance.tolist(), strict=True):
         if p < 0.5:
             run = False
             continue
@@ -235,8 +273,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on the sample of labelled rows outside fold 0."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).distinct()
     picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[k]) for k in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in rows})
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
+    rows = short.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 

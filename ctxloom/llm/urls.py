@@ -21,14 +21,15 @@ from pyspark.sql.window import Window
 
 
 def host(url: Column) -> Column:
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@]+)", 1)
     return F.when(found != "", F.lower(F.regexp_replace(found, r"\.+\z", "")))
 
 
 def suffixes(name: Column) -> Column:
-    """A host and the domains above it, the top-level one too."""
+    """A host and the domains above it, the top-level one too; of an address only itself."""
     labels = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 1, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    above = F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 1, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    return F.when(name.rlike(r"^(\d+\.){3}\d+\z|^\["), F.array(name)).otherwise(above)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -39,13 +40,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", "verdict", "since", until.alias("until")).where("verdict is not null")
 
 
-def judged(captures: DataFrame, entries: DataFrame, last: Column) -> DataFrame:
+def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (page_id, url, fetched_at) with pattern, verdict and since.
 
-    ``last`` is a moment that no fetch is after; it bounds the months of open intervals.
+    The months of an open interval end with that of the last fetch, found by a first pass.
     """
+    last = F.timestamp_micros(F.lit(captures.agg(F.max(F.unix_micros(F.col("fetched_at").cast("timestamp")))).first()[0]).cast("long"))
     month = lambda c: F.year(c) * 12 + F.month(c)
-    valid = intervals(entries).withColumn("to", F.least(F.coalesce("until", last), last)).where(F.col("since") <= F.col("to"))
+    valid = intervals(entries).withColumn("to", F.when(last.isNotNull(), F.least(F.coalesce("until", last), last))).where(F.col("since") <= F.col("to"))
     by_month = valid.select("pattern", "verdict", "since", "until", F.explode(F.sequence(month(F.col("since")), month(F.col("to")))).alias("in_month"))
     named = captures.select("page_id", "url", "fetched_at", host(F.col("url")).alias("host"))
     asked = named.select("host", "fetched_at").where("host is not null and fetched_at is not null").distinct()
@@ -73,13 +75,13 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("pattern").rlike("spam|casino|win"), "block").otherwise("watch")
     top = spark.createDataFrame([("example.com", "watch"), ("example.net", "allow"), ("example.org", "block")], "pattern string, verdict string")
     entries = names.select("pattern", first.alias("verdict"), day(11, 0).alias("listed_at")).union(names.select("pattern", F.lit("allow"), day(11, 100))).union(top.select("pattern", "verdict", F.expr("timestamp'2024-03-01 00:00:00'")))
-    return judged(captures, entries, F.expr("timestamp'2025-01-01 00:00:00'")).select("page_id", "pattern", "verdict", F.col("since").cast("string").alias("since"))
+    return judged(captures, entries).select("page_id", "pattern", "verdict", F.col("since").cast("string").alias("since"))
 
 
 OP4_SQL = f"""
 WITH c AS (
   SELECT page_id, TIMESTAMP '{START} 00:00:00' + to_hours(CAST((page_id * 37) % ({DAYS} * 24) AS INTEGER)) AS fetched_at,
-         nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\\.+$', '')), '') AS host
+         nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:@]+)', 1), '\\.+$', '')), '') AS host
   FROM pages),
 h AS (SELECT DISTINCT host AS pattern FROM c WHERE host IS NOT NULL),
 d AS (SELECT pattern, CAST((length(pattern) * 11 + ascii(pattern) * 7) % {DAYS - 120} AS INTEGER) AS n FROM h),
@@ -92,7 +94,7 @@ v AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until
 j AS (
   SELECT c.page_id, v.pattern, v.verdict, v.since,
          row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC) AS place
-  FROM c JOIN v ON (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern)) AND c.fetched_at >= v.since AND (v.until IS NULL OR c.fetched_at < v.until))
+  FROM c JOIN v ON (c.host = v.pattern OR (ends_with(c.host, '.' || v.pattern) AND NOT regexp_matches(c.host, '^(\\d+\\.){{3}}\\d+$|^\\['))) AND c.fetched_at >= v.since AND (v.until IS NULL OR c.fetched_at < v.until))
 SELECT c.page_id, j.pattern, coalesce(j.verdict, 'unlisted') AS verdict, strftime(j.since, '%Y-%m-%d %H:%M:%S') AS since
 FROM c LEFT JOIN (SELECT * FROM j WHERE place = 1) j ON c.page_id = j.page_id
 """
