@@ -139,8 +139,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, op
 
     def merge_pass(level: int):
         def merge(key: tuple, rows: pa.Table) -> pa.Table:
-            group, ready = key[0].as_py(), []
-            pieces = [(np.array(r["ids"][p["offset"] : p["offset"] + p["length"]], np.int32), p["doc_id"], p["start"], p["doc_tokens"]) for r in rows.sort_by("sequence_id").to_pylist() for p in r["pieces"]]
+            group, ready, pieces = key[0].as_py(), [], []
+            rows = rows.sort_by("sequence_id")
+            for ids, held in zip(rows["ids"], rows["pieces"], strict=True):
+                ids = ids.values.to_numpy()
+                pieces += [(ids[p["offset"] : p["offset"] + p["length"]], p["doc_id"], p["start"], p["doc_tokens"]) for p in held.as_py()]
             last = fill(pieces, capacity, ready)
             first = (level << 59) + (group << 32)
             out = ([_rows(ready, first, group, False)] if ready else []) + ([_rows([last], first + len(ready), group, True)] if last else [])
@@ -185,10 +188,14 @@ def pieces(sequences: DataFrame) -> DataFrame:
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
-    """Production parameters: windows of 2048 ids, end id 1."""
+    """Production parameters: windows of 2048 ids, end id 1. Other columns of ``docs`` are ignored.
+
+    Pieces are written here, so that a worker reads few whole sequences at once.
+    """
     import public_tokenizers
 
-    return pieces(pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+    found = pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return table(pieces(found), "pieces")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

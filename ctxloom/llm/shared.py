@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bounds of what a Python worker gets at once and of the rows that a Parquet reader holds.
+BATCH_BYTES, READER_ROWS = 3 << 20, 1024
+_BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(READER_ROWS)}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made in local mode only (there driver
+    and tasks are one process); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getCheckpointDir()
         if found is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,11 +37,28 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ctxloom/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand rows to Python workers by bytes, not only by number."""
+    before = {k: spark.conf.get(k, None) for k in _BOUNDS}
+    for k, v in _BOUNDS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
