@@ -12,6 +12,10 @@ matched. Coverage is the matched share of the template's words; where anchors ar
 words. Longer occurrences are found where they share three-word runs with the template: runs
 closer than its length, with no window among them, are aligned once as a whole.
 
+Where regions of several templates overlap, the one with most matched words stays, of equal
+ones that of the higher coverage: a notice is reported as what it is, not as each of the
+notices that it resembles, and a whole license not also as the header it ends with.
+
 Words are lower-cased runs of letters and digits. Nulls: a null text has no words, a null
 doc_id is kept. Repeated rows give a row for each region of each. An empty table gives no
 row. Other columns are ignored. Long texts are scanned whole, in time linear in their length
@@ -20,10 +24,12 @@ and in the regions found.
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +57,27 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Whole public licenses, a file each.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+
+
+@functools.cache
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the whole licenses, by name."""
+    whole = {}
+    for name in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, name), encoding="utf-8") as text:
+            whole[name.removesuffix(".txt")] = text.read()
+    return TEMPLATES | whole
+
+
 _OTHER = np.array([not chr(i).isalnum() if i < 128 else False for i in range(256)])
 _PLACES = np.random.default_rng(40).integers(0, 2**64, RUN, dtype=np.uint64) | np.uint64(1)
 
@@ -259,16 +283,28 @@ class Scanner:
         out = []
         for doc in sorted({*hit, *spans}):
             a, b = int(ends[doc] - counts[doc]), int(ends[doc])
-            out += [(doc, *x) for x in self.regions(words[a:b], runs[a : max(a, b - RUN + 1)], spans.get(doc, []))]
+            out += [(doc, *x) for x in best(self.regions(words[a:b], runs[a : max(a, b - RUN + 1)], spans.get(doc, [])))]
         return out
 
 
+def best(regions: Iterable[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Of overlapping (license, matched, template words, begin, end) the best, by begin."""
+    kept: list[tuple[str, int, int, int, int]] = []
+    begins: list[int] = []
+    for one in sorted(regions, key=lambda r: (-r[1], r[2], r[3], r[0])):
+        at = bisect_left(begins, one[4])
+        if not at or kept[at - 1][4] <= one[3]:
+            kept.insert(at, one)
+            begins.insert(at, one[3])
+    return kept
+
+
 FOUND = "doc_id long, license string, n_matched long, coverage double, start_word long, end_word long"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row for each region of a document that a license template covers."""
-    held = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    """A row for each region of a document that a license template covers, ``all_templates`` if none are given."""
+    held = docs.sparkSession.sparkContext.broadcast(templates or all_templates())
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
