@@ -61,7 +61,12 @@ ATOMS = [
 
 KEYWORD_STOP = "with that this have from will your they them been were into when which their there would could should about after before while then than because where every some more most other such only also very just like over under here what how why who and the for not are was you our its out all can did get had has let may new now one see use used using via per etc www http https true false null undefined string number object return function const var import export async await type interface class error value values name names kind data info"
 EVIDENCE_STOP = "the and for with from this that are was were not but all any can had has have one its our you your will would then than when what which who into over under about after before because while such each some more most other these those there here now yes use used using via per etc they them their him her his she he it be to in on at by or if so no do did as of an am is were may"
-LEDGER_STOP = "the and for are was were with from that this have has had will would can could should not but all any each its into over under about after before during without within between then than them they their there these those very just also only both some such more most other others new old one two see says said via per etc use used using make made makes way ways part parts case cases entry entries file files test tests code data value values config default defaults current state note notes line lines text word words"
+LEDGER_STOP = "the and for are was were with from that this have has had will would can could should not but all any each its into over under about after before between during without within then than them they their there these those very just also only both some such more most other others new old one two see says said via per etc use used using make made makes way ways part parts case cases entry entries file files test tests code data value values config default defaults current state note notes line lines text word words"
+
+#: What a model's error says when a request was too long.
+OVERFLOW = rf"(?i)context[\s_-](?:length|window)[\s_-](?:exceed(?:ed|s)?|overflow(?:ed)?|limit[\s_-]exceeded)|maximum(?:\s+(?:allowed|supported))?\s+context\s+(?:length|window)|(?:input|prompt|request|messages?){E}.{{0,60}}{B}(?:exceed(?:ed|s)?|too\s+(?:large|long)){E}.{{0,60}}{B}context{E}"
+#: Injected text that carries no marker of its source.
+FRAMING = rf"(?i)^<(system-reminder|context|runtime-context)>|^current runtime context{E}"
 
 GREETING = r"(?i)^(你好|您好|hi|hello|hey|ok|okay|好的|嗯|嗯嗯|收到|明白|谢谢|thx|thanks|thank you|继续|继续吧|go|开始|开始吧|好的。|好|是|对|yes|no|嗯，|可以|行|done|完成|完成。|好的，继续|请继续|go ahead|proceed|continue|continue\.|ok\.?)"
 
@@ -73,8 +78,9 @@ DECISION = r"(?i)决定|决策|采用|选用|弃用|架构(决定|选择|决策)
 ROOT_CAUSE = r"(?i)根因|根本原因|root\s+cause|原因是|问题出在|caused\s+by|the\s+cause\s+is|导致.*的(原因|根源)"
 VERIFIED = rf"(?i)验证(通过|成功)|已验证|verified|passed{E}|全部通过|all\s+(tests\s+)?pass|exit\s*code\s*:?\s*0{E}|测试通过|基准(结果|数据)|benchmark"
 KEY_FIX = rf"(?i)修复(了|成功)|已修复|fixed{E}|patch(?:es)?\s*[:：]|hotfix|补丁|hot\s*fix"
+RESTATED = r"(?i)目标|goal|objective|task[:：]"
+EXIT_OK = r"(?i)exit\s*code\s*:?\s*0|passed|通过"
 CONFIG_PATH = r"(?i)(?:^|[\s'\"`=(\[{\\:])(?:[A-Za-z]:\\[A-Za-z0-9_./\\-]*\.(?:ya?ml|toml|json)|[A-Za-z0-9_./\\-]*\.(?:ya?ml|toml|json)|package\.json|settings\.[A-Za-z0-9_.]+|cordis[A-Za-z0-9_.-]*\.yml|\.env[A-Za-z0-9_.-]*|config[A-Za-z0-9_./-]*)"
-EXIT_ZERO = rf"(?i)exit\s*code\s*:?\s*0{E}"
 
 BUILD = r"(?i)error|warning|fail|build|compile|bundling|vite|webpack|tsc|esbuild|pnpm|npm"
 TEST = rf"(?i){B}test(?:s|ing)?{E}|vitest|jest|mocha|pytest|node --test|passing|failing|{B}pass{E}|{B}fail{E}"

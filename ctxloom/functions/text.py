@@ -74,7 +74,8 @@ def terms(text: Column) -> Column:
     """Lower-case term lanes of a text, as one struct."""
     low = lambda a: F.array_distinct(F.transform(a, F.lower))
     models = F.filter(found(text, P.MODEL_NAME), lambda m: m.rlike(r"\d"))
-    codes = F.concat(found(text, P.ERROR_CODE), found(text, P.STATUS_CODE), F.transform(found(text, P.PORT), lambda p: F.substr(p, F.lit(2))))
+    ports = F.transform(found(text, P.PORT), lambda p: F.substr(p, F.lit(2)))
+    codes = F.concat(found(text, P.ERROR_CODE), found(text, P.STATUS_CODE), ports)
     return F.struct(
         low(found(text, P.MEMORY_ID)).alias("ids"),
         low(F.concat(found(text, P.PATH_WIN), found(text, P.PATH_UNIX), found(text, P.PATH_REL))).alias("paths"),
@@ -87,6 +88,34 @@ def terms(text: Column) -> Column:
     )
 
 
+def spelled_once(values: Column) -> Column:
+    """Distinct values whatever their case, the first spelling of each."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("seen"))
+    step = lambda a, x: F.when(F.array_contains(a["seen"], F.lower(x)), a).otherwise(F.struct(F.array_append(a["kept"], x).alias("kept"), F.array_append(a["seen"], F.lower(x)).alias("seen")))
+    return F.aggregate(values, start, step, lambda a: a["kept"])
+
+
+def extracted(text: Column) -> Column:
+    """All thirteen term lanes of a text in their own spelling, as one struct."""
+    lane = lambda p, g=0: spelled_once(found(text, p, g))
+    ports = spelled_once(F.transform(found(text, P.PORT), lambda p: F.substr(p, F.lit(2))))
+    return F.struct(
+        lane(P.MEMORY_ID).alias("ids"),
+        spelled_once(F.concat(found(text, P.PATH_WIN), found(text, P.PATH_UNIX), found(text, P.PATH_REL))).alias("paths"),
+        lane(P.URL).alias("urls"),
+        lane(P.VERSION).alias("versions"),
+        spelled_once(F.concat(found(text, P.ERROR_CODE), found(text, P.STATUS_CODE), ports)).alias("errors"),
+        ports.alias("ports"),
+        lane(P.IP).alias("ips"),
+        spelled_once(found(text, P.COMMAND, 0)).alias("commands"),
+        spelled_once(F.filter(found(text, P.MODEL_NAME), lambda m: m.rlike(r"\d"))).alias("models"),
+        lane(P.NUMBER_UNIT_ANY_CASE).alias("numbers"),
+        spelled_once(symbols(text)).alias("symbols"),
+        spelled_once(keywords(text)).alias("keywords_en"),
+        cjk_bigrams(text).alias("keywords_zh"),
+    )
+
+
 def exact_facts(text: Column) -> Column:
     return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), g) for p, g in P.FACTS)))
 
@@ -107,9 +136,14 @@ def estimated_tokens(text: Column) -> Column:
     return (F.length(text) - other + F.ceil(other / 4)).cast("long")
 
 
+#: Wide letters as prices see them, more than the letters of ``CJK``.
+WIDE = r"[\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef]"
+BLOCK_OVERHEAD, MESSAGE_OVERHEAD = 4, 4
+
+
 def text_units(text: Column) -> Column:
-    """Characters as priced: a CJK letter counts 8/3."""
-    other = F.length(F.regexp_replace(text, CJK, ""))
+    """Characters as priced: a wide one counts 8/3."""
+    other = F.length(F.regexp_replace(text, WIDE, ""))
     return other + (F.length(text) - other) * (8 / 3)
 
 
@@ -118,6 +152,31 @@ def calibrated_tokens(text: Column, code: Column) -> Column:
     return F.ceil(text_units(text) / F.when(code, 1.8).otherwise(4.0)) + 4
 
 
+def priced_message(blocks: Column) -> Column:
+    """Tokens of a message by its blocks (type, text, name, arguments, content): results are code, unknown blocks cost their JSON."""
+    said = lambda c, rate: F.ceil(text_units(F.coalesce(c, F.lit(""))) / rate)
+    prose, code = 4.0, 1.8
+    one = lambda b: (
+        F.when(b["type"].isin("text", "reasoning"), said(b["text"], prose))
+        .when(b["type"] == "tool-call", said(b["name"], prose) + said(b["arguments"], code))
+        .when(b["type"] == "tool-result", F.when(F.coalesce(F.length(b["content"]), F.lit(0)) > 0, said(b["content"], code) + BLOCK_OVERHEAD).otherwise(0))
+        .otherwise(said(F.to_json(b), prose))
+    )
+    total = F.aggregate(F.coalesce(blocks, F.array().cast("array<struct<type:string,text:string,name:string,arguments:string,content:string>>")), F.lit(0).cast("long"), lambda a, b: a + (one(b) + BLOCK_OVERHEAD).cast("long"))
+    return total + MESSAGE_OVERHEAD
+
+
+def priced_structure(json: Column) -> Column:
+    """Tokens of a surface event without a message, by its JSON."""
+    return (F.ceil(text_units(F.coalesce(json, F.lit('""'))) / 4.0) + BLOCK_OVERHEAD).cast("long")
+
+
+def priced_header(system: Column, tools: Column) -> Column:
+    """Tokens of what every request carries: the system text, and the tools as JSON where there are any."""
+    part = lambda c: F.ceil(text_units(c) / 4.0) + 4
+    return (F.when(system.isNotNull(), part(system)).otherwise(0) + F.when(~tools.isin("[]", ""), part(tools)).otherwise(0)).cast("long")
+
+
 def flat_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
@@ -149,13 +208,13 @@ def clamped(x: Column, lo: Column | float, hi: Column | float) -> Column:
 
 
 def positive_integer(raw: Column) -> Column:
-    """A positive whole number out of a string, else null."""
+    """A positive whole number out of a string, else null; fractions and unsafe sizes are refused."""
     number = raw.try_cast("double")
-    return F.when((number > 0) & (number < 9007199254740992.0), F.floor(number).cast("long"))
+    return F.when((number > 0) & (number < 9007199254740992.0) & (number == F.floor(number)), number.cast("long"))
 
 
 def is_overflow_message(message: Column) -> Column:
-    return message.rlike(r"(?i)context.{0,20}(length|window|overflow|exceed)|maximum context|too many tokens|prompt is too long")
+    return F.coalesce(message.rlike(P.OVERFLOW), F.lit(False))
 
 
 def route_key(provider: Column, model: Column, strict_parity: bool = False) -> Column:
@@ -165,6 +224,27 @@ def route_key(provider: Column, model: Column, strict_parity: bool = False) -> C
     return F.when(key.rlike(rf"^{part}/{part}\z"), key).otherwise("")
 
 
+def persistent_pointer(facts: Column) -> Column:
+    """The block that names facts kept elsewhere, each once; empty for none."""
+    kept = F.array_distinct(F.filter(F.coalesce(facts, F.array().cast("array<string>")), lambda f: F.length(f) > 0))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("Persistent details:\n"), F.array_join(kept, "\n"))).otherwise("")
+
+
+def shown(text: Column, most: int = 40_000) -> Column:
+    """A text as a viewer shows it: what is over ``most`` characters is told, not shown."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n… ("), (F.length(text) - most).cast("string"), F.lit(" more characters)"))).otherwise(text)
+
+
+def share(x: Column) -> Column:
+    """0.1234 as 12.3%."""
+    return F.format_string("%.1f%%", x * 100.0)
+
+
+def bytes_shown(n: Column) -> Column:
+    """1536 as 1.5 KB."""
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n >= 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%d B", n.cast("long")))
+
+
 def short_count(n: Column) -> Column:
     """12345 as 12.3K."""
     return F.when(n >= 1000, F.format_string("%.1fK", n / 1000.0)).otherwise(F.format_string("%d", n.cast("long")))

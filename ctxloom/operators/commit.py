@@ -1,12 +1,14 @@
-"""Sinks of a ledger sync: changed files, the audit line, cursor and revision, in that order.
+"""Sinks of a ledger sync: changed files, then the commit row with its audit lines.
 
-A commit is one folder, written whole and then named by the pointer row, so a reader sees
-the state before or after it. ``revision`` is compared before and after planning; the batch
-is planned once more on a fresh base when another writer was first, and only once.
+A commit is one folder, written whole and then named by a file of its own revision that is
+made only if no other has that name, so a reader sees the state before or after it, and of
+two writers one is first. The audit lines are part of that row. The batch is planned once
+more on a fresh base when another writer was first, and only once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,29 +34,52 @@ def audit_line(ops: DataFrame) -> DataFrame:
 
 def revision(spark: SparkSession, folder: str) -> int:
     """The newest revision under a folder; 0 for none."""
-    from pyspark.errors import AnalysisException
+    return max((int(n.split("-")[0][1:]) for n in _names(spark, folder)), default=0)
 
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path, fs = _path(spark, f"{folder}/commits")
+    return [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("r")] if fs.exists(path) else []
+
+
+def _claim(spark: SparkSession, folder: str, new: int, batch: int, lines: list[str]) -> bool:
+    """Make the file of a revision; false if it is there already. Nothing is seen before it is whole."""
+    name = f"{folder}/commits/r{new:08d}"
+    path, fs = _path(spark, name)
     try:
-        return spark.read.schema("revision long, batch long").parquet(f"{folder}/commits").agg(F.max("revision")).first()[0] or 0
-    except AnalysisException:
-        return 0
+        out = fs.create(path, False)
+    except Exception as error:  # the file system's own kind of "exists"
+        if fs.exists(path):
+            return False
+        raise error
+    out.write(bytearray(json.dumps({"batch": batch, "lines": lines}).encode()))
+    out.close()
+    return True
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """(revision, batch, line): what each commit did, a row for each audit line."""
+    read = spark.read.text(f"{folder}/commits", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"r(\d+)\z", 1).cast("long").alias("revision"), F.from_json("value", "batch long, lines array<string>").alias("c"))
+    return read.select("revision", "c.batch", F.explode_outer("c.lines").alias("line"))
 
 
 def commit(spark: SparkSession, folder: str, batch: int, plan: Callable[[int], tuple[DataFrame, DataFrame]]) -> int:
     """Write what ``plan(revision)`` returns (changed files, audit lines); returns the new revision.
 
-    A batch that was committed already is left alone, so a stream may repeat it.
+    A batch that was committed already is left alone, so a stream may repeat it. Audit lines
+    are a line by batch.
     """
     for _ in range(2):
         base = revision(spark, folder)
-        if base and spark.read.schema("revision long, batch long").parquet(f"{folder}/commits").where(F.col("batch") == batch).take(1):
-            return base
+        if base and (done := committed(spark, folder).where(F.col("batch") == batch).agg(F.max("revision")).first()[0]):
+            return done
         files, lines = plan(base)
-        target = f"{folder}/files/r{base + 1:08d}-b{batch}"
-        files.write.mode("overwrite").parquet(target)
-        if revision(spark, folder) != base:
-            continue
-        lines.write.mode("append").parquet(f"{folder}/audit")
-        spark.createDataFrame([(base + 1, batch)], "revision long, batch long").coalesce(1).write.mode("append").parquet(f"{folder}/commits")
-        return base + 1
+        files.write.mode("overwrite").parquet(f"{folder}/files/r{base + 1:08d}-b{batch}")
+        if _claim(spark, folder, base + 1, batch, [r["line"] for r in lines.where(F.col("batch") == batch).select("line").collect()]):
+            return base + 1
     raise RevisionConflict(folder)

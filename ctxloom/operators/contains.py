@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
-def contained(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+def contained(rows: DataFrame, quotes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(row_id, quote_id) of rows (row_id, text) that hold a quote (quote_id, quote) verbatim.
 
     A small quote side is broadcast and tried on each row. A larger one is joined on its
@@ -19,9 +19,10 @@ def contained(rows: DataFrame, quotes: DataFrame) -> DataFrame:
     inner = F.slice(F.split("quote", r"\s+"), F.lit(2), F.greatest(F.size(F.split("quote", r"\s+")) - 2, F.lit(0)))
     keyed = quotes.withColumn("_word", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 0))
     size = quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if size <= broadcast_bytes:
         return rows.join(F.broadcast(quotes), F.contains(F.col("text"), F.col("quote"))).select("row_id", "quote_id")
-    words = rows.select("row_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_word"))
-    by_word = words.join(keyed.where("_word is not null"), "_word").where(F.contains(F.col("text"), F.col("quote"))).select("row_id", "quote_id")
+    words = rows.select("row_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_word"))
+    met = words.join(keyed.where("_word is not null"), "_word").select("row_id", "quote_id", "quote")
+    by_word = met.join(rows, "row_id").where(F.contains("text", "quote")).select("row_id", "quote_id")
     short = rows.join(keyed.where("_word is null"), F.contains(F.col("text"), F.col("quote"))).select("row_id", "quote_id")
     return by_word.union(short)

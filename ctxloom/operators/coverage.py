@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ctxloom.operators.contains import contained
+
 P0_LEAST, P1_LEAST = 1.0, 0.99
 #: What is tried in turn when a summary loses a fact.
 RETRIES = ["generate", "retry", "shrink-region", "cancel"]
@@ -16,6 +18,18 @@ def covered(facts: DataFrame, summary: Column) -> DataFrame:
     return facts.withColumn("kept", F.coalesce(F.contains(summary, F.col("fact")), F.lit(False)))
 
 
+def covered_by_parts(facts: DataFrame, parts: DataFrame) -> DataFrame:
+    """As ``covered``, for summaries in many parts (region, text): a fact is kept if any part of its region holds it.
+
+    Facts are looked for in the parts, each distinct one once; no summary is put together.
+    """
+    named = facts.select("fact").distinct().withColumn("quote_id", F.xxhash64("fact"))
+    rows = parts.select(F.struct("region", F.monotonically_increasing_id().alias("n")).alias("row_id"), "text")
+    hits = contained(rows, named.select("quote_id", F.col("fact").alias("quote"))).select(F.col("row_id.region").alias("region"), "quote_id").distinct()
+    out = facts.withColumn("quote_id", F.xxhash64("fact")).join(hits.withColumn("_hit", F.lit(True)), ["region", "quote_id"], "left")
+    return out.withColumn("kept", F.coalesce("_hit", F.lit(False))).drop("_hit", "quote_id")
+
+
 def coverage(checked: DataFrame) -> DataFrame:
     """By region, both shares (1 where there is nothing to keep) and whether the summary passes."""
     share = lambda g: F.coalesce(F.try_divide(F.count_if((F.col("grade") == g) & F.col("kept")), F.count_if(F.col("grade") == g)), F.lit(1.0))

@@ -1,7 +1,9 @@
 """The Markdown ledger: parsing, rendering, validated operations, evidence, integrity, search.
 
 Ledger lines are (file, line_no, text); a ledger of many projects carries ``project`` in the
-file name. Entries are (file, place, id, title, confidence, status, facts, source, raw).
+file name. Entries are (file, place, id, title, confidence, status, facts, source,
+replacement, resolution, verbatim, raw); ``verbatim`` is the free text of the state entry, which
+has no bullets of its own.
 """
 
 from __future__ import annotations
@@ -16,55 +18,73 @@ from ctxloom.functions.text import collapsed, exact_atoms, trim
 OPS_HEAD = r"^##\s+\[([A-Z]+-\d+|STATE-CURRENT)\]"
 INDEX_HEAD = r"^## \[([A-Z]+-[A-Z0-9]+)\]"
 SECTION_HEAD = r"^##\s+\[([^\]]+)\]"
+#: A line that is found belongs to the nearest entry above it in its chapter.
+NEAREST = r"^#\s"
 FILES = ["PROJECT.md", "STATE.md", "DECISIONS.md", "TECH.md", "CONFLICTS.md"]
-PREFIX_FILE = {"REQ": "PROJECT.md", "DEC": "DECISIONS.md", "BENCH": "TECH.md", "TECH": "TECH.md", "CONFLICT": "CONFLICTS.md"}
-OPS = ["ADD", "SUPERSEDE", "AMEND", "CONFLICT", "RESOLVE_CONFLICT", "UPDATE_STATE", "NOOP"]
+KIND_FILE = {"REQ": "PROJECT.md", "DEC": "DECISIONS.md", "TECH": "TECH.md", "CONFLICT": "CONFLICTS.md"}
+KIND_ALIASES = {"REQUIREMENT": "REQ", "DECISION": "DEC", "TECHNICAL": "TECH"}
+OPS = ["ADD", "UPDATE_STATE", "AMEND", "SUPERSEDE", "CONFLICT", "RESOLVE_CONFLICT", "NOOP"]
+STATE = "STATE-CURRENT"
 NEED_EVIDENCE = ["ADD", "AMEND", "CONFLICT", "RESOLVE_CONFLICT"]
 NEED_TARGET = ["SUPERSEDE", "AMEND", "RESOLVE_CONFLICT"]
 
 
-def owned(lines: DataFrame, head: str = OPS_HEAD) -> DataFrame:
+def owned(lines: DataFrame, head: str = OPS_HEAD, ends: str = r"^##\s") -> DataFrame:
     """Each line with the entry it belongs to: that of the last head above it in its file.
 
-    A heading that is no entry ends the one before it.
+    A second-level heading that is no entry ends the one before it; ``ends`` may say otherwise.
     """
     id_here = F.regexp_extract("text", head, 1)
-    mark = F.when(id_here != "", id_here).when(F.col("text").rlike(r"^##? "), "")
+    mark = F.when(id_here != "", id_here).when(F.col("text").rlike(ends), "")
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = lines.withColumn("_mark", mark)
     out = out.withColumn("entry_id", F.last("_mark", ignorenulls=True).over(so_far)).withColumn("entry_line", F.last(F.when(F.col("_mark").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far))
     return out.where("entry_id <> ''").drop("_mark")
 
 
-def _bullet(name: str, text: Column, tolerant: bool = False) -> Column:
-    pattern = rf"^[-*] (?:{name}|状态)\s*[:：]\s*(.*)" if tolerant else rf"^- {name}: (.*)"
-    found = trim(F.regexp_extract(text, pattern, 1))
-    return F.when(found != "", found)
+def _bullet(name: str, text: Column, value: str, tolerant: bool = False) -> Column:
+    pattern = rf"^[-*] (?:{name}|状态)\s*[:：]\s*({value})" if tolerant else rf"(?i)^- {name}:\s*({value})\s*\z"
+    return F.when(text.rlike(pattern), trim(F.regexp_extract(text, pattern, 1)))
+
+
+#: Named bullets of an entry and what they may hold; other lines are facts.
+BULLETS = {"confidence": r"[0-9.]+", "status": "[A-Za-z]+", "source": ".*?", "replacement": r"\S+", "resolution": ".*?"}
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Entries as operations see them: named bullets apart, all other lines as facts."""
-    text = F.col("text")
-    named = {k: _bullet(k, text) for k in ("confidence", "status", "source", "replacement", "resolution")}
-    body = F.col("line_no") > F.col("entry_line")
-    rows = owned(lines).select("file", "entry_id", "entry_line", "line_no", "text", *(F.when(body, v).alias(k) for k, v in named.items()))
-    plain = (F.col("line_no") > F.col("entry_line")) & F.coalesce(*named).isNull() & (trim(text) != "")
-    fact = F.when(plain, F.struct("line_no", F.regexp_replace(trim(text), r"^- ", "").alias("fact")))
+    """Entries as operations see them: named bullets apart (the last of a name holds), all other lines as facts."""
+    text, body = trim("text"), F.col("line_no") > F.col("entry_line")
+    free = F.col("entry_id") == STATE
+    named = {k: F.when(body & ~free, _bullet(k, text, v)) for k, v in BULLETS.items()}
+    rows = owned(lines).select("file", "entry_id", "entry_line", "line_no", "text", *(v.alias(k) for k, v in named.items()))
+    plain = body & ~free & F.coalesce(*(F.col(k) for k in BULLETS)).isNull() & (text != "")
+    fact = F.when(plain, F.struct("line_no", F.regexp_replace(text, r"^- ", "").alias("fact")))
+    by_line = lambda value: F.array_join(F.transform(F.sort_array(F.collect_list(value)), lambda x: x["text"]), "\n")
+    last = {k: F.max_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))) for k in BULLETS}
     return rows.groupBy("file", F.col("entry_line").alias("place"), F.col("entry_id").alias("id")).agg(
         trim(F.regexp_replace(F.min_by("text", "line_no"), OPS_HEAD, "")).alias("title"),
-        F.max("confidence").try_cast("double").alias("confidence"),
-        F.max("status").alias("status"),
-        F.max("source").alias("source"),
-        F.max("replacement").alias("replacement"),
-        F.max("resolution").alias("resolution"),
+        last["confidence"].try_cast("double").alias("confidence"),
+        F.upper(last["status"]).alias("status"),
+        last["source"].alias("source"),
+        F.upper(last["replacement"]).alias("replacement"),
+        last["resolution"].alias("resolution"),
         F.transform(F.sort_array(F.collect_list(fact)), lambda x: x["fact"]).alias("facts"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("raw"),
+        F.when(F.col("id") == STATE, trim(by_line(F.when(body, F.struct("line_no", "text"))))).alias("verbatim"),
+        by_line(F.struct("line_no", "text")).alias("raw"),
     )
 
 
+def headers(lines: DataFrame) -> DataFrame:
+    """(file, header): what stands above a file's first entry."""
+    first = F.min(F.when(F.col("text").rlike(OPS_HEAD), F.col("line_no"))).over(Window.partitionBy("file"))
+    above = lines.withColumn("_first", first).where("_first is null or line_no < _first")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    return above.groupBy("file").agg(F.regexp_replace(text, r"\s+\z", "").alias("header"))
+
+
 def index(lines: DataFrame) -> DataFrame:
     """Entries as the index sees them: ACTIVE by default, the last of an id holds."""
-    rows = owned(lines, INDEX_HEAD).withColumn("status", _bullet("status", F.col("text"), tolerant=True))
+    rows = owned(lines, INDEX_HEAD).withColumn("status", _bullet("status", F.col("text"), ".*", tolerant=True))
     one = rows.groupBy("file", "entry_line", "entry_id").agg(
         F.coalesce(F.upper(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("line_no")))), F.lit("ACTIVE")).alias("status"),
         trim(F.regexp_replace(F.min_by("text", "line_no"), INDEX_HEAD, "")).alias("title"),
@@ -86,17 +106,22 @@ def cited_by_active(found: DataFrame) -> DataFrame:
 
 def rendered(found: DataFrame) -> DataFrame:
     """Entries as Markdown, in the one canonical order of bullets."""
-    line = lambda name: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"- {name}: "), F.col(name).cast("string")))
+    line = lambda name, value=None: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"- {name}: "), F.col(name) if value is None else value))
     head = F.concat(F.lit("## ["), F.col("id"), F.lit("] "), F.coalesce("title", F.lit("")))
     facts = F.array_join(F.transform("facts", lambda f: F.concat(F.lit("- "), f)), "\n")
-    body = F.concat_ws("\n", head, line("confidence"), line("status"), F.when(facts != "", facts), line("source"), line("replacement"), line("resolution"))
-    return found.select("file", "place", "id", body.alias("markdown"))
+    sure = F.regexp_replace(F.col("confidence").cast("string"), r"\.0\z", "")
+    body = F.concat_ws("\n", head, line("confidence", sure), line("status"), F.when(facts != "", facts), line("source"), line("replacement"), line("resolution"))
+    free = F.concat_ws("\n", head, F.coalesce("verbatim", F.lit("")))
+    return found.select("file", "place", "id", F.when(F.col("id") == STATE, free).otherwise(body).alias("markdown"))
 
 
-def files(parts: DataFrame) -> DataFrame:
-    """Whole files from rendered entries, by place."""
-    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "markdown"))), lambda x: x["markdown"]), "\n\n")
-    return parts.groupBy("file").agg(one.alias("content"))
+def files(parts: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """Whole files from rendered entries, by place, under the headers they had."""
+    one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "markdown"))), lambda x: F.concat(x["markdown"], F.lit("\n"))), "\n")
+    made = parts.groupBy("file").agg(one.alias("content"))
+    if above is None:
+        return made
+    return made.join(above, "file", "left").select("file", F.concat(F.coalesce("header", F.lit("")), F.lit("\n\n"), "content").alias("content"))
 
 
 def router(found: DataFrame, shown: int = 8) -> DataFrame:
@@ -112,11 +137,11 @@ def search(lines: DataFrame, query: str, limit: int = 10) -> DataFrame:
     words = [w for w in query.lower().split() if w]
     limit = max(1, min(50, limit))
     if not words:
-        return owned(lines.where("false"), SECTION_HEAD).select("file", "line_no", F.col("entry_id"), "text")
+        return owned(lines.where("false"), SECTION_HEAD, NEAREST).select("file", "line_no", F.col("entry_id"), "text")
     hit = F.lit(True)
     for w in words:
         hit = hit & F.contains(F.lower("text"), F.lit(w))
-    near = owned(lines, SECTION_HEAD).select("file", "line_no", "entry_id")
+    near = owned(lines, SECTION_HEAD, NEAREST).select("file", "line_no", "entry_id")
     return lines.where(hit).join(near, ["file", "line_no"], "left").select("file", "line_no", "entry_id", "text").orderBy("file", "line_no").limit(limit)
 
 
@@ -128,43 +153,104 @@ def section(lines: DataFrame, entry_id: str) -> DataFrame:
 # Operations
 
 
+REPLACEMENT = "struct<kind:string,title:string,body:string,confidence:double,source_ref:string,source_quote:string>"
+#: Columns that a table of operations may lack.
+OPTIONAL = {"topic": "string", "resolution": "string", "replacement": REPLACEMENT}
+
+
+def _kind(raw: Column) -> Column:
+    """REQ, DEC, TECH or CONFLICT under any of their names, else null."""
+    known = KIND_ALIASES | {k: k for k in KIND_FILE}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), F.regexp_replace(F.upper(trim(F.coalesce(raw, F.lit("")))), r"[\s-]+", ""))
+
+
 def normalized(ops: DataFrame) -> DataFrame:
     """Operations with folded names and clamped confidence; what is malformed gets a reason.
 
     ``ops`` holds (batch, idx, op, kind, title, body, target_id, confidence, source_ref,
-    source_quote, grp).
+    source_quote, grp) and may hold topic, resolution and replacement.
     """
-    op = F.regexp_replace(F.upper(trim(F.coalesce("op", F.lit("")))), r"[\s-]+", "_")
-    blank = lambda c: trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    number = F.coalesce(F.col("confidence"), F.lit(0.8))
-    out = ops.withColumn("op", op).withColumn("confidence", F.least(F.greatest(F.when(F.isnan(number), 0.8).otherwise(number), F.lit(0.0)), F.lit(1.0)))
-    bad = ~F.col("op").isin(*OPS) | ((F.col("op") == "ADD") & (blank("title") | blank("kind"))) | (F.col("op").isin(*NEED_TARGET) & blank("target_id")) | (F.col("op").isin("AMEND", "UPDATE_STATE") & blank("body"))
-    return out.withColumn("reason", F.when(bad, "BAD_OPERATION"))
+    for name, kind in OPTIONAL.items():
+        if name not in ops.columns:
+            ops = ops.withColumn(name, F.lit(None).cast(kind))
+    said = lambda c: trim(F.coalesce(c, F.lit("")))
+    given = lambda c: F.nullif(said(c), F.lit(""))
+    sure = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.8).otherwise(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+    r = F.col("replacement")
+    again = F.struct(_kind(r["kind"]).alias("kind"), said(r["title"]).alias("title"), said(r["body"]).alias("body"), sure(r["confidence"]).alias("confidence"), F.upper(given(r["source_ref"])).alias("source_ref"), given(r["source_quote"]).alias("source_quote"))
+    out = ops.select(
+        "batch",
+        "idx",
+        F.regexp_replace(F.upper(said(F.col("op"))), r"[\s-]+", "_").alias("op"),
+        _kind(F.col("kind")).alias("kind"),
+        *(said(F.col(k)).alias(k) for k in ("title", "body", "target_id", "topic", "resolution")),
+        sure(F.col("confidence")).alias("confidence"),
+        F.upper(given(F.col("source_ref"))).alias("source_ref"),
+        given(F.col("source_quote")).alias("source_quote"),
+        given(F.col("grp")).alias("grp"),
+        F.when(r.isNotNull(), again).alias("replacement"),
+    )
+    is_op, blank = (lambda *names: F.col("op").isin(*names)), (lambda c: F.col(c) == "")
+    fact = lambda kind: kind.isNull() | (kind == "CONFLICT")
+    bad = (
+        ~is_op(*OPS)
+        | (is_op("ADD") & (fact(F.col("kind")) | blank("title") | blank("body")))
+        | (is_op("UPDATE_STATE", "AMEND", "CONFLICT") & blank("body"))
+        | (is_op(*NEED_TARGET) & blank("target_id"))
+        | (is_op("SUPERSEDE") & (r.isNull() | fact(r["kind"]) | blank("replacement.title") | blank("replacement.body")))
+        | (is_op("CONFLICT") & blank("topic"))
+        | (is_op("RESOLVE_CONFLICT") & blank("resolution"))
+    )
+    return out.withColumn("reason", F.when(F.coalesce(bad, F.lit(True)), "BAD_OPERATION"))
 
 
 def evidence(ops: DataFrame, rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds evidence_seq, or evidence_reason why there is none.
+    """Adds evidence_seq and evidence_text, or evidence_reason why there is none.
 
     ``refs`` are (batch, handle, seq, text); ``rows`` (batch, seq, text) is the whole log, read
     only for quotes without a reference. A quote is first met by its handle; a quote without
-    one must stand in exactly one row. The substring join runs per batch, on distinct quotes.
+    one must stand in exactly one row. What an operation offers must hold even where it needs
+    none; a SUPERSEDE needs evidence of its replacement, which is then what it is bound to.
     """
-    quote, ref = trim(F.coalesce("source_quote", F.lit(""))), trim(F.coalesce("source_ref", F.lit("")))
-    asked = ops.withColumn("_quote", collapsed(quote)).withColumn("_ref", F.upper(ref))
-    known = refs.select("batch", F.col("handle").alias("_ref"), F.col("seq").alias("_ref_seq"), collapsed(F.col("text")).alias("_ref_text"))
-    out = asked.join(known, ["batch", "_ref"], "left")
-    loose = asked.where((F.col("_ref") == "") & (F.length("_quote") >= 12)).select("batch", "_quote").distinct()
-    log = rows.select("batch", "seq", collapsed(F.col("text")).alias("_text"))
-    hits = loose.join(log, "batch").where(F.contains(F.col("_text"), F.col("_quote"))).groupBy("batch", "_quote").agg(F.count("*").alias("_hits"), F.min("seq").alias("_hit_seq"))
-    out = out.join(hits, ["batch", "_quote"], "left")
+    claim = lambda which, ref, quote: F.struct(F.lit(which).alias("which"), F.col(ref).alias("ref"), F.col(quote).alias("quote"))
+    offered = F.col("op").isin(*NEED_EVIDENCE) | F.col("source_ref").isNotNull() | F.col("source_quote").isNotNull()
+    made = F.array_compact(F.array(F.when(offered, claim("own", "source_ref", "source_quote")), F.when(F.col("op") == "SUPERSEDE", claim("new", "replacement.source_ref", "replacement.source_quote"))))
+    asked = ops.where("reason is null").select("batch", "idx", F.explode(made).alias("c")).select("batch", "idx", "c.which", "c.ref", F.col("c.quote").alias("said"), F.coalesce(collapsed(F.col("c.quote")), F.lit("")).alias("quote"))
+    known = refs.select("batch", F.col("handle").alias("ref"), F.col("seq").alias("ref_seq"), F.col("text").alias("ref_text"))
+    out = asked.join(known, ["batch", "ref"], "left")
+    loose = asked.where(F.col("ref").isNull() & (F.length("quote") >= 12)).select("batch", "quote").distinct()
+    hits = held_once(rows, loose)
+    out = out.join(hits, ["batch", "quote"], "left")
     with_ref = (
-        F.when(~F.col("_ref").rlike(r"^E\d+\z"), "BAD_REF").when(F.col("_ref_seq").isNull(), "UNKNOWN_REF").when(F.length("_quote") < 2, "NO_EVIDENCE").when(~F.contains(F.col("_ref_text"), F.col("_quote")), "QUOTE_MISMATCH")
+        F.when(~F.col("ref").rlike(r"^E\d+\z"), "BAD_REF").when(F.col("ref_seq").isNull(), "UNKNOWN_REF").when(F.col("said").isNull(), "NO_EVIDENCE").when(~F.contains(collapsed(F.col("ref_text")), F.col("quote")), "QUOTE_MISMATCH")
     )
-    hit = F.coalesce("_hits", F.lit(0))
-    without = F.when(F.col("_quote") == "", "NO_EVIDENCE").when((F.length("_quote") < 12) | (hit == 0), "EVIDENCE_NOT_FOUND").when(hit > 1, "AMBIGUOUS_EVIDENCE")
-    why = F.when(F.col("_ref") != "", with_ref).otherwise(without)
-    out = out.withColumn("evidence_reason", why).withColumn("evidence_seq", F.when(why.isNull(), F.coalesce("_ref_seq", "_hit_seq")))
-    return out.drop("_quote", "_ref", "_ref_seq", "_ref_text", "_hits", "_hit_seq")
+    hit = F.coalesce("hits", F.lit(0))
+    without = F.when(F.col("said").isNull(), "NO_EVIDENCE").when((F.length("quote") < 12) | (hit == 0), "EVIDENCE_NOT_FOUND").when(hit > 1, "AMBIGUOUS_EVIDENCE")
+    why = F.when(F.col("ref").isNotNull(), with_ref).otherwise(without)
+    found = F.struct(why.alias("reason"), F.coalesce("ref_seq", "hit_seq").alias("seq"), F.coalesce("ref_text", "hit_text").alias("text"))
+    each = out.groupBy("batch", "idx").agg(*(F.first(F.when(F.col("which") == w, found), ignorenulls=True).alias(w) for w in ("own", "new")))
+    reason = F.coalesce("own.reason", "new.reason")
+    got = each.select("batch", "idx", reason.alias("evidence_reason"), *(F.when(reason.isNull(), F.coalesce(f"new.{k}", f"own.{k}")).alias(f"evidence_{k}") for k in ("seq", "text")))
+    return ops.join(got, ["batch", "idx"], "left")
+
+
+def held_once(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(batch, quote, hits, hit_seq, hit_text): rows of a batch that hold a collapsed quote, and the first.
+
+    Quotes are met by a whole word inside them and then compared; those of two words or less
+    are compared with all rows of their batch.
+    """
+    log = rows.select("batch", "seq", collapsed(F.col("text")).alias("low"))
+    parts = F.split("quote", " ")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    keyed = quotes.withColumn("word", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 0))
+    words = log.select("batch", "seq", F.explode(F.array_distinct(F.split("low", " "))).alias("word"))
+    met = words.join(keyed.where("word is not null"), ["batch", "word"]).select("batch", "seq", "quote")
+    short = log.select("batch", "seq").join(keyed.where("word is null").drop("word"), "batch").select("batch", "seq", "quote")
+    pairs = met.unionByName(short).join(log, ["batch", "seq"]).where(F.contains("low", "quote")).select("batch", "quote", "seq")
+    hits = pairs.groupBy("batch", "quote").agg(F.count("*").alias("hits"), F.min("seq").alias("hit_seq"))
+    text = rows.select("batch", F.col("seq").alias("hit_seq"), F.col("text").alias("hit_text"))
+    return hits.join(text, ["batch", "hit_seq"], "left")
 
 
 def unbacked(new: Column, old: Column, backing: Column) -> Column:
@@ -173,73 +259,147 @@ def unbacked(new: Column, old: Column, backing: Column) -> Column:
     return F.filter(fresh, lambda a: ~F.coalesce(F.contains(collapsed(backing), a), F.lit(False)))
 
 
+def entry_text() -> Column:
+    """An entry's title, facts and source, as the guard compares them."""
+    return F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif(F.array_join("facts", "\n"), F.lit("")), "source")
+
+
 def validated(ops: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds the first reason against each operation: its form, target, evidence, then mutation.
+    """Adds the first reason against each operation (its form, target, evidence, then mutation) and the detail.
 
-    ``ops`` comes from ``normalized`` and ``evidence``; ``evidence_text`` may be given.
+    ``ops`` comes from ``normalized`` and ``evidence``. Only ACTIVE entries can be targets. Of
+    an id that stands twice the last holds. Exact values that a body brings in must stand in the
+    row that the evidence was found in; titles aren't looked at.
     """
-    targets = found.select(F.col("id").alias("target_id"), F.lit(True).alias("_there"), F.coalesce("status", F.lit("ACTIVE")).alias("_status"), F.concat_ws("\n", "title", F.array_join("facts", "\n"), "source").alias("_old"))
+    targets = found.groupBy(F.col("id").alias("target_id")).agg(F.max_by(F.struct(F.coalesce("status", F.lit("ACTIVE")).alias("status"), entry_text().alias("text")), F.struct("file", "place")).alias("t"))
     out = ops.join(targets, "target_id", "left")
     needs = F.col("op").isin(*NEED_TARGET)
-    target = F.when(needs & F.col("_there").isNull(), "TARGET_NOT_FOUND").when(needs & ~F.col("_status").isin("ACTIVE", "CONFLICT"), "TARGET_NOT_ACTIVE")
-    offered = trim(F.concat(F.coalesce("source_ref", F.lit("")), F.coalesce("source_quote", F.lit("")))) != ""
-    proof = F.when(F.col("op").isin(*NEED_EVIDENCE) | (offered & (F.col("op") != "NOOP")), F.col("evidence_reason"))
-    changed = F.col("op").isin("ADD", "AMEND", "CONFLICT", "SUPERSEDE") & (F.size(unbacked(F.coalesce("body", F.lit("")), F.coalesce("_old", F.lit("")), F.coalesce("source_quote", F.lit("")))) > 0)
-    return out.withColumn("reason", F.coalesce("reason", target, proof, F.when(changed, "MUTATION_WITHOUT_EVIDENCE"))).drop("_there", "_status", "_old")
+    target = F.when(needs & F.col("t").isNull(), "TARGET_NOT_FOUND").when(needs & (F.col("t.status") != "ACTIVE"), "TARGET_NOT_ACTIVE")
+    body = F.when(F.col("op") == "SUPERSEDE", F.col("replacement.body")).otherwise(F.col("body"))
+    old = F.when(F.col("op").isin("AMEND", "SUPERSEDE"), F.col("t.text")).otherwise("")
+    lost = F.when(F.col("op").isin("ADD", "AMEND", "CONFLICT", "SUPERSEDE"), unbacked(F.coalesce(body, F.lit("")), F.coalesce(old, F.lit("")), F.coalesce("evidence_text", F.lit(""))))
+    out = out.withColumn("_lost", lost)
+    reason = F.coalesce("reason", target, "evidence_reason", F.when(F.size("_lost") > 0, "MUTATION_WITHOUT_EVIDENCE"))
+    out = out.withColumn("reason", reason)
+    detail = F.when(F.col("reason") == "MUTATION_WITHOUT_EVIDENCE", F.concat(F.lit("atoms absent from the cited evidence: "), F.array_join(F.slice("_lost", 1, 5), ", "))).when(
+        F.col("reason").isin("TARGET_NOT_FOUND", "TARGET_NOT_ACTIVE"), F.concat_ws(" is ", "target_id", F.coalesce("t.status", F.lit("not in the ledger")))
+    )
+    return out.withColumn("detail", detail).drop("t", "_lost")
 
 
 def atomic(ops: DataFrame) -> DataFrame:
     """A rejected member rejects its whole group."""
-    group = Window.partitionBy("batch", "grp")
-    lost = F.bool_or(F.col("reason").isNotNull()).over(group) & F.col("grp").isNotNull()
-    return ops.withColumn("reason", F.coalesce("reason", F.when(lost, "GROUP_REJECTED")))
+    lost = ops.where("reason is not null and grp is not null").select("batch", "grp", F.lit(True).alias("_lost")).distinct()
+    return ops.join(lost, ["batch", "grp"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_lost"), F.lit("GROUP_REJECTED")))).drop("_lost")
+
+
+#: Batches that one window of prefix sums spans.
+BATCHES = 4096
 
 
 def minted(ops: DataFrame, lines: DataFrame) -> DataFrame:
-    """New ids for accepted ADD and CONFLICT operations: on from the highest number named anywhere."""
-    named = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])((?:REQ|DEC|TECH|BENCH|CONFLICT)-\d+)(?![A-Za-z0-9_])"), 1)).alias("id"))
-    highest = named.groupBy(F.substring_index("id", "-", 1).alias("prefix")).agg(F.max(F.substring_index("id", "-", -1).cast("long")).alias("_top"))
-    prefix = F.when(F.col("reason").isNull(), F.when(F.col("op") == "ADD", F.upper("kind")).when(F.col("op") == "CONFLICT", "CONFLICT"))
-    out = ops.withColumn("prefix", prefix).join(F.broadcast(highest), "prefix", "left")
-    nth = F.row_number().over(Window.partitionBy("prefix").orderBy("batch", "idx"))
-    return out.withColumn("new_id", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("-"), F.format_string("%03d", F.coalesce("_top", F.lit(0)) + nth)))).drop("_top", "prefix")
+    """New ids for accepted ADD, SUPERSEDE and CONFLICT operations: on from the highest number named anywhere.
+
+    Ids are numbered by batch and place in it. Operations are counted by batch, the counts
+    summed up inside a block of batches and over blocks, so no task holds all of a prefix.
+    """
+    named = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])((?:REQ|DEC|TECH|CONFLICT)-\d+)(?![A-Za-z0-9_])"), 1)).alias("id"))
+    highest = named.groupBy(F.substring_index("id", "-", 1).alias("prefix")).agg(F.max(F.substring_index("id", "-", -1).try_cast("long")).alias("_top"))
+    prefix = F.when(F.col("reason").isNull(), F.when(F.col("op") == "ADD", F.col("kind")).when(F.col("op") == "SUPERSEDE", F.col("replacement.kind")).when(F.col("op") == "CONFLICT", "CONFLICT"))
+    out = ops.withColumn("prefix", prefix)
+    counted = out.where("prefix is not null").groupBy("prefix", "batch").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("batch") / BATCHES))
+    earlier = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    blocks = counted.groupBy("prefix", "block").agg(F.sum("n").alias("n")).select("prefix", "block", earlier(Window.partitionBy("prefix").orderBy("block")).alias("_by_block"))
+    batches = counted.select("prefix", "block", "batch", earlier(Window.partitionBy("prefix", "block").orderBy("batch")).alias("_by_batch")).join(blocks, ["prefix", "block"]).drop("block")
+    nth = F.row_number().over(Window.partitionBy("prefix", "batch").orderBy("idx"))
+    out = out.join(batches, ["prefix", "batch"], "left").join(F.broadcast(highest), "prefix", "left")  # at most one row by prefix
+    number = (F.coalesce("_top", F.lit(0)) + F.col("_by_block") + F.col("_by_batch") + nth).cast("string")
+    padded = F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0"))
+    return out.withColumn("new_id", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("-"), padded))).drop("_top", "_by_block", "_by_batch", "prefix")
 
 
 def applied(found: DataFrame, ops: DataFrame) -> DataFrame:
-    """Entries after the accepted operations of ``minted``: inserts, and by target the last update."""
+    """Entries after the accepted operations of ``minted``, in their order: inserts, updates, the state.
+
+    Several operations on one entry all count, for each field the last that sets it.
+    """
     done = ops.where("reason is null")
-    update = done.where(F.col("op").isin("SUPERSEDE", "AMEND", "RESOLVE_CONFLICT")).groupBy(F.col("target_id").alias("id")).agg(F.max_by(F.struct("op", "body", F.col("new_id").alias("replacement")), F.struct("batch", "idx")).alias("u"))
-    status = F.when(F.col("u.op") == "SUPERSEDE", "SUPERSEDED").when(F.col("u.op") == "RESOLVE_CONFLICT", "RESOLVED").otherwise(F.col("status"))
-    facts = F.when(F.col("u.op") == "AMEND", F.split("u.body", "\n")).otherwise(F.col("facts"))
-    kept = found.join(update, "id", "left").select("file", "place", "id", "title", "confidence", status.alias("status"), facts.alias("facts"), "source")
-    files_of = F.create_map(*(F.lit(x) for pair in PREFIX_FILE.items() for x in pair))
-    fresh = done.where("new_id is not null").select(
-        F.try_element_at(files_of, F.substring_index("new_id", "-", 1)).alias("file"), (F.lit(10**12) + F.col("batch") * 10**6 + F.col("idx")).cast("long").alias("place"), F.col("new_id").alias("id"), "title", "confidence", F.when(F.col("op") == "CONFLICT", "CONFLICT").otherwise("ACTIVE").alias("status"), F.split(F.coalesce("body", F.lit("")), "\n").alias("facts"), F.col("source_quote").alias("source")
+    at, facts = F.struct("batch", "idx"), lambda body: F.filter(F.transform(F.split(body, "\n"), trim), lambda x: x != "")
+    last = lambda value, when: F.max_by(value, F.when(when, at))
+    is_op = lambda *names: F.col("op").isin(*names)
+    update = done.where(is_op(*NEED_TARGET)).groupBy(F.col("target_id").alias("id")).agg(
+        last("body", is_op("AMEND")).alias("_body"),
+        last("title", is_op("AMEND") & (F.col("title") != "")).alias("_title"),
+        last("source_quote", is_op("AMEND", "RESOLVE_CONFLICT") & F.col("source_quote").isNotNull()).alias("_source"),
+        last("op", is_op("SUPERSEDE", "RESOLVE_CONFLICT")).alias("_end"),
+        last("new_id", is_op("SUPERSEDE")).alias("_new"),
+        last("resolution", is_op("RESOLVE_CONFLICT")).alias("_resolution"),
+    )
+    state = done.where(is_op("UPDATE_STATE")).groupBy(F.lit(STATE).alias("id")).agg(F.max_by("body", at).alias("_free"), last("title", F.col("title") != "").alias("_name"))
+    status = F.when(F.col("_end") == "SUPERSEDE", "SUPERSEDED").when(F.col("_end") == "RESOLVE_CONFLICT", "RESOLVED").otherwise(F.col("status"))
+    kept = found.join(update, "id", "left").join(F.broadcast(state), "id", "left").select(  # at most one row of state
+        "file", "place", "id", F.coalesce("_name", "_title", "title").alias("title"), "confidence", status.alias("status"), F.when(F.col("_body").isNotNull(), facts("_body")).otherwise(F.col("facts")).alias("facts"),
+        F.coalesce("_source", "source").alias("source"), F.coalesce("_new", "replacement").alias("replacement"), F.coalesce("_resolution", "resolution").alias("resolution"), F.coalesce("_free", "verbatim").alias("verbatim"),
+    )
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    empty = F.array().cast("array<string>").alias("facts")
+    first = state.join(found.where(F.col("id") == STATE).select("id").distinct(), "id", "left_anti").select(
+        F.lit("STATE.md").alias("file"), F.lit(10**12).alias("place"), "id", F.coalesce("_name", F.lit("Current state")).alias("title"), F.lit(None).cast("double").alias("confidence"), *none("status"), empty, *none("source", "replacement", "resolution"), F.col("_free").alias("verbatim")
     )
-    return kept.unionByName(fresh)
+    files_of = F.create_map(*(F.lit(x) for pair in KIND_FILE.items() for x in pair))
+    own = F.struct(F.when(is_op("CONFLICT"), F.col("topic")).otherwise(F.col("title")).alias("title"), "body", "confidence", "source_quote")
+    new = F.when(is_op("SUPERSEDE"), F.struct("replacement.title", "replacement.body", "replacement.confidence", "replacement.source_quote")).otherwise(own)
+    fresh = done.where("new_id is not null").withColumn("_e", new).select(
+        F.try_element_at(files_of, F.substring_index("new_id", "-", 1)).alias("file"), (F.lit(10**12) + F.col("batch") * 10**6 + F.col("idx")).cast("long").alias("place"), F.col("new_id").alias("id"), "_e.title", "_e.confidence", F.lit("ACTIVE").alias("status"),
+        facts("_e.body").alias("facts"), F.col("_e.source_quote").alias("source"), *none("replacement", "resolution", "verbatim"),
+    )
+    return kept.unionByName(fresh).unionByName(first)
 
 
 def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, issue): silent removals, marked entries, repeated ids, a missing state."""
-    new = after.groupBy("id").agg(F.count("*").alias("n"), F.max("status").alias("status"))
-    old = before.select("id", F.col("status").alias("was")).dropDuplicates(["id"])
-    gone = old.join(new, "id", "left_anti").select("id", F.lit("SILENT_REMOVAL").alias("issue"))
-    both = old.join(new, "id").where("coalesce(was, 'ACTIVE') <> coalesce(status, 'ACTIVE')")
+    """(id, issue): silent removals, marked entries, repeated ids, a missing state.
+
+    An entry that is gone but named anywhere in what is left was moved, not lost.
+    """
+    new = after.groupBy("id").agg(F.count("*").alias("n"), F.max_by("status", F.struct("file", "place")).alias("status"))
+    old = before.where(F.col("id") != STATE).groupBy("id").agg(F.max_by("status", F.struct("file", "place")).alias("was"))
+    gone = lost(before, after).select("id", F.lit("SILENT_REMOVAL").alias("issue"))
+    both = old.join(new, "id").where("coalesce(was, 'ACTIVE') <> 'CONFLICT'")
     marked = both.select("id", F.when(F.col("status") == "SUPERSEDED", "SUPERSEDED").when(F.col("status") == "CONFLICT", "CONFLICT_MARKED").alias("issue")).where("issue is not null")
     twice = new.where("n > 1").select("id", F.lit("DUPLICATE_ID").alias("issue"))
-    state = after.agg(F.count_if(F.col("id") == "STATE-CURRENT").alias("n")).where("n = 0").select(F.lit("STATE-CURRENT").alias("id"), F.lit("STATE_MISSING").alias("issue"))
+    state = after.agg(F.count_if(F.col("id") == STATE).alias("n")).where("n = 0").select(F.lit(STATE).alias("id"), F.lit("STATE_MISSING").alias("issue"))
     return gone.union(marked).union(twice).union(state)
 
 
+def lost(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Entries of ``before`` that ``after`` neither has nor names."""
+    named = after.select(F.explode(F.regexp_extract_all(F.concat_ws("\n", "id", "title", F.array_join("facts", "\n"), "source", "replacement", "resolution", "verbatim"), F.lit(r"(?<![A-Za-z0-9_])([A-Z]+-\d+)(?![A-Za-z0-9_])"), 1)).alias("id")).distinct()
+    return before.where(F.col("id") != STATE).join(named, "id", "left_anti")
+
+
+def restored(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` with silently removed entries put back, and a placeholder where the state is missing."""
+    back = after.unionByName(lost(before, after).select(*after.columns))
+    blank = {"file": F.lit("STATE.md"), "place": F.lit(10**12).cast("long"), "id": F.lit(STATE), "title": F.lit("(unknown — sync did not produce a state section)"), "facts": F.array().cast("array<string>")}
+    state = after.agg(F.count_if(F.col("id") == STATE).alias("n")).where("n = 0").select(*(blank.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in after.schema.fields))
+    return back.unionByName(state)
+
+
 # Provenance
 
 
-def provenance_merged(old: DataFrame, fresh: DataFrame, unresolved: DataFrame, newly: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bindings (session, seq, entry_id) and unresolved (entry_id, reason, at) after a sync."""
+def provenance_merged(old: DataFrame, fresh: DataFrame, unresolved: DataFrame, newly: DataFrame, active: DataFrame, session: Column | None = None, sessions: int = 100, open_rows: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Bindings (session, seq, entry_id) and unresolved (entry_id, reason, at) after a sync.
+
+    A sidecar holds ``sessions`` sessions, the present one and the first of the others, and the
+    newest ``open_rows`` unresolved entries: entries bound in this sync or no longer ACTIVE go.
+    """
     bound = old.union(fresh).distinct()
+    kept = bound.select("session").distinct().orderBy(*([F.desc(F.col("session") == session)] if session is not None else []), "session").limit(sessions)
+    bound = bound.join(F.broadcast(kept), "session", "left_semi")  # at most ``sessions`` rows
     open_ = unresolved.unionByName(newly).groupBy("entry_id").agg(F.max_by(F.struct("reason", "at"), "at").alias("last"))
-    open_ = open_.join(bound.select("entry_id").distinct(), "entry_id", "left_anti").join(active.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-    return bound, open_.select("entry_id", "last.reason", "last.at")
+    open_ = open_.join(fresh.select("entry_id").distinct(), "entry_id", "left_anti").join(active.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
+    return bound, open_.select("entry_id", "last.reason", "last.at").orderBy(F.desc("at"), "entry_id").limit(open_rows)
 
 
 def unresolved_active(found: DataFrame, bindings: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -165,6 +165,19 @@ def stats(actions: DataFrame) -> DataFrame:
     )
 
 
+def shadow_price(meter: Column, fallback: Column, chars: Column) -> Column:
+    """What a replaced node was worth: the meter's price, else the fallback's, else a token for four characters."""
+    usable = lambda c: F.when(~F.isnan(c.cast("double")) & (c >= 0) & (c < float("inf")), c.cast("double"))
+    return F.coalesce(usable(meter), usable(fallback), F.ceil(chars / 4).cast("double"))
+
+
+def price_events(surface: DataFrame, landed_: DataFrame, meter: Column, fallback: Column) -> DataFrame:
+    """(session, seq, shadowed_seqs, shadowed_tokens) of each replaced node, as it is told before the replacement."""
+    done = landed_.where("replaced").select("session", "seq")
+    old = surface.join(done, ["session", "seq"], "left_semi")
+    return old.select("session", "seq", F.array("seq").alias("shadowed_seqs"), shadow_price(meter, fallback, F.length("text")).alias("shadowed_tokens"))
+
+
 STUB = "[pruned: duplicate tool result — raw: %s (reconstructible)]"
 
 
@@ -176,5 +189,5 @@ def landed(surface: DataFrame, actions: DataFrame) -> DataFrame:
     new = F.when(F.col("action") == "drop", F.format_string(STUB, fingerprint("text"))).when(F.col("action") == "reduce", F.col("reduced"))
     nodes = actions.where("action <> 'none'").select("session", "pos", F.explode("seqs").alias("seq"), new.alias("_new"), F.length("text").alias("_was")).where(F.length("_new") < F.col("_was"))
     first = nodes.groupBy("session", "seq").agg(F.min_by("_new", "pos").alias("_new"))
-    out = surface.join(first, ["session", "seq"], "left")
-    return out.withColumn("replaced", F.col("_new").isNotNull()).withColumn("text", F.coalesce("_new", "text")).drop("_new")
+    out = surface.join(first, ["session", "seq"], "left").withColumn("replaced", F.col("_new").isNotNull())
+    return out.withColumn("source_event_seqs", F.when(F.col("replaced"), F.array("seq"))).withColumn("text", F.coalesce("_new", "text")).drop("_new")

@@ -7,24 +7,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxloom.functions import patterns as P
-from ctxloom.functions.text import estimated_tokens, ledger_terms, trim
+from ctxloom.functions.text import CJK, estimated_tokens, ledger_terms, trim
+from ctxloom.operators.ledger import STATE
 
+#: Terms are met by their first letters, as many as these at most, and then compared.
+GRAM = 4
 
-def term_hits(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Messages with the vocabulary terms and entry ids that they hold, as counts.
 
-    ``vocabulary`` is (term, is_id), the distinct terms of one ledger's ACTIVE entries.
+def _grams(low: Column) -> Column:
+    """All windows of two to ``GRAM`` letters; those of two only where both are CJK."""
+    windows = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    short = F.filter(windows(2), lambda g: g.rlike(CJK + "{2}"))
+    return F.array_distinct(F.concat(short, *(windows(n) for n in range(3, GRAM + 1))))
+
+
+def held_terms(messages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(message_id, term) of terms that stand anywhere in a message, whatever the case.
+
+    An equi-join on a term's first letters, so neither side is tried against all of the other;
+    texts are met again by message only for the terms that are left.
     """
     low = messages.select("message_id", F.lower("text").alias("low"))
-    hit = F.contains(F.col("low"), F.lower("term"))
-    found = low.join(vocabulary, hit).groupBy("message_id").agg(F.count_if(~F.col("is_id")).alias("n_terms"), F.count_if("is_id").alias("n_ids"))
-    return messages.join(found, "message_id", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0))).withColumn("n_ids", F.coalesce("n_ids", F.lit(0)))
+    grams = low.select("message_id", F.explode(_grams(F.col("low"))).alias("gram"))
+    keyed = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
+    met = grams.join(keyed, "gram").select("message_id", "term")
+    return met.join(low, "message_id").where(F.contains("low", "term")).select("message_id", "term").distinct()
+
+
+#: Ids that a message can cite: three digits, as the ledger mints them.
+CITED = r"(?<![A-Za-z0-9_])([A-Z]{2,10}-\d{3})(?![A-Za-z0-9_])"
+
+
+def term_hits(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Messages with the numbers of vocabulary terms and entry ids that they hold.
+
+    ``vocabulary`` is (term, is_id), see there. A term may stand inside a word, an id may not.
+    """
+    terms, ids = vocabulary.where("not is_id").select("term"), vocabulary.where("is_id").select(F.upper("term").alias("term")).distinct()
+    said = held_terms(messages, terms).groupBy("message_id").agg(F.count("*").alias("n_terms"))
+    cited = messages.select("message_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(CITED), 1))).alias("term"))
+    cited = cited.join(ids, "term", "left_semi").groupBy("message_id").agg(F.count("*").alias("n_ids"))
+    out = messages.join(said, "message_id", "left").join(cited, "message_id", "left")
+    return out.withColumn("n_terms", F.coalesce("n_terms", F.lit(0))).withColumn("n_ids", F.coalesce("n_ids", F.lit(0)))
+
+
+def active(found: DataFrame) -> DataFrame:
+    return found.where(f"coalesce(status, 'ACTIVE') = 'ACTIVE' and id <> '{STATE}'")
+
+
+def entry_terms(found: DataFrame) -> DataFrame:
+    """(id, term) of ACTIVE entries, from their titles and raw text."""
+    return active(found).select("id", F.explode(ledger_terms(F.concat_ws("\n", "title", "raw"))).alias("term"))
 
 
 def vocabulary(found: DataFrame) -> DataFrame:
-    live = found.where("coalesce(status, 'ACTIVE') = 'ACTIVE'")
-    terms = live.select(F.explode(ledger_terms(F.concat_ws("\n", "title", "raw"))).alias("term"), F.lit(False).alias("is_id"))
-    return terms.union(live.select("id", F.lit(True))).distinct()
+    """(term, is_id): terms of ACTIVE entries, and all ids that any entry names."""
+    ids = found.select(F.explode(F.regexp_extract_all("raw", F.lit(CITED), 1)).alias("term"), F.lit(True).alias("is_id"))
+    return entry_terms(found).select("term", F.lit(False).alias("is_id")).union(ids).distinct()
 
 
 def memory_class(text: Column, n_terms: Column, n_ids: Column) -> Column:
@@ -44,18 +83,84 @@ def memory_class(text: Column, n_terms: Column, n_ids: Column) -> Column:
     )
 
 
-def matched_entries(messages: DataFrame, found: DataFrame, top: int = 4) -> DataFrame:
+#: Files in the order in which entries of equal merit are listed.
+ORDER = ["DECISIONS.md", "TECH.md", "PROJECT.md", "CONFLICTS.md"]
+
+
+def matched_entries(messages: DataFrame, found: DataFrame, top: int = 4, file: str | None = None) -> DataFrame:
     """ACTIVE entries by the number of their terms that a message holds, the best ``top``.
 
-    Terms are exploded once by entry; the substring join reads distinct terms only.
+    Equal ones come in the order of their files and places; ``file`` takes one file only.
     """
-    live = found.where("coalesce(status, 'ACTIVE') = 'ACTIVE' and id <> 'STATE-CURRENT'")
-    terms = live.select("id", F.explode(ledger_terms(F.concat_ws("\n", "title", "raw"))).alias("term"))
-    low = messages.select("message_id", F.lower("text").alias("low"))
-    held = low.join(terms.select("term").distinct(), F.contains(F.col("low"), F.col("term"))).select("message_id", "term")
-    hits = held.join(terms, "term").groupBy("message_id", "id").agg(F.count("*").alias("hits"))
-    nth = F.row_number().over(Window.partitionBy("message_id").orderBy(F.desc("hits"), "id"))
-    return hits.withColumn("nth", nth).where(F.col("nth") <= top)
+    found = found.where(F.col("file").isin([file] if file else ORDER))
+    hits = held_terms(messages, entry_terms(found)).join(entry_terms(found), "term").groupBy("message_id", "id").agg(F.count("*").alias("hits"))
+    known = active(found).select("id", "file", "place", "title", "raw")
+    at = F.array_position(F.array(*map(F.lit, ORDER)), F.col("file"))
+    nth = F.row_number().over(Window.partitionBy("message_id").orderBy(F.desc("hits"), at, "place", "id"))
+    return hits.join(known, "id").withColumn("nth", nth).where(F.col("nth") <= top)
+
+
+#: What a class shows of the ledger: entries related to the message by file, or the last of a file.
+RELATED = {"C3": ((None, 4),), "C4": (("PROJECT.md", 4), ("DECISIONS.md", 4), ("TECH.md", 3))}
+NEWEST = (("PROJECT.md", 8), ("DECISIONS.md", 12), ("TECH.md", 8))
+HEAD = "## Project memory (class %s)\nThe ledger holds more: use memory_search for anything beyond this view."
+MARKER = "\n…(state cut to the budget of its class; the whole text is in STATE.md)"
+
+
+def _entry_block(title: str = "title") -> Column:
+    return F.concat(F.lit("### "), "id", F.lit(" — "), title, F.lit("\n"), trim(F.col("raw")))
+
+
+def views(found: DataFrame, state: Column, router: Column) -> DataFrame:
+    """One row of what every message of a class sees alike: bounded numbers of entries, state and router."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("place")))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("place"))
+    live = active(found).select("file", "place", "id", "title", _entry_block().alias("block"), place.alias("back"), first.alias("front"))
+    listed = lambda when: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("place", "block")))), lambda x: x["block"])
+    conflicts = F.transform(F.sort_array(F.collect_list(F.when(F.col("file") == "CONFLICTS.md", F.struct("place", F.concat(F.lit("- ["), "id", F.lit("] "), "title").alias("block"))))), lambda x: x["block"])
+    newest = F.concat(*(listed((F.col("file") == f) & (F.col("back") <= n)) for f, n in NEWEST))
+    got = live.agg(newest.alias("newest"), listed((F.col("file") == "PROJECT.md") & (F.col("front") <= 4)).alias("scope"), F.array_join(conflicts, "\n").alias("conflicts"))
+    blank = lambda c, other: F.coalesce(F.nullif(trim(c), F.lit("")), F.lit(other))
+    return got.withColumn("state", blank(state, "(unknown)")).withColumn("router", blank(router, "(empty ledger)"))
+
+
+def render_context(messages: DataFrame, found: DataFrame, state: Column, router: Column) -> DataFrame:
+    """(message_id, class, context) of messages with a class: what fits its budget, in a fixed order.
+
+    Entries are shown whole or not at all; the state alone may be cut, at a line. Messages of
+    C0 and C1 get an empty context.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    asked = messages.select("message_id", "class", "text", (low.rlike(P.INTENT_GOAL) | low.rlike(P.INTENT_WORK)).alias("scoped"))
+    related = None
+    for name, parts in RELATED.items():
+        for at, (file, top) in enumerate(parts):
+            some = asked.where((F.col("class") == name) & (~F.col("scoped") | F.lit(file is not None and file != "PROJECT.md")))
+            one = matched_entries(some, found, top, file).select("message_id", F.struct(F.lit(at).alias("at"), "nth", _entry_block().alias("block")).alias("b"))
+            related = one if related is None else related.unionByName(one)
+    related = related.groupBy("message_id").agg(F.sort_array(F.collect_list("b")).alias("related"))
+    view = views(found, state, router)
+    out = asked.withColumn("_one", F.lit(1)).join(F.broadcast(view.withColumn("_one", F.lit(1))), "_one").join(related, "message_id", "left")  # the view is one bounded row
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.transform("related", lambda b: b["block"]), none)
+    scope = F.when(F.col("scoped") & F.col("class").isin("C3", "C4"), F.col("scope")).otherwise(none)
+    full = F.when(F.col("class") == "C5", F.concat("newest", F.when(F.col("conflicts") != "", F.array(F.concat(F.lit("### Open conflicts (need user confirmation)\n"), "conflicts"))).otherwise(none))).otherwise(none)
+    budgets = F.create_map(*(F.lit(x) for pair in P.CLASS_BUDGETS.items() for x in pair))
+    head = F.format_string(HEAD, "class")
+    router_block = F.when(F.col("class").isin("C4", "C5"), F.array(F.concat(F.lit("### Router\n"), "router"))).otherwise(none)
+    out = out.select("message_id", "class", "state", F.try_element_at(budgets, F.col("class")).alias("budget"), F.concat(F.array(head), router_block).alias("ahead"), F.concat(scope, own, full).alias("behind"))
+    joined = lambda text, block: F.when(text == "", block).otherwise(F.concat(text, F.lit("\n\n"), block))
+    take = lambda a, b: F.when(estimated_tokens(a) + estimated_tokens(b) <= F.col("budget"), joined(a, b)).otherwise(a)
+    out = out.withColumn("text", F.aggregate("ahead", F.lit(""), take))
+    lead, whole = F.lit("### Current state\n"), F.concat(F.lit("### Current state\n"), F.col("state"))
+    start = F.struct(lead.alias("text"), F.lit(False).alias("done"))
+    fits = lambda block: estimated_tokens(joined(F.col("text"), F.concat(block, F.lit(MARKER)))) <= F.col("budget")
+    step = lambda a, line: F.when(a["done"] | ~fits(F.concat(a["text"], line, F.lit("\n"))), F.struct(a["text"].alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(a["text"], line, F.lit("\n")).alias("text"), F.lit(False).alias("done")))
+    cut = F.concat(F.regexp_replace(F.aggregate(F.split("state", "\n"), start, step)["text"], r"\s+\z", ""), F.lit(MARKER))
+    out = out.withColumn("cut", cut)
+    with_state = F.when(estimated_tokens(F.col("text")) + estimated_tokens(whole) <= F.col("budget"), joined(F.col("text"), whole)).when(estimated_tokens(joined(F.col("text"), F.col("cut"))) <= F.col("budget"), joined(F.col("text"), F.col("cut"))).otherwise(F.col("text"))
+    out = out.withColumn("text", with_state)
+    return out.select("message_id", "class", F.when(F.col("budget") > 0, F.aggregate("behind", F.col("text"), take)).otherwise("").alias("context"))
 
 
 def budgeted(blocks: DataFrame, budget: Column) -> DataFrame:

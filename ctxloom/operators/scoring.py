@@ -22,13 +22,13 @@ def protection(kind: Column, text: Column, args: Column, is_open: Column, has_pa
     none = F.array().cast("array<string>")
     active, cited = active if active is not None else none, cited if cited is not None else none
     held = held if held is not None else F.lit(False)
-    by_user, by_model, by_tool = kind == "user", kind == "assistant", kind.isin("tool-pair", "tool-result")
+    by_user, by_model, by_tool = kind == "user", kind == "assistant", kind == "tool-pair"
     p0 = [
         (by_user & text.rlike(P.CONSTRAINT), "user constraint"),
         (by_user & text.rlike(P.CORRECTION), "user correction"),
         (by_user & text.rlike(P.GOAL), "goal"),
         (by_user & text.rlike(P.SAFETY), "safety limit"),
-        (by_model & text.rlike(P.GOAL) & text.rlike(P.DECISION), "restated goal"),
+        (by_model & text.rlike(P.GOAL) & text.rlike(P.RESTATED), "restated goal"),
         (F.size(active) > 0, "source of active entry"),
         (F.exists(cited, lambda i: i.rlike("^(DEC|REQ|BLOCK)-")), "names active entry"),
     ]
@@ -39,7 +39,7 @@ def protection(kind: Column, text: Column, args: Column, is_open: Column, has_pa
         (by_model & text.rlike(P.VERIFIED), "benchmark result"),
         (by_model & text.rlike(P.KEY_FIX), "key fix"),
         (by_tool & args.rlike(P.CONFIG_PATH) & has_path, "config"),
-        (by_tool & text.rlike(P.VERIFIED) & text.rlike(P.EXIT_ZERO), "benchmark result"),
+        (by_tool & text.rlike(P.VERIFIED) & text.rlike(P.EXIT_OK), "benchmark result"),
         (by_tool & text.rlike(P.ROOT_CAUSE), "root cause"),
         (F.exists(cited, lambda i: i.startswith("BENCH-")), "benchmark entry"),
         (held, "unresolved source"),
@@ -115,15 +115,22 @@ def intrinsic(kind: Column, grade: Column, reasons: Column) -> Column:
     return F.when(grade == "P1", F.greatest(of_type(kind, 0), F.coalesce(lifted, F.lit(0.0)))).otherwise(of_type(kind, 0))
 
 
-def with_duplication(units: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
+def with_duplication(units: DataFrame, key: Column, pos: str = "pos", middle: Column | None = None) -> DataFrame:
     """Adds fp, duplication: 1 for a repeated fingerprint, else half the line overlap with
-    the last unit of the same key that isn't itself a repeat (none for user and assistant)."""
+    the last unit of the same key that isn't itself a repeat (none for user and assistant);
+    0.8 at least for a read that is neither the first nor the last of its path.
+
+    Lines go through the window as hashes.
+    """
     out = units.withColumn("fp", fingerprint("text")).withColumn("_key", key)
     out = out.withColumn("_nth", F.row_number().over(Window.partitionBy("session", "fp").orderBy(pos)))
     repeat = F.col("_nth") > 1
     versions = Window.partitionBy("session", "_key", F.col("_nth") > 1).orderBy(pos)
-    out = out.withColumn("_lines", F.array_distinct(lines(F.col("text")))).withColumn("_before", F.lag("_lines").over(versions))
+    hashed = F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.xxhash64(x)))
+    out = out.withColumn("_lines", hashed).withColumn("_before", F.lag("_lines").over(versions))
     near = F.when(F.col("kind").isin("user", "assistant") | F.col("_before").isNull(), 0.0).otherwise(0.5 * overlap(F.col("_lines"), F.col("_before")))
+    if middle is not None:
+        near = F.greatest(near, F.when(middle, 0.8).otherwise(0.0))
     return out.withColumn("duplication", F.when(repeat, 1.0).otherwise(near)).drop("_key", "_nth", "_lines", "_before")
 
 
@@ -134,6 +141,30 @@ def read_middles(reads: DataFrame) -> DataFrame:
     return reads.withColumn("_nth", nth).withColumn("_n", n).withColumn("middle", (F.col("_n") >= 3) & (F.col("_nth") > 1) & (F.col("_nth") < F.col("_n"))).drop("_nth", "_n")
 
 
+def middle_reads(kind: Column, tool: Column, paths: Column, pos: str = "pos") -> Column:
+    """Whether a unit is a read that is neither the first nor the last of its path, of three or more."""
+    path = F.when((kind == "tool-pair") & (F.lower(F.coalesce(tool, F.lit(""))) == "read"), F.get(paths, 0))
+    by_path = Window.partitionBy("session", path)
+    nth, n = F.row_number().over(by_path.orderBy(pos)), F.count("*").over(by_path)
+    return path.isNotNull() & (n >= 3) & (nth > 1) & (nth < n)
+
+
+def notes(content_type: Column, value: Column, relevant: Column, recent: Column, turns: Column, minutes: Column, depends: Column, x: Column, duplicate: Column, size: Column) -> Column:
+    """Why a unit scores as it does, a line for each feature."""
+    tau = of_type(content_type, 1)
+    lasts = F.when(tau.isNull(), "∞").otherwise(F.regexp_replace(tau.cast("string"), r"\.0\z", ""))
+    two = lambda label, c: F.format_string(label + " %.2f", c)
+    return F.array(
+        F.concat(two("intrinsic", value), F.lit(" ("), content_type, F.lit(")")),
+        two("relevance", relevant),
+        F.concat(two("recency", recent), F.format_string(" (age %d turns / %d min, τ=", turns.cast("long"), F.floor(minutes + 0.5)), lasts, F.lit(")")),
+        two("dependency", depends),
+        two("reconstructibility", x),
+        two("duplication", duplicate),
+        F.format_string("size penalty %.3f", size),
+    )
+
+
 def unit_score(grade: Column, value: Column, relevant: Column, recent: Column, depends: Column, x: Column, duplicate: Column, size: Column, config: Config = Config()) -> Column:
     s = config.scoring
     base = F.greatest(value, 0.55 * relevant + 0.30 * recent + 0.15 * depends)

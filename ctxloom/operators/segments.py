@@ -47,14 +47,14 @@ def eligible(zone: Column, tier: Column, grade: Column, in_floor: Column) -> Col
     return ~grade.isin("P0", "P0_TRANSIENT") & ~in_floor & tier_allowed(zone, tier) & ((grade != "P1") | zone.isin("Z4", "Z5"))
 
 
-def segments(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Maximal runs of eligible units, with their gates.
+def runs(rows: DataFrame, extra: tuple[Column, ...] = (), config: Config = Config()) -> DataFrame:
+    """Maximal runs of eligible units, with their gates, and what lies between them, which never passes.
 
     Rows hold (session, pos, first_seq, last_seq, tokens, score, protection, eligible, zone,
-    min_reclaim).
+    min_reclaim); ``extra`` are further aggregates by run.
     """
     run = F.sum((~F.col("eligible")).cast("long")).over(Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.withColumn("_run", run).where("eligible").groupBy("session", "_run").agg(
+    out = rows.withColumn("_run", run).groupBy("session", "_run", "eligible").agg(
         F.min("pos").alias("first_pos"),
         F.min_by("first_seq", "pos").alias("first_seq"),
         F.max_by("last_seq", "pos").alias("last_seq"),
@@ -64,11 +64,16 @@ def segments(rows: DataFrame, config: Config = Config()) -> DataFrame:
         F.bool_or(F.col("protection") == "P1").alias("contains_p1"),
         F.first("zone").alias("zone"),
         F.first("min_reclaim").alias("min_reclaim"),
+        *extra,
     )
     out = out.withColumn("under_min", (F.col("tokens") < F.col("min_reclaim")) & (F.col("zone") != "Z5")).withColumn("over_cap", F.col("tokens") > config.compaction.max_tokens)
-    return out.select(
-        "session", "first_pos", "first_seq", "last_seq", "n_units", "tokens", half_up(F.col("_loss"), 4).alias("loss_density"), half_up(F.col("tokens") * (1 - F.col("_loss")), 2).alias("priority"), "contains_p1", "under_min", "over_cap", (~F.col("under_min") & ~F.col("over_cap")).alias("passes")
-    )
+    passes = F.coalesce(F.col("eligible") & ~F.col("under_min") & ~F.col("over_cap"), F.lit(False))
+    return out.withColumns({"loss_density": half_up(F.col("_loss"), 4), "priority": half_up(F.col("tokens") * (1 - F.col("_loss")), 2), "passes": passes}).drop("_loss", "_run")
+
+
+def segments(rows: DataFrame, config: Config = Config()) -> DataFrame:
+    """Maximal runs of eligible units, with their gates; rows as for ``runs``."""
+    return runs(rows, config=config).where("eligible").select("session", "first_pos", "first_seq", "last_seq", "n_units", "tokens", "loss_density", "priority", "contains_p1", "under_min", "over_cap", "passes")
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ctxloom.functions.text import clamped
+from ctxloom.functions.text import clamped, priced_message, priced_structure
 
 
 def so_far():
@@ -39,14 +39,36 @@ def placed(messages: DataFrame) -> DataFrame:
     return out.withColumn("unit_pos", F.when(F.col("orphan"), F.col("pos")).otherwise(head))
 
 
+#: What marks the line of a unit's first call.
+CALLS = "\n[tool-calls] "
+
+
 def paired(messages: DataFrame) -> DataFrame:
-    """A row per unit: kind, calls, results, open, tokens, text and first and last seq."""
+    """A row per unit: kind, calls, results, open, tokens, text, seqs, and first and last seq.
+
+    Messages may also hold ``ts``, ``checkpoint`` and ``injected`` (kinds of user messages),
+    ``source_event_seqs``, and of an assistant's calls ``tool`` (the first one's name), ``tool_args``
+    (all arguments) and ``first_args``; a unit has those of its first message. Units without
+    tokens and text are left out. A unit's later messages are dropped here once its text has
+    reached the cap, before they are gathered.
+    """
     rows = placed(messages)
-    kind = F.when(F.bool_or("orphan"), "tool-result").when(F.max("calls") > 0, "tool-pair").otherwise(F.min_by("role", "pos"))
-    parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
-    joined = F.aggregate(parts, F.lit(None).cast("string"), lambda a, p: F.when(a.isNull(), p["text"]).when(F.length(a) >= TEXT_CAP, a).otherwise(F.concat(a, F.lit("\n"), p["text"])))
+    has = lambda c: c in messages.columns
+    own = F.coalesce("text", F.lit(""))
+    head = F.substring(own, 1, TEXT_CAP)
+    if has("tool"):
+        call = F.concat(head, F.lit(CALLS), F.coalesce("tool", F.lit("")), F.lit(" "), F.coalesce("first_args", F.lit("")))
+        head = F.when((F.coalesce("n_calls", F.lit(0)) > 0) & (F.length(head) < TEXT_CAP), call).otherwise(head)
+    piece = F.when((F.col("role") == "tool") & ~F.col("orphan"), own).otherwise(head)
+    earlier = Window.partitionBy("session", "unit_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_piece", piece).withColumn("_before", F.coalesce(F.sum(F.length("_piece") + 1).over(earlier) - 1, F.lit(0)))
+    told = F.when((F.col("role") == "user") & F.col("checkpoint"), "checkpoint") if has("checkpoint") else F.lit(None).cast("string")
+    set_in = F.when((F.col("role") == "user") & F.col("injected"), "injected") if has("injected") else F.lit(None).cast("string")
+    kind = F.when(F.bool_or("orphan"), "tool-result").when(F.max("calls") > 0, "tool-pair").otherwise(F.min_by(F.coalesce(told, set_in, F.col("role")), "pos"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("_before") < TEXT_CAP, F.struct("pos", "_piece"))))
     results = F.count_if((F.col("role") == "tool") & ~F.col("orphan"))
-    return rows.groupBy("session", "unit_pos").agg(
+    carried = [F.min_by(c, "pos").alias(c) for c in ("ts", "tool", "tool_args", "source_event_seqs") if has(c)]
+    out = rows.groupBy("session", "unit_pos").agg(
         kind.alias("kind"),
         F.when(F.bool_or("orphan"), 0).otherwise(F.max("calls")).cast("long").alias("n_calls"),
         results.alias("n_results"),
@@ -54,8 +76,11 @@ def paired(messages: DataFrame) -> DataFrame:
         F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"),
         F.min_by("seq", "pos").alias("first_seq"),
         F.max_by("seq", "pos").alias("last_seq"),
-        joined.alias("text"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "seq"))), lambda x: x["seq"]).alias("seqs"),
+        F.array_join(F.transform(parts, lambda p: p["_piece"]), "\n").alias("text"),
+        *carried,
     )
+    return out.where("tokens > 0 or text <> '' or kind = 'tool-result'")
 
 
 def with_turns(rows: DataFrame) -> DataFrame:
@@ -65,6 +90,18 @@ def with_turns(rows: DataFrame) -> DataFrame:
     return out.withColumn("turns_after", F.sum(user).over(Window.partitionBy("session")) - F.col("user_turn"))
 
 
+def session_prices(surface: DataFrame, events: DataFrame, header: DataFrame) -> DataFrame:
+    """(session, tokens): what a request of a session costs, its header and every node of its surface.
+
+    ``events`` hold (session, seq, blocks, json); blocks are null where there is no message, which then
+    costs its JSON. Nodes without an event cost nothing. ``header`` is (session, header_tokens).
+    """
+    price = F.when(F.col("blocks").isNotNull(), priced_message(F.col("blocks"))).otherwise(priced_structure(F.col("json")))
+    nodes = surface.select("session", "seq").join(events.select("session", "seq", price.alias("_t")), ["session", "seq"], "left")
+    sums = nodes.groupBy("session").agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("_t"))
+    return sums.join(header, "session", "left").select("session", (F.col("_t") + F.coalesce("header_tokens", F.lit(0))).cast("long").alias("tokens"))
+
+
 def floor_tokens(window: Column, ratio: float = 0.06, least: int = 2048, most: int = 12288) -> Column:
     return F.floor(clamped(window * ratio, least, most)).cast("long")
 
@@ -108,7 +145,11 @@ def continuations(ends: DataFrame, cap: int = 3) -> DataFrame:
     """Adds how many cut-off answers in a row a row makes, and whether one more may follow.
 
     ``ends`` holds (session, pos, kind): only ``max-tokens`` continues, all else starts anew.
+    Where it holds ``turn`` and ``event_seq``, an end told twice counts once.
     """
+    if "event_seq" in ends.columns:
+        nth = F.row_number().over(Window.partitionBy("session", "turn", "event_seq").orderBy("pos"))
+        ends = ends.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     run = F.sum((F.col("kind") != "max-tokens").cast("long")).over(so_far())
     out = ends.withColumn("_run", run)
     inside = Window.partitionBy("session", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

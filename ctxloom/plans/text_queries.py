@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ctxloom.functions import patterns as P
 from ctxloom.functions import text as T
+from ctxloom.operators.duplicates import marked_repeats
 from ctxloom.operators.scoring import with_duplication
 from ctxloom.plans.registry import query, read
+from ctxloom.sources import capabilities as K
 
 #: SQL of the fingerprint text, volatile parts in the same order.
 NORMAL = "lower(text)"
@@ -27,10 +28,8 @@ def fingerprint_documents(spark, sf_dir):
 
 @query(f"WITH f AS (SELECT doc_id, {FP} AS fp FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY fp ORDER BY doc_id) > 1 AS is_repeat FROM f")
 def exact_duplicates(spark, sf_dir):
-    """The first of a fingerprint stays. min() pre-aggregates, so a hot text is no hot window."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
-    first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "fp").select("doc_id", (F.col("doc_id") > F.col("first")).alias("is_repeat"))
+    """The first of a fingerprint stays."""
+    return marked_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), T.fingerprint(F.col("text")), "doc_id")
 
 
 @query(f"WITH f AS (SELECT doc_id, {FP} AS fp FROM documents) SELECT fp, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM f GROUP BY fp HAVING count(*) > 1")
@@ -116,7 +115,7 @@ def extract_urls_paths(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", joined(P.URL).alias("urls"), joined(P.PATH_UNIX).alias("paths"))
 
 
-_FACT_SQL = " || ".join(
+FACT_SQL = " || ".join(
     f"regexp_extract_all(text, '{p}', {g})"
     for p, g in (
         (r"\d+(?:\.\d+)?\s?(?:ms|s|min|h|hours?|toks?/s|tokens?|chars?|characters?|lines?|files?|tests?|cases?|gb|mb|kb|percent|%|k\b|m\b)", 0),
@@ -137,14 +136,14 @@ _FACT_SQL = " || ".join(
 # Relative paths need a look-behind, which this SQL lacks; the documents have none.
 
 
-@query(f"WITH x AS (SELECT doc_id, list_distinct({_FACT_SQL}) AS f FROM documents) SELECT doc_id, len(f) AS n_facts, array_to_string(list_sort(f), '|') AS facts FROM x WHERE len(f) > 0")
+@query(f"WITH x AS (SELECT doc_id, list_distinct({FACT_SQL}) AS f FROM documents) SELECT doc_id, len(f) AS n_facts, array_to_string(list_sort(f), '|') AS facts FROM x WHERE len(f) > 0")
 def exact_facts_per_document(spark, sf_dir):
     """X7."""
     got = read(spark, sf_dir, "documents").select("doc_id", T.exact_facts(F.col("text")).alias("f"))
     return got.where(F.size("f") > 0).select("doc_id", F.size("f").cast("long").alias("n_facts"), F.array_join(F.array_sort("f"), "|").alias("facts"))
 
 
-@query(f"WITH x AS (SELECT DISTINCT source, unnest({_FACT_SQL}) AS fact FROM documents) SELECT source, count(*) AS n_facts, min(fact) AS first_fact, max(fact) AS last_fact FROM x GROUP BY source")
+@query(f"WITH x AS (SELECT DISTINCT source, unnest({FACT_SQL}) AS fact FROM documents) SELECT source, count(*) AS n_facts, min(fact) AS first_fact, max(fact) AS last_fact FROM x GROUP BY source")
 def facts_by_source(spark, sf_dir):
     """Distinct facts of a group of texts."""
     got = read(spark, sf_dir, "documents").select("source", F.explode(T.exact_facts(F.col("text"))).alias("fact")).distinct()
@@ -187,23 +186,49 @@ def greeting_flags(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_greeting(F.expr(_SAID)).alias("greets"))
 
 
-@query(r"""WITH x AS (SELECT vec_id, 'sk-' || vec_id || '中文字' || label AS t FROM embeddings) SELECT vec_id, array_to_string(list_sort(list_distinct(['中文', '文字'])), '|') AS bigrams, length(t) AS n FROM x""")
+_CJK = "'sk-' || doc_id || substr('记忆账本上下文窗口压缩决策', 1 + doc_id % 6, 2 + doc_id % 5) || ' and ' || substr('安全兼容目标', 1 + doc_id % 3, 1 + doc_id % 4) || substr(text, 1, 40)"
+
+
+@query(f"WITH x AS (SELECT doc_id, list_distinct(flatten(list_transform(regexp_extract_all({_CJK}, '[㐀-鿿]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS g FROM documents) SELECT doc_id, array_to_string(list_sort(g), '|') AS bigrams FROM x")
 def cjk_bigrams(spark, sf_dir):
-    """X6l: bigrams of CJK runs."""
-    t = F.concat(F.lit("sk-"), F.col("vec_id").cast("string"), F.lit("中文字"), F.col("label").cast("string"))
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.array_sort(T.cjk_bigrams(t)), "|").alias("bigrams"), F.length(t).cast("long").alias("n"))
+    """X6l: bigrams of CJK runs, in texts that have some."""
+    got = T.cjk_bigrams(F.expr(_CJK))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(got), "|").alias("bigrams"))
 
 
-@query(
-    r"""WITH x AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"contextWindow": 128000, "maxTokens": 4096}' WHEN 1 THEN '{"context_length": "200016"}' WHEN 2 THEN '{"maxTokens": -5, "max_model_len": 8192}' WHEN 3 THEN '{"limit": {"context": 64000, "output": 8000}}' ELSE 'broken' END AS j FROM events)
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN 128000 WHEN 1 THEN 200016 WHEN 2 THEN 8192 WHEN 3 THEN 64000 END::BIGINT AS context_window, CASE event_id % 5 WHEN 0 THEN 4096 WHEN 3 THEN 8000 END::BIGINT AS max_tokens FROM x"""
-)
+_INFO = """CASE event_id % 7 WHEN 0 THEN '{"contextWindow": ' || (event_id * 8) || ', "maxTokens": 4096}' WHEN 1 THEN '{"context": {"maxContextTokens": ' || event_id || '}, "defaultMaxTokens": -5, "max_tokens": "77"}' WHEN 2 THEN '{"maxTokens": 5, "max_model_len": ' || event_id || '.5}'
+ WHEN 3 THEN '{"max_tokens": 12}' WHEN 4 THEN '{"maxInputTokens": "' || (event_id + 9) || '", "output": {"maxOutputTokens": 8000}}' WHEN 5 THEN '{"contextWindow": 0, "maxModelLen": 9' || event_id || '}' ELSE 'broken' END"""
+
+
+def _first(names: list[str]) -> str:
+    number = lambda n: f"CASE WHEN json_valid(j) AND try_cast(json_extract_string(j, '$.{n}') AS DOUBLE) > 0 AND try_cast(json_extract_string(j, '$.{n}') AS DOUBLE) = floor(try_cast(json_extract_string(j, '$.{n}') AS DOUBLE)) THEN CAST(try_cast(json_extract_string(j, '$.{n}') AS DOUBLE) AS BIGINT) END"
+    return "coalesce(" + ", ".join(number(n) for n in names) + ")"
+
+
+@query(f"WITH x AS (SELECT event_id, {_INFO} AS j FROM events), y AS (SELECT event_id, {_first(K.INFO_WINDOW)} AS w, {_first(K.INFO_OUTPUT)} AS o FROM x) SELECT event_id, w AS context_window, CASE WHEN w IS NOT NULL THEN coalesce(o, 0) END AS max_tokens FROM y")
 def model_capabilities(spark, sf_dir):
-    """S11 X25."""
-    from ctxloom.sources.capabilities import capability
+    """What adapters report, under any of their names."""
+    return read(spark, sf_dir, "events").select("event_id", K.capability(F.expr(_INFO)).alias("c")).select("event_id", "c.context_window", "c.max_tokens")
+
 
-    j = F.expr("""CASE event_id % 5 WHEN 0 THEN '{"contextWindow": 128000, "maxTokens": 4096}' WHEN 1 THEN '{"context_length": "200016"}' WHEN 2 THEN '{"maxTokens": -5, "max_model_len": 8192}' WHEN 3 THEN '{"limit": {"context": 64000, "output": 8000}}' ELSE 'broken' END""")
-    return read(spark, sf_dir, "events").select("event_id", capability(j).alias("c")).select("event_id", "c.context_window", "c.max_tokens")
+_LISTED = """CASE event_id % 3 WHEN 0 THEN '{"data": [{"id": "other", "context_length": 1}, {"id": "m' || (event_id % 9) || '", "context_length": ' || (event_id + 7) || ', "top_provider": {"max_completion_tokens": 55}}]}'
+ WHEN 1 THEN '{"models": {"m' || (event_id % 9) || '": {"limit": {"context": ' || (event_id + 3) || ', "output": 44}}}}' ELSE '{"data": [{"name": "m4", "max_input_tokens": ' || event_id || '}]}' END"""
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id + 7 WHEN 1 THEN event_id + 3 ELSE CASE WHEN event_id % 9 = 4 AND event_id > 0 THEN event_id END END AS context_window, CASE event_id % 3 WHEN 0 THEN 55 WHEN 1 THEN 44 ELSE CASE WHEN event_id % 9 = 4 AND event_id > 0 THEN 0 END END::BIGINT AS max_tokens FROM events")
+def listed_capabilities(spark, sf_dir):
+    """One model of a backend's listing."""
+    got = K.listed_capability(F.expr(_LISTED), F.expr("concat('m', event_id % 9)"))
+    return read(spark, sf_dir, "events").select("event_id", got.alias("c")).select("event_id", "c.context_window", "c.max_tokens")
+
+
+_FAILED = "CASE event_id % 8 WHEN 0 THEN 'Context_length exceeded' WHEN 1 THEN 'the maximum supported context window is 8k' WHEN 2 THEN 'request exceeds the limit of this context' WHEN 3 THEN 'context of any length' WHEN 4 THEN 'prompt is too long' WHEN 5 THEN 'messages are too large for its context' WHEN 6 THEN 'context window limit exceeded' ELSE NULL END"
+
+
+@query(rf"SELECT event_id, coalesce(regexp_matches({_FAILED}, '(?i)context[\s_-](?:length|window)[\s_-](?:exceed(?:ed|s)?|overflow(?:ed)?|limit[\s_-]exceeded)|maximum(?:\s+(?:allowed|supported))?\s+context\s+(?:length|window)|(?:input|prompt|request|messages?)\b.{{0,60}}\b(?:exceed(?:ed|s)?|too\s+(?:large|long))\b.{{0,60}}\bcontext\b'), false) AS overflow FROM events")
+def overflow_messages(spark, sf_dir):
+    """X23."""
+    return read(spark, sf_dir, "events").select("event_id", T.is_overflow_message(F.expr(_FAILED)).alias("overflow"))
 
 
 @query("SELECT source, count(*) AS n_docs, count(DISTINCT fp) AS n_texts FROM (SELECT source, " + FP + " AS fp FROM documents) GROUP BY source")
@@ -214,8 +239,20 @@ def repeat_rate_by_source(spark, sf_dir):
     return one.groupBy("source").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS is_last FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, substr(arg_max(text, turn) FILTER (role = 'user' AND turn % 5 <> 4 AND text <> ''), 1, 2000) AS said FROM conversations GROUP BY conv_id")
 def last_user_messages(spark, sf_dir):
-    """X27."""
-    users = read(spark, sf_dir, "conversations").where("role = 'user'")
-    return users.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1).alias("is_last"))
+    """The last text that a user wrote; every fifth turn stands for a checkpoint and is passed over."""
+    live = F.when((F.col("role") == "user") & (F.col("turn") % 5 != 4) & (F.col("text") != ""), F.col("turn"))
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.substring(F.max_by("text", live), 1, 2000).alias("said"))
+
+
+_SPELLED = "'Error E_ONE e_one ' || substr(text, 1, 200) || ' on 10.0.0.' || (doc_id % 9) || ':8' || (doc_id % 10) || '00 ran `make it` in 3' || (doc_id % 7) || ' MS'"
+
+
+@query(f"WITH x AS (SELECT doc_id, {_SPELLED} AS t FROM documents) SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(t, ':(\\d{{2,5}})\\b', 1)), '|') AS ports, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\b'))), '|') AS ips, array_to_string(list_distinct(regexp_extract_all(t, '`[^`\\n]{{2,160}}`')), '|') AS commands, list_contains(list_transform(regexp_extract_all(t, '(?i)\\d+(?:\\.\\d+)?\\s?(?:ms|s|min|h|hours?|toks?/s|tokens?|chars?|characters?|lines?|files?|tests?|cases?|gb|mb|kb|percent|%|k\\b|m\\b)'), lambda s: lower(s)), '3' || (doc_id % 7) || ' ms') AS took FROM x")
+def extracted_lanes(spark, sf_dir):
+    """X6 X6g X6i X6j X6m: ports, addresses, commands with their quotes, numbers of any case."""
+    e = T.extracted(F.expr(_SPELLED))
+    got = read(spark, sf_dir, "documents").select("doc_id", e.alias("e"))
+    joined = lambda k: F.array_join(F.array_sort(f"e.{k}"), "|")
+    return got.select("doc_id", joined("ports").alias("ports"), joined("ips").alias("ips"), joined("commands").alias("commands"), F.exists("e.numbers", lambda n: F.lower(n) == F.concat(F.lit("3"), F.col("doc_id") % 7, F.lit(" ms"))).alias("took"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ctxloom.operators.units import with_recent_floor
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,13 +51,21 @@ _ORDER = {
 }
 
 
+#: Tokens of a session that are too new to touch.
+FLOOR = 3000
+
+
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as scored units: a customer is a session."""
+    """Orders as scored units: a customer is a session, its newest orders are in the floor."""
     made = [F.expr(v.replace("1000.0", "1000D")).alias(k) for k, v in _ORDER.items()]
-    return _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("first_seq"), F.col("o_orderkey").alias("last_seq"), *made, (F.col("o_orderkey") > 14000).alias("in_floor"), F.expr("concat('Z', o_custkey % 6)").alias("zone"))
+    return _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").alias("first_seq"), F.col("o_orderkey").alias("last_seq"), *made, F.expr("concat('Z', o_custkey % 6)").alias("zone")).transform(with_recent_floor, F.lit(FLOOR))
 
 
-ORDER_UNITS = "o AS (SELECT o_custkey AS session, o_orderkey AS pos, " + ", ".join(f"{v.replace('1000.0', '1000.0::DOUBLE')} AS {k}" for k, v in _ORDER.items()) + ", o_orderkey > 14000 AS in_floor, 'Z' || (o_custkey % 6) AS zone FROM orders)"
+ORDER_UNITS = (
+    "o0 AS (SELECT o_custkey AS session, o_orderkey AS pos, " + ", ".join(f"{v.replace('1000.0', '1000.0::DOUBLE')} AS {k}" for k, v in _ORDER.items()) + ", 'Z' || (o_custkey % 6) AS zone FROM orders),\n"
+    "o1 AS (SELECT *, sum(tokens) OVER (PARTITION BY session ORDER BY pos DESC) AS cum FROM o0),\n"
+    f"o AS (SELECT * EXCLUDE (cum), pos >= coalesce(max(pos) FILTER (cum >= {FLOOR}) OVER (PARTITION BY session), min(pos) OVER (PARTITION BY session)) AS in_floor FROM o1)"
+)
 
 TIER = "CASE WHEN protection IN ('P0', 'P0_TRANSIENT') THEN 'PINNED' WHEN score >= 0.82 OR (before = 'HOT' AND score >= 0.70) THEN 'HOT' WHEN score >= 0.58 OR (before = 'WARM' AND score >= 0.48) THEN 'WARM' WHEN score >= 0.28 THEN 'COLD' ELSE 'TRASH' END"
 ALLOWED = "((zone IN ('Z2', 'Z3', 'Z4', 'Z5') AND tier IN ('TRASH', 'COLD')) OR (zone IN ('Z3', 'Z4', 'Z5') AND tier = 'WARM') OR (zone = 'Z5' AND tier = 'HOT'))"
@@ -90,18 +100,23 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER = """l AS (SELECT 'DECISIONS-' || (o_orderkey // 200) AS file, o_orderkey * 5 AS place, 'DEC-' || o_orderkey AS id, o_orderkey AS key, o_orderpriority AS title, CAST('0.' || (o_orderkey % 10) AS DOUBLE) AS confidence,
  CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'SUPERSEDED' ELSE 'STALE' END AS status, 'see DEC-' || (o_orderkey - 1) AS fact, 'total ' || CAST(floor(o_totalprice) AS BIGINT) || ' for order ' || o_orderkey AS source, o_totalprice, o_custkey FROM orders)"""
 
-_OP = "CASE o_orderkey % 7 WHEN 0 THEN 'add' WHEN 1 THEN 'Supersede' WHEN 2 THEN 'AMEND' WHEN 3 THEN 'conflict' WHEN 4 THEN 'resolve conflict' WHEN 5 THEN 'noop' ELSE 'explode' END"
+_OP = "CASE o_orderkey % 8 WHEN 0 THEN 'add' WHEN 1 THEN 'Supersede' WHEN 2 THEN 'AMEND' WHEN 3 THEN 'conflict' WHEN 4 THEN 'resolve conflict' WHEN 5 THEN 'noop' WHEN 6 THEN 'explode' ELSE 'update-state' END"
+_BODY = "CASE WHEN o_orderkey % 8 = 7 THEN concat('state at ', o_orderkey, chr(10), 'next') WHEN o_orderkey % 5 = 0 THEN concat('limit ', o_orderkey, '77 ms') WHEN o_orderkey % 5 = 1 THEN concat('about order ', o_orderkey) ELSE 'no numbers here' END"
+_QUOTE = "concat('total ', CAST(floor(o_totalprice) AS BIGINT), ' for order ', o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '9' ELSE '' END)"
 
 
 def ledger_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as operations on the ledger entry before them; every fourth quote is wrong."""
-    key = F.col("o_orderkey")
-    o = _read(spark, sf_dir, "orders")
-    quote = F.expr("concat('total ', CAST(floor(o_totalprice) AS BIGINT), ' for order ', o_orderkey)")
-    return o.select(
-        F.expr("o_orderkey div 100").alias("batch"), key.alias("idx"), F.expr(_OP).alias("op"), F.lit("DEC").alias("kind"), F.concat(F.lit("order "), key).alias("title"), F.when(key % 5 == 0, F.concat(F.lit("limit "), key, F.lit("77 ms"))).otherwise("no numbers here").alias("body"),
-        F.concat(F.lit("DEC-"), key - 1).alias("target_id"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("source_ref"), F.when(key % 4 == 0, F.concat(quote, F.lit("9"))).otherwise(quote).alias("source_quote"), F.when(key % 3 == 0, F.expr("concat('TX-', o_orderkey div 10)")).alias("grp"),
-    )
+    """Orders as operations of all kinds on the ledger entry before them; every ninth quote is wrong."""
+    key, op = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    of = lambda *kinds: op.isin(*kinds)
+    said = F.expr(_QUOTE)
+    kind = F.when(key % 16 == 1, "Requirement").otherwise("decision")
+    instead = F.struct(kind.alias("kind"), F.concat(F.lit("instead "), key).alias("title"), F.expr(_BODY).alias("body"), F.lit(0.95).alias("confidence"), F.lit("").alias("source_ref"), said.alias("source_quote"))
+    return _read(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 100").alias("batch"), key.alias("idx"), F.expr(_OP).alias("op"), F.lit(" Decision").alias("kind"), F.concat(F.lit("order "), key).alias("title"), F.expr(_BODY).alias("body"),
+        F.concat(F.lit("DEC-"), key - 1).alias("target_id"), F.concat(F.lit("topic "), key).alias("topic"), F.concat(F.lit("settled "), key).alias("resolution"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("source_ref"),
+        F.when(~of(1, 7), said).alias("source_quote"), F.when(key % 3 == 0, F.expr("concat('TX-', o_orderkey div 10)")).alias("grp"), F.when(of(1), instead).alias("replacement"),
+    )
 
 
 def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +124,16 @@ def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 100").alias("batch"), F.col("o_orderkey").alias("seq"), F.expr("concat('we saw total ', CAST(floor(o_totalprice) AS BIGINT), ' for order ', o_orderkey, ' today')").alias("text"))
 
 
+#: Benchmark items as ledger entries of three files.
+ITEMS = """i AS (SELECT CASE item_id % 3 WHEN 0 THEN 'DECISIONS.md' WHEN 1 THEN 'TECH.md' ELSE 'PROJECT.md' END AS file, item_id AS place,
+ CASE item_id % 3 WHEN 0 THEN 'DEC-' WHEN 1 THEN 'TECH-' ELSE 'REQ-' END || lpad(CAST(item_id AS VARCHAR), 3, '0') AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title,
+ CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, substr(text, 1, 90) AS body FROM benchmark),
+x AS (SELECT *, '## [' || id || '] ' || title || chr(10) || '- status: ' || status || chr(10) || '- ' || body AS raw FROM i)"""
+
+
+def item_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _read(spark, sf_dir, "benchmark").select(
+        F.expr("CASE item_id % 3 WHEN 0 THEN 'DECISIONS.md' WHEN 1 THEN 'TECH.md' ELSE 'PROJECT.md' END").alias("file"), F.col("item_id").alias("place"), F.expr("concat(CASE item_id % 3 WHEN 0 THEN 'DEC-' WHEN 1 THEN 'TECH-' ELSE 'REQ-' END, lpad(cast(item_id as string), 3, '0'))").alias("id"),
+        F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title"), F.expr("CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END").alias("status"), F.substring("text", 1, 90).alias("body"),
+    )
+    return i.withColumn("raw", F.concat(F.lit("## ["), "id", F.lit("] "), "title", F.lit("\n- status: "), "status", F.lit("\n- "), "body"))

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Files of a ledger with what stands for one that is missing.
-TEMPLATES = {"INDEX.md": "# INDEX", "PROJECT.md": "# PROJECT", "STATE.md": "# STATE", "DECISIONS.md": "# DECISIONS", "TECH.md": "# TECH", "HISTORY.md": "# HISTORY", "CONFLICTS.md": "# CONFLICTS"}
+TEMPLATES = {
+    "INDEX.md": "# INDEX\n\n> Rebuilt at every sync.\n",
+    "PROJECT.md": "# PROJECT\n\n<!-- Entries: ## [REQ-NNN] Title, then bullets. -->\n",
+    "STATE.md": "# STATE\n\n## [STATE-CURRENT] (no sync yet)\n",
+    "DECISIONS.md": "# DECISIONS\n\n<!-- Entries: ## [DEC-NNN] Title, then bullets. -->\n",
+    "TECH.md": "# TECH\n\n<!-- Entries: ## [TECH-NNN] Title, then bullets. -->\n",
+    "HISTORY.md": "# HISTORY\n\n<!-- One line for each sync. -->\n",
+    "CONFLICTS.md": "# CONFLICTS\n\n<!-- Entries: ## [CONFLICT-NNN] Title, then bullets. -->\n",
+}
 
 
 def ledger_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +27,18 @@ def ledger_files(spark: SparkSession, folder: str) -> DataFrame:
     return names.join(found, "file", "left").select("file", F.coalesce("content", "template").alias("content"), F.coalesce("size", F.lit(0)).alias("size"), "modified")
 
 
+def seeded(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content) of the files that a folder lacks, as they would be made."""
+    there = ledger_files(spark, folder).where("modified is not null").select("file")
+    return spark.createDataFrame(list(TEMPLATES.items()), "file string, content string").join(there, "file", "left_anti")
+
+
+def status(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, size, modified, n_conflicts): a folder at a glance; conflicts are ACTIVE ones."""
+    open_ = found.where("file = 'CONFLICTS.md' and coalesce(status, 'ACTIVE') = 'ACTIVE'").agg(F.count("*").alias("n_conflicts"))
+    return files.select("file", "size", "modified").withColumn("_one", F.lit(1)).join(F.broadcast(open_.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
+
+
 def ledger_lines(files: DataFrame, history: bool = False) -> DataFrame:
     """(file, line_no, text); the index leaves HISTORY out."""
     kept = files if history else files.where("file <> 'HISTORY.md'")
@@ -29,6 +49,20 @@ SIDECAR = "struct<sessions:map<string,map<string,array<string>>>,unresolved:map<
 STATE = "struct<sessions:map<string,struct<turns:long,lastSyncedSeq:long,lastSyncMs:long,lastSource:string>>,revision:long>"
 
 
+def sidecar(spark: SparkSession, name: str) -> DataFrame:
+    """(json): a sidecar as one row, none where it is absent. Spark's readers pass over names with a leading dot."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return spark.createDataFrame([], "json string")
+    data = fs.open(path)
+    try:
+        return spark.createDataFrame([(jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"),)], "json string")
+    finally:
+        data.close()
+
+
 def bindings(raw: DataFrame) -> DataFrame:
     """(session, seq, entry_id) of provenance JSON; broken JSON gives nothing."""
     sessions = raw.select(F.explode(F.from_json("json", SIDECAR)["sessions"]).alias("session", "seqs"))

@@ -2,21 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: A message's blocks, tool results already brought to text.
+from ctxloom.functions import patterns as P
+from ctxloom.functions.text import trim
+
+#: A message's blocks, what is nested in them already brought to text.
 BLOCK = "struct<type:string,text:string,name:string,arguments:string,content:string>"
 EVENTS = T.StructType.fromDDL(f"session string, seq long, ts timestamp, type string, role string, blocks array<{BLOCK}>, source struct<kind:string,form:string,plugin:string>, source_event_seqs array<long>")
 DELTA_CAP = 160000
 
 
 def block_text(blocks: Column) -> Column:
-    """Texts of text, reasoning and result blocks by line; calls are not part of it."""
-    shown = F.filter(blocks, lambda b: b["type"].isin("text", "tool-result"))
-    return F.array_join(F.transform(shown, lambda b: F.coalesce(b["text"], b["content"], F.lit(""))), "\n")
+    """Texts of text, reasoning, result and other blocks by line; calls and empty ones are not part of it."""
+    said = F.transform(F.filter(blocks, lambda b: b["type"] != "tool-call"), lambda b: F.when(b["type"] == "tool-result", b["content"]).when(b["type"].isin("text", "reasoning"), b["text"]).otherwise(F.coalesce(b["content"], b["text"])))
+    return F.array_join(F.filter(said, lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n")
+
+
+#: Blocks inside blocks are brought to text down to this depth.
+DEPTH = 4
+
+
+def flat_blocks(content: Column, depth: int = DEPTH) -> Column:
+    """The ``blocks`` of a message's content: plain text, or JSON blocks whose content nests ``depth`` deep."""
+    are_blocks = lambda items: F.coalesce(F.forall(items, lambda b: b.startswith("{")), F.lit(False))
+
+    def text_of(value: Column, left: int) -> Column:
+        if not left:
+            return value
+        items = F.when(value.startswith("["), F.from_json(value, "array<string>"))
+        part = lambda b: F.coalesce(F.when(F.get_json_object(b, "$.type").isin("text", "reasoning"), F.get_json_object(b, "$.text")), text_of(F.get_json_object(b, "$.content"), left - 1), F.get_json_object(b, "$.text"))
+        return F.when(are_blocks(items), F.array_join(F.filter(F.transform(items, part), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n")).otherwise(value)
+
+    one = lambda b: F.struct(*(F.get_json_object(b, f"$.{k}").alias(k) for k in ("type", "text", "name", "arguments")), text_of(F.get_json_object(b, "$.content"), depth).alias("content"))
+    items = F.when(content.startswith("["), F.from_json(content, "array<string>"))
+    whole = F.struct(F.lit("text").alias("type"), content.alias("text"), *(F.lit(None).cast("string").alias(k) for k in ("name", "arguments", "content")))
+    return F.when(are_blocks(items), F.transform(items, one)).when(content.isNotNull(), F.array(whole))
+
+
+RAW = "type string, seq long, time long, data struct<role:string,content:string,source:struct<kind:string,form:string,plugin:string>,sourceEventSeqs:array<long>,message:struct<role:string,content:string,source:struct<kind:string,form:string,plugin:string>>>, source struct<kind:string,form:string,plugin:string>, sourceEventSeqs array<long>"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of session logs in JSON lines, ``path``/<session>.jsonl; broken lines are left out."""
+    raw = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl\z", 1).alias("session"), F.from_json("value", RAW).alias("e")).where("e.type is not null")
+    content = F.coalesce("e.data.message.content", "e.data.content")
+    return raw.select(
+        "session", "e.seq", F.timestamp_millis("e.time").alias("ts"), "e.type", F.coalesce("e.data.message.role", "e.data.role").alias("role"), flat_blocks(content).alias("blocks"),
+        F.coalesce("e.data.message.source", "e.data.source", "e.source").alias("source"), F.coalesce("e.sourceEventSeqs", "e.data.sourceEventSeqs").alias("source_event_seqs"),
+    )
+
+
+def resolved(events: DataFrame, session: str) -> DataFrame:
+    """The log of one session by its exact id, never another's; an error if there is none."""
+    found = events.where(F.col("session") == session)
+    if not found.take(1):
+        raise LookupError(f"no session {session}")
+    return found
 
 
 def calls(blocks: Column) -> Column:
@@ -28,7 +73,8 @@ def messages(events: DataFrame) -> DataFrame:
     role = F.when(F.col("type") == "user/message", "user").when(F.col("type") == "assistant/message", "assistant").when(F.col("type") == "tool/result", "tool")
     compaction = (F.col("source.kind") == "compaction") | ((F.col("source.kind") == "plugin") & (F.col("source.form") == "compaction"))
     checkpoint = F.coalesce((role == "user") & ((F.size("source_event_seqs") > 0) | compaction), F.lit(False))
-    injected = F.coalesce((role == "user") & ~checkpoint & F.col("source.kind").isNotNull() & (F.col("source.kind") != "user"), F.lit(False))
+    framed = trim(block_text(F.col("blocks"))).rlike(P.FRAMING)
+    injected = (role == "user") & ~checkpoint & (F.coalesce(F.col("source.kind") != "user", F.lit(False)) | F.coalesce(framed, F.lit(False)))
     first = F.get(calls(F.col("blocks")), 0)
     return events.where(role.isNotNull()).select(
         "session", "seq", "ts", role.alias("role"), block_text(F.col("blocks")).alias("text"), F.greatest(F.size(calls(F.col("blocks"))), F.lit(0)).alias("n_calls"), first["name"].alias("tool"), F.array_join(F.transform(calls(F.col("blocks")), lambda c: c["arguments"]), "\n").alias("tool_args"), checkpoint.alias("checkpoint"), injected.alias("injected"), "source_event_seqs"

@@ -23,7 +23,11 @@ def _rows(parts: Iterator[pd.DataFrame], order: str = "seq") -> pd.DataFrame:
 
 
 def cursor(rows: DataFrame) -> DataFrame:
-    """Rows past the last seq seen of their session, once each, whatever order batches come in."""
+    """Rows past the last seq seen of their session, once each.
+
+    A session's rows come in order from batch to batch, as its log has them: a row behind the
+    cursor was synced before, or belongs to an earlier log, and is not sent again.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
@@ -111,3 +115,27 @@ def counts_by_window(events: DataFrame, late: str = "10 minutes", size: str = "5
 def sessions_by_gap(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Activity sessions that a gap ends; an extension."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "n")
+
+
+def cached_capabilities(lookups: DataFrame, ttl_ms: int = 15_000) -> DataFrame:
+    """Lookups of a route (session), each with the answer that is in force and whether it was fetched anew.
+
+    ``lookups`` hold (session, seq, at_ms, window): what the backend would answer, null if it fails. An
+    answer holds for ``ttl_ms``; after that a failed fetch leaves the old one in force, told as stale.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, held = state.get if state.exists else (-1, None)
+        out = []
+        for seq, now, window in _rows(parts)[["seq", "at_ms", "window"]].itertuples(index=False):
+            how = "cached"
+            if held is None or now - at >= ttl_ms:
+                if pd.isna(window):
+                    how = "stale" if held is not None else "none"
+                else:
+                    at, held, how = int(now), int(window), "fetched"
+            out.append((key[0], int(seq), held, how))
+        state.update((at, held))
+        yield pd.DataFrame(out, columns=["session", "seq", "window", "how"]).astype({"window": "Int64"})
+
+    return _stateful(lookups, step, "session long, seq long, window long, how string", "at long, window long")

@@ -35,3 +35,9 @@ def test_watermarked_counts(spark, tmp_path):
     frame = lambda d: state.counts_by_window(d.withColumn("ts", F.to_timestamp("ts")))
     got = run(spark, tmp_path, [rows, [("2024-01-01 03:01:00", "click", 1.0)]], "ts string, event_type string, value double", frame, "windows").collect()
     assert sum(r.n for r in got) == 8
+
+
+def test_capabilities_are_held_for_a_while(spark, tmp_path):
+    rows = [[(1, 1, 0, 100), (1, 2, 5_000, 200)], [(1, 3, 15_000, None), (1, 4, 16_000, 300), (2, 1, 0, None)]]
+    got = run(spark, tmp_path, rows, "session long, seq long, at_ms long, window long", state.cached_capabilities, "caps")
+    assert {(r.session, r.seq): (r.window, r.how) for r in got.collect()} == {(1, 1): (100, "fetched"), (1, 2): (100, "cached"), (1, 3): (100, "stale"), (1, 4): (300, "fetched"), (2, 1): (None, "none")}
