@@ -47,7 +47,8 @@ def unescape(text: Column) -> Column:
 def paths(edges: DataFrame) -> DataFrame:
     """All root-to-leaf paths of ``edges`` (tree, node, parent): (tree, leaf, node, up).
 
-    ``up`` is the distance from the leaf. ``tree`` and ``node`` are never null.
+    ``up`` is the distance from the leaf. ``tree`` and ``node`` are never null and together a
+    key: a node that comes twice would bring its paths twice.
     """
     nodes = edges.select("tree", "node", "parent")
     known = nodes.select("tree", F.col("node").alias("parent"))

@@ -24,9 +24,14 @@ from ctxloom.llm.words import FOLD, raw
 #: Texts where a space or newline touches other white space, an end, or the cut mark.
 UNSAFE = r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|^ | $|\x01|\n[\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}]\n"
 #: Bytes of text per step, entries and ids that a worker keeps.
-STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 300_000, 3_000_000
-#: Marks that are one token of their own when they follow a letter and end a piece.
-STOPS = ".,"
+STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 600_000, 6_000_000
+#: ASCII marks: none is a letter, a digit, white space or changed by what stands before it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Before a piece that has no space before it.
+MARK = "\x01"
+#: A-Z as a-z, a newline as a space.
+FLAT = FOLD.copy()
+FLAT[10] = 32
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,7 +58,6 @@ class PieceTokenizer:
         #: Of the two kinds known here, one lower-cases and drops spaces, the other keeps both.
         self.lower = "Lowercase" in json.dumps(shape["normalizer"])
         self.lead = "" if self.lower else BYTES[ord(" ")]
-        self.stops: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -94,49 +98,69 @@ class PieceTokenizer:
         return piece.isalpha() and (not self.lower or piece.isascii() or (piece == piece.lower() and is_normalized("NFC", piece)))
 
     def _learn(self, pieces: list[str]) -> None:
-        letters, others = [p for p in pieces if self._plain(p)], [p for p in pieces if not self._plain(p)]
-        ids = [[t.id for t in self.tokenizer.model.tokenize(self.lead + p if p.isascii() else self.lead + p.encode().decode("latin-1").translate(BYTES))] for p in letters]
-        ids += self._whole([p[1:] if p[:1] == "\x01" else p if p == "\n" else " " + p for p in others])
-        pieces = letters + others
+        """Add pieces in their order. One that begins with the mark has no space before it."""
+        tokenize, lead, ids, others = self.tokenizer.model.tokenize, self.lead, [], []
+        for i, p in enumerate(pieces):
+            word, before = (p[1:], "") if p[:1] == MARK else (p, lead)
+            if self._plain(word):
+                ids.append([t.id for t in tokenize(before + word if word.isascii() else before + word.encode().decode("latin-1").translate(BYTES))])
+            else:
+                ids.append(None)
+                others.append(i)
+        texts = (pieces[i] for i in others)
+        for i, found in zip(others, self._whole([p[1:] if p[:1] == MARK else p if p == "\n" else " " + p for p in texts]), strict=True):
+            ids[i] = found
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         self._store(pieces, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths by text, for texts that are safe to cut."""
-        mark, none = pa.scalar("\x01", pa.large_string()), pa.scalar("", pa.large_string())
-        if self.lower:
+        if self.lower:  # a newline is a space there, and a word has the same ids wherever it stands
             data, bounds = raw(texts)
-            texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(FOLD[data])])
-        marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", " \n \x01"), none)
-        lists = pc.split_pattern(marked, " ")
+            texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(FLAT[data])])
+        else:
+            mark, none = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
+            texts = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", f" \n {MARK}"), none)
+        lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > MAX_ENTRIES or self.used > MAX_IDS:
+        words = coded.dictionary
+        # Marks behind a letter or digit are cut off before the model sees them: "word" and "word," share their ids.
+        bare = pc.utf8_rtrim(words, MARKS)
+        ended = pc.and_(pc.match_substring_regex(bare, r"[\pL\pN]$"), pc.less(pc.binary_length(bare), pc.binary_length(words)))
+        stems = pc.if_else(ended, bare, words).dictionary_encode()
+        with_tail = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
+        tails = pc.struct_field(pc.extract_regex(words.take(pa.array(with_tail)), f"(?s)(?P<tail>[{re.escape(MARKS)}]+)$"), "tail").dictionary_encode()
+        names = stems.dictionary.to_pylist()
+        n_stems = len(names)
+        names += [MARK + x for x in tails.dictionary.to_pylist()]
+        names, twice = (names, None) if len(set(names)) == len(names) else (list(dict.fromkeys(names)), names)
+        if len(self.known) + len(names) > MAX_ENTRIES or self.used > MAX_IDS:
             self._make_room()
-        # A stop after a letter is a token of its own: "word" and "word," share their ids.
-        ended = [len(p) > 2 and p[-1] in STOPS and p[-2].isalpha() for p in pieces]
-        stems = [p[:-1] if e else p for p, e in zip(pieces, ended, strict=True)]
-        if new := dict.fromkeys(p for p in stems if p not in self.known):
-            self._learn(list(new))
-        stem = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(pieces))
-        self.steps[np.unique(stem)] += 1
-        stop = np.fromiter((self._stop(p[-1]) if e else -1 for p, e in zip(pieces, ended, strict=True)), np.int64, len(pieces))
+        stem = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if len(new := np.flatnonzero(stem < 0)):
+            stem[new] = len(self.known) + np.arange(len(new))
+            self._learn([names[i] for i in new.tolist()])
+        self.steps[stem] += 1
+        if twice:  # marks that stand alone at the head of a line too
+            place = dict(zip(names, stem.tolist(), strict=True))
+            stem = np.array([place[x] for x in twice], np.int64)
+        tail = np.full(len(words), -1, np.int64)
+        tail[with_tail] = stem[n_stems:][tails.indices.to_numpy()]
         codes = coded.indices.to_numpy()
-        at, stop = stem[codes], stop[codes]
-        lens = self.lens[at]
-        all_lens = lens + (stop >= 0)
+        at, tail = stem[:n_stems][stems.indices.to_numpy()][codes], tail[codes]
+        ended = np.flatnonzero(tail >= 0)
+        tail = tail[ended]
+        extra = self.lens[tail]
+        all_lens = self.lens[at]
+        all_lens[ended] += extra
         ends = np.cumsum(all_lens)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.minimum(np.repeat(self.starts[at] - (ends - all_lens), all_lens) + np.arange(total), len(self.flat) - 1)]
-        flat[ends[stop >= 0] - 1] = stop[stop >= 0]
+        run = np.arange(int(extra.sum())) - np.repeat(np.cumsum(extra) - extra, extra)
+        flat[np.repeat(ends[ended] - extra, extra) + run] = self.flat[np.repeat(self.starts[tail], extra) + run]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return flat, np.diff(bounds)
 
-    def _stop(self, mark: str) -> int:
-        if mark not in self.stops:
-            (self.stops[mark],) = self._whole([mark])[0]
-        return self.stops[mark]
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each; a null text is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())

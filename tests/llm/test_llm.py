@@ -74,10 +74,11 @@ def plain_ids(name, text):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_equal_the_library(name):
-    texts = [r[1] for r in corpus()] + ["don't, STOP.", "İstanbul ΣΑΣ.", "éa b", "1,234.5 x", "<|endoftext|> y", "a<|startoftext|>b and <|endoftext|>.", "<|ENDOFTEXT|> z", "a \n b", "tab\t x", "Ünïcode, wörds."]
+    texts = [r[1] for r in corpus()] + ["don't, STOP.", "İstanbul ΣΑΣ.", "éa b", "1,234.5 x", "<|endoftext|> y", "a<|startoftext|>b and <|endoftext|>.", "<|ENDOFTEXT|> z", "a \n b", "tab\t x", "Ünïcode, wörds.", "abc$$$ don't.. a'. x's!! 12). (so) it's' v1.2.3, a-b- c'\n$$$ %% x%%\n%% end!?", "e\u0301. a\u0301$ <\u0338 x<\u0338! \u0301", "日本語。日本語, ½! ²? Ⅷ.", "a_b_ __init__. #tag# @me@", "\n".join(["$$$ x", "$$$"] * 3)]
+    texts += [" ".join(rng.choice(parts) for _ in range(12)) for rng in [random.Random(5)] for parts in [["a", "B'", "'s", "it's", "3", "3.", "x$", "$", "''", "é", "é!", "-", "a-", "\u0301", "x\u0301.", "ʼ", "'LL", "'ll'"]] for _ in range(300)]
     flat, lens = PieceTokenizer(vocabulary(name)).encode(pa.array(texts, pa.string()))
     ends = np.cumsum(lens)
-    assert all(flat[e - n : e].tolist() == plain_ids(name, t) for t, e, n in zip(texts, ends, lens, strict=True))
+    assert [t for t, e, n in zip(texts, ends, lens, strict=True) if flat[e - n : e].tolist() != plain_ids(name, t)] == []
 
 
 @settings(max_examples=30, deadline=None)
@@ -282,6 +283,26 @@ def test_repeats(spark, docs, empty):
     assert left.columns == docs.columns and left.agg(F.sum(F.length("text"))).first()[0] < docs.agg(F.sum(F.length("text"))).first()[0]
 
 
+def test_a_passage_in_every_document(spark):
+    """Frequent anchors and equal surroundings, in one task and over many, with ties at the edges."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    rows = []
+    for i in range(120):
+        edge = rng.choice(["same edge ", "", word() + " "])
+        rows.append((rng.choice([i, i, i, None, 7]), f"{word()} {word()} {edge}{passage[rng.choice([0, 0, 40]) :]}{edge}{word()}" + (" again " + passage if i % 9 == 0 else "")))
+    for parts in (1, 7):
+        got = repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert collections.Counter(map(tuple, got.collect())) == brute_repeats(rows)
+
+
+def test_numbered():
+    nth, several = repeats._numbered(np.array([5, 3, 5, 5, 3, 9]))
+    assert nth.tolist() == [0, 0, 1, 2, 1, 0] and several.tolist() == [5]
+    assert [len(x) for x in repeats._numbered(np.zeros(0, np.int64))] == [0, 0]
+
+
 def test_anchors_of_long_texts_come_in_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 105, 5000).astype(np.uint8)

@@ -1,5 +1,6 @@
 """Operators against plain scans where a shortcut could leave results out."""
 
+import os
 import random
 import time
 
@@ -8,7 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ctxloom.llm import decontaminate, licenses, urls
+from ctxloom.llm import chat, decontaminate, licenses, quality, repeats, toxicity, urls
+from ctxloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 
 
 def changed(rng, words, places):
@@ -150,3 +155,52 @@ def test_url_list_entry_of_one_label(spark):
     captures = spark.createDataFrame(asked, "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
     got = {r.page_id: r.verdict for r in urls.judged(captures, listed).collect()}
     assert got == {1: "block", 2: "allow", 3: "unlisted", 4: "unlisted", 5: "block"}
+
+
+@needs_tables
+def test_quality_rejects_what_labels_call_bad(spark):
+    """Labels measure only: at least half of the bad that passes the base rules goes, 3 % of the good at most."""
+    got = quality.quality_report(spark.read.parquet(f"{SF}/documents.parquet")).where("not base_failed").select("doc_id", "kept")
+    rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+    assert len(bad) > 20 and bad.count(False) >= 0.5 * len(bad) and good.count(False) <= 0.03 * len(good)
+
+
+@needs_tables
+def test_quality_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    small = SF.replace("0.01", "0.001")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    cursor = con.execute(ORACLES["op3_quality_rules"])
+    names = [c[0] for c in cursor.description]
+    got = QUERIES["op3_quality_rules"](spark, small).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "you idiot", "a", "b", 2.0, True), (2, "Released under the MIT License.", "c", "d", 3.0, None)], "doc_id long, text string, spans string, mark string, score double, predicted boolean")
+    marks = spark.createDataFrame([(k, k % 2, "x") for k in range(40)], "doc_id long, toxic int, text string")
+    assert toxicity.scored(docs, toxicity.learned(docs, marks)).columns == ["doc_id", "score", "predicted", "spans"]
+    assert [r.license for r in licenses.scan(docs).collect()] == ["MIT-notice"]
+    turns = spark.createDataFrame([(1, 0, "user", "q", "t", 5, "l"), (1, 1, "assistant", "a", "t", 5, "l")], "conv_id long, turn long, role string, text string, tree string, node long, leaf string")
+    assert chat.transcripts(turns).count() == 1
+    captures = spark.createDataFrame([(1, "http://a.b/", "p", "v", "h", 3)], "page_id long, url string, pattern string, verdict string, host string, in_month int").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    entries = spark.createDataFrame([("b", "block", "x", 1)], "pattern string, verdict string, host string, page_id int").withColumn("listed_at", F.lit("2024-01-05").cast("timestamp"))
+    assert [r.verdict for r in urls.judged(captures, entries).collect()] == ["block"]
+
+
+def test_very_long_and_empty_texts():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    words[150_000:150_000] = licenses.TEMPLATES["MIT"].split()
+    long = " ".join(words)
+    texts = pa.array([long, "", None, " \n\t", "x"])
+    assert [(r[0], r[1]) for r in licenses.Scanner(licenses.TEMPLATES).rows(texts)] == [(0, "MIT")]
+    model = toxicity.fit(["bad idiot here", "a fine day"] * 60, [1, 0] * 60)
+    score, chance, counts = toxicity.score(model, texts)
+    assert len(score) == 5 and counts.tolist() == [len(words), 0, 0, 0, 1] and len(chance) == len(words) + 1
+    known = decontaminate.Benchmark([" ".join(words[100_000:100_040])])
+    assert [(d, m) for d, _, m, _, _ in known.found(*decontaminate._words(texts))] == [(0, 40)]
+    data = np.frombuffer(long.encode(), np.uint8)
+    assert sum(int(e - s) + 1 for s, e in zip(*repeats.anchors(data, np.array([0, len(data)]))[3:], strict=True)) == len(data) - repeats.LENGTH + 1
