@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +64,18 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so when the driver collects what refers to them, which else may be long after the
+    disk is full. What a job leaves behind takes two rounds: its plan, then what the plan held.
+    """
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.2)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``table`` once nothing needs them any more."""
     spark = df.sparkSession
