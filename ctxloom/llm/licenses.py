@@ -220,13 +220,17 @@ class Scanner:
         apart = WIDE * max(map(len, self.words)) + 1
         place = hits + doc * apart
         order = np.argsort(word, kind="stable")
-        by_word, by_place = word[order], place[order]
+        all_words, all_places = word[order], place[order]
         out: dict[int, list[tuple[int, int, int]]] = {}
         for t, (template, times) in enumerate(zip(self.words, self.times, strict=True)):
             wide, own = WIDE * len(template), times[word] > 0
-            at, own_doc = place[own], doc[own]
-            if not len(at):
+            # a document with fewer of its words than a window needs has no window
+            enough = np.bincount(doc[own], minlength=len(counts)) >= LEAST * len(template)
+            if not enough.any():
                 continue
+            own &= enough[doc]
+            at, own_doc = place[own], doc[own]
+            by_word, by_place = all_words[own[order]], all_places[own[order]]
             # a word at p counts for begins b with p - wide < b <= p that leave fewer of the same between than the template has
             several, after = times[by_word], []
             for n in np.unique(times[times > 0]).tolist():
@@ -244,12 +248,14 @@ class Scanner:
                 out.setdefault(d, []).append((t, lo, min(hi + wide, int(counts[d]))))
         return out
 
-    def regions(self, words: np.ndarray, runs: np.ndarray, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
-        """(license, matched, template words, first and last + 1 word) of one text."""
+    def regions(self, words: np.ndarray, places: np.ndarray, runs: np.ndarray, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
+        """(license, matched, template words, first and last + 1 word) of one text, whose runs that any template has stand at ``places``."""
         for t, (name, template, own) in enumerate(zip(self.names, self.words, self.runs, strict=True)):
+            if len(words) < LEAST * len(template):
+                continue
             found = [x for k, lo, hi in spans if k == t for x in self._windows(words, template, lo, hi)]
             yield from ((name, matched, len(template), a, b) for matched, a, b in found)
-            at = np.flatnonzero(np.isin(runs, own))
+            at = places[np.isin(runs, own)]
             if not len(at):
                 continue
             for hits in np.split(at, np.flatnonzero(np.diff(at) > len(template)) + 1):
@@ -279,11 +285,13 @@ class Scanner:
         ends = np.cumsum(counts)
         runs = _runs(words)
         spans = self.spans(words, counts)
-        hit = np.searchsorted(ends, np.flatnonzero(np.isin(runs, self.all)), "right").tolist()
+        hits = np.flatnonzero(np.isin(runs, self.all))
+        hits = hits[hits + RUN <= ends[np.searchsorted(ends, hits, "right")]]
         out = []
-        for doc in sorted({*hit, *spans}):
+        for doc in sorted({*np.searchsorted(ends, hits, "right").tolist(), *spans}):
             a, b = int(ends[doc] - counts[doc]), int(ends[doc])
-            out += [(doc, *x) for x in best(self.regions(words[a:b], runs[a : max(a, b - RUN + 1)], spans.get(doc, [])))]
+            own = hits[np.searchsorted(hits, a) : np.searchsorted(hits, b)]
+            out += [(doc, *x) for x in best(self.regions(words[a:b], own - a, runs[own], spans.get(doc, [])))]
         return out
 
 
