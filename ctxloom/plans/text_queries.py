@@ -108,10 +108,10 @@ def extract_keywords(spark, sf_dir):
     return got.groupBy("keyword").agg(F.count("*").alias("n_docs"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '\bhttps?://[^\s"''`<>]+'))), '|') AS urls, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '(?:/[A-Za-z0-9_.@-]+){2,}'))), '|') AS paths FROM pages""")
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url || ' ' || html, '\bhttps?://[^\s"''`<>]+'))), '|') AS urls, array_to_string(list_sort(list_distinct(regexp_extract_all(url || ' ' || html, '(?:/[A-Za-z0-9_.@-]+){2,}'))), '|') AS paths FROM pages""")
 def extract_urls_paths(spark, sf_dir):
     """X6b X6c."""
-    joined = lambda p: F.array_join(F.array_sort(T.found(F.col("url"), p)), "|")
+    joined = lambda p: F.array_join(F.array_sort(T.found(F.concat("url", F.lit(" "), "html"), p)), "|")
     return read(spark, sf_dir, "pages").select("page_id", joined(P.URL).alias("urls"), joined(P.PATH_UNIX).alias("paths"))
 
 

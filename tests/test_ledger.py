@@ -269,3 +269,32 @@ def test_prune_keeps_the_first_and_the_floor(spark):
     df = spark.createDataFrame(rows, "session long, pos long, kind string, open boolean, tool string, args string, text string, protection string, tier string, in_floor boolean, x double")
     assert [r.action for r in R.planned(df, F.lit("Z2")).orderBy("pos").collect()] == ["none", "drop", "none"]
     assert [r.action for r in R.planned(df, F.lit("Z0")).orderBy("pos").collect()] == ["none", "none", "none"]
+
+
+def test_retries_and_policies(spark):
+    rows = spark.createDataFrame([("a", 1, True, True), ("a", 2, True, True), ("b", 1, False, True), ("c", 1, True, False)], "request string, attempt int, overflow boolean, shrank boolean")
+    assert {(r.request, r.attempt): r.retried for r in B.overflow_retries(rows, F.lit(1)).collect()} == {("a", 1): True, ("a", 2): False, ("b", 1): False, ("c", 1): False}
+    base, own = spark.createDataFrame([("target", 10), ("margin", 2)], "name string, value long"), spark.createDataFrame([("p/m", "target", 7)], "route string, name string, value long")
+    assert {(r.name, r.value) for r in B.route_policy(base, own).collect()} == {("target", 7), ("margin", 2)}
+    plans = spark.createDataFrame([(s, t) for s in (1, 2) for t in range(5)], "session long, at long")
+    assert {r.at for r in B.newest(plans, "at", 2, ["session"]).collect()} == {3, 4} and B.newest(plans, "at", 3).count() == 3
+    spec = spark.range(1).select(B.calibrated_spec(F.lit(1000), F.lit(0.8), F.lit(0.25), F.lit(None).cast("long"), F.lit(2)).alias("s")).first().s
+    assert tuple(spec) == (800, 250, 2)
+
+
+def test_every_operation_is_applied_or_rejected(spark):
+    import random
+
+    rng = random.Random(4)
+    said = "we are now 62.31 tok/s"
+    kinds = ["ADD", "AMEND", "SUPERSEDE", "CONFLICT", "UPDATE_STATE", "NOOP", "RESOLVE_CONFLICT", "odd"]
+    rows = [(1, i, rng.choice(kinds), rng.choice(["DEC", "REQ", "x"]), "t", rng.choice(["now 62.31 tok/s", "now 1.5 ms", ""]), rng.choice(["DEC-001", "DEC-002", "DEC-9"]), None, rng.choice(["E1", "E2", None]), rng.choice(["now 62.31 tok/s", "never", None]), rng.choice([None, "T1", "T2"]), "topic", "done", REPLACEMENT) for i in range(60)]
+    found = L.entries(lines(spark))
+    made = L.minted(judged(spark, rows, found, [(1, said)], [("E1", 1, said)]), lines(spark)).persist()
+    got = made.collect()
+    assert sorted(r.idx for r in got) == list(range(60))
+    assert all((r.new_id is not None) == (r.reason is None and r.op in ("ADD", "SUPERSEDE", "CONFLICT")) for r in got)
+    groups = {r.grp for r in got if r.reason not in (None, "GROUP_REJECTED") and r.grp}
+    assert all(r.reason is not None for r in got if r.grp in groups)
+    ids = [r.new_id for r in got if r.new_id]
+    assert len(ids) == len(set(ids)) and not {"DEC-001", "DEC-002"} & set(ids)

@@ -59,3 +59,32 @@ def test_route_key_parity(spark):
 
 def test_content_type_table():
     assert len(P.CONTENT_TYPES) == 23 and P.CONTENT_TYPES["hard-constraint"][1] is None
+
+
+def test_first_spelling_wins(spark):
+    row = spark.range(1).select(T.spelled_once(F.array(*map(F.lit, ["B", "a", "b", "A", "c"]))).alias("x"), T.extracted(F.lit("see DEC-1 dec-1 `make it` 3 MS at 10.0.0.1:8080, gpt-4o")).alias("e")).first()
+    assert row.x == ["B", "a", "c"] and row.e.commands == ["`make it`"] and row.e.ports == ["8080"] and row.e.ips == ["10.0.0.1"] and row.e.models == ["dec-1", "gpt-4o"] and "3 MS" in row.e.numbers and row.e.ids == ["DEC-1"]
+
+
+def test_pointers_and_what_a_viewer_shows(spark):
+    row = spark.range(1).select(T.persistent_pointer(F.array(F.lit("b"), F.lit("a"), F.lit("b"), F.lit(""))).alias("p"), T.persistent_pointer(F.array().cast("array<string>")).alias("q"), T.shown(F.lit("x" * 50), 40).alias("s"), T.share(F.lit(0.1234)).alias("h"), T.bytes_shown(F.lit(1536)).alias("b")).first()
+    assert tuple(row) == ("Persistent details:\nb\na", "", "x" * 40 + "\n… (10 more characters)", "12.3%", "1.5 KB")
+
+
+def test_whole_numbers_only(spark):
+    df = spark.createDataFrame([("12",), ("1.5",), ("9007199254740993",), ("-1",), ("x",), (" 7 ",), (None,)], "t string")
+    assert [r.n for r in df.select(T.positive_integer(F.col("t")).alias("n")).collect()] == [12, None, None, None, None, 7, None]
+
+
+def test_overflow_messages(spark):
+    said = ["context length exceeded", "maximum context length is 5", "request exceeds its context", "context of any length", "prompt is too long", None]
+    df = spark.createDataFrame([(s,) for s in said], "t string")
+    assert [r.o for r in df.select(T.is_overflow_message(F.col("t")).alias("o")).collect()] == [True, True, True, False, False, False]
+
+
+def test_message_prices(spark):
+    blocks = [("text", "a" * 9, None, None, None), ("tool-call", None, "read", "x" * 18, None), ("tool-result", None, None, None, "y" * 18), ("tool-result", None, None, None, None)]
+    df = spark.createDataFrame([(blocks,)], "b array<struct<type:string,text:string,name:string,arguments:string,content:string>>")
+    assert df.select(T.priced_message(F.col("b")).alias("n")).first().n == (3 + 4) + (1 + 10 + 4) + (10 + 4 + 4) + 4 + 4
+    wide = spark.createDataFrame([("漢字，",)], "t string").select(T.text_units(F.col("t")).alias("n")).first().n
+    assert wide == 8
