@@ -24,7 +24,7 @@ from ctxloom.llm.words import FOLD, raw
 #: Texts where a space or newline touches other white space, an end, or the cut mark.
 UNSAFE = r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|^ | $|\x01|\n[\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}]\n"
 #: Bytes of text per step, entries and ids that a worker keeps.
-STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 600_000, 6_000_000
+STEP_BYTES, MAX_ENTRIES, MAX_IDS = 4 << 20, 400_000, 4_000_000
 #: ASCII marks: none is a letter, a digit, white space or changed by what stands before it.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Before a piece that has no space before it.
