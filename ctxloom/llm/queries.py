@@ -9,6 +9,7 @@ from ctxloom.llm.licenses import op1_license_scans
 from ctxloom.llm.merkle import OP13_SQL, op13_merkle_manifest
 from ctxloom.llm.middle import OP12_SQL, op12_fill_in_middle
 from ctxloom.llm.packing import op5_packing
+from ctxloom.llm.private import op11_personal_data
 from ctxloom.llm.quality import op3_quality_rules
 from ctxloom.llm.quality_sql import OP3_SQL
 from ctxloom.llm.repeats import op9_suffix_array_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_personal_data": op11_personal_data,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
