@@ -195,9 +195,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _likely() -> F.Column:
     """Whether two classes of n and m shingles that share ``common`` prefix shingles may link.
 
-    What they share beyond the prefix that ends first lies in its document's last a - l.
+    Of the two, the one whose prefix ends first in the common order shares no prefix shingle
+    with the other but in both prefixes, so what they share is at most its ``most``, and what it
+    shares beyond its prefix lies in its last a - l. Which one that is isn't known here, so the
+    greater bound of both counts.
     """
-    return F.expr("4 * least(n, m) >= 3 * greatest(n, m) and least(most, most_b) >= (3 * (n + m) + 6) div 7 and common >= (3 * (n + m) + 6) div 7 - greatest((3 * n + 3) div 4 - l, (3 * m + 3) div 4 - k) and common >= least(l, k)")
+    return F.expr("4 * least(n, m) >= 3 * greatest(n, m) and greatest(most, most_b) >= (3 * (n + m) + 6) div 7 and common >= (3 * (n + m) + 6) div 7 - greatest((3 * n + 3) div 4 - l, (3 * m + 3) div 4 - k) and common >= least(l, k)")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -220,7 +223,7 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = table(met.where("lo <> hi").select("token", "class", "n", "l", "early").distinct(), "shared")
     # Of a group's classes the one that shares most is likeliest to link with the others.
     shares = shared.groupBy("class").agg(F.count("*").alias("shares"))
-    # Prefix shingles that no other class has can't be common: ``most`` bounds what may be.
+    # Prefix shingles in no other prefix can't be common with a class whose prefix ends later: ``most`` bounds what may be.
     weighed = table(shared.join(shares, "class").withColumn("most", F.expr("(3 * n + 3) div 4 - l + shares")), "weighed")
     drop_table(shared)
     free_shuffles(spark)
@@ -244,7 +247,7 @@ def linked(docs: DataFrame) -> DataFrame:
     split = table(split, "split")
     free_shuffles(spark)
     # The smaller of two linked classes shares one of its first n - ceil(6 n / 7) + 1 shingles.
-    fits = "root <> other and (n < m or (n = m and class < b)) and 4 * n >= 3 * m and least(most, most_b) >= (3 * (n + m) + 6) div 7"
+    fits = "root <> other and (n < m or (n = m and class < b)) and 4 * n >= 3 * m and greatest(most, most_b) >= (3 * (n + m) + 6) div 7"
     other = lambda rows, *more: rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("most_b"), *more)
     held = split.groupBy("class").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("most").alias("most"), F.collect_list("token").alias("held"), F.collect_list(F.when(F.col("early"), F.col("token"))).alias("firsts"))
     few = split.where(F.col("size") <= LARGE)
