@@ -13,7 +13,7 @@ import itertools
 import json
 import os
 import re
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,23 @@ class PieceTokenizer:
         #: Of the two kinds known here, one lower-cases and drops spaces, the other keeps both.
         self.lower = "Lowercase" in json.dumps(shape["normalizer"])
         self.lead = "" if self.lower else BYTES[ord(" ")]
+        self.firm: dict[str, bool] = {}
         self._clear()
 
+    def _firm(self, ends: pa.Array) -> pa.Array:
+        """Whether each letter or digit still ends in one when normalised.
+
+        Some come apart into a letter and a combining mark there, and an ASCII mark behind them
+        then joins that mark instead of standing alone.
+        """
+        coded = ends.dictionary_encode()
+        letters = coded.dictionary.to_pylist()
+        for c in letters:
+            if c not in self.firm:
+                normal = c if c.isascii() or self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(c)
+                self.firm[c] = bool(normal) and category(normal[-1])[0] in "LN"
+        return pa.array([self.firm[c] for c in letters], pa.bool_()).take(coded.indices)
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -127,6 +142,7 @@ class PieceTokenizer:
         # Marks behind a letter or digit are cut off before the model sees them: "word" and "word," share their ids.
         bare = pc.utf8_rtrim(words, MARKS)
         ended = pc.and_(pc.match_substring_regex(bare, r"[\pL\pN]$"), pc.less(pc.binary_length(bare), pc.binary_length(words)))
+        ended = pc.and_(ended, self._firm(pc.utf8_slice_codeunits(bare, -1, None)))
         stems = pc.if_else(ended, bare, words).dictionary_encode()
         with_tail = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
         tails = pc.struct_field(pc.extract_regex(words.take(pa.array(with_tail)), f"(?s)(?P<tail>[{re.escape(MARKS)}]+)$"), "tail").dictionary_encode()
