@@ -15,7 +15,7 @@ each stretch of touching windows settles the document's spans, however long. A s
 stays if it has its kind's digits (Luhn's sum for cards, four parts to 255) and no pattern's
 span overlaps it.
 
-Nulls: a null text is empty, a null doc_id is kept and, in the sample, comes first. Repeated rows have equal
+Nulls: a null text is empty, a null doc_id is kept and counts as -1 in the sample, of several texts under one id the least is learned from. Repeated rows have equal
 results. An empty table gives no row; without any span in the sample the tagger learns from made
 ones only. Other columns are ignored.
 """
@@ -210,8 +210,10 @@ def trained(texts: list[str], made: int = MADE, epochs: int = EPOCHS) -> Tagger:
 
 def learned(docs: DataFrame) -> Tagger:
     """Trained on the sample of ``docs``."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= LONGEST))
-    rows = held.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).select("text").collect()
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= LONGEST))
+    picked = held.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = held.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # SAMPLE rows at most
+    rows.sort(key=lambda r: r["doc_id"])
     return trained([r["text"] for r in rows])
 
 
