@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.functions.text import exact_facts, persistent_pointer
+from ctxloom.operators.contains import held_in
 from ctxloom.operators.coverage import P0_LEAST, P1_LEAST, shrunk
 
 #: Spans under so many tokens aren't worth a summary, and unsynced rows wait so long at most.
@@ -24,13 +25,16 @@ def is_checkpoint() -> Column:
 def region_facts(units: DataFrame, originals: DataFrame) -> DataFrame:
     """(region, grade, fact): exact facts of protected units, and of what a checkpoint stands for.
 
-    ``originals`` are (session, seq, text) of the log; seqs that it lacks are passed over.
+    ``originals`` are (session, seq, text) of the log; seqs that it lacks are passed over. Of units
+    with a ``late`` flag a fact has it too, true if any unit that it comes from is late.
     """
     grade = F.when(F.col("protection").isin("P0", "P0_TRANSIENT"), "P0").when(F.col("protection") == "P1", "P1")
+    marks = ["late"] if "late" in units.columns else []
     graded = units.withColumn("grade", grade).where("grade is not null")
-    own = graded.select("region", "grade", "text")
-    shadowed = graded.where(is_checkpoint()).select("region", "grade", "session", F.explode("source_event_seqs").alias("seq")).join(originals, ["session", "seq"]).select("region", "grade", "text")
-    return own.unionByName(shadowed).select("region", "grade", F.explode(exact_facts(F.coalesce("text", F.lit("")))).alias("fact")).distinct()
+    own = graded.select("region", "grade", "text", *marks)
+    shadowed = graded.where(is_checkpoint()).select("region", "grade", "session", F.explode("source_event_seqs").alias("seq"), *marks).join(originals, ["session", "seq"]).select("region", "grade", "text", *marks)
+    rows = own.unionByName(shadowed).select("region", "grade", F.explode(exact_facts(F.coalesce("text", F.lit("")))).alias("fact"), *marks)
+    return rows.groupBy("region", "grade", "fact").agg(F.bool_or("late").alias("late")) if marks else rows.distinct()
 
 
 def recovered(units: DataFrame, originals: DataFrame) -> DataFrame:
@@ -41,12 +45,21 @@ def recovered(units: DataFrame, originals: DataFrame) -> DataFrame:
 
 
 def _judged(attempts: DataFrame, facts: DataFrame) -> DataFrame:
-    """Attempts (region, attempt, memory, summary) with their shares and missing facts."""
-    each = attempts.join(facts, "region", "left")
-    kept = F.contains(F.concat_ws("\n", "summary", "memory"), F.col("fact"))
-    share = lambda g: F.coalesce(F.try_divide(F.count_if((F.col("grade") == g) & kept), F.count_if(F.col("grade") == g)), F.lit(1.0))
-    missing = F.array_sort(F.collect_list(F.when(F.col("fact").isNotNull() & ~kept, F.col("fact"))))
-    out = each.groupBy("region", "attempt").agg(F.first("summary").alias("summary"), share("P0").alias("p0_share"), share("P1").alias("p1_share"), missing.alias("missing"))
+    """Attempts (region, attempt, memory, summary) with their shares and missing facts.
+
+    ``facts`` are (region, grade, fact, late); an attempt past the second must keep the late ones only.
+    Each summary is read once, by the facts of its region; no summary is copied to a row for each fact.
+    """
+    said = attempts.select(F.col("region").alias("scope"), F.col("attempt").alias("row_id"), F.concat_ws("\n", "summary", "memory").alias("text"))
+    hits = held_in(said, facts.select(F.col("region").alias("scope"), F.col("fact").alias("string")))
+    hits = hits.select(F.col("scope").alias("region"), F.col("row_id").alias("attempt"), F.col("string").alias("fact"), F.lit(True).alias("kept"))
+    asked = attempts.select("region", "attempt").join(facts, "region").where((F.col("attempt") <= 2) | F.col("late"))
+    each = asked.join(hits, ["region", "attempt", "fact"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    share = lambda g: F.coalesce(F.try_divide(F.count_if((F.col("grade") == g) & F.col("kept")), F.count_if(F.col("grade") == g)), F.lit(1.0))
+    missing = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("fact"))))
+    found = each.groupBy("region", "attempt").agg(share("P0").alias("p0_share"), share("P1").alias("p1_share"), missing.alias("missing"))
+    out = attempts.select("region", "attempt", "summary").join(found, ["region", "attempt"], "left")
+    out = out.withColumns({"p0_share": F.coalesce("p0_share", F.lit(1.0)), "p1_share": F.coalesce("p1_share", F.lit(1.0)), "missing": F.coalesce("missing", F.array().cast("array<string>"))})
     return out.withColumn("passes", (F.col("p0_share") >= P0_LEAST) & (F.col("p1_share") >= P1_LEAST))
 
 
@@ -60,9 +73,9 @@ def compacted(units: DataFrame, originals: DataFrame, attempts: DataFrame, memor
     in an emergency (regions of ``emergency``), its facts go to memory and the last summary names them
     (degraded).
     """
-    facts = region_facts(units, originals)
     smaller = shrunk(units)
-    late = region_facts(smaller, originals)
+    found = region_facts(units.join(smaller.select("region", "unit_id", F.lit(True).alias("late")), ["region", "unit_id"], "left").withColumn("late", F.coalesce("late", F.lit(False))), originals)
+    facts = found.select("region", "grade", "fact")
     sizes = units.groupBy("region").agg(F.count("*").alias("n_units"), F.bool_or(is_checkpoint()).alias("synced"))
     kept = smaller.groupBy("region").agg(F.count("*").alias("n_kept"))
     every = facts.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("grade", "fact"))).alias("all"))
@@ -75,7 +88,7 @@ def compacted(units: DataFrame, originals: DataFrame, attempts: DataFrame, memor
     standing = standing.withColumn("memory", F.concat_ws("\n", "_memory", F.when(F.col("synced"), persistent_pointer(listed))))
     shrinks = F.col("n_kept") < F.col("n_units")
     given = standing.join(attempts.select("region", "attempt", "summary"), "region").where((F.col("attempt") <= 2) | ((F.col("attempt") == 3) & shrinks)).select("region", "attempt", "summary", "memory")
-    judged = _judged(given.where("attempt <= 2"), facts).unionByName(_judged(given.where("attempt = 3"), late))
+    judged = _judged(given, found)
     # a summary that was never written ends the loop where it is missing
     said = judged.where("summary is not null")
     first = F.min(F.when(F.col("passes"), F.col("attempt")))

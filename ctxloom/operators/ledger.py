@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxloom.functions.text import collapsed, exact_atoms, trim
+from ctxloom.operators import contains
 
 #: Entry heads as operations, the index and sections read them.
 OPS_HEAD = r"^##\s+\[([A-Z]+-\d+|STATE-CURRENT)\]"
@@ -235,22 +236,10 @@ def evidence(ops: DataFrame, rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def held_once(rows: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(batch, quote, hits, hit_seq, hit_text): rows of a batch that hold a collapsed quote, and the first.
-
-    Quotes are met by a whole word inside them and then compared; those of two words or less
-    are compared with all rows of their batch.
-    """
-    log = rows.select("batch", "seq", collapsed(F.col("text")).alias("low"))
-    parts = F.split("quote", " ")
-    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    keyed = quotes.withColumn("word", F.get(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 0))
-    words = log.select("batch", "seq", F.explode(F.array_distinct(F.split("low", " "))).alias("word"))
-    met = words.join(keyed.where("word is not null"), ["batch", "word"]).select("batch", "seq", "quote")
-    short = log.select("batch", "seq").join(keyed.where("word is null").drop("word"), "batch").select("batch", "seq", "quote")
-    pairs = met.unionByName(short).join(log, ["batch", "seq"]).where(F.contains("low", "quote")).select("batch", "quote", "seq")
-    hits = pairs.groupBy("batch", "quote").agg(F.count("*").alias("hits"), F.min("seq").alias("hit_seq"))
-    text = rows.select("batch", F.col("seq").alias("hit_seq"), F.col("text").alias("hit_text"))
-    return hits.join(text, ["batch", "hit_seq"], "left")
+    """(batch, quote, hits, hit_seq, hit_text): rows of a batch that hold a collapsed quote, and the first."""
+    log = rows.select(F.col("batch").alias("scope"), "seq", "text", collapsed(F.col("text")).alias("low"))
+    hits = contains.held_once(log, quotes.select(F.col("batch").alias("scope"), F.col("quote").alias("string")))
+    return hits.select(F.col("scope").alias("batch"), F.col("string").alias("quote"), "hits", "hit_seq", "hit_text")
 
 
 def unbacked(new: Column, old: Column, backing: Column) -> Column:

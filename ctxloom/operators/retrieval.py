@@ -7,31 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxloom.functions import patterns as P
-from ctxloom.functions.text import CJK, estimated_tokens, ledger_terms, trim
+from ctxloom.functions.text import estimated_tokens, ledger_terms, trim
+from ctxloom.operators.contains import held
 from ctxloom.operators.ledger import STATE
 
-#: Terms are met by their first letters, as many as these at most, and then compared.
-GRAM = 4
-
-
-def _grams(low: Column) -> Column:
-    """All windows of two to ``GRAM`` letters; those of two only where both are CJK."""
-    windows = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    short = F.filter(windows(2), lambda g: g.rlike(CJK + "{2}"))
-    return F.array_distinct(F.concat(short, *(windows(n) for n in range(3, GRAM + 1))))
-
 
 def held_terms(messages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(message_id, term) of terms that stand anywhere in a message, whatever the case.
-
-    An equi-join on a term's first letters, so neither side is tried against all of the other;
-    texts are met again by message only for the terms that are left.
-    """
-    low = messages.select("message_id", F.lower("text").alias("low"))
-    grams = low.select("message_id", F.explode(_grams(F.col("low"))).alias("gram"))
-    keyed = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
-    met = grams.join(keyed, "gram").select("message_id", "term")
-    return met.join(low, "message_id").where(F.contains("low", "term")).select("message_id", "term").distinct()
+    """(message_id, term) of terms that stand anywhere in a message, whatever the case; each text is read once."""
+    low = messages.select(F.col("message_id").alias("row_id"), F.lower("text").alias("text"))
+    return held(low, terms.select(F.col("term").alias("string"))).select(F.col("row_id").alias("message_id"), F.col("string").alias("term"))
 
 
 #: Ids that a message can cite: three digits, as the ledger mints them.
@@ -87,17 +71,27 @@ def memory_class(text: Column, n_terms: Column, n_ids: Column) -> Column:
 ORDER = ["DECISIONS.md", "TECH.md", "PROJECT.md", "CONFLICTS.md"]
 
 
+def entry_hits(messages: DataFrame, found: DataFrame) -> DataFrame:
+    """(message_id, id, hits, file, place): ACTIVE entries by the number of their terms that a message holds."""
+    terms = entry_terms(found)
+    hits = held_terms(messages, terms).join(terms, "term").groupBy("message_id", "id").agg(F.count("*").alias("hits"))
+    return hits.join(active(found).select("id", "file", "place"), "id")
+
+
+def _best_first() -> list[Column]:
+    """Most hits first; equal ones in the order of their files and places."""
+    return [F.desc("hits"), F.array_position(F.array(*map(F.lit, ORDER)), F.col("file")), F.col("place"), F.col("id")]
+
+
 def matched_entries(messages: DataFrame, found: DataFrame, top: int = 4, file: str | None = None) -> DataFrame:
     """ACTIVE entries by the number of their terms that a message holds, the best ``top``.
 
     Equal ones come in the order of their files and places; ``file`` takes one file only.
     """
     found = found.where(F.col("file").isin([file] if file else ORDER))
-    hits = held_terms(messages, entry_terms(found)).join(entry_terms(found), "term").groupBy("message_id", "id").agg(F.count("*").alias("hits"))
-    known = active(found).select("id", "file", "place", "title", "raw")
-    at = F.array_position(F.array(*map(F.lit, ORDER)), F.col("file"))
-    nth = F.row_number().over(Window.partitionBy("message_id").orderBy(F.desc("hits"), at, "place", "id"))
-    return hits.join(known, "id").withColumn("nth", nth).where(F.col("nth") <= top)
+    nth = F.row_number().over(Window.partitionBy("message_id").orderBy(*_best_first()))
+    best = entry_hits(messages, found).withColumn("nth", nth).where(F.col("nth") <= top)
+    return best.join(active(found).select("id", "file", "place", "title", "raw"), ["id", "file", "place"])
 
 
 #: What a class shows of the ledger: entries related to the message by file, or the last of a file.
@@ -107,6 +101,21 @@ HEAD = "## Project memory (class %s)\nThe ledger holds more: use memory_search f
 MARKER = "\n…(state cut to the budget of its class; the whole text is in STATE.md)"
 
 
+def related_blocks(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(message_id, b): entry blocks that a message's class takes, at their places; hits are computed once for all parts."""
+    own = found.where(F.col("file").isin(ORDER))
+    hits = entry_hits(asked.where(F.col("class").isin(*RELATED)), own).join(asked.select("message_id", "class", "scoped"), "message_id")
+    limits = [(name, at, file, top) for name, parts in RELATED.items() for at, (file, top) in enumerate(parts)]
+    of = lambda value, other: F.coalesce(*(F.when((F.col("class") == name) & (F.lit(True) if file is None else F.col("file") == file), F.lit(value(at, top))) for name, at, file, top in limits), F.lit(other))
+    placed = hits.withColumn("at", of(lambda at, _: at, -1)).withColumn("top", of(lambda _, top: top, 0)).where("at >= 0")
+    # A message that asks for its scope gets the first requirements instead of the related ones.
+    placed = placed.where(~F.col("scoped") | ((F.col("class") == "C4") & (F.col("file") != "PROJECT.md")))
+    nth = F.row_number().over(Window.partitionBy("message_id", "at").orderBy(*_best_first()))
+    best = placed.withColumn("nth", nth).where(F.col("nth") <= F.col("top"))
+    blocks = active(own).select("id", "file", "place", _entry_block().alias("block"))
+    return best.join(blocks, ["id", "file", "place"]).select("message_id", F.struct("at", "nth", "block").alias("b"))
+
+
 def _entry_block(title: str = "title") -> Column:
     return F.concat(F.lit("### "), "id", F.lit(" — "), title, F.lit("\n"), trim(F.col("raw")))
 
@@ -132,12 +141,7 @@ def render_context(messages: DataFrame, found: DataFrame, state: Column, router:
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     asked = messages.select("message_id", "class", "text", (low.rlike(P.INTENT_GOAL) | low.rlike(P.INTENT_WORK)).alias("scoped"))
-    related = None
-    for name, parts in RELATED.items():
-        for at, (file, top) in enumerate(parts):
-            some = asked.where((F.col("class") == name) & (~F.col("scoped") | F.lit(file is not None and file != "PROJECT.md")))
-            one = matched_entries(some, found, top, file).select("message_id", F.struct(F.lit(at).alias("at"), "nth", _entry_block().alias("block")).alias("b"))
-            related = one if related is None else related.unionByName(one)
+    related = related_blocks(asked, found)
     related = related.groupBy("message_id").agg(F.sort_array(F.collect_list("b")).alias("related"))
     view = views(found, state, router)
     out = asked.withColumn("_one", F.lit(1)).join(F.broadcast(view.withColumn("_one", F.lit(1))), "_one").join(related, "message_id", "left")  # the view is one bounded row

@@ -298,3 +298,32 @@ def test_every_operation_is_applied_or_rejected(spark):
     assert all(r.reason is not None for r in got if r.grp in groups)
     ids = [r.new_id for r in got if r.new_id]
     assert len(ids) == len(set(ids)) and not {"DEC-001", "DEC-002"} & set(ids)
+
+
+def test_containment_every_way(spark):
+    """Automata in slices, equi-joins, and scopes dealt to many tasks agree with plain search."""
+    import random
+
+    from ctxloom.operators import contains as C
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé0") for _ in range(rng.randrange(1, 4)))
+    texts = [(i % 3, i, " ".join(word() for _ in range(rng.randrange(0, 9))) or None) for i in range(90)] + [(0, 90, ""), (2, 91, "a" * 2000)]
+    strings = sorted({rng.choice(["a", "0 a", "é", "b a", " ", "ab", "aab", "bé0a"]) for _ in range(9)} | {" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4) for _ in range(6)})
+    rows = spark.createDataFrame(texts, "scope long, seq long, text string").repartition(3)
+    want = {(i, s) for _, i, t in texts for s in strings if s in (t or "")}
+    named = spark.createDataFrame([(s,) for s in [*strings, "", None]], "string string")
+    flat = rows.select(F.struct("scope", "seq").alias("row_id"), "text")
+    for size, slices in ((1 << 20, 8), (9, 200), (0, 1)):
+        got = [(r.row_id.seq, r.string) for r in C.held(flat, named, size, slices).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, size
+    asked = spark.createDataFrame([(k, s) for k in (0, 1, 7) for s in strings], "scope long, string string")
+    low = rows.withColumn("low", F.coalesce("text", F.lit("")))
+    once = {(k, s): sorted(i for j, i, t in texts if j == k and s in (t or "")) for k in (0, 1, 7) for s in strings}
+    for scope_bytes, slice_bytes in ((1 << 20, 1 << 20), (50, 1 << 20), (50, 10)):
+        got = {(r.scope, r.string): (r.hits, r.hit_seq, r.hit_text) for r in C.held_once(low, asked, scope_bytes, slice_bytes).collect()}
+        known = {i: t for _, i, t in texts}
+        assert got == {k: (len(w), w[0], known[w[0]]) for k, w in once.items() if w}
+    for slice_bytes in (1 << 20, 10):
+        got = [(r.scope, r.row_id, r.string) for r in C.held_in(rows.withColumnRenamed("seq", "row_id"), asked, slice_bytes).collect()]
+        assert sorted(got) == sorted((k, i, s) for (k, s), w in once.items() for i in w)
