@@ -119,14 +119,20 @@ def prefix(own: np.ndarray, rare: np.ndarray, usual: float) -> tuple[np.ndarray,
     return own[ahead[: n - needed + take]], take
 
 
+def end_of(own_prefix: np.ndarray, rare: np.ndarray) -> int:
+    """Where a prefix ends in the common order: the level and hash of its last shingle."""
+    last = own_prefix[-1:]
+    return (int(rare[_slots(last)][0]) << 55) | (int(last[0]) >> 9)
+
+
 def _postings(rare, usual: float):
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int8()), ("early", pa.bool_())])
+    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int8()), ("early", pa.bool_()), ("end", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(rare.value, np.uint8), set()
         for batch in batches:
             for some in steps(batch):
-                tokens, ids, sizes, takes = [np.zeros(0, np.uint64)], [], [], []
+                tokens, ids, sizes, takes, ends = [np.zeros(0, np.uint64)], [], [], [], []
                 for own in shingles(some["text"]):
                     one = _class(own)
                     if one in seen or not len(own):
@@ -134,12 +140,12 @@ def _postings(rare, usual: float):
                     seen.add(one)
                     own_prefix, take = prefix(own, levels, usual)
                     tokens.append(own_prefix)
-                    ids.append(one), sizes.append(len(own)), takes.append(take)
+                    ids.append(one), sizes.append(len(own)), takes.append(take), ends.append(end_of(own_prefix, levels))
                 lens = np.array([len(x) for x in tokens[1:]], np.int64)
                 place = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
                 few = np.array(sizes, np.int64) - (6 * np.array(sizes, np.int64) + 6) // 7 + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.repeat(np.array(takes, np.int8), lens)), pa.array(place < np.repeat(few, lens))], schema=schema
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.repeat(np.array(takes, np.int8), lens)), pa.array(place < np.repeat(few, lens)), pa.array(np.repeat(np.array(ends, np.int64), lens))], schema=schema
                 )
 
     return scan
@@ -192,15 +198,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+#: What two sets of n and m shingles must share, and that the one whose prefix ends first may share it.
+_NEEDED = "(3 * (n + m) + 6) div 7"
+_MOST = f"if(end <= end_b, most, most_b) >= {_NEEDED}"
+
+
 def _likely() -> F.Column:
     """Whether two classes of n and m shingles that share ``common`` prefix shingles may link.
 
     Of the two, the one whose prefix ends first in the common order shares no prefix shingle
-    with the other but in both prefixes, so what they share is at most its ``most``, and what it
-    shares beyond its prefix lies in its last a - l. Which one that is isn't known here, so the
-    greater bound of both counts.
+    with the other but in both prefixes. So what they share is at most its ``most``, and all but
+    its last a - l shingles of that lie in both prefixes.
     """
-    return F.expr("4 * least(n, m) >= 3 * greatest(n, m) and greatest(most, most_b) >= (3 * (n + m) + 6) div 7 and common >= (3 * (n + m) + 6) div 7 - greatest((3 * n + 3) div 4 - l, (3 * m + 3) div 4 - k) and common >= least(l, k)")
+    return F.expr(f"4 * least(n, m) >= 3 * greatest(n, m) and {_MOST} and common >= {_NEEDED} - if(end <= end_b, (3 * n + 3) div 4 - l, (3 * m + 3) div 4 - k) and common >= if(end <= end_b, l, k)")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -217,10 +227,10 @@ def linked(docs: DataFrame) -> DataFrame:
     usual = float(np.exp2(np.median(counts) / 8.0))
     rare = spark.sparkContext.broadcast(counts.tobytes())
 
-    postings = texts.select("text").mapInArrow(_postings(rare, usual), "token long, class long, n int, l byte, early boolean")
+    postings = texts.select("text").mapInArrow(_postings(rare, usual), "token long, class long, n int, l byte, early boolean, end long")
     by_token = Window.partitionBy("token")
     met = postings.select("*", F.min("class").over(by_token).alias("lo"), F.max("class").over(by_token).alias("hi"))
-    shared = table(met.where("lo <> hi").select("token", "class", "n", "l", "early").distinct(), "shared")
+    shared = table(met.where("lo <> hi").select("token", "class", "n", "l", "early", "end").distinct(), "shared")
     # Of a group's classes the one that shares most is likeliest to link with the others.
     shares = shared.groupBy("class").agg(F.count("*").alias("shares"))
     # Prefix shingles in no other prefix can't be common with a class whose prefix ends later: ``most`` bounds what may be.
@@ -232,9 +242,9 @@ def linked(docs: DataFrame) -> DataFrame:
         rooted = weighed if roots is None else weighed.join(roots.withColumnRenamed("node", "class"), "class", "left")
         rooted = rooted.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class"))
         split = rooted.select("*", F.min("root").over(by_token).alias("lo"), F.max("root").over(by_token).alias("hi")).where("lo <> hi").drop("lo", "hi")
-        centred = split.select("*", F.max(F.struct("shares", "class", "n", "l", "most", "root")).over(by_token).alias("centre")).where("root <> centre.root")
-        seen = centred.groupBy("class", "n", "l", "most", "centre").agg(F.count("*").alias("common"))
-        likely = seen.select("class", "n", "l", "most", "common", F.col("centre.class").alias("b"), F.col("centre.n").alias("m"), F.col("centre.l").alias("k"), F.col("centre.most").alias("most_b")).where(_likely())
+        centred = split.select("*", F.max(F.struct("shares", "class", "n", "l", "most", "end", "root")).over(by_token).alias("centre")).where("root <> centre.root")
+        seen = centred.groupBy("class", "n", "l", "most", "end", "centre").agg(F.count("*").alias("common"))
+        likely = seen.select("class", "n", "l", "most", "end", "common", F.col("centre.class").alias("b"), F.col("centre.n").alias("m"), F.col("centre.l").alias("k"), F.col("centre.most").alias("most_b"), F.col("centre.end").alias("end_b")).where(_likely())
         likely = likely if tried is None else likely.join(tried.withColumnRenamed("a", "class"), ["class", "b"], "left_anti")
         stars = table(likely.groupBy("class").agg(F.max_by("b", F.struct("common", "b")).alias("b")).select(F.col("class").alias("a"), "b"), "stars")
         new = _verified(stars, texts)
@@ -247,9 +257,9 @@ def linked(docs: DataFrame) -> DataFrame:
     split = table(split, "split")
     free_shuffles(spark)
     # The smaller of two linked classes shares one of its first n - ceil(6 n / 7) + 1 shingles.
-    fits = "root <> other and (n < m or (n = m and class < b)) and 4 * n >= 3 * m and greatest(most, most_b) >= (3 * (n + m) + 6) div 7"
-    other = lambda rows, *more: rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("most_b"), *more)
-    held = split.groupBy("class").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("most").alias("most"), F.collect_list("token").alias("held"), F.collect_list(F.when(F.col("early"), F.col("token"))).alias("firsts"))
+    fits = f"root <> other and (n < m or (n = m and class < b)) and 4 * n >= 3 * m and {_MOST}"
+    other = lambda rows, *more: rows.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("most").alias("most_b"), F.col("end").alias("end_b"), *more)
+    held = split.groupBy("class").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("most").alias("most"), F.first("end").alias("end"), F.collect_list("token").alias("held"), F.collect_list(F.when(F.col("early"), F.col("token"))).alias("firsts"))
     few = split.where(F.col("size") <= LARGE)
     across = few.where("early").join(other(few), "token").where(fits).select("class", "b")
     # In large groups a pair is made at the least of its shared first shingles only.
@@ -257,7 +267,7 @@ def linked(docs: DataFrame) -> DataFrame:
     ahead = many.where("early").withColumn("ahead", F.filter("firsts", lambda t: t < F.col("token"))).drop("held", "firsts")
     across = across.union(ahead.join(other(many, "held"), "token").where(F.expr(fits) & ~F.arrays_overlap("ahead", "held")).select("class", "b"))
     pairs = across.select(F.col("class").alias("a"), "b").distinct()
-    pairs = pairs.join(held.withColumnRenamed("class", "a"), "a").join(held.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("most").alias("most_b"), F.col("held").alias("others")), "b")
+    pairs = pairs.join(held.withColumnRenamed("class", "a"), "a").join(held.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("most").alias("most_b"), F.col("end").alias("end_b"), F.col("held").alias("others")), "b")
     pairs = table(pairs.withColumn("common", F.size(F.array_intersect("held", "others"))).where(_likely()).select("a", "b"), "pairs")
     if pairs.take(1):
         links = links.unionByName(_verified(pairs, texts))

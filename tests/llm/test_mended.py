@@ -75,13 +75,14 @@ def test_bounds_hold_for_every_prefix_length(spark, seed):
         for s in sets:
             a = -(-3 * len(s) // 4)
             take = rng.randint(1, min(4, a))
-            chosen.append((len(s), take, a, frozenset(sorted(s, key=order.get)[: len(s) - a + take])))
-        for i, (n, k, a, p) in enumerate(chosen):
-            for j, (m, q, b, r) in enumerate(chosen):
+            ahead = sorted(s, key=order.get)[: len(s) - a + take]
+            chosen.append((len(s), take, a, frozenset(ahead), int(order[ahead[-1]] * 2**62)))
+        for i, (n, k, a, p, e) in enumerate(chosen):
+            for j, (m, q, b, r, f) in enumerate(chosen):
                 if i != j and 175 * len(sets[i] & sets[j]) >= 75 * (n + m):
                     seen = lambda own, x: sum(any(g in chosen[y][3] for y in range(len(chosen)) if y != x) for g in own)  # noqa: E731, B023
-                    rows.append((n, k, m, q, len(p & r), a - k + seen(p, i), b - q + seen(r, j)))
-    pairs = spark.createDataFrame(rows, "n int, l int, m int, k int, common int, most int, most_b int")
+                    rows.append((n, k, m, q, len(p & r), a - k + seen(p, i), b - q + seen(r, j), e, f))
+    pairs = spark.createDataFrame(rows, "n int, l int, m int, k int, common int, most int, most_b int, end long, end_b long")
     assert len(rows) > 100 and pairs.where(~jaccard._likely()).count() == 0
 
 
