@@ -155,3 +155,21 @@ def continuations(ends: DataFrame, cap: int = 3) -> DataFrame:
     inside = Window.partitionBy("session", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("streak", F.sum((F.col("kind") == "max-tokens").cast("long")).over(inside)).drop("_run")
     return out.withColumn("continues", (F.col("kind") == "max-tokens") & (F.col("streak") <= cap))
+
+
+def continuation_steps(events: DataFrame, cap: int = 3) -> DataFrame:
+    """(session, event_seq, n, continues): answers that were cut off, each with its place in its run.
+
+    ``events`` (session, event_seq, kind, form, turn) are ends of turns and user messages. A run of
+    ``max-tokens`` ends is broken by any other end and by a user message, unless that is the
+    continuation's own prompt (form ``continuation``). An event told twice counts once, by its
+    event_seq; so does a second end of one turn. Past ``cap`` nothing continues and n stays at cap + 1.
+    """
+    own = Window.partitionBy("session").orderBy("event_seq")
+    once = events.groupBy("session", "event_seq").agg(*(F.first(c).alias(c) for c in ("kind", "form", "turn")))
+    prompt = (F.col("kind") == "user") & F.coalesce(F.col("form") == "continuation", F.lit(False))
+    rows = once.where(~prompt).withColumn("_run", F.sum((F.col("kind") != "max-tokens").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("session", "_run").orderBy("event_seq")
+    ends = rows.where("kind = 'max-tokens'").withColumn("_again", F.coalesce(F.col("turn") == F.lag("turn").over(run), F.lit(False)))
+    counted = ends.where("not _again").withColumn("_n", F.row_number().over(run))
+    return counted.select("session", "event_seq", F.least("_n", F.lit(cap + 1)).cast("long").alias("n"), (F.col("_n") <= cap).alias("continues"))

@@ -311,6 +311,28 @@ def continuation_runs(spark, sf_dir):
     return U.continuations(m.select("session", "pos", F.when(F.col("event_type").isin("error", "view"), "max-tokens").otherwise(F.col("event_type")).alias("kind")))
 
 
+_STEPS = """e AS (SELECT user_id AS session, event_id AS event_seq, CASE event_type WHEN 'click' THEN 'user' WHEN 'error' THEN 'max-tokens' WHEN 'view' THEN 'max-tokens' ELSE 'stop' END AS kind,
+ CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN 'continuation' END AS form, CASE WHEN event_id % 7 <> 0 THEN event_id // 200 END AS turn FROM events)"""
+
+
+def continuation_events(spark, sf_dir):
+    """Events as ends of turns and user messages; every fourth is told twice."""
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("event_seq"), F.expr("CASE event_type WHEN 'click' THEN 'user' WHEN 'error' THEN 'max-tokens' WHEN 'view' THEN 'max-tokens' ELSE 'stop' END").alias("kind"), F.expr("CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN 'continuation' END").alias("form"), F.expr("CASE WHEN event_id % 7 <> 0 THEN event_id div 200 END").alias("turn"))
+    return rows.unionByName(rows.where("event_seq % 4 = 0"))
+
+
+@query(
+    f"""WITH {_STEPS}, r AS (SELECT *, sum(CASE WHEN kind = 'max-tokens' THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY event_seq) AS run FROM e WHERE NOT (kind = 'user' AND form IS NOT DISTINCT FROM 'continuation')),
+a AS (SELECT *, lag(turn) OVER (PARTITION BY session, run ORDER BY event_seq) AS before FROM r WHERE kind = 'max-tokens'),
+n AS (SELECT *, row_number() OVER (PARTITION BY session, run ORDER BY event_seq) AS n FROM a WHERE coalesce(turn <> before, true))
+SELECT session, event_seq, CAST(least(n, 4) AS BIGINT) AS n, n <= 3 AS continues FROM n"""
+)
+def continuation_steps(spark, sf_dir):
+    """Repeats count once, the continuation's own prompts break no run."""
+    return U.continuation_steps(continuation_events(spark, sf_dir))
+
+
 @query("SELECT user_id AS session, count(*) FILTER (event_type = 'purchase') AS compacted, count(*) FILTER (event_type = 'error') AS pruned, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY user_id")
 def executed_counters(spark, sf_dir):
     """A13 A14."""
