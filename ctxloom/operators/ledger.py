@@ -133,6 +133,40 @@ def router(found: DataFrame, shown: int = 8) -> DataFrame:
     return got.select("file", "n_entries", F.concat(F.array_join(F.slice("_ids", 1, shown), ", "), more).alias("ids"))
 
 
+#: Files of the router page in its order, what each is for, and the prefix of its entries.
+PAGE = (("PROJECT.md", "Scope and requirements", "REQ"), ("STATE.md", "What holds now", "STATE-CURRENT"), ("DECISIONS.md", "Decisions and why", "DEC"), ("TECH.md", "Technical facts", "TECH"), ("HISTORY.md", "Log of syncs, append-only", None), ("CONFLICTS.md", "Open contradictions", "CONFLICT"))
+
+
+def router_page(found: DataFrame, history: DataFrame, projects: DataFrame, shown: int = 8) -> DataFrame:
+    """(project, page): the router page of each ledger, one ordered text.
+
+    ``found`` are entries (project, file, place, id, status), ``history`` lines (project, text) and
+    ``projects`` (project, note), the note on the last sync. A file's row tells its entries of its own prefix
+    and the first ids, the history's row the number of its lines that begin ``- [``, the state's 0 or 1; then
+    come the ACTIVE conflicts by number.
+    """
+    prefix = F.create_map(*(F.lit(x) for f, _, p in PAGE if p for x in (f, p)))
+    own = found.withColumn("_p", F.try_element_at(prefix, F.col("file")))
+    own = own.where((F.col("id") == F.col("_p")) | F.col("id").startswith(F.concat("_p", F.lit("-"))))
+    nth = F.row_number().over(Window.partitionBy("project", "file").orderBy("place", "id"))
+    ids = F.sort_array(F.collect_list(F.when(F.col("_nth") <= shown, F.struct("_nth", "id"))))
+    rows = own.withColumn("_nth", nth).groupBy("project", "file").agg(F.count("*").alias("n"), F.array_join(F.transform(ids, lambda x: x["id"]), ", ").alias("ids"))
+    told = history.where(F.col("text").startswith("- [")).groupBy("project").agg(F.count("*").alias("n")).select("project", F.lit("HISTORY.md").alias("file"), "n", F.lit(None).cast("string").alias("ids"))
+    cell = F.map_from_entries(F.collect_list(F.struct("file", F.struct("n", "ids"))))
+    open_ = found.where((F.col("file") == "CONFLICTS.md") & (F.coalesce("status", F.lit("ACTIVE")) == "ACTIVE") & F.col("id").startswith("CONFLICT-")).groupBy("project").agg(F.count("*").alias("_open"))
+    pages = projects.join(rows.unionByName(told).groupBy("project").agg(cell.alias("c")), "project", "left").join(open_, "project", "left")
+    lines = [F.lit("# INDEX — memory router"), F.lit("| File | Purpose | Entries |"), F.lit("|---|---|---|")]
+    for name, purpose, p in PAGE:
+        c = F.try_element_at("c", F.lit(name))
+        n = F.coalesce(c["n"], F.lit(0))
+        said = F.least(n, F.lit(1)) if p == "STATE-CURRENT" else n
+        more = F.when(n > shown, F.concat(F.lit(" (+"), n - shown, F.lit(" more)"))).otherwise("")
+        listed = F.concat(F.lit(" ("), F.coalesce(c["ids"], F.lit("")), more, F.lit(")")) if p else F.lit("")
+        lines.append(F.concat(F.lit(f"| {name} | {purpose} | "), said, listed, F.lit(" |")))
+    lines += [F.concat(F.lit("- Last sync: "), F.coalesce("note", F.lit(""))), F.concat(F.lit("- Active conflicts: "), F.coalesce("_open", F.lit(0)))]
+    return pages.select("project", F.concat_ws("\n", *lines).alias("page"))
+
+
 def search(lines: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Lines that hold all words of the query, with the entry they stand in, in file order."""
     words = [w for w in query.lower().split() if w]

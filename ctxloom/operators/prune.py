@@ -191,3 +191,39 @@ def landed(surface: DataFrame, actions: DataFrame) -> DataFrame:
     first = nodes.groupBy("session", "seq").agg(F.min_by("_new", "pos").alias("_new"))
     out = surface.join(first, ["session", "seq"], "left").withColumn("replaced", F.col("_new").isNotNull())
     return out.withColumn("source_event_seqs", F.when(F.col("replaced"), F.array("seq"))).withColumn("text", F.coalesce("_new", "text")).drop("_new")
+
+
+def node_prunes(surface: DataFrame, actions: DataFrame) -> DataFrame:
+    """(session, seq, pos, i, action, new, before): what each acted-on result node on a surface becomes.
+
+    ``surface`` are (session, seq, role, text); a node whose content isn't text alone has a null text
+    and is left alone. ``actions`` are (session, pos, action, tool, args, raw, result_seqs) of a plan,
+    in the order of ``pos``. A node is reduced by its own text, not its unit's, and replaced only
+    if that is shorter; of several actions the first that shortens it counts.
+    """
+    each = actions.where(F.col("action").isin("drop", "reduce")).select("session", "pos", "action", "tool", "args", "raw", F.posexplode("result_seqs").alias("i", "seq"))
+    nodes = surface.where((F.col("role") == "tool") & F.col("text").isNotNull()).select("session", "seq", "text")
+    met = reduced(each.join(nodes, ["session", "seq"]))
+    stub = F.format_string(STUB, "raw")
+    new = F.when((F.col("action") == "drop") & (F.length(stub) < F.length("text")), stub).when((F.col("action") == "reduce") & F.col("shrank"), F.col("reduced"))
+    good = met.select("session", "seq", F.struct("pos", "i", "action", new.alias("new"), F.length("text").alias("before")).alias("p")).where("p.new is not null")
+    return good.groupBy("session", "seq").agg(F.min("p").alias("p")).select("session", "seq", "p.*")
+
+
+def landing(surface: DataFrame, prunes: DataFrame, last: DataFrame, meter: Column) -> tuple[DataFrame, DataFrame]:
+    """The events that landing ``prunes`` appends to the log, and the surface after it.
+
+    ``last`` (session, last_seq) ends each log; ``meter`` prices a surface row. For each replaced node, in
+    plan order, comes an event with what the node was worth, then the replacement, which points to
+    what it replaces and takes its place on the surface.
+    """
+    order = Window.partitionBy("session").orderBy("pos", "i", "seq")
+    placed = prunes.withColumn("_k", F.row_number().over(order)).join(last, "session")
+    old = surface.select("session", "seq", meter.alias("_meter"))
+    done = placed.join(old, ["session", "seq"]).select("session", "seq", "new", "action", (F.col("last_seq") + 2 * F.col("_k")).alias("_new_seq"), shadow_price(F.col("_meter"), F.lit(None).cast("double"), F.col("before")).alias("_price"))
+    told = done.select("session", (F.col("_new_seq") - 1).alias("seq"), F.lit("compaction/prune").alias("type"), F.array("seq").alias("shadowed_seqs"), F.col("_price").alias("shadowed_tokens"), F.lit(None).cast("string").alias("text"))
+    made = done.select("session", F.col("_new_seq").alias("seq"), F.lit("tool/result").alias("type"), F.array("seq").alias("shadowed_seqs"), F.lit(None).cast("double").alias("shadowed_tokens"), F.col("new").alias("text"))
+    after = surface.join(done.select("session", "seq", "_new_seq", "new"), ["session", "seq"], "left")
+    replaced = F.col("_new_seq").isNotNull()
+    after = after.withColumns({"text": F.coalesce("new", "text"), "source_event_seqs": F.when(replaced, F.array("seq")), "seq": F.coalesce("_new_seq", "seq")}).drop("_new_seq", "new")
+    return told.unionByName(made), after

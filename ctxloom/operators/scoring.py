@@ -190,3 +190,20 @@ def census(rows: DataFrame) -> DataFrame:
     tiers = rows.sparkSession.createDataFrame([(t,) for t in P.TIERS], "tier string")
     got = rows.groupBy("tier").agg(F.count("*").alias("n_units"), F.sum("tokens").cast("long").alias("tokens"))
     return tiers.join(got, "tier", "left").select("tier", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+
+
+def tiers_in_force(plans: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(session, first_seq, generation, before): tiers of each session's last plan that still count.
+
+    ``plans`` (session, at, first_seq, tier) and ``surfaces`` (session, at, generation), a row each time
+    a surface changed. A plan was made on the generation as of its time, the last change before or at it (0 before
+    any); its tiers count while that is the session's present generation. Changes and plans meet in one ordered pass.
+    """
+    made = plans.groupBy("session", "at").agg(F.collect_list(F.struct("first_seq", "tier")).alias("tiers"))
+    line = surfaces.select("session", "at", F.lit(0).alias("kind"), "generation", F.lit(None).cast(made.schema["tiers"].dataType).alias("tiers")).unionByName(made.select("session", "at", F.lit(1).alias("kind"), F.lit(None).cast(surfaces.schema["generation"].dataType).alias("generation"), "tiers"))
+    so_far = Window.partitionBy("session").orderBy("at", "kind", "generation").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("session")
+    line = line.withColumn("_of", F.coalesce(F.last("generation", ignorenulls=True).over(so_far), F.lit(0)))
+    line = line.withColumn("_now", F.max_by("_of", F.struct("at", "kind", "_of")).over(whole)).withColumn("_last", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(whole))
+    live = line.where((F.col("kind") == 1) & (F.col("at") == F.col("_last")) & (F.col("_of") == F.col("_now")))
+    return live.select("session", F.col("_now").alias("generation"), F.explode("tiers").alias("t")).select("session", "t.first_seq", "generation", F.col("t.tier").alias("before"))

@@ -97,7 +97,12 @@ def session_prices(surface: DataFrame, events: DataFrame, header: DataFrame) ->
     costs its JSON. Nodes without an event cost nothing. ``header`` is (session, header_tokens).
     """
     price = F.when(F.col("blocks").isNotNull(), priced_message(F.col("blocks"))).otherwise(priced_structure(F.col("json")))
-    nodes = surface.select("session", "seq").join(events.select("session", "seq", price.alias("_t")), ["session", "seq"], "left")
+    return session_totals(surface, events.select("session", "seq", price.alias("tokens")), header)
+
+
+def session_totals(surface: DataFrame, priced: DataFrame, header: DataFrame) -> DataFrame:
+    """(session, tokens) from the prices (session, seq, tokens) of the nodes on a surface and a session's header_tokens."""
+    nodes = surface.select("session", "seq").join(priced.select("session", "seq", F.col("tokens").alias("_t")), ["session", "seq"], "left")
     sums = nodes.groupBy("session").agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("_t"))
     return sums.join(header, "session", "left").select("session", (F.col("_t") + F.coalesce("header_tokens", F.lit(0))).cast("long").alias("tokens"))
 

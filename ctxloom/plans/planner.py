@@ -52,14 +52,21 @@ def held_units(units: DataFrame, terms: DataFrame) -> DataFrame:
 
 def with_memory(units: DataFrame, memory: Memory) -> DataFrame:
     """Adds ``sources`` (ACTIVE entries that a unit is the source of), ``cited`` (ACTIVE ids that
-    its text names), ``leans`` (it names one that an ACTIVE entry cites) and ``held``."""
+    its text names), ``leans`` (it names one that an ACTIVE entry cites) and ``held``.
+
+    What the ledger says of units is gathered in one grouping and met by them in one join.
+    """
+    row = lambda **of: [of.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("cited", "string"), ("leans", "boolean"), ("source", "string"), ("held", "boolean"))]
     named = units.select("session", "pos", F.explode(F.transform("own.ids", F.upper)).alias("id")).join(memory.ids(), "id")
-    named = named.groupBy("session", "pos").agg(F.array_sort(F.collect_set(F.when(F.col("is_active"), F.col("id")))).alias("cited"), F.bool_or("is_cited").alias("leans"))
-    sources = L.active_sources(units, memory.bindings, memory.index).withColumnRenamed("ids", "sources")
-    held = held_units(units, memory.evidence_terms()).withColumn("held", F.lit(True))
-    out = units.join(named, ["session", "pos"], "left").join(sources, ["session", "pos"], "left").join(held, ["session", "pos"], "left")
-    none = F.array().cast("array<string>")
-    return out.withColumns({"cited": F.coalesce("cited", none), "leans": F.coalesce("leans", F.lit(False)), "sources": F.coalesce("sources", none), "held": F.coalesce("held", F.lit(False))})
+    said = named.select("session", "pos", *row(cited=F.when(F.col("is_active"), F.col("id")), leans=F.col("is_cited")))
+    live = memory.index.where("coalesce(status, 'ACTIVE') = 'ACTIVE'").select(F.col("id").alias("entry_id"))
+    bound = units.select("session", "pos", F.explode("seqs").alias("seq")).join(memory.bindings, ["session", "seq"]).join(live, "entry_id", "left_semi")
+    said = said.unionByName(bound.select("session", "pos", *row(source=F.col("entry_id"))))
+    said = said.unionByName(held_units(units, memory.evidence_terms()).select("session", "pos", *row(held=F.lit(True))))
+    found = said.groupBy("session", "pos").agg(F.array_sort(F.collect_set("cited")).alias("cited"), F.bool_or("leans").alias("leans"), F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or("held").alias("held"))
+    out = units.join(found, ["session", "pos"], "left")
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    return out.withColumns({"cited": F.coalesce("cited", none), "leans": F.coalesce("leans", no), "sources": F.coalesce("sources", none), "held": F.coalesce("held", no)})
 
 
 def asked_terms(query: Column, state: str) -> Column:
@@ -68,9 +75,13 @@ def asked_terms(query: Column, state: str) -> Column:
     return F.struct(*(F.array_union(own[k], standing[k]).alias(k) for k in LANES))
 
 
-def last_user_text(units: DataFrame) -> Column:
-    """The text of a session's last unit that a user wrote, the first 2,000 characters."""
-    return F.substring(F.max_by("text", F.when((F.col("kind") == "user") & (F.col("text") != ""), F.col("pos"))).over(Window.partitionBy("session")), 1, 2000)
+def with_asked(units: DataFrame, windows: DataFrame, state: str) -> DataFrame:
+    """``windows`` with the terms that each session asks for, computed once a session: of its
+    query, or of its last unit that a user wrote, the first 2,000 characters."""
+    if "query" in windows.columns:
+        return windows.withColumn("asked", asked_terms(F.col("query"), state))
+    last = units.where("kind = 'user' and text <> ''").groupBy("session").agg(F.substring(F.max_by("text", "pos"), 1, 2000).alias("_query"))
+    return windows.join(last, "session", "left").withColumn("asked", asked_terms(F.col("_query"), state)).drop("_query")
 
 
 def scored_units(units: DataFrame, windows: DataFrame, now: Column, memory: Memory | None = None, previous: DataFrame | None = None, config: Config = Config()) -> DataFrame:
@@ -86,10 +97,9 @@ def scored_units(units: DataFrame, windows: DataFrame, now: Column, memory: Memo
     for name, kind in (("tool", "string"), ("tool_args", "string"), ("seqs", "array<long>")):
         if not has(units, name):
             units = units.withColumn(name, F.lit(None).cast(kind))
-    out = units.join(windows, "session").withColumn("role", F.when(F.col("kind").isin("user", "checkpoint", "injected"), "user").otherwise("other"))
+    asked = with_asked(units, windows, memory.state if memory else "")
+    out = units.join(asked, "session").withColumn("role", F.when(F.col("kind").isin("user", "checkpoint", "injected"), "user").otherwise("other"))
     out = U.with_turns(out).withColumn("own", T.terms(F.col("text")))
-    query = F.col("query") if has(windows, "query") else last_user_text(out)
-    out = out.withColumn("asked", asked_terms(query, memory.state if memory else ""))
     out = with_memory(out, memory) if memory else out.withColumns({"cited": none, "leans": no, "sources": none, "held": no})
     out = out.withColumn("content_type", S.content_type(F.col("kind"), F.col("tool"), F.col("text")))
     graded = S.protection(F.col("kind"), F.col("text"), F.coalesce("tool_args", F.lit("")), F.col("open"), F.size("own.paths") > 0, F.col("sources"), F.col("cited"), F.col("held"))
@@ -147,3 +157,13 @@ def plan(scored: DataFrame, config: Config = Config()) -> DataFrame:
     out = found.groupBy("session").agg(F.first("zone").alias("zone"), F.sum("n_units").alias("n_units"), F.sum("tokens").cast("long").alias("tokens"), F.coalesce(F.sum(F.when(F.col("eligible"), F.col("n_units"))), F.lit(0)).alias("n_eligible"), F.sum("n_prunable").alias("n_prunable"), best.alias("best"))
     out = out.select("session", "zone", "n_units", "tokens", "n_eligible", "n_prunable", "best.*")
     return out.withColumn("degraded", F.col("zone").isNull()).withColumn("action", F.when(F.col("zone").isNull(), "none").otherwise(G.decision(F.col("zone"), F.col("first_seq").isNotNull())))
+
+
+def history_points(units: DataFrame, plans: DataFrame, shown: int = Config().units_shown) -> DataFrame:
+    """(session, zone, action, reclaim, inj, degraded): what a plan leaves in its session's history.
+
+    ``inj`` are the tokens of injected units (session, pos, kind, tokens) among those that a plan shows, its first ``shown``.
+    """
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("pos"))
+    inj = units.withColumn("_nth", nth).where(F.col("_nth") <= shown).groupBy("session").agg(F.coalesce(F.sum(F.when(F.col("kind") == "injected", F.col("tokens"))), F.lit(0)).cast("long").alias("inj"))
+    return plans.join(inj, "session", "left").select("session", "zone", "action", F.coalesce("reclaim", F.lit(0)).cast("long").alias("reclaim"), F.coalesce("inj", F.lit(0)).alias("inj"), "degraded")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,8 +22,19 @@ def query(sql: str | None = None):
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder where the session has one, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """``df`` computed once, into the session's checkpoint folder, so that lost executors lose nothing.
+
+    A session that names none gets a temporary one in local mode, where driver and tasks are one
+    process; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ctxloom-"))
+    return df.checkpoint()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

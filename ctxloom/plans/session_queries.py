@@ -14,7 +14,7 @@ from ctxloom.operators import scoring as S
 from ctxloom.operators import segments as G
 from ctxloom.operators import units as U
 from ctxloom.plans.planner import Memory, plan, scored_units
-from ctxloom.plans.registry import query, read
+from ctxloom.plans.registry import held, query, read
 from ctxloom.plans.text_queries import FACT_SQL, FP
 from ctxloom.sources import adapters as A
 
@@ -363,7 +363,7 @@ _NATION = "concat('## [DEC-', n_nationkey, '] ', n_name, chr(10), '- status: ',
 
 def _memory(spark, sf_dir):
     lines = read(spark, sf_dir, "nation").select(F.lit("DECISIONS.md").alias("file"), (F.col("n_nationkey") * 10).alias("at"), F.posexplode(F.split(F.expr(_NATION), "\n")).alias("i", "text"))
-    index = L.index(lines.select("file", (F.col("at") + F.col("i")).alias("line_no"), "text"))
+    index = held(L.index(lines.select("file", (F.col("at") + F.col("i")).alias("line_no"), "text")))
     bound = read(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.concat(F.lit("DEC-"), F.col("event_id") % 25).alias("entry_id"))
     loose = index.where(F.substring_index("id", "-", -1).cast("int") % 5 == 2).select("id", F.lit("unbound").alias("reason"))
     return Memory(index, bound, loose, STANDING)

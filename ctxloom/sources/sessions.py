@@ -4,43 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ctxloom.functions import patterns as P
 from ctxloom.functions.text import trim
+from ctxloom.sources import blocks
 
 #: A message's blocks, what is nested in them already brought to text.
 BLOCK = "struct<type:string,text:string,name:string,arguments:string,content:string>"
-EVENTS = T.StructType.fromDDL(f"session string, seq long, ts timestamp, type string, role string, blocks array<{BLOCK}>, source struct<kind:string,form:string,plugin:string>, source_event_seqs array<long>")
+EVENTS = f"session string, seq long, ts timestamp, type string, role string, blocks array<{BLOCK}>, source struct<kind:string,form:string,plugin:string>, source_event_seqs array<long>"
 DELTA_CAP = 160000
 
 
-def block_text(blocks: Column) -> Column:
+def block_text(held: Column) -> Column:
     """Texts of text, reasoning, result and other blocks by line; calls and empty ones are not part of it."""
-    said = F.transform(F.filter(blocks, lambda b: b["type"] != "tool-call"), lambda b: F.when(b["type"] == "tool-result", b["content"]).when(b["type"].isin("text", "reasoning"), b["text"]).otherwise(F.coalesce(b["content"], b["text"])))
+    said = F.transform(F.filter(held, lambda b: b["type"] != "tool-call"), lambda b: F.when(b["type"] == "tool-result", b["content"]).when(b["type"].isin("text", "reasoning"), b["text"]).otherwise(F.coalesce(b["content"], b["text"])))
     return F.array_join(F.filter(said, lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n")
 
 
-#: Blocks inside blocks are brought to text down to this depth.
+#: Blocks inside blocks are brought to text in one expression down to this depth, deeper ones level by level.
 DEPTH = 4
 
 
 def flat_blocks(content: Column, depth: int = DEPTH) -> Column:
     """The ``blocks`` of a message's content: plain text, or JSON blocks whose content nests ``depth`` deep."""
-    are_blocks = lambda items: F.coalesce(F.forall(items, lambda b: b.startswith("{")), F.lit(False))
+    said = lambda b, k: F.try_variant_get(b, f"$.{k}", "string")
 
     def text_of(value: Column, left: int) -> Column:
         if not left:
-            return value
-        items = F.when(value.startswith("["), F.from_json(value, "array<string>"))
-        part = lambda b: F.coalesce(F.when(F.get_json_object(b, "$.type").isin("text", "reasoning"), F.get_json_object(b, "$.text")), text_of(F.get_json_object(b, "$.content"), left - 1), F.get_json_object(b, "$.text"))
-        return F.when(are_blocks(items), F.array_join(F.filter(F.transform(items, part), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n")).otherwise(value)
+            return value.try_cast("string")
+        part = lambda b: F.coalesce(F.when(said(b, "type").isin("text", "reasoning"), said(b, "text")), text_of(F.try_variant_get(b, "$.content", "variant"), left - 1), said(b, "text"))
+        items = blocks.array_of(value)
+        return F.when(items.isNotNull(), F.array_join(F.filter(F.transform(items, part), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), "\n")).otherwise(value.try_cast("string"))
 
-    one = lambda b: F.struct(*(F.get_json_object(b, f"$.{k}").alias(k) for k in ("type", "text", "name", "arguments")), text_of(F.get_json_object(b, "$.content"), depth).alias("content"))
-    items = F.when(content.startswith("["), F.from_json(content, "array<string>"))
+    one = lambda b: F.struct(*(said(b, k).alias(k) for k in ("type", "text", "name", "arguments")), text_of(F.try_variant_get(b, "$.content", "variant"), depth).alias("content"))
+    items = blocks.array_of(F.try_parse_json(content))
     whole = F.struct(F.lit("text").alias("type"), content.alias("text"), *(F.lit(None).cast("string").alias(k) for k in ("name", "arguments", "content")))
-    return F.when(are_blocks(items), F.transform(items, one)).when(content.isNotNull(), F.array(whole))
+    return F.when(items.isNotNull(), F.transform(items, one)).when(content.isNotNull(), F.array(whole))
 
 
 RAW = "type string, seq long, time long, data struct<role:string,content:string,source:struct<kind:string,form:string,plugin:string>,sourceEventSeqs:array<long>,message:struct<role:string,content:string,source:struct<kind:string,form:string,plugin:string>>>, source struct<kind:string,form:string,plugin:string>, sourceEventSeqs array<long>"
@@ -50,10 +50,25 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of session logs in JSON lines, ``path``/<session>.jsonl; broken lines are left out."""
     raw = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl\z", 1).alias("session"), F.from_json("value", RAW).alias("e")).where("e.type is not null")
     content = F.coalesce("e.data.message.content", "e.data.content")
-    return raw.select(
-        "session", "e.seq", F.timestamp_millis("e.time").alias("ts"), "e.type", F.coalesce("e.data.message.role", "e.data.role").alias("role"), flat_blocks(content).alias("blocks"),
+    log = raw.select(
+        "session", "e.seq", F.timestamp_millis("e.time").alias("ts"), "e.type", F.coalesce("e.data.message.role", "e.data.role").alias("role"), content.alias("content"),
         F.coalesce("e.data.message.source", "e.data.source", "e.source").alias("source"), F.coalesce("e.sourceEventSeqs", "e.data.sourceEventSeqs").alias("source_event_seqs"),
     )
+    return with_blocks(log, ["session", "seq"])
+
+
+def with_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with their ``content`` as ``blocks``, whatever is nested in it; ``keys`` name a row.
+
+    One that may nest deeper than ``DEPTH`` (it spells ``"content"`` more often) is unfolded level by level.
+    """
+    deep = F.coalesce(F.regexp_count("content", F.lit('"content"')) > DEPTH, F.lit(False))
+    shallow = rows.where(~deep).withColumn("blocks", flat_blocks(F.col("content"))).drop("content")
+    rest = rows.where(deep)
+    if not rest.take(1):
+        return shallow
+    found = blocks.flat(blocks.exploded(rest.select(*keys, "content"), keys), keys)
+    return shallow.unionByName(rest.drop("content").join(found, keys, "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(f"array<{BLOCK}>"))))
 
 
 def resolved(events: DataFrame, session: str) -> DataFrame:
@@ -64,8 +79,8 @@ def resolved(events: DataFrame, session: str) -> DataFrame:
     return found
 
 
-def calls(blocks: Column) -> Column:
-    return F.transform(F.filter(blocks, lambda b: b["type"] == "tool-call"), lambda b: F.struct(b["name"].alias("name"), b["arguments"].alias("arguments")))
+def calls(held: Column) -> Column:
+    return F.transform(F.filter(held, lambda b: b["type"] == "tool-call"), lambda b: F.struct(b["name"].alias("name"), b["arguments"].alias("arguments")))
 
 
 def messages(events: DataFrame) -> DataFrame:
