@@ -263,7 +263,18 @@ def matched_entries(spark, sf_dir):
     return got.select(F.floor(F.col("message_id") / 1000).alias("conv_id"), (F.col("message_id") % 1000).alias("turn"), "id", "hits", F.col("nth").cast("long").alias("nth"))
 
 
-_STATE = "stage one is done\nstage two goes on"
+#: More than the smallest budget takes, so that it is cut there and leaves little room elsewhere.
+_STATE = "\n".join(f"stage {i} of the plan is {'done and checked' if i % 3 else 'open, see the notes of week ' + str(i)}" for i in range(120))
+
+
+def _tokens_sql(text: str) -> str:
+    other = f"length(regexp_replace({text}, '[㐀-鿿぀-ヿ가-힯]', '', 'g'))"
+    return f"(length({text}) - {other} + ceil({other} / 4.0))"
+
+
+_LINES, _LEAD, _GAP = f"string_split('{_STATE}', chr(10))", "'### Current state' || chr(10)", "chr(10) || chr(10)"
+_BUDGET = "CASE class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.CLASS_BUDGETS.items()) + " END"
+_MARKER = "'" + V.MARKER + "'"
 _SHOWN = f"""{_CLASSED}, {_MATCHED}, b AS (SELECT *, '### ' || id || ' — ' || title || chr(10) || rtrim(raw) AS block, row_number() OVER (PARTITION BY file ORDER BY place) AS front, row_number() OVER (PARTITION BY file ORDER BY place DESC) AS back FROM x WHERE status = 'ACTIVE'),
 g AS (SELECT conv_id, turn, class, regexp_matches(low, '{P.INTENT_GOAL}') OR regexp_matches(low, '{P.INTENT_WORK}') AS scoped FROM d),
 kf AS (SELECT z.*, row_number() OVER (PARTITION BY conv_id, turn ORDER BY hits DESC, {_RANK}, place) AS nth, row_number() OVER (PARTITION BY conv_id, turn, file ORDER BY hits DESC, place) AS in_file FROM z),
@@ -274,12 +285,16 @@ f AS (SELECT g.conv_id, g.turn, 10 + b.front AS ord, b.block FROM g JOIN b ON g.
 
 
 @query(
-    f"""WITH {_SHOWN}, h AS (SELECT conv_id, turn, string_agg(chr(10) || chr(10) || block, '' ORDER BY ord) AS body FROM f GROUP BY 1, 2)
-SELECT g.conv_id, g.turn, g.class, CASE WHEN g.class IN ('C0', 'C1') THEN '' ELSE replace('{V.HEAD}', '%s', g.class) || CASE WHEN g.class IN ('C4', 'C5') THEN chr(10) || chr(10) || '### Router' || chr(10) || '(empty ledger)' ELSE '' END || chr(10) || chr(10) || '### Current state' || chr(10) || '{_STATE}' || coalesce(h.body, '') END AS context
-FROM g LEFT JOIN h ON g.conv_id = h.conv_id AND g.turn = h.turn"""
+    f"""WITH {_SHOWN}, h AS (SELECT conv_id, turn, list(block ORDER BY ord) AS blocks FROM f GROUP BY 1, 2),
+pre AS (SELECT k, array_to_string({_LINES}[1:k], chr(10)) || chr(10) AS said FROM (SELECT unnest(range(1, len({_LINES}) + 1)) AS k)),
+q AS (SELECT g.*, {_BUDGET} AS budget, replace('{V.HEAD}', '%s', g.class) || CASE WHEN g.class IN ('C4', 'C5') THEN {_GAP} || '### Router' || chr(10) || '(empty ledger)' ELSE '' END AS top, coalesce(h.blocks, []) AS blocks FROM g LEFT JOIN h ON g.conv_id = h.conv_id AND g.turn = h.turn),
+r AS (SELECT q.*, (SELECT max(k) FROM pre WHERE {_tokens_sql(f"(q.top || {_GAP} || {_LEAD} || pre.said || {_MARKER})")} <= q.budget) AS k FROM q),
+s2 AS (SELECT r.*, CASE WHEN {_tokens_sql("top")} + {_tokens_sql(f"({_LEAD} || '{_STATE}')")} <= budget THEN top || {_GAP} || {_LEAD} || '{_STATE}'
+  WHEN k IS NOT NULL THEN top || {_GAP} || {_LEAD} || array_to_string({_LINES}[1:k], chr(10)) || {_MARKER} ELSE top END AS told FROM r)
+SELECT conv_id, turn, class, CASE WHEN budget = 0 THEN '' ELSE list_reduce([told] || blocks, lambda t, b: CASE WHEN {_tokens_sql("t")} + {_tokens_sql("b")} <= budget THEN t || {_GAP} || b ELSE t END) END AS context FROM s2"""
 )
 def render_context(spark, sf_dir):
-    """What each class shows of the ledger (here all of it fits; tests cut it)."""
+    """What each class shows of the ledger, its state cut and blocks passed over where its budget ends."""
     got = V.render_context(_classed(spark, sf_dir), A.item_entries(spark, sf_dir), F.lit(_STATE), F.lit(" "))
     return got.select(F.floor(F.col("message_id") / 1000).alias("conv_id"), (F.col("message_id") % 1000).alias("turn"), "class", "context")
 

@@ -186,7 +186,7 @@ def greeting_flags(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_greeting(F.expr(_SAID)).alias("greets"))
 
 
-_CJK = "'sk-' || doc_id || substr('记忆账本上下文窗口压缩决策', 1 + doc_id % 6, 2 + doc_id % 5) || ' and ' || substr('安全兼容目标', 1 + doc_id % 3, 1 + doc_id % 4) || substr(text, 1, 40)"
+_CJK = "'sk-' || doc_id || substr('记忆账本上下文窗口压缩决策', 1 + doc_id % 6, 2 + doc_id % 5) || ' and ' || substr('安全兼容目标', 1 + doc_id % 3, 1 + doc_id % 4) || text"
 
 
 @query(f"WITH x AS (SELECT doc_id, list_distinct(flatten(list_transform(regexp_extract_all({_CJK}, '[㐀-鿿]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS g FROM documents) SELECT doc_id, array_to_string(list_sort(g), '|') AS bigrams FROM x")
@@ -246,7 +246,7 @@ def last_user_messages(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.substring(F.max_by("text", live), 1, 2000).alias("said"))
 
 
-_SPELLED = "'Error E_ONE e_one ' || substr(text, 1, 200) || ' on 10.0.0.' || (doc_id % 9) || ':8' || (doc_id % 10) || '00 ran `make it` in 3' || (doc_id % 7) || ' MS'"
+_SPELLED = "'Error E_ONE e_one ' || text || ' on 10.0.0.' || (doc_id % 9) || ':8' || (doc_id % 10) || '00 ran `make it` in 3' || (doc_id % 7) || ' MS'"
 
 
 @query(f"WITH x AS (SELECT doc_id, {_SPELLED} AS t FROM documents) SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(t, ':(\\d{{2,5}})\\b', 1)), '|') AS ports, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\b'))), '|') AS ips, array_to_string(list_distinct(regexp_extract_all(t, '`[^`\\n]{{2,160}}`')), '|') AS commands, list_contains(list_transform(regexp_extract_all(t, '(?i)\\d+(?:\\.\\d+)?\\s?(?:ms|s|min|h|hours?|toks?/s|tokens?|chars?|characters?|lines?|files?|tests?|cases?|gb|mb|kb|percent|%|k\\b|m\\b)'), lambda s: lower(s)), '3' || (doc_id % 7) || ' ms') AS took FROM x")

@@ -127,13 +127,13 @@ def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Benchmark items as ledger entries of three files.
 ITEMS = """i AS (SELECT CASE item_id % 3 WHEN 0 THEN 'DECISIONS.md' WHEN 1 THEN 'TECH.md' ELSE 'PROJECT.md' END AS file, item_id AS place,
  CASE item_id % 3 WHEN 0 THEN 'DEC-' WHEN 1 THEN 'TECH-' ELSE 'REQ-' END || lpad(CAST(item_id AS VARCHAR), 3, '0') AS id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title,
- CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, substr(text, 1, 90) AS body FROM benchmark),
+ CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, text AS body FROM benchmark),
 x AS (SELECT *, '## [' || id || '] ' || title || chr(10) || '- status: ' || status || chr(10) || '- ' || body AS raw FROM i)"""
 
 
 def item_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _read(spark, sf_dir, "benchmark").select(
         F.expr("CASE item_id % 3 WHEN 0 THEN 'DECISIONS.md' WHEN 1 THEN 'TECH.md' ELSE 'PROJECT.md' END").alias("file"), F.col("item_id").alias("place"), F.expr("concat(CASE item_id % 3 WHEN 0 THEN 'DEC-' WHEN 1 THEN 'TECH-' ELSE 'REQ-' END, lpad(cast(item_id as string), 3, '0'))").alias("id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title"), F.expr("CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END").alias("status"), F.substring("text", 1, 90).alias("body"),
+        F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title"), F.expr("CASE WHEN item_id % 5 = 4 THEN 'SUPERSEDED' ELSE 'ACTIVE' END").alias("status"), F.col("text").alias("body"),
     )
     return i.withColumn("raw", F.concat(F.lit("## ["), "id", F.lit("] "), "title", F.lit("\n- status: "), "status", F.lit("\n- "), "body"))
