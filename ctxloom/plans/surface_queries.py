@@ -189,3 +189,60 @@ def history_points(spark, sf_dir):
     plans = plans.withColumn("action", G.decision(F.col("zone"), F.col("reclaim").isNotNull())).withColumn("degraded", F.lit(False))
     units = A.order_units(spark, sf_dir).select("session", "pos", "tokens", F.when(F.col("pos") % 3 == 0, "injected").otherwise("user").alias("kind"))
     return points_of(units, plans, 6)
+
+
+# Reducers of tool results
+
+#: The i-th of 48 lines of a document's made output.
+_LINE = """CASE (doc_id * 31 + i * 17) % 13 WHEN 0 THEN 'ERROR: code E' || (i % 3) WHEN 1 THEN 'warning: slow step ' || (i % 2) WHEN 2 THEN 'exit code: ' || ((doc_id + i) % 4) WHEN 3 THEN (i % 9) || ' passed' WHEN 4 THEN '✔ case ' || (i % 4)
+ WHEN 5 THEN 'FAIL at step ' || i WHEN 6 THEN '@@ -' || i || ',3 +' || (i % 5) || ',3 @@' WHEN 7 THEN '+function f' || (i % 6) || '() {' WHEN 8 THEN '-const c' || i || ' = 1' WHEN 9 THEN 'export class K' || (i % 7)
+ WHEN 10 THEN 'diff --git a/x' || i || ' b/x' WHEN 11 THEN 'at run (x.js:1:' || i || ')' ELSE 'some words of ' || n_chars || CASE WHEN i % 2 = 0 THEN '' ELSE ' Again' END END"""
+_TOOL = "CASE doc_id % 5 WHEN 0 THEN 'pwsh' WHEN 1 THEN 'pytest' WHEN 2 THEN 'git_diff' WHEN 3 THEN 'read' ELSE 'make' END"
+_ARGS = """'{"path": "/srv/app/m' || doc_id || '.py"}'"""
+
+
+def _reducer_sql() -> str:
+    like = lambda p, v="ls": f"list_filter({v}, lambda x: regexp_matches(x, '{p}'))"
+    indent = lambda v: f"list_transform({v}, lambda x: '  ' || x)"
+    unique = lambda v: f"list_filter({v}, lambda x, i: list_position(list_transform({v}, lambda y: lower(y)), lower(x)) = i)"
+    last = lambda p, label: f"CASE WHEN len(regexp_extract_all(t, '{p}', 1)) > 0 THEN ['{label}' || regexp_extract_all(t, '{p}', 1)[-1]] ELSE [] END"
+    plain = lambda title, v: f"CASE WHEN len({v}) > 0 THEN ['{title}'] || {indent(v)} ELSE [] END"
+
+    def block(title: str, name: str, most: int, note: str = "") -> str:
+        more = f" || CASE WHEN len({name}) > len({name}_u) THEN ', ' || (len({name}) - len({name}_u)) || ' {note}' ELSE '' END" if note else ""
+        return f"CASE WHEN len({name}_u) > 0 THEN ['{title} (' || len({name}_u){more} || '):'] || {indent(f'{name}_u[1:{most}]')} ELSE [] END"
+
+    lists = {
+        "err": like("(?i)error|exception|fatal|panic|traceback|segmentation|cannot |no such "), "warn": like("(?i)warning|warn:"), "other": like("(?i)error|exception|fatal|traceback"),
+        "good": f"list_filter(ls, lambda x: regexp_matches(x, '(?i)✔|✓|\\bpass(ed|ing)?\\b|ok\\b') AND NOT regexp_matches(x, '(?i)failing|failed'))",
+        "hunks": like("^@@"), "names": "list_transform(" + like(r"^[+-]\s*(?:export\s+)?(?:function|class|const|let|def|type|interface|public|private)\b") + r", lambda x: regexp_replace(x, '^[+-]\s*', ''))",
+        "syms": like("export (?:default )?(?:async )?(?:function|class|const|let|type|interface)|^(?:function|class|def|const) [A-Za-z_$]"),
+    }
+    fails = r"list_filter(range(1, len(ls) + 1), lambda k: regexp_matches(ls[k], '(?i)✖|✗|\bfail(ed|ure)?\b|Error:') AND NOT regexp_matches(ls[k], '(?i)\b\d+\s+(?:passing|passed|skipped|pending|failing|failed)\b'))[1]"
+    number = lambda w: rf"regexp_extract_all(t, '(?i)\b(\d+)\s+(?:{w})\b', 1)[-1]"
+    counts = "list_filter([" + ", ".join(f"'{n}: ' || CAST({number(w)} AS BIGINT)" for n, w in (("passed", "passing|passed"), ("failed", "failing|failed"), ("skipped", "skipped|pending"))) + "], lambda x: x IS NOT NULL)"
+    exit_code = last(r"(?i)\bexit\s*code\s*:?\s*(\d+)", "Exit Code: ")
+    kinds = {
+        "pwsh": [exit_code, block("Primary Errors", "err", 8, "duplicated"), block("Warnings", "warn", 4), plain("Last lines:", "tail")],
+        "pytest": [f"CASE WHEN len({counts}) > 0 THEN ['Results: ' || array_to_string({counts}, ', ')] ELSE [] END", exit_code, plain("First failure:", "fail[1:3]"), "CASE WHEN origin IS NOT NULL THEN ['  stack origin: ' || origin] ELSE [] END", block("Success cases", "good", 12, "duplicated dropped")],
+        "git_diff": [f"CASE WHEN len({like('^diff --git ')}) > 0 THEN [len({like('^diff --git ')}) || ' files changed'] ELSE [] END", rf"['line counts: +' || len(list_filter(ls, lambda x: regexp_matches(x, '^\+') AND NOT regexp_matches(x, '^\+\+\+'))) || ' -' || len(list_filter(ls, lambda x: regexp_matches(x, '^-') AND NOT regexp_matches(x, '^---')))]", block("Hunks", "hunks", 12, "duplicated"), block("Symbols", "names", 12)],
+        "read": ["['path: ' || regexp_extract(args, '/[A-Za-z0-9_./-]+'), 'hash: ' || fp]", block("Symbols", "syms", 12), "['range: lines 1-' || len(ls) || ' (preview)']", indent("ls[1:3]")],
+        "make": [exit_code, block("Primary Errors", "other", 8), "['Head:']", indent("ls[1:3]"), f"CASE WHEN len(tail) > 3 THEN {plain('Last lines:', 'tail')} ELSE [] END"],
+    }
+    cases = " ".join(f"WHEN '{k}' THEN " + " || ".join(v) for k, v in kinds.items())
+    made = ", ".join(f"{v} AS {k}" for k, v in lists.items())
+    ones = ", ".join(f"{unique(k)} AS {k}_u" for k in lists)
+    return f"""WITH a AS (SELECT doc_id, {_TOOL} AS tool, {_ARGS} AS args, list_transform(range(1, 49), lambda i: {_LINE}) AS ls FROM documents),
+b AS (SELECT *, array_to_string(ls, chr(10)) AS t FROM a), c AS (SELECT *, {FP.replace("lower(text)", "lower(t)")} AS fp, ls[41:48] AS tail, {fails} AS f0, {made} FROM b),
+d AS (SELECT *, CASE WHEN f0 IS NULL THEN [] ELSE ls[f0:f0 + 5] END AS fail, {ones} FROM c),
+e AS (SELECT *, {like(r'at |Error:|File "|\.js:\d+:\d+|\.py:\d+|\.ts:\d+', 'fail')}[1] AS origin FROM d)
+SELECT doc_id, tool, array_to_string((CASE tool {cases} END) || ['raw: ' || fp || ' (48 lines, reconstructible)'], chr(10)) AS reduced FROM e"""
+
+
+@query(_reducer_sql())
+def reduced_results(spark, sf_dir):
+    """A made output of each document as its tool's reducer has it."""
+    docs = read(spark, sf_dir, "documents")
+    text = F.expr(f"array_join(transform(sequence(1L, 48L), i -> {_LINE}), chr(10))")
+    made = docs.select("doc_id", F.expr(_TOOL).alias("tool"), F.expr(_ARGS).alias("args"), text.alias("text"))
+    return R.reduced(made).select("doc_id", "tool", "reduced")
