@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.config import Config
+from ctxloom.operators import budget as B
 from ctxloom.operators import commit as K
 from ctxloom.operators import ledger as L
+from ctxloom.operators import units as U
 from ctxloom.plans import planner as P
 from ctxloom.plans.registry import held
 from ctxloom.sources import ledger_files as S
@@ -109,3 +111,44 @@ def publish(scored: DataFrame, config: Config = Config()) -> DataFrame:
     G.ranked(G.segments(scored, config)).createOrReplaceTempView("plan_segments")
     scored.groupBy("session", "tier").agg(F.count("*").alias("n_units"), F.sum("tokens").alias("tokens")).createOrReplaceTempView("plan_tiers")
     return made
+
+
+#: Ways in which a plan is carried out.
+EXECUTED = ("prune", "semantic", "official")
+
+
+def executed(done: DataFrame) -> DataFrame:
+    """(session, kind, n, last_at): how often and when last each way was taken, ways never taken too.
+
+    ``done`` are (session, kind, n, at): what was carried out, n at a time.
+    """
+    every = done.select("session").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, EXECUTED))))
+    sums = done.groupBy("session", "kind").agg(F.sum("n").cast("long").alias("n"), F.max("at").alias("last_at"))
+    return every.join(sums, ["session", "kind"], "left").select("session", "kind", F.coalesce("n", F.lit(0)).alias("n"), "last_at")
+
+
+def route_settings(routes: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """(route, window, max_tokens, stale, target, most, margin, configured): what each route is set to and may do.
+
+    ``routes`` (route, target, most, margin) hold what was configured, nulls where nothing was;
+    ``capabilities`` (route, window, max_tokens, stale) what the model's backend says, 0 for unknown.
+    """
+    both = capabilities.join(routes, "route", "full")
+    window, most = F.coalesce("window", F.lit(0)), F.coalesce("max_tokens", F.lit(0))
+    effective = B.route_budget(window, most, F.col("target"), F.col("most"), F.col("margin"))
+    set_ = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("target", "most", "margin"))))
+    return both.select("route", window.alias("window"), most.alias("max_tokens"), F.coalesce("stale", F.lit(False)).alias("stale"), effective.alias("e"), set_.alias("configured")).select("route", "window", "max_tokens", "stale", "e.*", "configured")
+
+
+def publish_state(points: DataFrame, done: DataFrame, routes: DataFrame, capabilities: DataFrame, budgets: DataFrame, ledger: MemoryLedger | None = None) -> None:
+    """Registers the views plan_history, plan_executed, route_settings, request_budgets and, of a ledger, provenance.
+
+    ``points`` (session, pos, t, ...) are what plans left behind, of which the ring keeps 240 a session;
+    ``budgets`` (session, at, ...) are measured requests, the newest four of each session.
+    """
+    U.in_ring(points).createOrReplaceTempView("plan_history")
+    executed(done).createOrReplaceTempView("plan_executed")
+    route_settings(routes, capabilities).createOrReplaceTempView("route_settings")
+    B.newest(budgets, "at", 4, ["session"]).createOrReplaceTempView("request_budgets")
+    if ledger is not None:
+        ledger.provenance().createOrReplaceTempView("provenance")

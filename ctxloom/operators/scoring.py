@@ -13,15 +13,18 @@ from ctxloom.functions import patterns as P
 from ctxloom.functions.text import clamped, fingerprint, is_greeting, lines, overlap
 
 
-def protection(kind: Column, text: Column, args: Column, is_open: Column, has_path: Column, active: Column | None = None, cited: Column | None = None, held: Column | None = None) -> Column:
+def protection(kind: Column, text: Column, args: Column, is_open: Column, has_path: Column, active: Column | None = None, cited: Column | None = None, held: Column | None = None, shadowed: Column | None = None) -> Column:
     """(protection, reasons) by rule; ``active`` and ``cited`` are arrays of ledger ids.
 
     ``active``: ACTIVE entries whose sources the unit holds; ``cited``: ACTIVE ids that its
-    text names; ``held``: whether it may be the lost source of an ACTIVE entry.
+    text names; ``held``: whether it may be the lost source of an ACTIVE entry; ``shadowed``: the
+    nodes that a checkpoint stands for, whose number its reason tells.
     """
     none = F.array().cast("array<string>")
     active, cited = active if active is not None else none, cited if cited is not None else none
     held = held if held is not None else F.lit(False)
+    n = F.greatest(F.size(shadowed), F.lit(0)) if shadowed is not None else F.lit(0)
+    checkpoint = F.lit("checkpoint") if shadowed is None else F.concat(F.lit("checkpoint of "), n, F.when(n == 1, " node").otherwise(" nodes"))
     by_user, by_model, by_tool = kind == "user", kind == "assistant", kind == "tool-pair"
     p0 = [
         (by_user & text.rlike(P.CONSTRAINT), "user constraint"),
@@ -33,7 +36,7 @@ def protection(kind: Column, text: Column, args: Column, is_open: Column, has_pa
         (F.exists(cited, lambda i: i.rlike("^(DEC|REQ|BLOCK)-")), "names active entry"),
     ]
     p1 = [
-        (kind == "checkpoint", "checkpoint"),
+        (kind == "checkpoint", checkpoint),
         (by_model & text.rlike(P.DECISION), "decision"),
         (by_model & text.rlike(P.ROOT_CAUSE), "root cause"),
         (by_model & text.rlike(P.VERIFIED), "benchmark result"),
@@ -111,7 +114,7 @@ LIFTS = {"decision": 0.98, "benchmark result": 0.85, "benchmark entry": 0.85, "r
 
 def intrinsic(kind: Column, grade: Column, reasons: Column) -> Column:
     lifts = F.create_map(*(F.lit(x) for pair in LIFTS.items() for x in pair))
-    lifted = F.array_max(F.transform(reasons, lambda r: F.coalesce(F.try_element_at(lifts, r), F.lit(0.0))))
+    lifted = F.array_max(F.transform(reasons, lambda r: F.coalesce(F.try_element_at(lifts, F.when(r.startswith("checkpoint"), "checkpoint").otherwise(r)), F.lit(0.0))))
     return F.when(grade == "P1", F.greatest(of_type(kind, 0), F.coalesce(lifted, F.lit(0.0)))).otherwise(of_type(kind, 0))
 
 

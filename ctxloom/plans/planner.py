@@ -94,7 +94,7 @@ def scored_units(units: DataFrame, windows: DataFrame, now: Column, memory: Memo
     """
     none, no = F.array().cast("array<string>"), F.lit(False)
     has = lambda frame, c: c in frame.columns
-    for name, kind in (("tool", "string"), ("tool_args", "string"), ("seqs", "array<long>")):
+    for name, kind in (("tool", "string"), ("tool_args", "string"), ("seqs", "array<long>"), ("source_event_seqs", "array<long>")):
         if not has(units, name):
             units = units.withColumn(name, F.lit(None).cast(kind))
     asked = with_asked(units, windows, memory.state if memory else "")
@@ -102,7 +102,7 @@ def scored_units(units: DataFrame, windows: DataFrame, now: Column, memory: Memo
     out = U.with_turns(out).withColumn("own", T.terms(F.col("text")))
     out = with_memory(out, memory) if memory else out.withColumns({"cited": none, "leans": no, "sources": none, "held": no})
     out = out.withColumn("content_type", S.content_type(F.col("kind"), F.col("tool"), F.col("text")))
-    graded = S.protection(F.col("kind"), F.col("text"), F.coalesce("tool_args", F.lit("")), F.col("open"), F.size("own.paths") > 0, F.col("sources"), F.col("cited"), F.col("held"))
+    graded = S.protection(F.col("kind"), F.col("text"), F.coalesce("tool_args", F.lit("")), F.col("open"), F.size("own.paths") > 0, F.col("sources"), F.col("cited"), F.col("held"), F.col("source_event_seqs"))
     out = out.withColumn("_p", graded).select("*", "_p.protection", "_p.reasons").drop("_p")
     key = F.coalesce(F.when(F.col("tool").isNotNull() & F.col("tool_args").isNotNull(), T.tool_group_key(F.col("tool"), F.col("tool_args"))), F.col("kind"))
     out = out.withColumn("middle", S.middle_reads(F.col("kind"), F.col("tool"), F.col("own.paths")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ctxloom.api import executed
+from ctxloom.api import route_settings as settings_of
 from ctxloom.functions import text as T
 from ctxloom.operators import ledger as L
 from ctxloom.operators import prune as R
@@ -191,6 +193,34 @@ def history_points(spark, sf_dir):
     return points_of(units, plans, 6)
 
 
+@query(
+    """WITH d AS (SELECT user_id AS session, CASE event_type WHEN 'purchase' THEN 'prune' WHEN 'error' THEN 'official' END AS kind, event_id % 3 AS n, ts FROM events WHERE event_type IN ('purchase', 'error')),
+k AS (SELECT DISTINCT session, unnest(['prune', 'semantic', 'official']) AS kind FROM d)
+SELECT k.session, k.kind, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS n, strftime(max(d.ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM k LEFT JOIN d ON k.session = d.session AND k.kind = d.kind GROUP BY k.session, k.kind"""
+)
+def executed_by_kind(spark, sf_dir):
+    """What was carried out of plans, by kind, with kinds that never were."""
+    e = read(spark, sf_dir, "events").where("event_type in ('purchase', 'error')")
+    done = e.select(F.col("user_id").alias("session"), F.when(F.col("event_type") == "purchase", "prune").otherwise("official").alias("kind"), (F.col("event_id") % 3).alias("n"), F.col("ts").alias("at"))
+    return executed(done).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS route, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 8000 + p_size * 1000 END AS w, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 500 + p_size * 10 END AS m, p_partkey % 5 = 0 AS stale FROM part WHERE p_partkey % 7 <> 0),
+r AS (SELECT p_partkey AS route, CASE WHEN p_size > 10 THEN p_size * 900 END AS target, CASE WHEN p_size > 20 THEN p_size * 30 END AS most, CASE WHEN p_size > 30 THEN p_size END AS margin FROM part WHERE p_partkey % 2 = 0),
+b AS (SELECT coalesce(c.route, r.route) AS route, coalesce(w, 0) AS w, coalesce(m, 0) AS m, coalesce(stale, false) AS stale, target, most, margin FROM c FULL JOIN r ON c.route = r.route)
+SELECT route, w AS "window", m AS max_tokens, stale, CAST(CASE WHEN w > 0 THEN least(coalesce(target, w), w) ELSE coalesce(target, 0) END AS BIGINT) AS target, CAST(CASE WHEN m > 0 THEN least(coalesce(most, m), m) ELSE coalesce(most, 1) END AS BIGINT) AS most, CAST(coalesce(margin, 2048) AS BIGINT) AS margin,
+ concat_ws('|', CASE WHEN target IS NOT NULL THEN 'target' END, CASE WHEN most IS NOT NULL THEN 'most' END, CASE WHEN margin IS NOT NULL THEN 'margin' END) AS configured FROM b"""
+)
+def route_settings(spark, sf_dir):
+    """Parts as routes, with what their models can do and what was configured."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("route"), F.col("p_size").cast("long").alias("s"))
+    k, s = F.col("route"), F.col("s")
+    able = p.where(k % 7 != 0).select("route", F.when(k % 4 == 0, 0).otherwise(8000 + s * 1000).alias("window"), F.when(k % 3 == 0, 0).otherwise(500 + s * 10).alias("max_tokens"), (k % 5 == 0).alias("stale"))
+    routes = p.where(k % 2 == 0).select("route", F.when(s > 10, s * 900).alias("target"), F.when(s > 20, s * 30).alias("most"), F.when(s > 30, s).alias("margin"))
+    return settings_of(routes, able).withColumn("configured", F.array_join("configured", "|"))
+
+
 # Reducers of tool results
 
 #: The i-th of 48 lines of a document's made output.

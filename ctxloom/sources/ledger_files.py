@@ -33,6 +33,33 @@ def seeded(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "file string, content string").join(there, "file", "left_anti")
 
 
+#: Keeps a ledger out of version control.
+IGNORE = "*\n"
+
+
+def ensured(spark: SparkSession, folder: str, tracked: bool = False) -> None:
+    """Make a ledger's folder and the files that it lacks; what is there stays as it is.
+
+    Unless version control is to track it, a missing .gitignore is made too; if it is, one is removed.
+    Seven small files of fixed texts are all that the driver writes; each is made only if no other was first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    fs.mkdirs(path)
+    fs.setWriteChecksum(False)  # people edit these files, so no checksum may stand beside them
+    ignore = jvm.org.apache.hadoop.fs.Path(f"{folder}/.gitignore")
+    if tracked:
+        fs.delete(ignore, False)
+    for name, text in {**TEMPLATES, **({} if tracked else {".gitignore": IGNORE})}.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not fs.exists(at):
+            out = fs.create(at, False)
+            out.write(bytearray(text.encode()))
+            out.close()
+    fs.setWriteChecksum(True)
+
+
 def status(files: DataFrame, found: DataFrame) -> DataFrame:
     """(file, size, modified, n_conflicts): a folder at a glance; conflicts are ACTIVE ones."""
     open_ = found.where("file = 'CONFLICTS.md' and coalesce(status, 'ACTIVE') = 'ACTIVE'").agg(F.count("*").alias("n_conflicts"))

@@ -113,3 +113,38 @@ def test_injected_tokens_of_a_plan(spark):
     units = spark.createDataFrame([(1, p, "injected" if p % 2 else "user", 10 + p) for p in range(6)], "session long, pos long, kind string, tokens long")
     plans = spark.createDataFrame([(1, "Z2", "compact", 500, False), (2, None, "none", None, True)], "session long, zone string, action string, reclaim long, degraded boolean")
     assert sorted(map(tuple, history_points(units, plans, 4).collect()), key=str) == [(1, "Z2", "compact", 500, 24, False), (2, None, "none", 0, 0, True)]
+
+
+def test_checkpoints_tell_what_they_stand_for(spark):
+    rows = spark.createDataFrame([("checkpoint", [1, 2, 3]), ("checkpoint", [4]), ("checkpoint", None), ("user", None)], "kind string, seqs array<long>")
+    none = F.lit("")
+    p = S.protection(F.col("kind"), none, none, F.lit(False), F.lit(False), shadowed=F.col("seqs"))
+    got = [tuple(r) for r in rows.select(p.alias("p"), S.intrinsic(F.lit("checkpoint"), F.col("p.protection"), F.col("p.reasons")).alias("i")).select("p.protection", "p.reasons", "i").collect()]
+    assert [x[:2] for x in got] == [("P1", ["checkpoint of 3 nodes"]), ("P1", ["checkpoint of 1 node"]), ("P1", ["checkpoint of 0 nodes"]), ("NORMAL", [])]
+    assert got[0][2] == 0.9
+
+
+def test_views(spark, tmp_path):
+    from ctxloom import api
+    from ctxloom.sources import ledger_files as L
+
+    folder = str(tmp_path / "ledger")
+    L.ensured(spark, folder)
+    (tmp_path / "ledger" / "STATE.md").write_text("# STATE\nmine")
+    L.ensured(spark, folder)
+    names = {p.name for p in (tmp_path / "ledger").iterdir() if not p.name.endswith(".crc")}
+    assert len(names) == 8 and (tmp_path / "ledger" / ".gitignore").read_text() == "*\n" and (tmp_path / "ledger" / "STATE.md").read_text() == "# STATE\nmine"
+    L.ensured(spark, folder, tracked=True)
+    assert not (tmp_path / "ledger" / ".gitignore").exists()
+    (tmp_path / "ledger" / "DECISIONS.md").write_text("# D\n\n## [DEC-001] t\n- status: ACTIVE\n- fact\n")
+    points = spark.createDataFrame([(1, p, p // 2) for p in range(600)], "session long, pos long, t long")
+    done = spark.createDataFrame([(1, "prune", 2, 5), (1, "prune", 1, 9)], "session long, kind string, n long, at long")
+    routes = spark.createDataFrame([("a/b", 9000, None, None), ("c/d", 500, 10, 7)], "route string, target long, most long, margin long")
+    able = spark.createDataFrame([("a/b", 8000, 0, True)], "route string, window long, max_tokens long, stale boolean")
+    budgets = spark.createDataFrame([(1, k) for k in range(9)], "session long, at long")
+    api.publish_state(points, done, routes, able, budgets, api.MemoryLedger(spark, folder))
+    assert spark.table("plan_history").count() == 240
+    assert sorted(map(tuple, spark.table("plan_executed").collect())) == [(1, "official", 0, None), (1, "prune", 3, 9), (1, "semantic", 0, None)]
+    assert sorted(map(tuple, spark.table("route_settings").collect())) == [("a/b", 8000, 0, True, 8000, 1, 2048, ["target"]), ("c/d", 0, 0, False, 500, 10, 7, ["target", "most", "margin"])]
+    assert sorted(r["at"] for r in spark.table("request_budgets").collect()) == [5, 6, 7, 8]
+    assert [tuple(r) for r in spark.table("provenance").collect()] == [("DEC-001", "unbound")]
