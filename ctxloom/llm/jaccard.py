@@ -120,13 +120,13 @@ def prefix(own: np.ndarray, rare: np.ndarray, usual: float) -> tuple[np.ndarray,
 
 
 def end_of(own_prefix: np.ndarray, rare: np.ndarray) -> int:
-    """Where a prefix ends in the common order: the level and hash of its last shingle."""
+    """Where a prefix ends in the common order, in 31 bits: level and first hash bits of its last shingle."""
     last = own_prefix[-1:]
-    return (int(rare[_slots(last)][0]) << 55) | (int(last[0]) >> 9)
+    return (int(rare[_slots(last)][0]) << 23) | (int(last[0]) >> 41)
 
 
 def _postings(rare, usual: float):
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int8()), ("early", pa.bool_()), ("end", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("l", pa.int8()), ("early", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(rare.value, np.uint8), set()
@@ -144,9 +144,12 @@ def _postings(rare, usual: float):
                 lens = np.array([len(x) for x in tokens[1:]], np.int64)
                 place = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
                 few = np.array(sizes, np.int64) - (6 * np.array(sizes, np.int64) + 6) // 7 + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.repeat(np.array(takes, np.int8), lens)), pa.array(place < np.repeat(few, lens)), pa.array(np.repeat(np.array(ends, np.int64), lens))], schema=schema
-                )
+                # Behind the postings a row for each class tells where its prefix ends, in place of a shingle.
+                alike = lambda x, kind: np.concatenate([np.repeat(np.array(x, kind), lens), np.array(x, kind)])  # noqa: E731, B023
+                marks = np.concatenate([np.zeros(len(place), bool), np.ones(len(ids), bool)])
+                early = pa.array(np.concatenate([place < np.repeat(few, lens), np.zeros(len(ids), bool)]), mask=marks)
+                told = np.concatenate([np.concatenate(tokens).view(np.int64), np.array(ends, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(alike(ids, np.int64)), pa.array(alike(sizes, np.int32)), pa.array(alike(takes, np.int8)), early], schema=schema)
 
     return scan
 
@@ -200,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 #: What two sets of n and m shingles must share, and that the one whose prefix ends first may share it.
 _NEEDED = "(3 * (n + m) + 6) div 7"
-_MOST = f"if(end <= end_b, most, most_b) >= {_NEEDED}"
+_MOST = f"case when end < end_b then most when end > end_b then most_b else greatest(most, most_b) end >= {_NEEDED}"
 
 
 def _likely() -> F.Column:
@@ -208,9 +211,10 @@ def _likely() -> F.Column:
 
     Of the two, the one whose prefix ends first in the common order shares no prefix shingle
     with the other but in both prefixes. So what they share is at most its ``most``, and all but
-    its last a - l shingles of that lie in both prefixes.
+    its last a - l shingles of that lie in both prefixes. Where both seem to end at one place the weaker bound holds.
     """
-    return F.expr(f"4 * least(n, m) >= 3 * greatest(n, m) and {_MOST} and common >= {_NEEDED} - if(end <= end_b, (3 * n + 3) div 4 - l, (3 * m + 3) div 4 - k) and common >= if(end <= end_b, l, k)")
+    rest, rest_b = "((3 * n + 3) div 4 - l)", "((3 * m + 3) div 4 - k)"
+    return F.expr(f"4 * least(n, m) >= 3 * greatest(n, m) and {_MOST} and common >= {_NEEDED} - case when end < end_b then {rest} when end > end_b then {rest_b} else greatest({rest}, {rest_b}) end and common >= case when end < end_b then l when end > end_b then k else least(l, k) end")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -227,15 +231,17 @@ def linked(docs: DataFrame) -> DataFrame:
     usual = float(np.exp2(np.median(counts) / 8.0))
     rare = spark.sparkContext.broadcast(counts.tobytes())
 
-    postings = texts.select("text").mapInArrow(_postings(rare, usual), "token long, class long, n int, l byte, early boolean, end long")
+    postings = texts.select("text").mapInArrow(_postings(rare, usual), "token long, class long, n int, l byte, early boolean")
     by_token = Window.partitionBy("token")
     met = postings.select("*", F.min("class").over(by_token).alias("lo"), F.max("class").over(by_token).alias("hi"))
-    shared = table(met.where("lo <> hi").select("token", "class", "n", "l", "early", "end").distinct(), "shared")
+    told = table(met.where("lo <> hi or early is null").select("token", "class", "n", "l", "early").distinct(), "shared")
+    shared = told.where("early is not null")
+    ends = told.where("early is null").groupBy("class").agg(F.first(F.col("token").cast("int")).alias("end"))
     # Of a group's classes the one that shares most is likeliest to link with the others.
     shares = shared.groupBy("class").agg(F.count("*").alias("shares"))
     # Prefix shingles in no other prefix can't be common with a class whose prefix ends later: ``most`` bounds what may be.
-    weighed = table(shared.join(shares, "class").withColumn("most", F.expr("(3 * n + 3) div 4 - l + shares")), "weighed")
-    drop_table(shared)
+    weighed = table(shared.join(shares, "class").join(ends, "class").withColumn("most", F.expr("(3 * n + 3) div 4 - l + shares")), "weighed")
+    drop_table(told)
     free_shuffles(spark)
     tried = links = roots = None
     for _ in range(STAR_ROUNDS):
