@@ -61,19 +61,21 @@ class PieceTokenizer:
         self.firm: dict[str, bool] = {}
         self._clear()
 
-    def _firm(self, ends: pa.Array) -> pa.Array:
-        """Whether each letter or digit still ends in one when normalised.
+    def _loose(self, stems: pa.Array) -> np.ndarray:
+        """Places of stems whose last letter or digit no longer ends them when normalised.
 
-        Some come apart into a letter and a combining mark there, and an ASCII mark behind them
-        then joins that mark instead of standing alone.
+        Some letters come apart into a letter and a combining mark there, and an ASCII mark behind them
+        then joins that mark instead of standing alone. ASCII ones never do.
         """
-        coded = ends.dictionary_encode()
-        letters = coded.dictionary.to_pylist()
-        for c in letters:
-            if c not in self.firm:
-                normal = c if c.isascii() or self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(c)
-                self.firm[c] = bool(normal) and category(normal[-1])[0] in "LN"
-        return pa.array([self.firm[c] for c in letters], pa.bool_()).take(coded.indices)
+        data, bounds = raw(stems)
+        wide = np.flatnonzero((bounds[1:] > bounds[:-1]) & (data[np.maximum(bounds[1:] - 1, 0)] >= 0x80)) if len(data) else np.zeros(0, np.int64)
+        if self.tokenizer.normalizer is None or not len(wide):
+            return np.zeros(0, np.int64)
+        letters = pc.utf8_slice_codeunits(stems.take(pa.array(wide)), -1, None).to_pylist()
+        for c in set(letters) - self.firm.keys():
+            normal = self.tokenizer.normalizer.normalize_str(c)
+            self.firm[c] = bool(normal) and category(normal[-1])[0] in "LN"
+        return wide[[not self.firm[c] for c in letters]]
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -142,7 +144,10 @@ class PieceTokenizer:
         # Marks behind a letter or digit are cut off before the model sees them: "word" and "word," share their ids.
         bare = pc.utf8_rtrim(words, MARKS)
         ended = pc.and_(pc.match_substring_regex(bare, r"[\pL\pN]$"), pc.less(pc.binary_length(bare), pc.binary_length(words)))
-        ended = pc.and_(ended, self._firm(pc.utf8_slice_codeunits(bare, -1, None)))
+        if len(loose := self._loose(bare)):
+            firm = np.ones(len(bare), bool)
+            firm[loose] = False
+            ended = pc.and_(ended, pa.array(firm))
         stems = pc.if_else(ended, bare, words).dictionary_encode()
         with_tail = np.flatnonzero(ended.to_numpy(zero_copy_only=False))
         tails = pc.struct_field(pc.extract_regex(words.take(pa.array(with_tail)), f"(?s)(?P<tail>[{re.escape(MARKS)}]+)$"), "tail").dictionary_encode()
