@@ -132,8 +132,16 @@ def is_greeting(text: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """One for each CJK letter, one for every four other characters."""
-    other = F.length(F.regexp_replace(text, CJK, ""))
-    return (F.length(text) - other + F.ceil(other / 4)).cast("long")
+    return (wide_letters(text) + F.ceil(other_letters(text) / 4)).cast("long")
+
+
+def other_letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, CJK, ""))
+
+
+def wide_letters(text: Column) -> Column:
+    """Letters of ``CJK``; with the other ones they can be summed up over parts of a text."""
+    return F.length(text) - other_letters(text)
 
 
 #: Wide letters as prices see them, more than the letters of ``CJK``.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxloom.functions import patterns as P
-from ctxloom.functions.text import estimated_tokens, ledger_terms, trim
+from ctxloom.functions.text import estimated_tokens, ledger_terms, other_letters, trim, wide_letters
 from ctxloom.operators.contains import held
 from ctxloom.operators.ledger import STATE
 
@@ -143,28 +143,43 @@ def render_context(messages: DataFrame, found: DataFrame, state: Column, router:
     asked = messages.select("message_id", "class", "text", (low.rlike(P.INTENT_GOAL) | low.rlike(P.INTENT_WORK)).alias("scoped"))
     related = related_blocks(asked, found)
     related = related.groupBy("message_id").agg(F.sort_array(F.collect_list("b")).alias("related"))
-    view = views(found, state, router)
-    out = asked.withColumn("_one", F.lit(1)).join(F.broadcast(view.withColumn("_one", F.lit(1))), "_one").join(related, "message_id", "left")  # the view is one bounded row
+    shown = class_views(views(found, state, router))
+    out = asked.drop("text").join(F.broadcast(shown), "class", "left").join(related, "message_id", "left")  # a bounded row for each of six classes
     none = F.array().cast("array<string>")
     own = F.coalesce(F.transform("related", lambda b: b["block"]), none)
     scope = F.when(F.col("scoped") & F.col("class").isin("C3", "C4"), F.col("scope")).otherwise(none)
-    full = F.when(F.col("class") == "C5", F.concat("newest", F.when(F.col("conflicts") != "", F.array(F.concat(F.lit("### Open conflicts (need user confirmation)\n"), "conflicts"))).otherwise(none))).otherwise(none)
+    behind = F.concat(scope, own, F.coalesce("full", none))
+    blocks = F.transform(behind, lambda b: F.struct(b.alias("text"), wide_letters(b).cast("long").alias("wide"), other_letters(b).cast("long").alias("other")))
+    price = lambda x: x["wide"] + F.ceil(x["other"] / 4)
+    more = lambda a, b: F.struct(F.concat(a["text"], F.lit("\n\n"), b["text"]).alias("text"), (a["wide"] + b["wide"]).alias("wide"), (a["other"] + b["other"] + 2).alias("other"))
+    start = F.struct("text", wide_letters(F.col("text")).cast("long").alias("wide"), other_letters(F.col("text")).cast("long").alias("other"))
+    told = F.aggregate(blocks, start, lambda a, b: F.when(price(a) + price(b) <= F.col("budget"), more(a, b)).otherwise(a))["text"]
+    return out.select("message_id", "class", F.when(F.col("budget") > 0, told).otherwise("").alias("context"))
+
+
+def class_views(view: DataFrame) -> DataFrame:
+    """A row for each class, with its budget, what it shows to every message (head, router, state) and its fixed blocks.
+
+    The state may be cut, at a line, where the budget of a class ends; that is worked out once a class.
+    """
     budgets = F.create_map(*(F.lit(x) for pair in P.CLASS_BUDGETS.items() for x in pair))
-    head = F.format_string(HEAD, "class")
+    rows = view.withColumn("class", F.explode(F.array(*map(F.lit, P.CLASS_BUDGETS)))).withColumn("budget", F.try_element_at(budgets, F.col("class")))
+    none = F.array().cast("array<string>")
+    conflicts = F.when(F.col("conflicts") != "", F.array(F.concat(F.lit("### Open conflicts (need user confirmation)\n"), "conflicts"))).otherwise(none)
+    full = F.when(F.col("class") == "C5", F.concat("newest", conflicts)).otherwise(none)
     router_block = F.when(F.col("class").isin("C4", "C5"), F.array(F.concat(F.lit("### Router\n"), "router"))).otherwise(none)
-    out = out.select("message_id", "class", "state", F.try_element_at(budgets, F.col("class")).alias("budget"), F.concat(F.array(head), router_block).alias("ahead"), F.concat(scope, own, full).alias("behind"))
+    rows = rows.select("class", "budget", "state", "scope", full.alias("full"), F.concat(F.array(F.format_string(HEAD, "class")), router_block).alias("ahead"))
     joined = lambda text, block: F.when(text == "", block).otherwise(F.concat(text, F.lit("\n\n"), block))
     take = lambda a, b: F.when(estimated_tokens(a) + estimated_tokens(b) <= F.col("budget"), joined(a, b)).otherwise(a)
-    out = out.withColumn("text", F.aggregate("ahead", F.lit(""), take))
+    rows = rows.withColumn("text", F.aggregate("ahead", F.lit(""), take))
     lead, whole = F.lit("### Current state\n"), F.concat(F.lit("### Current state\n"), F.col("state"))
     start = F.struct(lead.alias("text"), F.lit(False).alias("done"))
     fits = lambda block: estimated_tokens(joined(F.col("text"), F.concat(block, F.lit(MARKER)))) <= F.col("budget")
     step = lambda a, line: F.when(a["done"] | ~fits(F.concat(a["text"], line, F.lit("\n"))), F.struct(a["text"].alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(F.concat(a["text"], line, F.lit("\n")).alias("text"), F.lit(False).alias("done")))
     cut = F.concat(F.regexp_replace(F.aggregate(F.split("state", "\n"), start, step)["text"], r"\s+\z", ""), F.lit(MARKER))
-    out = out.withColumn("cut", cut)
+    rows = rows.withColumn("cut", cut)
     with_state = F.when(estimated_tokens(F.col("text")) + estimated_tokens(whole) <= F.col("budget"), joined(F.col("text"), whole)).when(estimated_tokens(joined(F.col("text"), F.col("cut"))) <= F.col("budget"), joined(F.col("text"), F.col("cut"))).otherwise(F.col("text"))
-    out = out.withColumn("text", with_state)
-    return out.select("message_id", "class", F.when(F.col("budget") > 0, F.aggregate("behind", F.col("text"), take)).otherwise("").alias("context"))
+    return rows.select("class", "budget", "scope", "full", with_state.alias("text"))
 
 
 def budgeted(blocks: DataFrame, budget: Column) -> DataFrame:

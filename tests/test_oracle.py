@@ -5,11 +5,11 @@ import os
 
 import pytest
 
-from ctxloom.plans import ledger_queries, registry, session_queries, text_queries  # noqa: F401
+from ctxloom.plans import ledger_queries, registry, session_queries, surface_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["orders", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "part", "nation", "region"]
-SOME = ["fingerprint_documents", "near_duplicates_line_jaccard", "extract_symbols", "exact_facts_per_document", "calibrated_tokens", "greeting_flags", "pair_units", "recent_floor", "protection_lanes", "tier_hysteresis", "segments", "calibrated_range", "history_ring", "continuation_runs", "ledger_entries", "citations", "memory_search", "group_atomicity", "id_minting", "route_validation", "memory_class", "prune_drops", "planned_units", "planner", "apply_ops", "matched_entries", "render_context", "provenance_resolution", "provenance_repair", "region_facts", "compaction_outcomes", "request_guard", "calibrated_loop", "prune_stats", "integrity_issues", "coverage_check", "exact_duplicates", "model_capabilities", "overflow_messages"]
+SOME = ["fingerprint_documents", "near_duplicates_line_jaccard", "extract_symbols", "exact_facts_per_document", "calibrated_tokens", "greeting_flags", "pair_units", "recent_floor", "protection_lanes", "tier_hysteresis", "segments", "calibrated_range", "history_ring", "continuation_runs", "ledger_entries", "citations", "memory_search", "group_atomicity", "id_minting", "route_validation", "memory_class", "prune_drops", "planned_units", "planner", "apply_ops", "matched_entries", "render_context", "provenance_resolution", "provenance_repair", "region_facts", "compaction_outcomes", "request_guard", "calibrated_loop", "prune_stats", "integrity_issues", "coverage_check", "exact_duplicates", "model_capabilities", "overflow_messages", "continuation_steps", "nested_texts", "priced_sessions", "landed_surface", "landed_events", "router_pages", "tiers_in_force", "history_points", "executed_by_kind", "route_settings", "reduced_results"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 
