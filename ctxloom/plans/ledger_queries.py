@@ -121,8 +121,9 @@ m AS (SELECT *, prefix || '-' || CASE WHEN prefix = 'DEC' THEN CAST(nth + (SELEC
 c AS (SELECT key, CASE WHEN key % 5 = 0 THEN 'limit ' || key || '77 ms' WHEN key % 5 = 1 THEN 'about order ' || key ELSE 'no numbers here' END AS body FROM o)"""
 
 
-def _judged(spark, sf_dir):
-    return held(L.atomic(L.validated(_proved(spark, sf_dir), L.entries(A.ledger_lines(spark, sf_dir)))))
+def _judged(spark, sf_dir, found=None):
+    found = L.entries(A.ledger_lines(spark, sf_dir)) if found is None else found
+    return held(L.atomic(L.validated(_proved(spark, sf_dir), found)))
 
 
 @query(f"WITH {_VALID} SELECT key AS idx, final AS reason FROM a")
@@ -149,7 +150,8 @@ SELECT * FROM x"""
 def apply_ops(spark, sf_dir):
     """The whole ledger once the accepted operations are applied."""
     lines = A.ledger_lines(spark, sf_dir)
-    after = L.applied(L.entries(lines), L.minted(_judged(spark, sf_dir), lines))
+    found = held(L.entries(lines))  # parsed once for its targets and for what stays
+    after = L.applied(found, L.minted(_judged(spark, sf_dir, found), lines))
     return after.select("id", "file", "title", "confidence", "status", F.array_join("facts", "|").alias("facts"), "source", "replacement", "resolution", "verbatim")
 
 
