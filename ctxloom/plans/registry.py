@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +23,22 @@ def query(sql: str | None = None):
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once, into the session's checkpoint folder, so that lost executors lose nothing.
+    """``df`` computed once: written to the folder in ``spark.checkpoint.dir`` and reread, so that lost executors lose nothing.
 
     A session that names none gets a temporary one in local mode, where driver and tasks are one
     process; on a cluster that is an error.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ctxloom-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/ctxloom/held-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
