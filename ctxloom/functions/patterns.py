@@ -7,56 +7,61 @@ accented letters as word characters.
 from __future__ import annotations
 
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: One word character; ``first`` of a pattern is read before its boundary, so that most places fail at one comparison.
+W = "[A-Za-z0-9_]"
+first = lambda c: f"{c}(?<!{W}{c})"  # noqa: E731  the same as B + c, for one character or class c
 #: A boundary on either side, for patterns that may begin or end with another character.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 # Fixed values from here on.
 
-#: Volatile parts of a text, blanked in this order before it is fingerprinted.
+#: Volatile parts of a lower-case text, blanked in this order before it is fingerprinted.
 VOLATILE = [
-    rf"(?i){B}\d{{4}}-\d{{2}}-\d{{2}}[t ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?z?",
-    rf"{B}\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?{E}",
-    rf"(?i){B}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{E}",
-    rf"(?i){B}0x[0-9a-f]+{E}",
-    rf"(?i){B}at line \d+",
-    rf"(?i){B}req(?:uest)?[ _-]?id[:=] ?[^\s,]+",
-    rf"(?i){B}temp(?:orary)?[ _-]?(?:file|path)[:=] ?[^\s,]+",
+    rf"{first(r'\d')}\d{{3}}-\d{{2}}-\d{{2}}[t ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?z?",
+    rf"{first(r'\d')}\d:\d{{2}}:\d{{2}}(?:[.,]\d+)?{E}",
+    rf"{first('[0-9a-f]')}[0-9a-f]{{7}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{E}",
+    rf"{first('0')}x[0-9a-f]+{E}",
+    rf"{first('a')}t line \d+",
+    rf"{first('r')}eq(?:uest)?[ _-]?id[:=] ?[^\s,]+",
+    rf"{first('t')}emp(?:orary)?[ _-]?(?:file|path)[:=] ?[^\s,]+",
 ]
-MEMORY_ID = rf"{B}(?:REQ|DEC|TECH|BENCH|TASK|BLOCK|CMP|CONFLICT|STATE)-\d+{E}"
+MEMORY_ID = rf"{first('[RDTBCS]')}(?:(?<=R)EQ|(?<=D)EC|(?<=T)ECH|(?<=B)ENCH|(?<=T)ASK|(?<=B)LOCK|(?<=C)MP|(?<=C)ONFLICT|(?<=S)TATE)-\d+{E}"
 PATH_WIN = r"[A-Za-z]:\\[^\s\"'`|<>]+"
-PATH_UNIX = r"(?:/[A-Za-z0-9_.@-]+){2,}"
-PATH_REL = r"(?<![A-Za-z0-9_/])\.{1,2}/[A-Za-z0-9_.@-]+(?:/[A-Za-z0-9_.@-]+)*"
-URL = rf"{B}https?://[^\s\"'`<>]+"
-VERSION = rf"{B}v?\d+\.\d+(?:\.\d+)*(?:-[0-9A-Za-z.-]+)?{EDGE}"
-SYMBOL = rf"{EDGE}[A-Za-z_$][A-Za-z0-9_$]{{2,}}(?:[.-][A-Za-z0-9_$]+)*{EDGE}"
-ERROR_CODE = rf"{B}[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+{E}|{B}[A-Z][A-Z0-9]{{4,}}{E}"
-STATUS_CODE = rf"{B}[45]\d{{2}}{E}"
+PATH_UNIX = r"/[A-Za-z0-9_.@-]++(?:/[A-Za-z0-9_.@-]++)+"
+PATH_REL = r"\.(?<![A-Za-z0-9_/]\.)\.?/[A-Za-z0-9_.@-]+(?:/[A-Za-z0-9_.@-]+)*"
+URL = rf"{first('h')}ttps?://[^\s\"'`<>]+"
+_NUMBER = rf"(?:{first('v')}\d+|{first(r'\d')}\d*)"
+VERSION = rf"{_NUMBER}\.\d+(?:\.\d+)*(?:-[0-9A-Za-z.-]+)?{EDGE}"
+#: A $ is no word character, so there a boundary stands after one.
+SYMBOL = rf"(?:{first('[A-Za-z_]')}|\$(?<={W}\$))[A-Za-z0-9_$]{{2,}}(?:[.-][A-Za-z0-9_$]+)*{EDGE}"
+ERROR_CODE = rf"{first('[A-Z]')}(?:[A-Z0-9]*+(?:_[A-Z0-9]++)+{E}|[A-Z0-9]{{4,}}{E})"
+STATUS_CODE = rf"{first('[45]')}\d{{2}}{E}"
 PORT = rf":\d{{2,5}}{E}"
-IP = rf"{B}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{E}"
-MODEL_NAME = rf"{B}[a-z][a-z0-9]*(?:-[a-z0-9]+)+{E}"
+IP = rf"{first(r'\d')}\d{{0,2}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{E}"
+MODEL_NAME = rf"{first('[a-z]')}[a-z0-9]*+(?:-[a-z0-9]++)+{E}"
 COMMAND = r"`([^`\n]{2,160})`"
 NUMBER_UNIT = rf"\d+(?:\.\d+)?\s?(?:ms|s|min|h|hours?|toks?/s|tokens?|chars?|characters?|lines?|files?|tests?|cases?|gb|mb|kb|percent|%|k{E}|m{E})"
 NUMBER_UNIT_ANY_CASE = r"(?i)" + NUMBER_UNIT
-HASH = rf"{B}[0-9a-f]{{8,40}}{E}"
-EXIT_CODE = rf"(?i){B}exit\s*code\s*:?\s*\d+"
+HASH = rf"{first('[0-9a-f]')}[0-9a-f]{{7,39}}{E}"
+EXIT_CODE = rf"(?i){first('e')}xit\s*code\s*:?\s*\d+"
 
 #: Exact facts, in order; the last number is the group taken.
 FACTS = [(NUMBER_UNIT, 0), (PATH_WIN, 0), (PATH_UNIX, 0), (PATH_REL, 0), (URL, 0), (VERSION, 0), (HASH, 0), (ERROR_CODE, 0), (STATUS_CODE, 0), (PORT, 0), (IP, 0), (MEMORY_ID, 0), (COMMAND, 1), (EXIT_CODE, 0)]
 
 #: Exact atoms of a normalised text, by pattern and group.
 ATOMS = [
-    (rf"{B}https?://[^\s\"'`),;]+", 0),
+    (rf"{first('h')}ttps?://[^\s\"'`),;]+", 0),
     (r"[a-z]:\\(?:[^\\\s/]+\\)*[^\\\s/]+", 0),
     (r"(?:^|[\s\"'`=:(<])((?:\.\.?/|/)[^\s\"'`),;]+)", 1),
-    (rf"{B}[0-9a-f]{{16,40}}{E}", 0),
-    (rf"{B}\d+(?:\.\d+)?\s*(?:tok/s|tokens?/s|ms|us|gb|mb|tb|kb|ghz|mhz|hz|watts?|k|%){EDGE}", 0),
-    (rf"{B}v?\d+(?:\.\d+)+(?:[-.][a-z0-9]+)*{E}", 0),
-    (rf"{B}[a-z]+\d+(?:-[a-z0-9]+)*{E}", 0),
-    (rf"{B}[a-z]+-\d+[a-z]*(?:-\d+[a-z]*)*{E}", 0),
-    (rf"{B}\d+(?:\.\d+)?{E}", 0),
-    (rf"{B}(?:error|err|exit\s*code|errno|code)[:\s=#-]*\d{{1,6}}{E}", 0),
+    (rf"{first('[0-9a-f]')}[0-9a-f]{{15,39}}{E}", 0),
+    (rf"{first(r'\d')}\d*(?:\.\d+)?\s*(?:tok/s|tokens?/s|ms|us|gb|mb|tb|kb|ghz|mhz|hz|watts?|k|%){EDGE}", 0),
+    (rf"{_NUMBER}(?:\.\d+)+(?:[-.][a-z0-9]+)*{E}", 0),
+    (rf"{first('[a-z]')}[a-z]*+\d+(?:-[a-z0-9]+)*{E}", 0),
+    (rf"{first('[a-z]')}[a-z]*+-\d+[a-z]*(?:-\d+[a-z]*)*{E}", 0),
+    (rf"{first(r'\d')}\d*(?:\.\d+)?{E}", 0),
+    (rf"{first('[ec]')}(?:(?<=e)(?:rror|rr|xit\s*code|rrno)|(?<=c)ode)[:\s=#-]*\d{{1,6}}{E}", 0),
     (r"`[^`\n]{3,}`", 0),
-    (rf"{B}(?:npm|pnpm|node|npx|git|docker|kubectl|cargo|make|pytest|python3?|go|bash|sh)\s+[a-z@][^\s\"'`)]+", 0),
+    (rf"(?=[npgdkcmbs]){B}(?:npm|pnpm|node|npx|git|docker|kubectl|cargo|make|pytest|python3?|go|bash|sh)\s+[a-z@][^\s\"'`)]+", 0),
 ]
 
 KEYWORD_STOP = "with that this have from will your they them been were into when which their there would could should about after before while then than because where every some more most other such only also very just like over under here what how why who and the for not are was you our its out all can did get had has let may new now one see use used using via per etc www http https true false null undefined string number object return function const var import export async await type interface class error value values name names kind data info"

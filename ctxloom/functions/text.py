@@ -14,17 +14,22 @@ CJK = r"[㐀-鿿぀-ヿ가-힯]"
 
 def trim(text: Column) -> Column:
     """Both ends' white space of any ASCII kind."""
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapsed(text: Column) -> Column:
     """Lower case, white space as single spaces, trimmed."""
-    return trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return _single_spaced(F.lower(text))
+
+
+def _single_spaced(text: Column) -> Column:
+    """White space as single spaces, trimmed; single spaces match nothing and stay."""
+    return F.trim(F.regexp_replace(text, r"[\t-\r]\s*| \s+", " "))
 
 
 def fingerprint_text(text: Column) -> Column:
     """What two texts share when they differ in volatile parts only."""
-    return collapsed(reduce(lambda t, p: F.regexp_replace(t, p, " "), P.VOLATILE, F.lower(text)))
+    return _single_spaced(reduce(lambda t, p: F.regexp_replace(t, p, " "), P.VOLATILE, F.lower(text)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,7 +59,7 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
 
 def keywords(text: Column) -> Column:
     stop = F.array(*map(F.lit, P.KEYWORD_STOP.split()))
-    return F.array_except(F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z]{4,}"), 0), F.lower), stop)
+    return F.array_except(F.transform(found(text, "[a-zA-Z]{4,}"), F.lower), stop)
 
 
 def cjk_bigrams(text: Column) -> Column:
@@ -64,10 +69,9 @@ def cjk_bigrams(text: Column) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    stop = F.array(*map(F.lit, P.KEYWORD_STOP.split()))
-    bare = F.transform(F.regexp_extract_all(text, F.lit(P.SYMBOL), 0), lambda s: F.regexp_replace(s, r"^[.-]+|[.-]+\z", ""))
-    telling = lambda s: s.rlike(r"[A-Z0-9_-]") | (s.rlike(r"^[a-z][a-z0-9]*\z") & (F.length(s) >= 5))
-    return F.array_distinct(F.filter(bare, lambda s: (F.length(s) >= 3) & ~F.array_contains(stop, F.lower(s)) & ~s.rlike(r"^\d+\z") & telling(s)))
+    """Names in a text, each once, judged once; what the pattern finds has three letters or more and begins and ends within a name."""
+    stop = P.KEYWORD_STOP.split()
+    return F.filter(found(text, P.SYMBOL), lambda s: s.rlike(r"[A-Z0-9_-]|^[a-z]{5,}\z") & ~F.lower(s).isin(*stop))
 
 
 def terms(text: Column) -> Column:
@@ -88,11 +92,16 @@ def terms(text: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def spelled_once(values: Column) -> Column:
-    """Distinct values whatever their case, the first spelling of each."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("seen"))
-    step = lambda a, x: F.when(F.array_contains(a["seen"], F.lower(x)), a).otherwise(F.struct(F.array_append(a["kept"], x).alias("kept"), F.array_append(a["seen"], F.lower(x)).alias("seen")))
-    return F.aggregate(values, start, step, lambda a: a["kept"])
+    """Distinct values whatever their case, the first spelling of each, in their order; by sorting, twice."""
+    marked = F.sort_array(F.transform(values, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    firsts = let(marked, lambda m: F.filter(m, lambda e, i: (i == 0) | ~F.get(m, i - 1)["low"].eqNullSafe(e["low"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def extracted(text: Column) -> Column:

@@ -252,7 +252,7 @@ _SPELLED = "'Error E_ONE e_one ' || text || ' on 10.0.0.' || (doc_id % 9) || ':8
 @query(f"WITH x AS (SELECT doc_id, {_SPELLED} AS t FROM documents) SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(t, ':(\\d{{2,5}})\\b', 1)), '|') AS ports, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\b'))), '|') AS ips, array_to_string(list_distinct(regexp_extract_all(t, '`[^`\\n]{{2,160}}`')), '|') AS commands, list_contains(list_transform(regexp_extract_all(t, '(?i)\\d+(?:\\.\\d+)?\\s?(?:ms|s|min|h|hours?|toks?/s|tokens?|chars?|characters?|lines?|files?|tests?|cases?|gb|mb|kb|percent|%|k\\b|m\\b)'), lambda s: lower(s)), '3' || (doc_id % 7) || ' ms') AS took FROM x")
 def extracted_lanes(spark, sf_dir):
     """X6 X6g X6i X6j X6m: ports, addresses, commands with their quotes, numbers of any case."""
-    e = T.extracted(F.expr(_SPELLED))
-    got = read(spark, sf_dir, "documents").select("doc_id", e.alias("e"))
-    joined = lambda k: F.array_join(F.array_sort(f"e.{k}"), "|")
-    return got.select("doc_id", joined("ports").alias("ports"), joined("ips").alias("ips"), joined("commands").alias("commands"), F.exists("e.numbers", lambda n: F.lower(n) == F.concat(F.lit("3"), F.col("doc_id") % 7, F.lit(" ms"))).alias("took"))
+    got = read(spark, sf_dir, "documents").select("doc_id", F.expr(_SPELLED).alias("said"))
+    e = T.extracted(F.col("said"))  # as an expression, so that lanes nobody asks for aren't made
+    joined = lambda k: F.array_join(F.sort_array(e[k]), "|")
+    return got.select("doc_id", joined("ports").alias("ports"), joined("ips").alias("ips"), joined("commands").alias("commands"), F.exists(e["numbers"], lambda n: F.lower(n) == F.concat(F.lit("3"), F.col("doc_id") % 7, F.lit(" ms"))).alias("took"))
