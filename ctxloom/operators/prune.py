@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxloom.config import Config
-from ctxloom.functions.text import fingerprint, flat_tokens, trim
+from ctxloom.functions.text import fingerprint, flat_tokens, let, spelled_once, trim
 
 #: How many of each kind a reducer keeps, and below what nothing is reduced.
 ERRORS, WARNINGS, TAIL, HUNKS, SYMBOLS, PREVIEW, MATCHES = 8, 4, 8, 12, 12, 3, 200
@@ -21,11 +21,8 @@ CALLS = "\n[tool-calls] "
 
 def unique_lines(lines: Column) -> Column:
     """(kept, dropped): distinct lines whatever their case, the first spelling of each."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("seen"))
-    step = lambda a, x: F.when(F.array_contains(a["seen"], F.lower(x)), a).otherwise(F.struct(F.array_append(a["kept"], x).alias("kept"), F.array_append(a["seen"], F.lower(x)).alias("seen")))
-    many = F.size(lines) > F.size(F.array_distinct(F.transform(lines, F.lower)))
-    kept = F.when(many, F.aggregate(lines, start, step, lambda a: a["kept"])).otherwise(lines)
-    return F.struct(kept.alias("kept"), (F.size(lines) - F.size(F.array_distinct(F.transform(lines, F.lower)))).cast("long").alias("dropped"))
+    kept = spelled_once(lines)
+    return let(kept, lambda k: F.struct(k.alias("kept"), (F.size(lines) - F.size(k)).cast("long").alias("dropped")))
 
 
 def _block(title: str, lines: Column, most: int, note: Column | None = None) -> Column:
@@ -145,18 +142,20 @@ def planned(units: DataFrame, zone: Column, config: Config = Config()) -> DataFr
 
     Only closed, unprotected TRASH results take part; one in the recent floor only if it can
     be made again, and then it is reduced but never dropped. Later duplicates are dropped
-    except in Z0. Gates come before the reducers, which run on what passes them.
+    except in Z0. Gates come before the reducers, which run on what passes them. Reducers and prices
+    come before the search for duplicates, so that it needn't carry texts; units may hold ``raw``, the fingerprint of their text.
     """
     tool = F.col("kind").isin("tool-pair", "tool-result") & ~F.col("open") & (F.col("protection") == "NORMAL") & (F.col("tier") == "TRASH")
     gated = units.withColumn("_in", tool & (~F.col("in_floor") | (F.col("x") >= config.recent.bypass_x)))
-    inside = gated.where("_in").withColumn("_fp", fingerprint("text"))
-    again = F.row_number().over(Window.partitionBy("session", "_fp").orderBy("pos")) > 1
-    inside = reduced(inside.withColumn("_again", again))
-    action = F.when(F.col("_again") & (zone != "Z0") & ~F.col("in_floor"), "drop").when(F.col("shrank"), "reduce").otherwise("none")
-    before = flat_tokens(F.col("text"))
-    inside = inside.withColumn("action", action).withColumn("reclaim", F.when(F.col("action") == "drop", before).when(F.col("action") == "reduce", F.greatest(F.lit(0), before - flat_tokens(F.col("reduced")))).otherwise(0).cast("long"))
+    fp = F.col("raw") if "raw" in units.columns else fingerprint("text")
+    inside = reduced(gated.where("_in").withColumn("_fp", fp))
+    inside = inside.withColumns({"_before": flat_tokens(F.col("text")), "_back": F.greatest(F.lit(0), flat_tokens(F.col("text")) - flat_tokens(F.col("reduced")))}).drop("reduced")
+    inside = inside.withColumn("_again", F.row_number().over(Window.partitionBy("session", "_fp").orderBy("pos")) > 1)
+    other = F.when(F.col("shrank"), "reduce").otherwise("none")  # a branch of its own: who asks for drops only needs no reducer
+    action = F.when(F.col("_again") & (zone != "Z0") & ~F.col("in_floor"), "drop").otherwise(other)
+    inside = inside.withColumn("action", action).withColumn("reclaim", F.when(F.col("action") == "drop", F.col("_before")).when(F.col("action") == "reduce", F.col("_back")).otherwise(0).cast("long"))
     rest = gated.where("not _in").withColumn("action", F.lit("none")).withColumn("reclaim", F.lit(0).cast("long"))
-    return inside.drop("_fp", "_again", "reduced", "shrank", "_in").unionByName(rest.drop("_in"))
+    return inside.drop("_fp", "_again", "_before", "_back", "shrank", "_in").unionByName(rest.drop("_in"))
 
 
 def stats(actions: DataFrame) -> DataFrame:
@@ -210,6 +209,22 @@ def node_prunes(surface: DataFrame, actions: DataFrame) -> DataFrame:
     return good.groupBy("session", "seq").agg(F.min("p").alias("p")).select("session", "seq", "p.*")
 
 
+#: Positions that one window of row numbers spans.
+BLOCK = 4096
+
+
+def in_plan_order(prunes: DataFrame) -> DataFrame:
+    """(session, seq, _k): the number of each pruned node in its session's plan.
+
+    Nodes are counted by block of positions and the counts summed up, so that no task sorts a session; texts stay behind.
+    """
+    keys = prunes.select("session", "seq", "pos", "i", F.floor(F.col("pos") / BLOCK).alias("_block"))
+    counts = keys.groupBy("session", "_block").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("session").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("session", "_block").orderBy("pos", "i", "seq"))
+    return keys.withColumn("_in", inside).join(counts.select("session", "_block", earlier.alias("_earlier")), ["session", "_block"]).select("session", "seq", (F.col("_earlier") + F.col("_in")).alias("_k"))
+
+
 def landing(surface: DataFrame, prunes: DataFrame, last: DataFrame, meter: Column) -> tuple[DataFrame, DataFrame]:
     """The events that landing ``prunes`` appends to the log, and the surface after it.
 
@@ -217,10 +232,8 @@ def landing(surface: DataFrame, prunes: DataFrame, last: DataFrame, meter: Colum
     plan order, comes an event with what the node was worth, then the replacement, which points to
     what it replaces and takes its place on the surface.
     """
-    order = Window.partitionBy("session").orderBy("pos", "i", "seq")
-    placed = prunes.withColumn("_k", F.row_number().over(order)).join(last, "session")
     old = surface.select("session", "seq", meter.alias("_meter"))
-    done = placed.join(old, ["session", "seq"]).select("session", "seq", "new", "action", (F.col("last_seq") + 2 * F.col("_k")).alias("_new_seq"), shadow_price(F.col("_meter"), F.lit(None).cast("double"), F.col("before")).alias("_price"))
+    done = prunes.join(in_plan_order(prunes), ["session", "seq"]).join(last, "session").join(old, ["session", "seq"]).select("session", "seq", "new", "action", (F.col("last_seq") + 2 * F.col("_k")).alias("_new_seq"), shadow_price(F.col("_meter"), F.lit(None).cast("double"), F.col("before")).alias("_price"))
     told = done.select("session", (F.col("_new_seq") - 1).alias("seq"), F.lit("compaction/prune").alias("type"), F.array("seq").alias("shadowed_seqs"), F.col("_price").alias("shadowed_tokens"), F.lit(None).cast("string").alias("text"))
     made = done.select("session", F.col("_new_seq").alias("seq"), F.lit("tool/result").alias("type"), F.array("seq").alias("shadowed_seqs"), F.lit(None).cast("double").alias("shadowed_tokens"), F.col("new").alias("text"))
     after = surface.join(done.select("session", "seq", "_new_seq", "new"), ["session", "seq"], "left")

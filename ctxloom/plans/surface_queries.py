@@ -104,7 +104,7 @@ def _landed(spark, sf_dir):
         "session", pos.alias("pos"), F.lit("tool-pair").alias("kind"), F.lit(False).alias("open"), F.lit("grep").alias("tool"), F.lit("").alias("args"), F.array_join(F.transform("parts", lambda p: p["whole"]), "\n").alias("text"),
         F.transform("parts", lambda p: p["seq"]).alias("result_seqs"), F.lit("NORMAL").alias("protection"), F.when(pos % 8 == 0, "COLD").otherwise("TRASH").alias("tier"), (pos % 10 == 0).alias("in_floor"), F.lit(0.9).alias("x"),
     )
-    actions = R.planned(units, F.lit("Z2")).select("session", "pos", "action", "tool", "args", T.fingerprint(F.col("text")).alias("raw"), "result_seqs")
+    actions = R.planned(units.withColumn("raw", T.fingerprint(F.col("text"))), F.lit("Z2")).select("session", "pos", "action", "tool", "args", "raw", "result_seqs")
     last = nodes.groupBy("session").agg(F.max("seq").alias("last_seq"))
     meter = F.when(F.col("seq") % 5 != 0, F.floor(F.length("text") / 3).cast("double"))
     return R.landing(nodes, R.node_prunes(nodes, actions), last, meter)
