@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ctxloom.config import Config
 from ctxloom.functions import patterns as P
-from ctxloom.functions.text import clamped, fingerprint, is_greeting, lines, overlap
+from ctxloom.functions.text import clamped, fingerprint, is_greeting, let, lines, overlap
 
 
 def protection(kind: Column, text: Column, args: Column, is_open: Column, has_path: Column, active: Column | None = None, cited: Column | None = None, held: Column | None = None, shadowed: Column | None = None) -> Column:
@@ -90,10 +90,10 @@ LANES = (("ids", 0.5), ("paths", 0.4), ("symbols", 0.35), ("errors", 0.35), ("mo
 
 def relevance(own: Column, asked: Column) -> Column:
     """Share of the asked terms' lanes that a unit's terms meet, each lane once."""
-    meets = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+    meets = lambda a, b: F.when(F.size(b) > 0, F.coalesce(F.arrays_overlap(a, b), F.lit(False))).otherwise(False)  # noqa: E731  a lane that isn't asked for isn't made
     score = sum((F.when(meets(own[k], asked[k]), w).otherwise(0.0) for k, w in LANES), F.lit(0.0))
     both = F.array_intersect(own["keywords"], asked["keywords"])
-    words = F.when(F.exists(both, lambda k: F.length(k) >= 4), 0.25).when(F.size(both) > 0, 0.1).otherwise(0.0)
+    words = let(both, lambda b: F.when(F.exists(b, lambda k: F.length(k) >= 4), 0.25).when(F.size(b) > 0, 0.1).otherwise(0.0))
     return F.least(F.lit(1.0), score + words)
 
 
