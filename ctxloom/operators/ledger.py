@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ctxloom.functions.text import collapsed, exact_atoms, trim
 from ctxloom.operators import contains
+from ctxloom.operators.spread import spread, tasks_for
 
 #: Entry heads as operations, the index and sections read them.
 OPS_HEAD = r"^##\s+\[([A-Z]+-\d+|STATE-CURRENT)\]"
@@ -56,6 +57,7 @@ def entries(lines: DataFrame) -> DataFrame:
     """Entries as operations see them: named bullets apart (the last of a name holds), all other lines as facts."""
     text, body = trim("text"), F.col("line_no") > F.col("entry_line")
     free = F.col("entry_id") == STATE
+    lines = spread(lines, "file")
     named = {k: F.when(body & ~free, _bullet(k, text, v)) for k, v in BULLETS.items()}
     rows = owned(lines).select("file", "entry_id", "entry_line", "line_no", "text", *(v.alias(k) for k, v in named.items()))
     plain = body & ~free & F.coalesce(*(F.col(k) for k in BULLETS)).isNull() & (text != "")
@@ -85,14 +87,15 @@ def headers(lines: DataFrame) -> DataFrame:
 
 def index(lines: DataFrame) -> DataFrame:
     """Entries as the index sees them: ACTIVE by default, the last of an id holds."""
-    rows = owned(lines, INDEX_HEAD).withColumn("status", _bullet("status", F.col("text"), ".*", tolerant=True))
+    tasks = tasks_for(lines)
+    rows = owned(spread(lines, "file", tasks=tasks), INDEX_HEAD).withColumn("status", _bullet("status", F.col("text"), ".*", tolerant=True))
     one = rows.groupBy("file", "entry_line", "entry_id").agg(
         F.coalesce(F.upper(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("line_no")))), F.lit("ACTIVE")).alias("status"),
         trim(F.regexp_replace(F.min_by("text", "line_no"), INDEX_HEAD, "")).alias("title"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("raw"),
     )
     last = Window.partitionBy("entry_id").orderBy(F.desc("file"), F.desc("entry_line"))
-    return one.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").select("file", F.col("entry_id").alias("id"), "status", "title", "raw")
+    return spread(one, "entry_id", tasks=tasks).withColumn("_nth", F.row_number().over(last)).where("_nth = 1").select("file", F.col("entry_id").alias("id"), "status", "title", "raw")
 
 
 def citations(found: DataFrame) -> DataFrame:
@@ -326,7 +329,7 @@ def minted(ops: DataFrame, lines: DataFrame) -> DataFrame:
     Ids are numbered by batch and place in it. Operations are counted by batch, the counts
     summed up inside a block of batches and over blocks, so no task holds all of a prefix.
     """
-    named = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])((?:REQ|DEC|TECH|CONFLICT)-\d+)(?![A-Za-z0-9_])"), 1)).alias("id"))
+    named = lines.select(F.explode(F.regexp_extract_all("text", F.lit(r"([RDTC](?<![A-Za-z0-9_][RDTC])(?:(?<=R)EQ|(?<=D)EC|(?<=T)ECH|(?<=C)ONFLICT)-\d+)(?![A-Za-z0-9_])"), 1)).alias("id"))
     highest = named.groupBy(F.substring_index("id", "-", 1).alias("prefix")).agg(F.max(F.substring_index("id", "-", -1).try_cast("long")).alias("_top"))
     prefix = F.when(F.col("reason").isNull(), F.when(F.col("op") == "ADD", F.col("kind")).when(F.col("op") == "SUPERSEDE", F.col("replacement.kind")).when(F.col("op") == "CONFLICT", "CONFLICT"))
     out = ops.withColumn("prefix", prefix)
@@ -384,6 +387,8 @@ def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
 
     An entry that is gone but named anywhere in what is left was moved, not lost.
     """
+    tasks = tasks_for(before)
+    before, after = spread(before, "id", tasks=tasks), spread(after, "id", tasks=tasks)
     new = after.groupBy("id").agg(F.count("*").alias("n"), F.max_by("status", F.struct("file", "place")).alias("status"))
     old = before.where(F.col("id") != STATE).groupBy("id").agg(F.max_by("status", F.struct("file", "place")).alias("was"))
     gone = lost(before, after).select("id", F.lit("SILENT_REMOVAL").alias("issue"))
