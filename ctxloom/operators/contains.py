@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 SLICE_BYTES, SLICES = 1 << 20, 8
 #: Bytes of text that one task takes of a scope.
 SCOPE_BYTES = 16 << 20
+#: Bytes of texts and strings of small scopes that are searched in one call.
+BUCKET_BYTES = 1 << 20
 #: Letters by which strings without an inner word are met.
 GRAM = 4
 
@@ -132,39 +135,52 @@ _ONCE = "scope {scope}, string string, hits long, hit_seq {seq}, hit_text string
 
 
 def _counted(key: tuple, texts: pa.Table, strings: pa.Table) -> pa.Table:
-    """By string, how many of the texts hold it, and the first of them."""
-    names = strings["string"].to_pylist()
-    none = {"scope": texts["scope"].slice(0, 0), "string": pa.array([], pa.string()), "hits": pa.array([], pa.int64()), "hit_seq": texts["seq"].slice(0, 0), "hit_text": texts["text"].slice(0, 0)}
-    if not names or not texts.num_rows:
-        return pa.table(none)
-    texts = texts.sort_by("seq")
-    seek, hits, first = automaton(names).iter, [0] * len(names), [0] * len(names)
-    for i, low in enumerate(texts["low"].to_pylist()):
-        for k in {k for _, k in seek(low)} if low else ():
-            if not hits[k]:
-                first[k] = i
-            hits[k] += 1
-    some = [k for k, n in enumerate(hits) if n]
-    at = pa.array([first[k] for k in some], pa.int64())
-    return pa.table({"scope": pa.chunked_array([pa.array([key[0].as_py()] * len(some), texts["scope"].type)]), "string": pa.array([names[k] for k in some], pa.string()), "hits": pa.array([hits[k] for k in some], pa.int64()), "hit_seq": texts["seq"].take(at), "hit_text": texts["text"].take(at)})
+    """By scope and string, how many of the scope's texts hold it, and the first of them; an automaton for each scope."""
+    asked: dict[object, list[str]] = {}
+    for scope, string in zip(strings["scope"].to_pylist(), strings["string"].to_pylist()):
+        asked.setdefault(scope, []).append(string)
+    texts = texts.take(pc.sort_indices(texts, [("seq", "ascending")]))
+    held: dict[object, list[int]] = {}
+    for i, scope in enumerate(texts["scope"].to_pylist()):
+        if scope in asked:
+            held.setdefault(scope, []).append(i)
+    lows, at, said, counts = texts["low"].to_pylist(), [], [], []
+    for scope, rows in held.items():
+        names = asked[scope]
+        seek, hits, first = automaton(names).iter, [0] * len(names), [0] * len(names)
+        for i in rows:
+            for k in {k for _, k in seek(lows[i])} if lows[i] else ():
+                if not hits[k]:
+                    first[k] = i
+                hits[k] += 1
+        some = [k for k, n in enumerate(hits) if n]
+        at += [first[k] for k in some]
+        said += [names[k] for k in some]
+        counts += [hits[k] for k in some]
+    where = pa.array(at, pa.int64())
+    return pa.table({"scope": texts["scope"].take(where), "string": pa.array(said, pa.string()), "hits": pa.array(counts, pa.int64()), "hit_seq": texts["seq"].take(where), "hit_text": texts["text"].take(where)})
 
 
 def held_once(texts: DataFrame, strings: DataFrame, scope_bytes: int = SCOPE_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(scope, string, hits, hit_seq, hit_text): how many texts of its scope hold a string, and the first.
 
     ``texts`` are (scope, seq, text, low), searched in ``low``; ``strings`` (scope, string), distinct and
-    not empty. Strings that no text holds have no row.
+    not empty. Strings that no text holds have no row. Scopes are searched by the bucket: a call for each
+    of many small ones would cost more than their search.
     """
     strings = strings.where("string <> ''")
     sizes = strings.groupBy("scope").agg(F.sum(F.octet_length("string")).alias("_bytes"))
-    most = lambda frame: frame.agg(F.max("_bytes")).first()[0] or 0
-    some_large = most(sizes) > slice_bytes
+    most = lambda frame: [x or 0 for x in frame.agg(F.max("_bytes"), F.sum("_bytes")).first()]
+    largest, asked = most(sizes)
+    some_large = largest > slice_bytes
     large = sizes.where(F.col("_bytes") > slice_bytes).select("scope")
     fit = strings.join(large, "scope", "left_anti") if some_large else strings
     spread = texts.groupBy("scope").agg(F.sum(F.octet_length("low")).alias("_bytes"))
     kind = _ONCE.format(scope=texts.schema["scope"].dataType.simpleString(), seq=texts.schema["seq"].dataType.simpleString())
-    if most(spread) <= scope_bytes:
-        out = texts.select("scope", "seq", "text", "low").groupBy("scope").cogroup(fit.select("scope", "string").groupBy("scope")).applyInArrow(_counted, kind)
+    longest, read = most(spread)
+    if longest <= scope_bytes:
+        bucket = F.pmod(F.xxhash64("scope"), F.lit(-(-(2 * read + asked) // BUCKET_BYTES) or 1)).alias("bucket")  # a text comes twice, as it is and as it is searched
+        out = texts.select(bucket, "scope", "seq", "text", "low").groupBy("bucket").cogroup(fit.select(bucket, "scope", "string").groupBy("bucket")).applyInArrow(_counted, kind)
         if not some_large:
             return out
     else:

@@ -12,6 +12,7 @@ from ctxloom.operators import ledger as L
 from ctxloom.operators import provenance as W
 from ctxloom.operators import prune as R
 from ctxloom.operators import retrieval as V
+from ctxloom.operators.spread import spread
 from ctxloom.plans.registry import held, query, read
 from ctxloom.plans.text_queries import FP
 from ctxloom.sources import adapters as A
@@ -73,7 +74,7 @@ e AS (SELECT key, quote, CASE WHEN key % 8 IN (6, 7) THEN NULL WHEN hits = 0 THE
 
 
 def _proved(spark, sf_dir):
-    ops = L.normalized(A.ledger_ops(spark, sf_dir))
+    ops = held(L.normalized(spread(A.ledger_ops(spark, sf_dir), "batch")))  # normalised once, for quotes and verdicts
     refs = spark.createDataFrame([], "batch long, handle string, seq long, text string")
     return L.evidence(ops, A.ledger_log(spark, sf_dir), refs)
 
@@ -107,7 +108,8 @@ def mutation_guard(spark, sf_dir):
     new = F.when(F.col("p_partkey") % 3 == 0, old).otherwise(F.concat(F.lit("limit "), k, F.lit(".5 ms")))
     proof = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("measured "), k, F.lit(".5 ms today"))).otherwise("nothing")
     lost = L.unbacked(new, old, proof)
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(lost), "|").alias("missing"), (F.size(lost) == 0).alias("passes"))
+    parts = spread(read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", lost.alias("lost"))
+    return parts.select("p_partkey", F.array_join(F.array_sort("lost"), "|").alias("missing"), (F.size("lost") == 0).alias("passes"))
 
 
 _VALID = f"""{_CHECKED}, o AS (SELECT o_orderkey AS key, o_orderkey // 100 AS batch, o_orderkey % 8 AS k, o_orderkey % 5 = 0 AS atoms, CASE WHEN o_orderkey % 3 = 0 THEN 'TX-' || (o_orderkey // 10) END AS grp FROM orders),
@@ -162,7 +164,7 @@ def integrity_issues(spark, sf_dir):
 
 
 def _altered(spark, sf_dir):
-    before = L.entries(A.ledger_lines(spark, sf_dir))
+    before = held(L.entries(A.ledger_lines(spark, sf_dir)))  # parsed once for both sides
     key = F.substring_index("id", "-", -1).cast("long") % 10
     kept = before.where(~key.isin(2, 3)).withColumn("status", F.when(key == 5, "SUPERSEDED").otherwise(F.col("status")))
     return before, kept.unionByName(before.where(key == 4))
@@ -377,8 +379,8 @@ def provenance_resolution(spark, sf_dir):
 def provenance_repair(spark, sf_dir):
     """Lost sources of unchanged ACTIVE entries, found again by their quotes."""
     after, before, rows, refs = _sourced(spark, sf_dir)
-    bound, failed = W.resolved(after, before, rows, refs)
-    return W.repaired(after, bound, failed, rows).select("entry_id", "seq")
+    bound, failed = W.resolved(spread(after, "batch"), before, rows, refs, held)
+    return W.repaired(spread(after, "batch"), bound, failed, rows, held).select("entry_id", "seq")
 
 
 @query(f"WITH {A.LEDGER} SELECT id, CAST(len(list_distinct(regexp_extract_all(lower(source), '[a-z0-9]{{3,}}'))) AS BIGINT) AS n FROM l WHERE status = 'ACTIVE'".replace("lower(source)", "replace(lower(source), ' for ', ' ')"))
