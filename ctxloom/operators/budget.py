@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ctxloom.operators.spread import spread
+
 MARGIN = 2048
 
 
@@ -84,7 +86,7 @@ def request_guard(rounds: DataFrame) -> DataFrame:
     order = Window.partitionBy("request").orderBy("round")
     fits = ~needs_compaction(F.col("target"), F.col("projected"), F.col("most"), F.col("margin"))
     stuck = F.coalesce(F.lead("generation").over(order) <= F.col("generation"), F.lit(False))
-    open_ = rounds.withColumn("fits", fits).withColumn("_stuck", ~F.col("fits") & (F.col("round") < F.col("retries")) & stuck)
+    open_ = spread(rounds, "request").withColumn("fits", fits).withColumn("_stuck", ~F.col("fits") & (F.col("round") < F.col("retries")) & stuck)
     out = rows_until(open_.withColumn("_end", F.col("fits") | (F.col("round") >= F.col("retries")) | F.col("_stuck")))
     spent = F.when(F.col("_stuck"), F.col("round") + 1).otherwise(F.col("round"))
     safe = safe_output(F.col("target"), F.col("projected"), F.col("most"), F.col("margin"))
