@@ -22,18 +22,24 @@ def is_checkpoint() -> Column:
     return (F.col("kind") == "checkpoint") | (F.coalesce(F.size("source_event_seqs"), F.lit(0)) > 0)
 
 
+def with_facts(rows: DataFrame) -> DataFrame:
+    """``rows`` with the exact facts of their texts in place of the texts, so that these are read once."""
+    return rows.withColumn("facts", exact_facts(F.coalesce("text", F.lit("")))).drop("text")
+
+
 def region_facts(units: DataFrame, originals: DataFrame) -> DataFrame:
     """(region, grade, fact): exact facts of protected units, and of what a checkpoint stands for.
 
     ``originals`` are (session, seq, text) of the log; seqs that it lacks are passed over. Of units
-    with a ``late`` flag a fact has it too, true if any unit that it comes from is late.
+    with a ``late`` flag a fact has it too, true if any unit that it comes from is late. Both tables may come from ``with_facts``.
     """
+    units, originals = (x if "facts" in x.columns else x.withColumn("facts", exact_facts(F.coalesce("text", F.lit("")))) for x in (units, originals))
     grade = F.when(F.col("protection").isin("P0", "P0_TRANSIENT"), "P0").when(F.col("protection") == "P1", "P1")
     marks = ["late"] if "late" in units.columns else []
     graded = units.withColumn("grade", grade).where("grade is not null")
-    own = graded.select("region", "grade", "text", *marks)
-    shadowed = graded.where(is_checkpoint()).select("region", "grade", "session", F.explode("source_event_seqs").alias("seq"), *marks).join(originals, ["session", "seq"]).select("region", "grade", "text", *marks)
-    rows = own.unionByName(shadowed).select("region", "grade", F.explode(exact_facts(F.coalesce("text", F.lit("")))).alias("fact"), *marks)
+    own = graded.select("region", "grade", "facts", *marks)
+    shadowed = graded.where(is_checkpoint()).select("region", "grade", "session", F.explode("source_event_seqs").alias("seq"), *marks).join(originals.select("session", "seq", "facts"), ["session", "seq"]).select("region", "grade", "facts", *marks)
+    rows = own.unionByName(shadowed).select("region", "grade", F.explode("facts").alias("fact"), *marks)
     return rows.groupBy("region", "grade", "fact").agg(F.bool_or("late").alias("late")) if marks else rows.distinct()
 
 
