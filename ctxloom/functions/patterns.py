@@ -64,6 +64,10 @@ ATOMS = [
     (rf"(?=[npgdkcmbs]){B}(?:npm|pnpm|node|npx|git|docker|kubectl|cargo|make|pytest|python3?|go|bash|sh)\s+[a-z@][^\s\"'`)]+", 0),
 ]
 
+#: What stands in every match of an atom's pattern, by its place; those from 4 to 9 each hold a digit.
+ATOM_SIGNS = {0: "://", 1: ":\\", 2: "/", 10: "`"}
+ATOMS_OF_DIGITS = (4, 10)
+
 KEYWORD_STOP = "with that this have from will your they them been were into when which their there would could should about after before while then than because where every some more most other such only also very just like over under here what how why who and the for not are was you our its out all can did get had has let may new now one see use used using via per etc www http https true false null undefined string number object return function const var import export async await type interface class error value values name names kind data info"
 EVIDENCE_STOP = "the and for with from this that are was were not but all any can had has have one its our you your will would then than when what which who into over under about after before because while such each some more most other these those there here now yes use used using via per etc they them their him her his she he it be to in on at by or if so no do did as of an am is were may"
 LEDGER_STOP = "the and for are was were with from that this have has had will would can could should not but all any each its into over under about after before between during without within then than them they their there these those very just also only both some such more most other others new old one two see says said via per etc use used using make made makes way ways part parts case cases entry entries file files test tests code data value values config default defaults current state note notes line lines text word words"

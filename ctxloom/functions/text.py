@@ -130,8 +130,20 @@ def exact_facts(text: Column) -> Column:
 
 
 def exact_atoms(text: Column) -> Column:
-    normal = collapsed(text)
-    return F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(normal, F.lit(p), g) for p, g in P.ATOMS)), trim))
+    """Values that must not change unseen, of the text in lower case, which is worked out once.
+
+    A pattern is tried only where the text holds what each of its matches does.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(low: Column) -> Column:
+        found_ = [F.regexp_extract_all(low, F.lit(p), g) for p, g in P.ATOMS]
+        first, last = P.ATOMS_OF_DIGITS
+        lanes = [F.when(F.contains(low, F.lit(P.ATOM_SIGNS[i])), a).otherwise(none) if i in P.ATOM_SIGNS else a for i, a in enumerate(found_)]
+        lanes[first:last] = [F.when(low.rlike(r"\d"), F.concat(*lanes[first:last])).otherwise(none)]
+        return F.when(low.isNotNull(), F.array_distinct(F.transform(F.concat(*lanes), trim)))
+
+    return let(collapsed(text), of)
 
 
 def is_greeting(text: Column) -> Column:

@@ -175,7 +175,7 @@ def held_once(texts: DataFrame, strings: DataFrame, scope_bytes: int = SCOPE_BYT
     some_large = largest > slice_bytes
     large = sizes.where(F.col("_bytes") > slice_bytes).select("scope")
     fit = strings.join(large, "scope", "left_anti") if some_large else strings
-    spread = texts.groupBy("scope").agg(F.sum(F.octet_length("low")).alias("_bytes"))
+    spread = texts.groupBy("scope").agg(F.sum(F.octet_length("text")).alias("_bytes"))  # near enough, and ``low`` needn't be made for it
     kind = _ONCE.format(scope=texts.schema["scope"].dataType.simpleString(), seq=texts.schema["seq"].dataType.simpleString())
     longest, read = most(spread)
     if longest <= scope_bytes:

@@ -8,11 +8,13 @@ has no bullets of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ctxloom.functions.text import collapsed, exact_atoms, trim
+from ctxloom.functions.text import collapsed, exact_atoms, let, trim
 from ctxloom.operators import contains
 from ctxloom.operators.spread import spread, tasks_for
 
@@ -34,18 +36,20 @@ NEED_TARGET = ["SUPERSEDE", "AMEND", "RESOLVE_CONFLICT"]
 def owned(lines: DataFrame, head: str = OPS_HEAD, ends: str = r"^##\s") -> DataFrame:
     """Each line with the entry it belongs to: that of the last head above it in its file.
 
-    A second-level heading that is no entry ends the one before it; ``ends`` may say otherwise.
+    A second-level heading that is no entry ends the one before it; ``ends`` may say otherwise. Both
+    patterns begin with a #, so other lines are tried by neither.
     """
-    id_here = F.regexp_extract("text", head, 1)
-    mark = F.when(id_here != "", id_here).when(F.col("text").rlike(ends), "")
+    id_here = F.when(F.col("text").startswith("#"), F.regexp_extract("text", head, 1))
+    mark = F.when(F.col("_id") != "", F.col("_id")).when((F.col("_id") == "") & F.col("text").rlike(ends), "")
     so_far = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = lines.withColumn("_mark", mark)
+    out = lines.withColumn("_id", id_here).withColumn("_mark", mark).drop("_id")
     out = out.withColumn("entry_id", F.last("_mark", ignorenulls=True).over(so_far)).withColumn("entry_line", F.last(F.when(F.col("_mark").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far))
     return out.where("entry_id <> ''").drop("_mark")
 
 
-def _bullet(name: str, text: Column, value: str, tolerant: bool = False) -> Column:
-    pattern = rf"^[-*] (?:{name}|状态)\s*[:：]\s*({value})" if tolerant else rf"(?i)^- {name}:\s*({value})\s*\z"
+def _status_bullet(text: Column) -> Column:
+    """What the index takes for a status: it is less strict than operations are."""
+    pattern = r"^[-*] (?:status|状态)\s*[:：]\s*(.*)"
     return F.when(text.rlike(pattern), trim(F.regexp_extract(text, pattern, 1)))
 
 
@@ -54,26 +58,37 @@ BULLETS = {"confidence": r"[0-9.]+", "status": "[A-Za-z]+", "source": ".*?", "re
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Entries as operations see them: named bullets apart (the last of a name holds), all other lines as facts."""
-    text, body = trim("text"), F.col("line_no") > F.col("entry_line")
-    free = F.col("entry_id") == STATE
-    lines = spread(lines, "file")
-    named = {k: F.when(body & ~free, _bullet(k, text, v)) for k, v in BULLETS.items()}
-    rows = owned(lines).select("file", "entry_id", "entry_line", "line_no", "text", *(v.alias(k) for k, v in named.items()))
-    plain = body & ~free & F.coalesce(*(F.col(k) for k in BULLETS)).isNull() & (text != "")
-    fact = F.when(plain, F.struct("line_no", F.regexp_replace(text, r"^- ", "").alias("fact")))
-    by_line = lambda value: F.array_join(F.transform(F.sort_array(F.collect_list(value)), lambda x: x["text"]), "\n")
-    last = {k: F.max_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))) for k in BULLETS}
-    return rows.groupBy("file", F.col("entry_line").alias("place"), F.col("entry_id").alias("id")).agg(
-        trim(F.regexp_replace(F.min_by("text", "line_no"), OPS_HEAD, "")).alias("title"),
+    """Entries as operations see them: named bullets apart (the last of a name holds), all other lines as facts.
+
+    A bullet's name is read once, then only its own pattern is tried on what follows. An entry's
+    lines are gathered in one list, and all its fields are read from that.
+    """
+    body, free = F.col("line_no") > F.col("entry_line"), F.col("entry_id") == STATE
+    rows = owned(spread(lines, "file")).withColumn("_line", F.when(body & ~free, trim("text")))
+    dashed = F.col("_line").startswith("- ")
+    rows = rows.withColumn("_name", F.when(dashed, F.lower(F.regexp_extract("_line", rf"(?i)^- ({'|'.join(BULLETS)}):", 1))))
+    rows = rows.withColumn("_value", F.when(F.col("_name") != "", trim(F.substr("_line", F.length("_name") + 4))))  # after "- ", the name and a colon
+    holds = lambda k, v: (F.col("_name") == k) & F.col("_value").rlike(rf"(?i)^{v}\z")
+    rows = rows.withColumn("_is", F.coalesce(*(F.when(holds(k, v), F.lit(k)) for k, v in BULLETS.items())))
+    said = F.when(F.col("_is").isNotNull(), F.col("_value")).when(dashed, F.substr("_line", F.lit(3))).when(F.col("_line") != "", F.col("_line"))
+    one = F.struct("line_no", "text", "_is", said.alias("said"))
+    got = rows.groupBy("file", F.col("entry_line").alias("place"), F.col("entry_id").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("_of"))
+    joined = lambda rows: F.array_join(F.transform(rows, lambda x: x["text"]), "\n")
+    of = lambda k: F.try_element_at(F.filter("_of", lambda x: x["_is"] == k), F.lit(-1))["said"]
+    last = {k: of(k) for k in BULLETS}
+    return got.select(
+        "file",
+        "place",
+        "id",
+        trim(F.regexp_replace(F.get("_of", F.lit(0))["text"], OPS_HEAD, "")).alias("title"),
         last["confidence"].try_cast("double").alias("confidence"),
         F.upper(last["status"]).alias("status"),
         last["source"].alias("source"),
         F.upper(last["replacement"]).alias("replacement"),
         last["resolution"].alias("resolution"),
-        F.transform(F.sort_array(F.collect_list(fact)), lambda x: x["fact"]).alias("facts"),
-        F.when(F.col("id") == STATE, trim(by_line(F.when(body, F.struct("line_no", "text"))))).alias("verbatim"),
-        by_line(F.struct("line_no", "text")).alias("raw"),
+        F.transform(F.filter("_of", lambda x: x["_is"].isNull() & x["said"].isNotNull()), lambda x: x["said"]).alias("facts"),
+        F.when(F.col("id") == STATE, trim(joined(F.slice("_of", F.lit(2), F.size("_of"))))).alias("verbatim"),
+        joined("_of").alias("raw"),
     )
 
 
@@ -88,7 +103,7 @@ def headers(lines: DataFrame) -> DataFrame:
 def index(lines: DataFrame) -> DataFrame:
     """Entries as the index sees them: ACTIVE by default, the last of an id holds."""
     tasks = tasks_for(lines)
-    rows = owned(spread(lines, "file", tasks=tasks), INDEX_HEAD).withColumn("status", _bullet("status", F.col("text"), ".*", tolerant=True))
+    rows = owned(spread(lines, "file", tasks=tasks), INDEX_HEAD).withColumn("status", _status_bullet(F.col("text")))
     one = rows.groupBy("file", "entry_line", "entry_id").agg(
         F.coalesce(F.upper(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("line_no")))), F.lit("ACTIVE")).alias("status"),
         trim(F.regexp_replace(F.min_by("text", "line_no"), INDEX_HEAD, "")).alias("title"),
@@ -242,18 +257,20 @@ def normalized(ops: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.coalesce(bad, F.lit(True)), "BAD_OPERATION"))
 
 
-def evidence(ops: DataFrame, rows: DataFrame, refs: DataFrame) -> DataFrame:
+def evidence(ops: DataFrame, rows: DataFrame, refs: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """Adds evidence_seq and evidence_text, or evidence_reason why there is none.
 
     ``refs`` are (batch, handle, seq, text); ``rows`` (batch, seq, text) is the whole log, read
     only for quotes without a reference. A quote is first met by its handle; a quote without
     one must stand in exactly one row. What an operation offers must hold even where it needs
-    none; a SUPERSEDE needs evidence of its replacement, which is then what it is bound to.
+    none; a SUPERSEDE needs evidence of its replacement, which is then what it is bound to. ``hold`` keeps
+    what is asked for, which is read several times.
     """
     claim = lambda which, ref, quote: F.struct(F.lit(which).alias("which"), F.col(ref).alias("ref"), F.col(quote).alias("quote"))
     offered = F.col("op").isin(*NEED_EVIDENCE) | F.col("source_ref").isNotNull() | F.col("source_quote").isNotNull()
     made = F.array_compact(F.array(F.when(offered, claim("own", "source_ref", "source_quote")), F.when(F.col("op") == "SUPERSEDE", claim("new", "replacement.source_ref", "replacement.source_quote"))))
     asked = ops.where("reason is null").select("batch", "idx", F.explode(made).alias("c")).select("batch", "idx", "c.which", "c.ref", F.col("c.quote").alias("said"), F.coalesce(collapsed(F.col("c.quote")), F.lit("")).alias("quote"))
+    asked = hold(asked)
     known = refs.select("batch", F.col("handle").alias("ref"), F.col("seq").alias("ref_seq"), F.col("text").alias("ref_text"))
     out = asked.join(known, ["batch", "ref"], "left")
     loose = asked.where(F.col("ref").isNull() & (F.length("quote") >= 12)).select("batch", "quote").distinct()
@@ -280,9 +297,10 @@ def held_once(rows: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def unbacked(new: Column, old: Column, backing: Column) -> Column:
-    """Atoms that a change brings in and its evidence doesn't hold."""
-    fresh = F.array_except(exact_atoms(new), exact_atoms(old))
-    return F.filter(fresh, lambda a: ~F.coalesce(F.contains(collapsed(backing), a), F.lit(False)))
+    """Atoms that a change brings in and its evidence doesn't hold; the old text and the evidence are read only where there are such."""
+    missing = lambda fresh: let(collapsed(backing), lambda b: F.filter(fresh, lambda a: ~F.coalesce(F.contains(b, a), F.lit(False))))
+    fresh = lambda atoms: let(F.array_except(atoms, exact_atoms(old)), lambda f: F.when(F.size(f) == 0, f).otherwise(missing(f)))
+    return let(exact_atoms(new), lambda atoms: F.when((F.size(atoms) == 0) & old.isNotNull(), atoms).otherwise(fresh(atoms)))
 
 
 def entry_text() -> Column:

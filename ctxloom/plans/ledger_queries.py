@@ -75,8 +75,8 @@ e AS (SELECT key, quote, CASE WHEN key % 8 IN (6, 7) THEN NULL WHEN hits = 0 THE
 
 def _proved(spark, sf_dir):
     ops = held(L.normalized(spread(A.ledger_ops(spark, sf_dir), "batch")))  # normalised once, for quotes and verdicts
-    refs = spark.createDataFrame([], "batch long, handle string, seq long, text string")
-    return L.evidence(ops, A.ledger_log(spark, sf_dir), refs)
+    refs = spark.sql("SELECT batch, '' AS handle, seq, text FROM VALUES (0L, 0L, '') AS v (batch, seq, text) WHERE false")  # empty to the optimizer too, so nothing meets it
+    return L.evidence(ops, A.ledger_log(spark, sf_dir), refs, held)
 
 
 @query(f"WITH {_CHECKED} SELECT key AS idx, evidence_reason, evidence_seq FROM e")
@@ -152,7 +152,7 @@ SELECT * FROM x"""
 def apply_ops(spark, sf_dir):
     """The whole ledger once the accepted operations are applied."""
     lines = A.ledger_lines(spark, sf_dir)
-    found = held(L.entries(lines))  # parsed once for its targets and for what stays
+    found = held(L.entries(lines).drop("raw"))  # parsed once for its targets and for what stays
     after = L.applied(found, L.minted(_judged(spark, sf_dir, found), lines))
     return after.select("id", "file", "title", "confidence", "status", F.array_join("facts", "|").alias("facts"), "source", "replacement", "resolution", "verbatim")
 
@@ -164,7 +164,7 @@ def integrity_issues(spark, sf_dir):
 
 
 def _altered(spark, sf_dir):
-    before = held(L.entries(A.ledger_lines(spark, sf_dir)))  # parsed once for both sides
+    before = held(L.entries(A.ledger_lines(spark, sf_dir)).drop("raw"))  # parsed once for both sides
     key = F.substring_index("id", "-", -1).cast("long") % 10
     kept = before.where(~key.isin(2, 3)).withColumn("status", F.when(key == 5, "SUPERSEDED").otherwise(F.col("status")))
     return before, kept.unionByName(before.where(key == 4))
