@@ -13,7 +13,7 @@ from ctxloom.operators import scoring as S
 from ctxloom.operators import segments as G
 from ctxloom.operators import units as U
 from ctxloom.plans.planner import history_points as points_of
-from ctxloom.plans.registry import query, read
+from ctxloom.plans.registry import held, query, read
 from ctxloom.plans.session_queries import _SEGMENTS, _tiered
 from ctxloom.plans.text_queries import FP
 from ctxloom.sources import adapters as A
@@ -107,7 +107,8 @@ def _landed(spark, sf_dir):
     actions = R.planned(units.withColumn("raw", T.fingerprint(F.col("text"))), F.lit("Z2")).select("session", "pos", "action", "tool", "args", "raw", "result_seqs")
     last = nodes.groupBy("session").agg(F.max("seq").alias("last_seq"))
     meter = F.when(F.col("seq") % 5 != 0, F.floor(F.length("text") / 3).cast("double"))
-    return R.landing(nodes, R.node_prunes(nodes, actions), last, meter)
+    prunes = held(R.node_prunes(nodes, actions))  # reduced once, for their numbers and for what lands
+    return R.landing(nodes, prunes, last, meter)
 
 
 @query(f"WITH {_LANDED} SELECT n.session, n.seq AS was, coalesce(d.new_seq, n.seq) AS seq, length(coalesce(d.new, n.t)) AS chars, CASE WHEN n.textual THEN sha1(coalesce(d.new, n.t)) END AS text_sha1, d.new IS NOT NULL AS replaced FROM n LEFT JOIN d ON n.session = d.session AND n.seq = d.seq")
