@@ -16,6 +16,7 @@ from ctxloom.operators import retrieval as V
 from ctxloom.operators import scoring as S
 from ctxloom.operators import segments as G
 from ctxloom.operators import units as U
+from ctxloom.operators.spread import spread, tasks_for
 
 LANES = ("ids", "paths", "symbols", "errors", "models", "keywords")
 
@@ -98,9 +99,11 @@ def scored_units(units: DataFrame, windows: DataFrame, now: Column, memory: Memo
         if not has(units, name):
             units = units.withColumn(name, F.lit(None).cast(kind))
     asked = with_asked(units, windows, memory.state if memory else "")
-    out = units.join(asked, "session").withColumn("role", F.when(F.col("kind").isin("user", "checkpoint", "injected"), "user").otherwise("other"))
+    tasks = tasks_for(units)  # dealt by session, all windows below share one exchange, and small rows don't end in one task
+    out = spread(units, "session", tasks=tasks).join(asked, "session").withColumn("role", F.when(F.col("kind").isin("user", "checkpoint", "injected"), "user").otherwise("other"))
     out = U.with_turns(out).withColumn("own", T.terms(F.col("text")))
     out = with_memory(out, memory) if memory else out.withColumns({"cited": none, "leans": no, "sources": none, "held": no})
+    out = spread(out, "session", tasks=tasks) if memory else out
     out = out.withColumn("content_type", S.content_type(F.col("kind"), F.col("tool"), F.col("text")))
     graded = S.protection(F.col("kind"), F.col("text"), F.coalesce("tool_args", F.lit("")), F.col("open"), F.size("own.paths") > 0, F.col("sources"), F.col("cited"), F.col("held"), F.col("source_event_seqs"))
     out = out.withColumn("_p", graded).select("*", "_p.protection", "_p.reasons").drop("_p")
