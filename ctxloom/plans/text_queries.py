@@ -8,6 +8,7 @@ from ctxloom.functions import patterns as P
 from ctxloom.functions import text as T
 from ctxloom.operators.duplicates import marked_repeats
 from ctxloom.operators.scoring import with_duplication
+from ctxloom.operators.spread import spread_texts
 from ctxloom.plans.registry import query, read
 from ctxloom.sources import capabilities as K
 
@@ -59,10 +60,14 @@ def tool_group_key(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", T.tool_group_key(F.col("event_type"), F.col("props")).alias("group_key"))
 
 
+def _texts(spark, sf_dir):
+    return spread_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _lane(pattern: str, name: str, text: str = "text"):
     def run(spark, sf_dir):
         got = F.array_join(F.array_sort(T.found(F.expr(text), pattern)), "|")
-        return read(spark, sf_dir, "documents").select("doc_id", got.alias("found")).where("found <> ''")
+        return _texts(spark, sf_dir).select("doc_id", F.explode(F.filter(F.array(got), lambda x: x != "")).alias("found"))
 
     run.__name__, run.__doc__ = name, "X6: sorted distinct matches."
     return run
@@ -93,8 +98,9 @@ SELECT doc_id, count(*) AS n_symbols, max(s) AS last_symbol FROM t WHERE length(
 )
 def extract_symbols(spark, sf_dir):
     """X6e."""
-    got = read(spark, sf_dir, "documents").select("doc_id", T.symbols(F.col("text")).alias("s"))
-    return got.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n_symbols"), F.array_max("s").alias("last_symbol"))
+    counted = lambda s: F.struct(F.size(s).cast("long").alias("n_symbols"), F.array_max(s).alias("last_symbol"))
+    got = F.transform(F.array(T.symbols(F.col("text"))), counted)
+    return _texts(spark, sf_dir).select("doc_id", F.inline(F.filter(got, lambda s: s["n_symbols"] > 0)))  # a filter on its own would find the symbols twice
 
 
 @query(
@@ -139,8 +145,9 @@ FACT_SQL = " || ".join(
 @query(f"WITH x AS (SELECT doc_id, list_distinct({FACT_SQL}) AS f FROM documents) SELECT doc_id, len(f) AS n_facts, array_to_string(list_sort(f), '|') AS facts FROM x WHERE len(f) > 0")
 def exact_facts_per_document(spark, sf_dir):
     """X7."""
-    got = read(spark, sf_dir, "documents").select("doc_id", T.exact_facts(F.col("text")).alias("f"))
-    return got.where(F.size("f") > 0).select("doc_id", F.size("f").cast("long").alias("n_facts"), F.array_join(F.array_sort("f"), "|").alias("facts"))
+    told = lambda f: F.struct(F.size(f).cast("long").alias("n_facts"), F.array_join(F.array_sort(f), "|").alias("facts"))
+    got = F.transform(F.array(T.exact_facts(F.col("text"))), told)
+    return _texts(spark, sf_dir).select("doc_id", F.inline(F.filter(got, lambda f: f["n_facts"] > 0)))
 
 
 @query(f"WITH x AS (SELECT DISTINCT source, unnest({FACT_SQL}) AS fact FROM documents) SELECT source, count(*) AS n_facts, min(fact) AS first_fact, max(fact) AS last_fact FROM x GROUP BY source")
