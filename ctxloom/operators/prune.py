@@ -114,8 +114,8 @@ def _other(body: Column, lines: Column) -> Column:
     return F.concat(_last(body, EXIT, "Exit Code: "), _block("Primary Errors", errors["kept"], ERRORS), F.concat(F.array(F.lit("Head:")), _indent(F.slice(lines, 1, PREVIEW))), last)
 
 
-def reduced(units: DataFrame) -> DataFrame:
-    """Adds reduced, the shorter form of (tool, args, text), and shrank; short results stay."""
+def reduced(units: DataFrame, raw: Column | None = None) -> DataFrame:
+    """Adds reduced, the shorter form of (tool, args, text), and shrank; short results stay. ``raw`` is the text's fingerprint where it is known."""
     n_lines = F.size(F.split("text", r"\r?\n"))
     cut = F.locate(CALLS, F.col("text"))
     name = F.lower(F.coalesce("tool", F.lit("")))
@@ -130,7 +130,7 @@ def reduced(units: DataFrame) -> DataFrame:
         .when(name.rlike("grep|search|glob|find|rg|web"), _search(lines))
         .otherwise(_other(body, lines))
     )
-    pointer = F.concat(F.lit("raw: "), fingerprint(F.col("text")), F.lit(" ("), n_lines.cast("string"), F.lit(" lines, reconstructible)"))
+    pointer = F.concat(F.lit("raw: "), fingerprint(F.col("text")) if raw is None else raw, F.lit(" ("), n_lines.cast("string"), F.lit(" lines, reconstructible)"))
     made = F.array_join(F.filter(F.concat(F.array(F.col("_header")), kept, F.array(pointer)), lambda x: x != ""), "\n")
     small = (n_lines < LEAST_LINES) & (F.length("text") < LEAST_CHARS)
     out = out.withColumn("reduced", F.when(small, F.col("text")).otherwise(made))
@@ -148,7 +148,7 @@ def planned(units: DataFrame, zone: Column, config: Config = Config()) -> DataFr
     tool = F.col("kind").isin("tool-pair", "tool-result") & ~F.col("open") & (F.col("protection") == "NORMAL") & (F.col("tier") == "TRASH")
     gated = units.withColumn("_in", tool & (~F.col("in_floor") | (F.col("x") >= config.recent.bypass_x)))
     fp = F.col("raw") if "raw" in units.columns else fingerprint("text")
-    inside = reduced(gated.where("_in").withColumn("_fp", fp))
+    inside = reduced(gated.where("_in").withColumn("_fp", fp), F.col("_fp"))
     inside = inside.withColumns({"_before": flat_tokens(F.col("text")), "_back": F.greatest(F.lit(0), flat_tokens(F.col("text")) - flat_tokens(F.col("reduced")))}).drop("reduced")
     inside = inside.withColumn("_again", F.row_number().over(Window.partitionBy("session", "_fp").orderBy("pos")) > 1)
     other = F.when(F.col("shrank"), "reduce").otherwise("none")  # a branch of its own: who asks for drops only needs no reducer

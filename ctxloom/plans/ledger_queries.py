@@ -12,7 +12,7 @@ from ctxloom.operators import ledger as L
 from ctxloom.operators import provenance as W
 from ctxloom.operators import prune as R
 from ctxloom.operators import retrieval as V
-from ctxloom.operators.spread import spread
+from ctxloom.operators.spread import spread, spread_texts
 from ctxloom.plans.registry import held, query, read
 from ctxloom.plans.text_queries import FP
 from ctxloom.sources import adapters as A
@@ -314,7 +314,8 @@ def search_reducer(spark, sf_dir):
 
 
 def _pruned(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("pos"), F.lit("tool-pair").alias("kind"), F.lit(False).alias("open"), F.lit("grep").alias("tool"), F.lit("").alias("args"), "text", F.lit("NORMAL").alias("protection"), F.when(F.col("doc_id") % 4 == 0, "COLD").otherwise("TRASH").alias("tier"), (F.col("doc_id") % 10 == 0).alias("in_floor"), F.lit(0.9).alias("x"))
+    docs = spread_texts(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    docs = docs.select(F.col("source").alias("session"), F.col("doc_id").alias("pos"), F.lit("tool-pair").alias("kind"), F.lit(False).alias("open"), F.lit("grep").alias("tool"), F.lit("").alias("args"), "text", F.lit("NORMAL").alias("protection"), F.when(F.col("doc_id") % 4 == 0, "COLD").otherwise("TRASH").alias("tier"), (F.col("doc_id") % 10 == 0).alias("in_floor"), F.lit(0.9).alias("x"))
     return R.planned(docs, F.lit("Z2"))
 
 
