@@ -308,13 +308,15 @@ def entry_text() -> Column:
     return F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif(F.array_join("facts", "\n"), F.lit("")), "source")
 
 
-def validated(ops: DataFrame, found: DataFrame) -> DataFrame:
+def validated(ops: DataFrame, found: DataFrame, tasks: int | None = None) -> DataFrame:
     """Adds the first reason against each operation (its form, target, evidence, then mutation) and the detail.
 
     ``ops`` comes from ``normalized`` and ``evidence``. Only ACTIVE entries can be targets. Of
     an id that stands twice the last holds. Exact values that a body brings in must stand in the
-    row that the evidence was found in; titles aren't looked at.
+    row that the evidence was found in; titles aren't looked at. Targets are met in ``tasks``, if given.
     """
+    if tasks:
+        ops, found = spread(ops, "target_id", tasks=tasks), spread(found, "id", tasks=tasks)
     targets = found.groupBy(F.col("id").alias("target_id")).agg(F.max_by(F.struct(F.coalesce("status", F.lit("ACTIVE")).alias("status"), entry_text().alias("text")), F.struct("file", "place")).alias("t"))
     out = ops.join(targets, "target_id", "left")
     needs = F.col("op").isin(*NEED_TARGET)
@@ -331,10 +333,15 @@ def validated(ops: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("detail", detail).drop("t", "_lost")
 
 
-def atomic(ops: DataFrame) -> DataFrame:
-    """A rejected member rejects its whole group."""
-    lost = ops.where("reason is not null and grp is not null").select("batch", "grp", F.lit(True).alias("_lost")).distinct()
-    return ops.join(lost, ["batch", "grp"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_lost"), F.lit("GROUP_REJECTED")))).drop("_lost")
+def atomic(ops: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A rejected member rejects its whole group; batches are dealt to ``tasks``, if given.
+
+    A window, since a join would judge all operations twice; what has no group is alone in its own.
+    """
+    ops = spread(ops, "batch", tasks=tasks) if tasks else ops
+    group = Window.partitionBy("batch", "grp", F.when(F.col("grp").isNull(), F.col("idx")))
+    lost = F.col("batch").isNotNull() & F.col("grp").isNotNull() & F.max(F.col("reason").isNotNull()).over(group)
+    return ops.withColumn("reason", F.coalesce("reason", F.when(lost, F.lit("GROUP_REJECTED"))))
 
 
 #: Batches that one window of prefix sums spans.
