@@ -413,10 +413,10 @@ def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     An entry that is gone but named anywhere in what is left was moved, not lost.
     """
     tasks = tasks_for(before)
-    before, after = spread(before, "id", tasks=tasks), spread(after, "id", tasks=tasks)
-    new = after.groupBy("id").agg(F.count("*").alias("n"), F.max_by("status", F.struct("file", "place")).alias("status"))
-    old = before.where(F.col("id") != STATE).groupBy("id").agg(F.max_by("status", F.struct("file", "place")).alias("was"))
-    gone = lost(before, after).select("id", F.lit("SILENT_REMOVAL").alias("issue"))
+    dealt = lambda rows: spread(rows, "id", tasks=tasks).groupBy("id")
+    new = dealt(after).agg(F.count("*").alias("n"), F.max_by("status", F.struct("file", "place")).alias("status"))
+    old = dealt(before.where(F.col("id") != STATE)).agg(F.max_by("status", F.struct("file", "place")).alias("was"))
+    gone = lost(before, after, tasks).select("id", F.lit("SILENT_REMOVAL").alias("issue"))
     both = old.join(new, "id").where("coalesce(was, 'ACTIVE') <> 'CONFLICT'")
     marked = both.select("id", F.when(F.col("status") == "SUPERSEDED", "SUPERSEDED").when(F.col("status") == "CONFLICT", "CONFLICT_MARKED").alias("issue")).where("issue is not null")
     twice = new.where("n > 1").select("id", F.lit("DUPLICATE_ID").alias("issue"))
@@ -424,15 +424,15 @@ def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.union(marked).union(twice).union(state)
 
 
-def lost(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Entries of ``before`` that ``after`` neither has nor names."""
-    named = after.select(F.explode(F.regexp_extract_all(F.concat_ws("\n", "id", "title", F.array_join("facts", "\n"), "source", "replacement", "resolution", "verbatim"), F.lit(r"(?<![A-Za-z0-9_])([A-Z]+-\d+)(?![A-Za-z0-9_])"), 1)).alias("id")).distinct()
-    return before.where(F.col("id") != STATE).join(named, "id", "left_anti")
+def lost(before: DataFrame, after: DataFrame, tasks: int) -> DataFrame:
+    """Entries of ``before`` that ``after`` neither has nor names; both sides are dealt by id to ``tasks``."""
+    named = after.select(F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "id", "title", F.array_join("facts", "\n"), "source", "replacement", "resolution", "verbatim"), F.lit(r"(?<![A-Za-z0-9_])([A-Z]+-\d+)(?![A-Za-z0-9_])"), 1))).alias("id"))
+    return spread(before.where(F.col("id") != STATE), "id", tasks=tasks).join(spread(named, "id", tasks=tasks).distinct(), "id", "left_anti")
 
 
 def restored(before: DataFrame, after: DataFrame) -> DataFrame:
     """``after`` with silently removed entries put back, and a placeholder where the state is missing."""
-    back = after.unionByName(lost(before, after).select(*after.columns))
+    back = after.unionByName(lost(before, after, tasks_for(before)).select(*after.columns))
     blank = {"file": F.lit("STATE.md"), "place": F.lit(10**12).cast("long"), "id": F.lit(STATE), "title": F.lit("(unknown — sync did not produce a state section)"), "facts": F.array().cast("array<string>")}
     state = after.agg(F.count_if(F.col("id") == STATE).alias("n")).where("n = 0").select(*(blank.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in after.schema.fields))
     return back.unionByName(state)

@@ -178,7 +178,8 @@ def _altered(spark, sf_dir):
 @query(f"WITH {A.LEDGER}, b AS (SELECT *, key % 10 IN (2, 3) AS gone, key % 10 = 4 AS twice FROM l), k AS (SELECT id, CASE WHEN key % 10 = 5 THEN 'SUPERSEDED' ELSE status END AS status FROM b WHERE NOT gone UNION ALL SELECT id, status FROM b WHERE twice UNION ALL SELECT id, status FROM b WHERE gone AND key + 1 NOT IN (SELECT key FROM b WHERE NOT gone)) SELECT id, status, count(*) AS n FROM k GROUP BY id, status UNION ALL SELECT 'STATE-CURRENT', NULL, 1")
 def restored_entries(spark, sf_dir):
     """Silently removed entries put back, a placeholder for the state."""
-    return L.restored(*_altered(spark, sf_dir)).groupBy("id", "status").agg(F.count("*").alias("n"))
+    before, after = _altered(spark, sf_dir)
+    return spread(L.restored(before, after), "id", tasks=tasks_for(before)).groupBy("id", "status").agg(F.count("*").alias("n"))
 
 
 _BOUND = "b AS (SELECT o_custkey AS session, o_orderkey AS seq, 'DEC-' || o_orderkey AS entry_id FROM orders WHERE o_orderkey % 5 <> 0)"
