@@ -57,14 +57,15 @@ def _status_bullet(text: Column) -> Column:
 BULLETS = {"confidence": r"[0-9.]+", "status": "[A-Za-z]+", "source": ".*?", "replacement": r"\S+", "resolution": ".*?"}
 
 
-def entries(lines: DataFrame) -> DataFrame:
+def entries(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """Entries as operations see them: named bullets apart (the last of a name holds), all other lines as facts.
 
     A bullet's name is read once, then only its own pattern is tried on what follows. An entry's
-    lines are gathered in one list, and all its fields are read from that.
+    lines are gathered in one list, and all its fields are read from that. Lines that are dealt by
+    file already, to ``tasks``, stay there.
     """
     body, free = F.col("line_no") > F.col("entry_line"), F.col("entry_id") == STATE
-    rows = owned(spread(lines, "file")).withColumn("_line", F.when(body & ~free, trim("text")))
+    rows = owned(lines if tasks else spread(lines, "file")).withColumn("_line", F.when(body & ~free, trim("text")))
     dashed = F.col("_line").startswith("- ")
     rows = rows.withColumn("_name", F.when(dashed, F.lower(F.regexp_extract("_line", rf"(?i)^- ({'|'.join(BULLETS)}):", 1))))
     rows = rows.withColumn("_value", F.when(F.col("_name") != "", trim(F.substr("_line", F.length("_name") + 4))))  # after "- ", the name and a colon
@@ -100,10 +101,11 @@ def headers(lines: DataFrame) -> DataFrame:
     return above.groupBy("file").agg(F.regexp_replace(text, r"\s+\z", "").alias("header"))
 
 
-def index(lines: DataFrame) -> DataFrame:
-    """Entries as the index sees them: ACTIVE by default, the last of an id holds."""
-    tasks = tasks_for(lines)
-    rows = owned(spread(lines, "file", tasks=tasks), INDEX_HEAD).withColumn("status", _status_bullet(F.col("text")))
+def index(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Entries as the index sees them: ACTIVE by default, the last of an id holds. Lines dealt by file to ``tasks`` stay there."""
+    dealt = tasks is not None
+    tasks = tasks or tasks_for(lines)
+    rows = owned(lines if dealt else spread(lines, "file", tasks=tasks), INDEX_HEAD).withColumn("status", _status_bullet(F.col("text")))
     one = rows.groupBy("file", "entry_line", "entry_id").agg(
         F.coalesce(F.upper(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("line_no")))), F.lit("ACTIVE")).alias("status"),
         trim(F.regexp_replace(F.min_by("text", "line_no"), INDEX_HEAD, "")).alias("title"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ctxloom.operators.spread import ROWS, spread, tasks_for
 from ctxloom.operators.units import with_recent_floor
 
 
@@ -92,9 +93,27 @@ _LINES = [
 
 def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as decision entries of five lines; a file for each two hundred orders."""
-    lines = F.array(*(F.expr(x) for x in _LINES))
-    made = _read(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(lines).alias("i", "text"))
-    return made.select(F.expr("concat('DECISIONS-', o_orderkey div 200)").alias("file"), (F.col("o_orderkey") * 5 + F.col("i")).alias("line_no"), "text")
+    return _lines_of(_of_files(spark, sf_dir))
+
+
+def dealt_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """``ledger_lines`` dealt by file, and to how many tasks.
+
+    Orders are dealt, then written out as lines: what a task of the scan sorts for the exchange is a row an order, not
+    five that are as wide, and no line is made to be counted.
+    """
+    orders = _of_files(spark, sf_dir)
+    tasks = tasks_for(orders, ROWS // len(_LINES))
+    return _lines_of(spread(orders, "file", tasks=tasks)), tasks
+
+
+def _of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select(F.expr("concat('DECISIONS-', o_orderkey div 200)").alias("file"), "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+
+
+def _lines_of(orders: DataFrame) -> DataFrame:
+    made = orders.select("file", "o_orderkey", F.posexplode(F.array(*(F.expr(x) for x in _LINES))).alias("i", "text"))
+    return made.select("file", (F.col("o_orderkey") * 5 + F.col("i")).alias("line_no"), "text")
 
 
 LEDGER = """l AS (SELECT 'DECISIONS-' || (o_orderkey // 200) AS file, o_orderkey * 5 AS place, 'DEC-' || o_orderkey AS id, o_orderkey AS key, o_orderpriority AS title, CAST('0.' || (o_orderkey % 10) AS DOUBLE) AS confidence,
